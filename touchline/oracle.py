@@ -123,3 +123,57 @@ SELECT shopifyOrderId, o_shop AS shopifyShopURL,
 FROM lca""")
 
 SQL["touch_journey"] = with_ctes(PIXEL, ORDERS_TOUCHES, CJM, body="SELECT * FROM cjm")
+
+
+def _model90(body: str) -> str:
+    return with_ctes(PIXEL, ORDERS_TOUCHES, _last_click(90), _report(90), body=body)
+
+
+def _cjm(body: str) -> str:
+    return with_ctes(PIXEL, ORDERS_TOUCHES, CJM, body=body)
+
+
+SQL["source_share"] = _model90("""
+SELECT ATTRIBUTION_SOURCE, ATTRIBUTED_ORDERS,
+       cast(ATTRIBUTED_ORDERS AS double) / cast(sum(ATTRIBUTED_ORDERS) OVER () AS double) * 100.0
+         AS PERCENTAGE
+FROM (SELECT ATTRIBUTION_SOURCE, cast(sum(ATTRIBUTED_ORDERS) AS bigint) AS ATTRIBUTED_ORDERS
+      FROM report WHERE ATTRIBUTION_SOURCE IS NOT NULL GROUP BY 1) s""")
+
+SQL["monthly_by_source"] = _model90("""
+SELECT MONTH, ATTRIBUTION_SOURCE,
+       cast(sum(ATTRIBUTED_ORDERS) AS bigint) AS ATTRIBUTED_ORDERS,
+       cast(sum(cast(trunc(ATTRIBUTED_REVENUE) AS bigint)) AS bigint) AS ATTRIBUTED_REVENUE
+FROM report WHERE MONTH IS NOT NULL AND ATTRIBUTION_SOURCE IS NOT NULL
+GROUP BY 1, 2""")
+
+SQL["referrer_contribution"] = _model90("""
+SELECT PAGEREFERRER,
+       cast(sum(ATTRIBUTED_ORDERS) AS bigint) AS total_orders,
+       cast(sum(cast(trunc(ATTRIBUTED_REVENUE) AS bigint)) AS bigint) AS total_revenue
+FROM report WHERE PAGEREFERRER IS NOT NULL
+GROUP BY 1""")
+
+SQL["source_edges"] = _model90("""
+SELECT ATTRIBUTION_SOURCE AS SOURCE,
+       cast(dense_rank() OVER (ORDER BY ATTRIBUTION_SOURCE) - 1 AS bigint) AS SOURCE_INDEX,
+       'Purchase' AS TARGET,
+       cast(count(*) OVER () AS bigint) AS TARGET_INDEX,
+       VALUE
+FROM (SELECT ATTRIBUTION_SOURCE, cast(sum(ATTRIBUTED_ORDERS) AS bigint) AS VALUE
+      FROM report WHERE ATTRIBUTION_SOURCE IS NOT NULL GROUP BY 1) s""")
+
+SQL["touch_step_orders"] = _cjm("""
+SELECT TOUCHPOINT_STEP, ATTRIBUTION_SOURCE, count(DISTINCT SHOPIFYORDERID) AS ORDER_COUNT
+FROM cjm WHERE TOUCHPOINT_STEP IS NOT NULL AND ATTRIBUTION_SOURCE IS NOT NULL
+GROUP BY 1, 2""")
+
+SQL["touch_funnel"] = _cjm("""
+SELECT ATTRIBUTION_SOURCE, TOUCHPOINT_STEP, ORDER_COUNT,
+       cast(ORDER_COUNT AS double)
+         / cast(first_value(ORDER_COUNT) OVER (PARTITION BY ATTRIBUTION_SOURCE
+                                                ORDER BY TOUCHPOINT_STEP) AS double) * 100.0
+         AS PERCENT_INITIAL
+FROM (SELECT ATTRIBUTION_SOURCE, TOUCHPOINT_STEP, count(DISTINCT SHOPIFYORDERID) AS ORDER_COUNT
+      FROM cjm WHERE SHOPIFYORDERID IS NOT NULL AND TOUCHPOINT_STEP < 10
+      GROUP BY 1, 2) s""")

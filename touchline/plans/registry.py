@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators import attribution as att
+from touchline.operators import reports
 from touchline.plans import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +49,44 @@ def q_last_touch(spark, sf_dir):
 @register("touch_journey")
 def q_touch_journey(spark, sf_dir):
     return att.touch_journey(inputs.events(spark, sf_dir))
+
+
+# --- attribution page (over the marts) ---------------------------------------
+
+def _model_90(spark, sf_dir):
+    return att.attribution_report(att.last_touch(inputs.events(spark, sf_dir), days=90),
+                                  ordered=False)
+
+
+def _cjm(spark, sf_dir):
+    return att.touch_journey(inputs.events(spark, sf_dir), ordered=False)
+
+
+@register("source_share")
+def q_source_share(spark, sf_dir):
+    return reports.source_share(_model_90(spark, sf_dir))
+
+
+@register("monthly_by_source")
+def q_monthly_by_source(spark, sf_dir):
+    return reports.monthly_by_source(_model_90(spark, sf_dir))
+
+
+@register("referrer_contribution")
+def q_referrer_contribution(spark, sf_dir):
+    return reports.referrer_contribution(_model_90(spark, sf_dir))
+
+
+@register("source_edges")
+def q_source_edges(spark, sf_dir):
+    return reports.source_edges(_model_90(spark, sf_dir))
+
+
+@register("touch_step_orders")
+def q_touch_step_orders(spark, sf_dir):
+    return reports.step_orders(_cjm(spark, sf_dir))
+
+
+@register("touch_funnel")
+def q_touch_funnel(spark, sf_dir):
+    return reports.touch_funnel(_cjm(spark, sf_dir))
