@@ -40,15 +40,20 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
         return left.join(right, on=[_B])
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
     cond = [left[_B] == r[f"_r_{_B}"]] + [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
-    j = left.join(r, on=cond)
-    return j.drop(*[f"_r_{k}" for k in keys], f"_r_{_B}").withColumnRenamed(f"_r_{_OFF}", _OFF)
+    j = left.join(r, on=cond).drop(*[f"_r_{k}" for k in keys], f"_r_{_B}")
+    for c in right.columns:
+        if c not in keys and c != _B:
+            j = j.withColumnRenamed(f"_r_{c}", c)
+    return j
 
 
 def running(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
-            out: str, value: str | None = None, n_buckets: int | None = None) -> DataFrame:
+            out: str, value: str | None = None, n_buckets: int | None = None,
+            total_out: str | None = None) -> DataFrame:
     """Add ``out``: row number (``value=None``) or running sum of ``value``
     (ROWS frame, unbounded preceding .. current row) within
-    ``partition_cols`` in ``order_cols`` order.
+    ``partition_cols`` in ``order_cols`` order.  ``total_out`` also adds the
+    group's row count / value total.
 
     ``order_cols`` are column names or sort Columns (``F.col(x).desc()``).
     """
@@ -63,8 +68,11 @@ def running(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
     measure = F.count(F.lit(1)) if value is None else F.sum(F.col(value))
     per_bucket = b.groupBy(_B, *pcols).agg(measure.alias("_tl_m"))
     before = Window.partitionBy(*pcols).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    extra = []
+    if total_out:
+        extra = [F.sum("_tl_m").over(Window.partitionBy(*pcols)).alias(total_out)]
     offsets = per_bucket.select(
-        _B, *pcols, F.coalesce(F.sum("_tl_m").over(before), F.lit(0)).alias(_OFF))
+        _B, *pcols, F.coalesce(F.sum("_tl_m").over(before), F.lit(0)).alias(_OFF), *extra)
 
     local = Window.partitionBy(_B, *pcols).orderBy(*order)
     if value is None:

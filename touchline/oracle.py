@@ -177,3 +177,271 @@ SELECT ATTRIBUTION_SOURCE, TOUCHPOINT_STEP, ORDER_COUNT,
 FROM (SELECT ATTRIBUTION_SOURCE, TOUCHPOINT_STEP, count(DISTINCT SHOPIFYORDERID) AS ORDER_COUNT
       FROM cjm WHERE SHOPIFYORDERID IS NOT NULL AND TOUCHPOINT_STEP < 10
       GROUP BY 1, 2) s""")
+
+
+# --- campaigns / market / tenants (FIXTURES.md §2-4) ----------------------------
+
+OUTBOUND = r"""
+outbound AS (
+  SELECT p_brand || '/' || p_type AS CAMPAIGN_GROUP,
+         cast(min(l_shipdate) AS date) AS CAMPAIGN_START_DATE,
+         cast(max(l_shipdate) AS date) AS CAMPAIGN_LAST_DATE,
+         count(*) AS NB_CONTACTS_TOUCHED,
+         count(DISTINCT l_orderkey) AS NB_COMPANIES_TOUCHED,
+         count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity >= 45
+                             THEN l_orderkey END) AS NB_COMPANIES_TOUCHED_ICP,
+         count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity >= 46
+                             THEN l_orderkey END) AS NB_COMPANIES_CLICKED_ICP,
+         count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity >= 48
+                             THEN l_orderkey END) AS NB_COMPANIES_REPLIED_ICP,
+         count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity >= 49
+                             THEN l_orderkey END) AS NB_COMPANIES_REPLIED_POSITIVE_ICP,
+         cast(floor(sum(cast(floor(l_quantity) AS bigint)) / 500.0) * 500 AS bigint)
+           AS NEW_ARR_FROM_OB_ALL_TIME
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  GROUP BY 1),
+ob AS (SELECT DISTINCT * FROM outbound),
+obf AS (
+  SELECT CAMPAIGN_GROUP, CAMPAIGN_START_DATE, CAMPAIGN_LAST_DATE,
+         datediff('day', CAMPAIGN_START_DATE, CAMPAIGN_LAST_DATE) AS CAMPAIGN_LENGTH,
+         NB_CONTACTS_TOUCHED, NB_COMPANIES_TOUCHED, NB_COMPANIES_TOUCHED_ICP,
+         NB_COMPANIES_CLICKED_ICP, NB_COMPANIES_REPLIED_ICP, NB_COMPANIES_REPLIED_POSITIVE_ICP,
+         NEW_ARR_FROM_OB_ALL_TIME
+  FROM ob),
+obt AS (
+  SELECT CAMPAIGN_GROUP, CAMPAIGN_START_DATE, CAMPAIGN_LAST_DATE, CAMPAIGN_LENGTH,
+         NB_CONTACTS_TOUCHED, NB_COMPANIES_TOUCHED, NB_COMPANIES_TOUCHED_ICP,
+         NB_COMPANIES_CLICKED_ICP
+  FROM obf)"""
+
+MARKET = r"""
+market AS (
+  SELECT CASE WHEN c_custkey % 4 = 0 THEN 'Shopify' ELSE c_mktsegment END AS PLATFORM,
+         n_name AS COUNTRY,
+         CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN g < 1000000 THEN 'a) < $1M'
+              WHEN g < 3000000 THEN 'b) $1M - $3M' ELSE 'c) > $3M' END AS GMV_CATEGORY,
+         g AS TOTAL_GMV, g / n AS AVG_GMV, cast(n AS double) AS NB_DOMAINS,
+         cast(floor(c_acctbal) AS bigint) AS "POLAR ARR ($)"
+  FROM (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, count(*) AS n,
+               cast(sum(cast(floor(o_totalprice) AS bigint)) AS double) AS g
+        FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3, 4) x
+  JOIN nation ON c_nationkey = n_nationkey),
+mk AS (SELECT DISTINCT * FROM market),
+mkf AS (SELECT * FROM mk WHERE GMV_CATEGORY IS NOT NULL),
+scope AS (
+  SELECT * FROM mk
+  WHERE PLATFORM = 'Shopify' AND GMV_CATEGORY IS DISTINCT FROM 'a) < $1M'
+    AND "POLAR ARR ($)" > 0)"""
+
+TENANTS = r"""
+tenants AS (SELECT c_nationkey AS TENANT_ID, c_custkey AS DATASOURCE_ID FROM customer)"""
+
+
+def pdiv(n: str, d: str) -> str:
+    """pandas float division in SQL: 0/0 NULL, x/0 +-inf."""
+    return (f"(CASE WHEN ({d}) = 0 THEN (CASE WHEN ({n}) = 0 THEN NULL WHEN ({n}) > 0 "
+            f"THEN 'inf'::double ELSE '-inf'::double END) "
+            f"ELSE cast({n} AS double) / cast({d} AS double) END)")
+
+
+def _describe(rel: str, cols: list[str]) -> str:
+    long = " UNION ALL ".join(
+        f"SELECT '{c}' AS COLUMN_NAME, cast(\"{c}\" AS double) AS VALUE FROM {rel}" for c in cols)
+    return f"""
+SELECT COLUMN_NAME, cast(count(VALUE) AS double) AS count, avg(VALUE) AS mean,
+       stddev_samp(VALUE) AS std, min(VALUE) AS min,
+       quantile_cont(VALUE, 0.25) AS p25, quantile_cont(VALUE, 0.5) AS p50,
+       quantile_cont(VALUE, 0.75) AS p75, max(VALUE) AS max
+FROM ({long}) l
+WHERE VALUE IS NOT NULL AND NOT isnan(VALUE)
+GROUP BY 1"""
+
+
+def _unique(rel: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS COLUMN_NAME, cast(count(DISTINCT \"{c}\") AS varchar) AS UNIQUE_VALUES "
+        f"FROM {rel}" for c in cols)
+
+
+def _ob(body: str) -> str:
+    return with_ctes(OUTBOUND, body=body)
+
+
+def _mk(body: str) -> str:
+    return with_ctes(MARKET, body=body)
+
+
+def _obmk(body: str) -> str:
+    return with_ctes(OUTBOUND, MARKET, body=body)
+
+
+_PARETO = """
+pareto AS (
+  SELECT CAMPAIGN_GROUP, NEW_ARR_FROM_OB_ALL_TIME, CUMULATIVE_NEW_ARR,
+         CASE WHEN CUMULATIVE_NEW_ARR <= 0.8::double * total THEN 'Top 80%' ELSE 'Other' END
+           AS COLOR_LABEL
+  FROM (SELECT *,
+               cast(sum(NEW_ARR_FROM_OB_ALL_TIME) OVER (
+                      ORDER BY NEW_ARR_FROM_OB_ALL_TIME DESC NULLS LAST, CAMPAIGN_GROUP
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint)
+                 AS CUMULATIVE_NEW_ARR,
+               cast(sum(NEW_ARR_FROM_OB_ALL_TIME) OVER () AS double) AS total
+        FROM ob) x)"""
+
+SQL["pareto"] = with_ctes(OUTBOUND, _PARETO, body="SELECT * FROM pareto")
+
+SQL["pareto_summary"] = with_ctes(OUTBOUND, _PARETO, body="""
+SELECT NUM_CAMPAIGNS_TOP, NUM_CAMPAIGNS,
+       cast(NUM_CAMPAIGNS_TOP AS double) / cast(NUM_CAMPAIGNS AS double) * 100.0
+         AS PERCENT_CAMPAIGNS_TOP
+FROM (SELECT count(*) FILTER (WHERE COLOR_LABEL = 'Top 80%') AS NUM_CAMPAIGNS_TOP,
+             count(*) AS NUM_CAMPAIGNS FROM pareto) s""")
+
+SQL["tam_rollup"] = _mk(f"""
+SELECT GMV_CATEGORY, COUNTRY, grouping(GMV_CATEGORY, COUNTRY) AS LEVEL,
+       cast(sum("POLAR ARR ($)") AS bigint) AS "POLAR ARR ($)",
+       {pdiv('cast(sum(cast("POLAR ARR ($)" AS hugeint) * "POLAR ARR ($)") AS double)',
+             'sum("POLAR ARR ($)")')} AS COLOR_VALUE
+FROM scope GROUP BY ROLLUP (GMV_CATEGORY, COUNTRY)""")
+
+SQL["tam_share"] = _mk(f"""
+SELECT 'NATION_0' AS COUNTRY, POTENTIAL_ARR, COUNTRY_ARR,
+       {pdiv('COUNTRY_ARR', 'POTENTIAL_ARR')} * 100 AS COUNTRY_SHARE
+FROM (SELECT cast(coalesce(sum("POLAR ARR ($)"), 0) AS bigint) AS POTENTIAL_ARR,
+             cast(coalesce(sum(CASE WHEN COUNTRY = 'NATION_0' THEN "POLAR ARR ($)" END), 0)
+                  AS bigint) AS COUNTRY_ARR
+      FROM scope) s""")
+
+SQL["outbound_funnel"] = _ob("""
+SELECT 1 AS STAGE_ORDER, 'Contacts Touched' AS STAGE, cast(sum(NB_CONTACTS_TOUCHED) AS bigint) AS COUNT FROM ob
+UNION ALL SELECT 2, 'Companies Touched', cast(sum(NB_COMPANIES_TOUCHED) AS bigint) FROM ob
+UNION ALL SELECT 3, 'ICP Companies Touched', cast(sum(NB_COMPANIES_TOUCHED_ICP) AS bigint) FROM ob
+UNION ALL SELECT 4, 'ICP Companies Clicked', cast(sum(NB_COMPANIES_CLICKED_ICP) AS bigint) FROM ob
+UNION ALL SELECT 5, 'ICP Companies Replied', cast(sum(NB_COMPANIES_REPLIED_ICP) AS bigint) FROM ob
+UNION ALL SELECT 6, 'ICP Positive Replies', cast(sum(NB_COMPANIES_REPLIED_POSITIVE_ICP) AS bigint) FROM ob""")
+
+SQL["tam_contribution"] = _obmk(f"""
+SELECT OUTBOUND_ARR, POTENTIAL_ARR, {pdiv('OUTBOUND_ARR', 'POTENTIAL_ARR')} * 100
+         AS CONTRIBUTION_PERCENT
+FROM (SELECT cast(coalesce(sum(NEW_ARR_FROM_OB_ALL_TIME), 0) AS bigint) AS OUTBOUND_ARR FROM ob) a,
+     (SELECT cast(coalesce(sum("POLAR ARR ($)"), 0) AS bigint) AS POTENTIAL_ARR FROM scope) b""")
+
+_RATES = f"""
+rates AS (
+  SELECT CAMPAIGN_GROUP,
+         {pdiv('NB_COMPANIES_CLICKED_ICP', 'NB_COMPANIES_TOUCHED_ICP')} AS ICP_click_through_rate,
+         {pdiv('NB_COMPANIES_REPLIED_ICP', 'NB_COMPANIES_TOUCHED_ICP')} AS ICP_reply_rate,
+         {pdiv('NB_COMPANIES_REPLIED_POSITIVE_ICP', 'NB_COMPANIES_TOUCHED_ICP')}
+           AS ICP_positive_reply_rate
+  FROM ob)"""
+
+SQL["icp_rates"] = with_ctes(OUTBOUND, _RATES, body="SELECT * FROM rates")
+
+SQL["icp_avg_rates"] = with_ctes(OUTBOUND, _RATES, body="""
+SELECT avg(ICP_click_through_rate) AS avg_ICP_click_through_rate,
+       avg(ICP_reply_rate) AS avg_ICP_reply_rate,
+       avg(ICP_positive_reply_rate) AS avg_ICP_positive_reply_rate
+FROM rates""")
+
+SQL["icp_share"] = _ob(f"""
+SELECT ICP_TOUCHED, TOUCHED, {pdiv('ICP_TOUCHED', 'TOUCHED')} AS ICP_SHARE
+FROM (SELECT cast(coalesce(sum(NB_COMPANIES_TOUCHED_ICP), 0) AS bigint) AS ICP_TOUCHED,
+             cast(coalesce(sum(NB_COMPANIES_TOUCHED), 0) AS bigint) AS TOUCHED FROM ob) s""")
+
+SQL["outbound_limitations"] = with_ctes(OUTBOUND, _RATES, body=r"""
+SELECT ICP_CONTACTED, cast(len(msgs) AS bigint) AS NUM_LIMITATIONS,
+       CASE WHEN len(msgs) > 0
+            THEN chr(10) || 'Outbound is facing the following limitations:' || chr(10)
+                 || array_to_string(msgs, chr(10))
+            ELSE 'Outbound is performing well with respect to ICP conversion rates.' END
+         AS MESSAGE
+FROM (SELECT ICP_CONTACTED,
+             list_filter([
+               CASE WHEN a < 0.2 THEN '    ' || chr(10) || '- Low click-through rate for ICP contacts. ('
+                                     || printf('%.2f', a) || '%)' END,
+               CASE WHEN b < 0.1 THEN '    ' || chr(10) || '- Low reply rate from ICP contacts. ('
+                                     || printf('%.2f', b) || '%)' END,
+               CASE WHEN c < 0.05 THEN '    ' || chr(10) || '- Low positive reply rate from ICP contacts. ('
+                                      || printf('%.2f', c) || '%)' END,
+               CASE WHEN ICP_CONTACTED < 1000
+                    THEN 'Limited ICP data – not enough ICP companies are being contacted.' END
+             ], lambda x: x IS NOT NULL) AS msgs
+      FROM (SELECT avg(ICP_click_through_rate) AS a, avg(ICP_reply_rate) AS b,
+                   avg(ICP_positive_reply_rate) AS c,
+                   (SELECT cast(coalesce(sum(NB_COMPANIES_TOUCHED_ICP), 0) AS bigint) FROM ob)
+                     AS ICP_CONTACTED
+            FROM rates) r) m""")
+
+_OB_NUM = ["CAMPAIGN_LENGTH", "NB_CONTACTS_TOUCHED", "NB_COMPANIES_TOUCHED",
+           "NB_COMPANIES_TOUCHED_ICP", "NB_COMPANIES_CLICKED_ICP"]
+_OB_ALL = ["CAMPAIGN_GROUP", "CAMPAIGN_START_DATE", "CAMPAIGN_LAST_DATE"] + _OB_NUM
+_MK_NUM = ["TOTAL_GMV", "AVG_GMV", "NB_DOMAINS", "POLAR ARR ($)"]
+_MK_ALL = ["PLATFORM", "COUNTRY", "GMV_CATEGORY"] + _MK_NUM
+
+SQL["outbound_table"] = _ob("SELECT * FROM obt")
+SQL["describe_outbound"] = _ob(_describe("obt", _OB_NUM))
+SQL["unique_counts_outbound"] = _ob(_unique("obt", _OB_ALL))
+
+SQL["metric_by_campaign"] = _ob("""
+SELECT CAMPAIGN_GROUP, cast(coalesce(sum(NB_CONTACTS_TOUCHED), 0) AS bigint) AS NB_CONTACTS_TOUCHED
+FROM obf WHERE CAMPAIGN_GROUP IS NOT NULL GROUP BY 1""")
+
+SQL["campaign_spans"] = _ob("""
+SELECT CAMPAIGN_GROUP, NB_CONTACTS_TOUCHED AS VALUE,
+       'Start: ' || cast(CAMPAIGN_START_DATE AS varchar) || '<br>End: '
+         || cast(CAMPAIGN_LAST_DATE AS varchar) || '<br>NB_CONTACTS_TOUCHED: '
+         || cast(NB_CONTACTS_TOUCHED AS varchar) AS LABEL
+FROM obf
+WHERE CAMPAIGN_START_DATE IS NOT NULL AND CAMPAIGN_LAST_DATE IS NOT NULL
+  AND NB_CONTACTS_TOUCHED IS NOT NULL AND CAMPAIGN_GROUP IS NOT NULL""")
+
+SQL["length_scatter"] = _ob("""
+SELECT CAMPAIGN_LENGTH AS X, NB_CONTACTS_TOUCHED AS Y, CAMPAIGN_GROUP AS COLOR FROM obf""")
+
+SQL["metric_by_start_month"] = _ob("""
+SELECT month(CAMPAIGN_START_DATE) AS START_MONTH,
+       cast(coalesce(sum(NB_CONTACTS_TOUCHED), 0) AS bigint) AS NB_CONTACTS_TOUCHED
+FROM obf WHERE CAMPAIGN_START_DATE IS NOT NULL GROUP BY 1""")
+
+SQL["describe"] = _mk(_describe("mkf", _MK_NUM))
+SQL["unique_counts"] = _mk(_unique("mkf", _MK_ALL))
+
+SQL["gmv_by_category"] = _mk("""
+SELECT GMV_CATEGORY, coalesce(sum(TOTAL_GMV), 0) AS TOTAL_GMV
+FROM mkf WHERE GMV_CATEGORY IS NOT NULL GROUP BY 1""")
+
+
+def _box(expr: str) -> str:
+    return _mk(f"""
+SELECT GMV_CATEGORY, count(*) AS count, min(v) AS min, quantile_cont(v, 0.25) AS q1,
+       quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3, max(v) AS max
+FROM (SELECT GMV_CATEGORY, {expr} AS v FROM mkf) b
+WHERE v IS NOT NULL AND NOT isnan(v)
+GROUP BY 1""")
+
+
+SQL["box_stats"] = _box("cast(AVG_GMV AS double)")
+SQL["box_stats_log"] = _box("CASE WHEN AVG_GMV > 0 THEN ln(1 + AVG_GMV) END")
+
+SQL["domains_scatter"] = _mk("""
+SELECT NB_DOMAINS AS X, TOTAL_GMV AS Y, GMV_CATEGORY AS COLOR FROM mkf""")
+
+
+def _top(rel: str, key: str) -> str:
+    return _mk(f"""
+SELECT {key}, coalesce(sum(TOTAL_GMV), 0) AS TOTAL_GMV
+FROM {rel} WHERE {key} IS NOT NULL GROUP BY 1
+ORDER BY 2 DESC, 1 LIMIT 10""")
+
+
+SQL["top_platforms"] = _top("mkf", "PLATFORM")
+SQL["top_countries"] = _top("mkf", "COUNTRY")
+SQL["top_countries_shopify"] = _top("(SELECT * FROM mkf WHERE PLATFORM = 'Shopify')", "COUNTRY")
+SQL["distinct_countries"] = _mk("SELECT DISTINCT COUNTRY FROM mk WHERE COUNTRY IS NOT NULL")
+
+SQL["tenants_preview"] = with_ctes(TENANTS, body="SELECT * FROM tenants LIMIT 5")
+SQL["unique_counts_tenants"] = with_ctes(TENANTS, body=_unique("tenants", ["TENANT_ID", "DATASOURCE_ID"]))
+SQL["tenant_stores"] = with_ctes(TENANTS, body="""
+SELECT TENANT_ID, count(DISTINCT DATASOURCE_ID) AS DATASOURCE_ID
+FROM tenants WHERE TENANT_ID IS NOT NULL GROUP BY 1
+ORDER BY 2 DESC, 1 LIMIT 10""")

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators import attribution as att
-from touchline.operators import reports
+from touchline.operators import profile, projections, reports, sizing
+from touchline.operators.cleaning import clean
+from touchline.plans import pages
 from touchline.plans import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +92,185 @@ def q_touch_step_orders(spark, sf_dir):
 @register("touch_funnel")
 def q_touch_funnel(spark, sf_dir):
     return reports.touch_funnel(_cjm(spark, sf_dir))
+
+
+# --- outbound sizing page -------------------------------------------------------
+
+def _ob(spark, sf_dir):
+    return clean(inputs.outbound(spark, sf_dir))
+
+
+def _mk(spark, sf_dir):
+    return clean(inputs.market(spark, sf_dir))
+
+
+@register("pareto")
+def q_pareto(spark, sf_dir):
+    return sizing.pareto(_ob(spark, sf_dir)).select(
+        "CAMPAIGN_GROUP", sizing.ARR, "CUMULATIVE_NEW_ARR", "COLOR_LABEL")
+
+
+@register("pareto_summary")
+def q_pareto_summary(spark, sf_dir):
+    return sizing.pareto_summary(sizing.pareto(_ob(spark, sf_dir)))
+
+
+@register("tam_rollup")
+def q_tam_rollup(spark, sf_dir):
+    return sizing.tam_rollup(_mk(spark, sf_dir))
+
+
+@register("tam_share")
+def q_tam_share(spark, sf_dir):
+    return sizing.tam_share(_mk(spark, sf_dir), "NATION_0")
+
+
+@register("outbound_funnel")
+def q_outbound_funnel(spark, sf_dir):
+    return sizing.outbound_funnel(_ob(spark, sf_dir))
+
+
+@register("tam_contribution")
+def q_tam_contribution(spark, sf_dir):
+    return sizing.tam_contribution(_ob(spark, sf_dir), _mk(spark, sf_dir))
+
+
+@register("icp_rates")
+def q_icp_rates(spark, sf_dir):
+    return sizing.icp_rates(_ob(spark, sf_dir)).select(
+        "CAMPAIGN_GROUP", *[n for n, _ in sizing.ICP_RATES])
+
+
+@register("icp_avg_rates")
+def q_icp_avg_rates(spark, sf_dir):
+    return sizing.icp_avg_rates(_ob(spark, sf_dir))
+
+
+@register("icp_share")
+def q_icp_share(spark, sf_dir):
+    return sizing.icp_share(_ob(spark, sf_dir))
+
+
+@register("outbound_limitations")
+def q_outbound_limitations(spark, sf_dir):
+    return sizing.outbound_limitations(_ob(spark, sf_dir)).drop(
+        *[f"avg_{n}" for n, _ in sizing.ICP_RATES])
+
+
+# --- outbound profile page --------------------------------------------------------
+
+def _ob_frame(spark, sf_dir):
+    return pages.outbound_frame(inputs.outbound(spark, sf_dir))
+
+
+@register("outbound_table")
+def q_outbound_table(spark, sf_dir):
+    return projections.drop_last(_ob_frame(spark, sf_dir), 3)
+
+
+@register("describe_outbound")
+def q_describe_outbound(spark, sf_dir):
+    return profile.describe(projections.drop_last(_ob_frame(spark, sf_dir), 3))
+
+
+@register("unique_counts_outbound")
+def q_unique_counts_outbound(spark, sf_dir):
+    return profile.unique_counts(projections.drop_last(_ob_frame(spark, sf_dir), 3))
+
+
+@register("metric_by_campaign")
+def q_metric_by_campaign(spark, sf_dir):
+    return profile.sum_by(_ob_frame(spark, sf_dir), "CAMPAIGN_GROUP", pages.OUTBOUND_METRIC,
+                          descending=True)
+
+
+@register("campaign_spans")
+def q_campaign_spans(spark, sf_dir):
+    return projections.campaign_spans(_ob_frame(spark, sf_dir), pages.OUTBOUND_METRIC) \
+        .drop("START", "END")
+
+
+@register("length_scatter")
+def q_length_scatter(spark, sf_dir):
+    return projections.scatter_pairs(_ob_frame(spark, sf_dir), "CAMPAIGN_LENGTH",
+                                     pages.OUTBOUND_METRIC, "CAMPAIGN_GROUP")
+
+
+@register("metric_by_start_month")
+def q_metric_by_start_month(spark, sf_dir):
+    return profile.metric_by_start_month(_ob_frame(spark, sf_dir), pages.OUTBOUND_METRIC)
+
+
+# --- market profile page ------------------------------------------------------------
+
+def _mk_frame(spark, sf_dir):
+    return pages.market_frame(inputs.market(spark, sf_dir))
+
+
+@register("describe")
+def q_describe(spark, sf_dir):
+    return profile.describe(_mk_frame(spark, sf_dir))
+
+
+@register("unique_counts")
+def q_unique_counts(spark, sf_dir):
+    return profile.unique_counts(_mk_frame(spark, sf_dir))
+
+
+@register("gmv_by_category")
+def q_gmv_by_category(spark, sf_dir):
+    return profile.sum_by(_mk_frame(spark, sf_dir), "GMV_CATEGORY", "TOTAL_GMV")
+
+
+@register("box_stats")
+def q_box_stats(spark, sf_dir):
+    return profile.box_stats(_mk_frame(spark, sf_dir), "GMV_CATEGORY", "AVG_GMV")
+
+
+@register("box_stats_log")
+def q_box_stats_log(spark, sf_dir):
+    return profile.box_stats(_mk_frame(spark, sf_dir), "GMV_CATEGORY", "AVG_GMV", log=True)
+
+
+@register("domains_scatter")
+def q_domains_scatter(spark, sf_dir):
+    return projections.scatter_pairs(_mk_frame(spark, sf_dir), "NB_DOMAINS", "TOTAL_GMV",
+                                     "GMV_CATEGORY")
+
+
+@register("top_platforms")
+def q_top_platforms(spark, sf_dir):
+    return profile.top_n_by_sum(_mk_frame(spark, sf_dir), "PLATFORM", "TOTAL_GMV", 10)
+
+
+@register("top_countries")
+def q_top_countries(spark, sf_dir):
+    return profile.top_n_by_sum(_mk_frame(spark, sf_dir), "COUNTRY", "TOTAL_GMV", 10)
+
+
+@register("top_countries_shopify")
+def q_top_countries_shopify(spark, sf_dir):
+    df = pages.market_frame(inputs.market(spark, sf_dir), platform="Shopify")
+    return profile.top_n_by_sum(df, "COUNTRY", "TOTAL_GMV", 10)
+
+
+@register("distinct_countries")
+def q_distinct_countries(spark, sf_dir):
+    return profile.distinct_values(_mk(spark, sf_dir), "COUNTRY")
+
+
+# --- tenants page ---------------------------------------------------------------------
+
+@register("tenants_preview")
+def q_tenants_preview(spark, sf_dir):
+    return profile.preview(inputs.tenants(spark, sf_dir), 5)
+
+
+@register("unique_counts_tenants")
+def q_unique_counts_tenants(spark, sf_dir):
+    return profile.unique_counts(inputs.tenants(spark, sf_dir))
+
+
+@register("tenant_stores")
+def q_tenant_stores(spark, sf_dir):
+    return profile.top_n_distinct(inputs.tenants(spark, sf_dir), "TENANT_ID", "DATASOURCE_ID", 10)
