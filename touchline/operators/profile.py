@@ -30,11 +30,15 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None,
-             approx: bool = False) -> DataFrame:
+             approx: bool = False, decimals: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per numeric column, one
     row per column.  Quartiles are exact (linear interpolation) and computed
     from distributed ranks; ``approx=True`` uses ``percentile_approx``
-    instead (one pass, bounded memory).  NULL and NaN are skipped."""
+    instead (one pass, bounded memory).  NULL and NaN are skipped.
+
+    Mean and std depend on the order of floating-point addition, which no
+    distributed engine fixes; ``decimals`` rounds them for reproducible
+    output."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     long = _long(df, cols).filter(F.col("VALUE").isNotNull() & ~F.isnan("VALUE"))
     v = F.col("VALUE")
@@ -47,6 +51,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
     else:
         qs = exact_quantiles(long, ["COLUMN_NAME"], "VALUE", QUARTILES)
     out = basic.join(qs, "COLUMN_NAME")
+    if decimals is not None:
+        out = out.withColumns({c: F.round(c, decimals) for c in ("mean", "std")})
     return out.select("COLUMN_NAME", "count", "mean", "std", "min",
                       *QUARTILES.keys(), "max")
 
@@ -100,9 +106,11 @@ def metric_by_start_month(df: DataFrame, metric: str,
             .agg(F.coalesce(F.sum(_q(metric)), F.lit(0)).alias(metric)))
 
 
-def box_stats(df: DataFrame, key: str, value: str, log: bool = False) -> DataFrame:
+def box_stats(df: DataFrame, key: str, value: str, log: bool = False,
+              decimals: int | None = None) -> DataFrame:
     """Five-number summary of ``value`` per ``key`` (exact linear quartiles).
-    ``log=True`` first maps x to log(1 + x) for x > 0, else NULL (dropped)."""
+    ``log=True`` first maps x to log(1 + x) for x > 0, else NULL (dropped).
+    ``decimals`` rounds the statistics."""
     v = log1p_positive(_q(value)) if log else _q(value).cast("double")
     base = df.select(_q(key).alias("KEY"), v.alias("VALUE"))
     base = base.filter(F.col("VALUE").isNotNull() & ~F.isnan("VALUE"))
@@ -110,7 +118,10 @@ def box_stats(df: DataFrame, key: str, value: str, log: bool = False) -> DataFra
                                  F.max("VALUE").alias("max"))
     qs = exact_quantiles(base, ["KEY"], "VALUE", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     j = mm.join(qs, mm.KEY.eqNullSafe(qs.KEY)).drop(qs.KEY)
-    return j.select(F.col("KEY").alias(key), "count", "min", "q1", "median", "q3", "max")
+    stats = ["min", "q1", "median", "q3", "max"]
+    if decimals is not None:
+        j = j.withColumns({c: F.round(c, decimals) for c in stats})
+    return j.select(F.col("KEY").alias(key), "count", *stats)
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:

@@ -248,8 +248,8 @@ def _describe(rel: str, cols: list[str]) -> str:
     long = " UNION ALL ".join(
         f"SELECT '{c}' AS COLUMN_NAME, cast(\"{c}\" AS double) AS VALUE FROM {rel}" for c in cols)
     return f"""
-SELECT COLUMN_NAME, cast(count(VALUE) AS double) AS count, avg(VALUE) AS mean,
-       stddev_samp(VALUE) AS std, min(VALUE) AS min,
+SELECT COLUMN_NAME, cast(count(VALUE) AS double) AS count, round(avg(VALUE), 6) AS mean,
+       round(stddev_samp(VALUE), 6) AS std, min(VALUE) AS min,
        quantile_cont(VALUE, 0.25) AS p25, quantile_cont(VALUE, 0.5) AS p50,
        quantile_cont(VALUE, 0.75) AS p75, max(VALUE) AS max
 FROM ({long}) l
@@ -411,17 +411,20 @@ SELECT GMV_CATEGORY, coalesce(sum(TOTAL_GMV), 0) AS TOTAL_GMV
 FROM mkf WHERE GMV_CATEGORY IS NOT NULL GROUP BY 1""")
 
 
-def _box(expr: str) -> str:
+def _box(expr: str, d: int | None = None) -> str:
+    def r(x: str) -> str:
+        return f"round({x}, {d})" if d is not None else x
     return _mk(f"""
-SELECT GMV_CATEGORY, count(*) AS count, min(v) AS min, quantile_cont(v, 0.25) AS q1,
-       quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3, max(v) AS max
+SELECT GMV_CATEGORY, count(*) AS count, {r('min(v)')} AS min,
+       {r('quantile_cont(v, 0.25)')} AS q1, {r('quantile_cont(v, 0.5)')} AS median,
+       {r('quantile_cont(v, 0.75)')} AS q3, {r('max(v)')} AS max
 FROM (SELECT GMV_CATEGORY, {expr} AS v FROM mkf) b
 WHERE v IS NOT NULL AND NOT isnan(v)
 GROUP BY 1""")
 
 
 SQL["box_stats"] = _box("cast(AVG_GMV AS double)")
-SQL["box_stats_log"] = _box("CASE WHEN AVG_GMV > 0 THEN ln(1 + AVG_GMV) END")
+SQL["box_stats_log"] = _box("CASE WHEN AVG_GMV > 0 THEN ln(1 + AVG_GMV) END", 9)
 
 SQL["domains_scatter"] = _mk("""
 SELECT NB_DOMAINS AS X, TOTAL_GMV AS Y, GMV_CATEGORY AS COLOR FROM mkf""")

@@ -170,7 +170,7 @@ def q_outbound_table(spark, sf_dir):
 
 @register("describe_outbound")
 def q_describe_outbound(spark, sf_dir):
-    return profile.describe(projections.drop_last(_ob_frame(spark, sf_dir), 3))
+    return profile.describe(projections.drop_last(_ob_frame(spark, sf_dir), 3), decimals=6)
 
 
 @register("unique_counts_outbound")
@@ -209,7 +209,7 @@ def _mk_frame(spark, sf_dir):
 
 @register("describe")
 def q_describe(spark, sf_dir):
-    return profile.describe(_mk_frame(spark, sf_dir))
+    return profile.describe(_mk_frame(spark, sf_dir), decimals=6)
 
 
 @register("unique_counts")
@@ -229,7 +229,8 @@ def q_box_stats(spark, sf_dir):
 
 @register("box_stats_log")
 def q_box_stats_log(spark, sf_dir):
-    return profile.box_stats(_mk_frame(spark, sf_dir), "GMV_CATEGORY", "AVG_GMV", log=True)
+    return profile.box_stats(_mk_frame(spark, sf_dir), "GMV_CATEGORY", "AVG_GMV", log=True,
+                             decimals=9)
 
 
 @register("domains_scatter")
