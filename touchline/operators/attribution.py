@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from touchline.functions.attribution import classify_source, match_type, within_lookback
 from touchline.functions.text import month_start_date, month_start_text
+from touchline.operators.joins import lookback_join
 from touchline.operators.sequence import row_number_within
 
 # Join keys of the two attribution statements.
 KEYS_WITH_SHOP = ("ip", "timestamp", "shop")
 KEYS_NO_SHOP = ("ip", "timestamp")
+KEYS_IDENTITY = ("user",)
 
 _ORDER_SIDE = {
     "event_id": "o_event_id", "timestamp": "o_ts", "userId": "o_user",
@@ -117,7 +119,9 @@ def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WIT
       of one key group is the same touch: the one with the lowest id.  It
       is taken per key group first (``min`` of a struct, partial-aggregated
       map-side), then joined to the order events -- one row per order event.
-    * Otherwise the candidate pairs are reduced per order event by
+    * Otherwise (identity keys such as the user) the window itself bounds
+      the candidates: the bucketed ``lookback_join`` pairs each order only
+      with touches of the last ``days``, reduced per order event by
       ``min_by``.
     * Finally ``min_by`` per order key picks the latest touch across that
       order's events.
@@ -133,10 +137,11 @@ def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WIT
         best = best.select(*tkeys, "_best.*")
         per_order_event = o.join(best, _key_condition(o, best, keys))
     else:
-        pairs = o.join(t, _key_condition(o, t, keys))
+        # Candidates come from the bucketed range join, so only touches
+        # inside the window are paired; they are reduced per order event
+        # right after the join (partial aggregation).
+        pairs = lookback_join(o, t, [_KEY_COLS[k] for k in keys], "o_ts", "t_ts", days)
         rank = F.struct((-F.col("t_ts")).alias("a"), F.col("t_event_id").alias("b"))
-        pairs = pairs.filter((F.col("t_ts") <= F.col("o_ts"))
-                             & (within_lookback("t_ts", "o_ts", days) == 1))
         win = F.min_by(F.struct(*pairs.columns), rank).alias("_w")
         per_order_event = pairs.groupBy("o_event_id").agg(win).select("_w.*")
     cand = (per_order_event

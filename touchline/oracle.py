@@ -81,6 +81,21 @@ report AS (
   FROM lca GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
+def _last_click_user(days: int) -> str:
+    return f"""
+cj AS (
+  SELECT o.*, t.*,
+         CASE WHEN o_user = t_user THEN 'userId_match'
+              WHEN o_ip = t_ip AND o_ts = t_ts THEN 'ip_match' ELSE 'no_match' END AS match_type
+  FROM o JOIN t ON o_user = t_user AND t_ts <= o_ts AND t_ts >= o_ts - {days}*24*60*60),
+lca AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY shopifyOrderId
+                                 ORDER BY t_ts DESC, t_eid, o_eid) AS rn
+    FROM cj) x
+  WHERE rn = 1)"""
+
+
 CJM = r"""
 cj2 AS (
   SELECT shopifyOrderId, o_shop, attribution_source,
@@ -448,3 +463,13 @@ SQL["tenant_stores"] = with_ctes(TENANTS, body="""
 SELECT TENANT_ID, count(DISTINCT DATASOURCE_ID) AS DATASOURCE_ID
 FROM tenants WHERE TENANT_ID IS NOT NULL GROUP BY 1
 ORDER BY 2 DESC, 1 LIMIT 10""")
+
+
+SQL["attribution_lookback_user_3d"] = with_ctes(PIXEL, ORDERS_TOUCHES, _last_click_user(3),
+                                                _report(3), body="SELECT * FROM report")
+
+SQL["lookback_pairs"] = """
+SELECT o.event_id AS ORDER_EVENT_ID, t.event_id AS TOUCH_EVENT_ID, o.user_id AS USER_ID
+FROM events o JOIN events t
+  ON o.user_id = t.user_id AND t.ts <= o.ts AND t.ts >= o.ts - INTERVAL 3 DAY
+WHERE o.event_type = 'purchase'"""

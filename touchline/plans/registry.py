@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from touchline.operators import attribution as att
 from touchline.operators import profile, projections, reports, sizing
 from touchline.operators.cleaning import clean
+from touchline.operators.joins import lookback_join
 from touchline.plans import pages
+from touchline.sources.tables import read_table
 from touchline.plans import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +55,27 @@ def q_touch_journey(spark, sf_dir):
     return att.touch_journey(inputs.events(spark, sf_dir))
 
 
+@register("attribution_lookback_user_3d")
+def q_attribution_lookback_user_3d(spark, sf_dir):
+    """Last touch by user identity inside a 3-day lookback (range join)."""
+    ev = inputs.events(spark, sf_dir)
+    return att.attribution_report(att.last_touch(ev, days=3, keys=att.KEYS_IDENTITY))
+
+
+@register("lookback_pairs")
+def q_lookback_pairs(spark, sf_dir):
+    """Purchases x events of the same user within the 3 days before the
+    purchase (full-precision timestamps)."""
+    ev = read_table(spark, sf_dir, "events")
+    o = ev.filter(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("ORDER_EVENT_ID"), F.col("user_id").alias("USER_ID"),
+        F.col("ts").alias("o_ts"))
+    t = ev.select(F.col("event_id").alias("TOUCH_EVENT_ID"), F.col("user_id").alias("t_user"),
+                  F.col("ts").alias("t_ts"))
+    pairs = lookback_join(o, t, [("USER_ID", "t_user")], "o_ts", "t_ts", 3)
+    return pairs.select("ORDER_EVENT_ID", "TOUCH_EVENT_ID", "USER_ID")
+
+
 # --- attribution page (over the marts) ---------------------------------------
 
 def _model_90(spark, sf_dir):
