@@ -63,13 +63,15 @@ def month_start_text(col) -> Column:
 
 def epoch_seconds(col, dtype=None) -> Column:
     """Whole epoch seconds of a timestamp.  TIMESTAMP_NTZ is read as UTC wall
-    clock, so the result does not depend on the session time zone."""
+    clock with zone-free field arithmetic, so the result never depends on
+    the session time zone (no DST shift)."""
     c = _c(col)
     if isinstance(dtype, TimestampType):
         return F.unix_seconds(c)
     if dtype is None or isinstance(dtype, TimestampNTZType):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("SECOND", epoch, c.cast("timestamp_ntz"))
+        days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+        return (days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+                + F.second(c)).cast("bigint")
     raise TypeError(f"not a timestamp type: {dtype}")
 
 
