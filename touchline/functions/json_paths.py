@@ -10,13 +10,26 @@ from pyspark.sql.types import StringType, VariantType
 
 
 def parse_json_column(df: DataFrame, json_col: str = "DATA") -> DataFrame:
-    """Turn a JSON text column into VARIANT once; malformed text -> NULL."""
+    """Turn a JSON text column into VARIANT, parsing each document exactly
+    once; malformed text -> NULL.
+
+    Catalyst pushes filters (including the IS NOT NULL it infers from join
+    keys) below projections by substituting the projected expression, so a
+    plain ``withColumn(try_parse_json(...))`` is re-evaluated -- the whole
+    document re-parsed -- once per pushed predicate.  Emitting the parsed
+    row through a one-element ``inline`` (a Generate) keeps the parse below
+    a boundary that predicates on its output do not cross; what gets
+    repeated is only the cheap binary ``variant_get``.
+    """
     dt = df.schema[json_col].dataType
     if isinstance(dt, VariantType):
         return df
     if not isinstance(dt, StringType):
         raise TypeError(f"{json_col} must be STRING or VARIANT, got {dt}")
-    return df.withColumn(json_col, F.try_parse_json(F.col(json_col)))
+    others = [c for c in df.columns if c != json_col]
+    row = F.struct(*[F.col(c) for c in others],
+                   F.try_parse_json(F.col(json_col)).alias(json_col))
+    return df.select(F.inline(F.array(row)))
 
 
 def field(json_col: str, path: str, type_: str = "string") -> Column:

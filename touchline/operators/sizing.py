@@ -135,10 +135,15 @@ def icp_rates(outbound: DataFrame) -> DataFrame:
                                  for name, num in ICP_RATES})
 
 
-def icp_avg_rates(outbound: DataFrame) -> DataFrame:
-    """Unweighted means of the three ratios (NULL skipped, inf propagates)."""
+def icp_avg_rates(outbound: DataFrame, decimals: int | None = None) -> DataFrame:
+    """Unweighted means of the three ratios (NULL skipped, inf propagates).
+    A float mean depends on the order of addition; ``decimals`` rounds it
+    for reproducible output."""
     r = icp_rates(outbound)
-    return r.agg(*[F.avg(name).alias(f"avg_{name}") for name, _ in ICP_RATES])
+    out = r.agg(*[F.avg(name).alias(f"avg_{name}") for name, _ in ICP_RATES])
+    if decimals is not None:
+        out = out.select(*[F.round(c, decimals).alias(c) for c in out.columns])
+    return out
 
 
 def icp_share(outbound: DataFrame) -> DataFrame:

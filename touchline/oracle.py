@@ -353,9 +353,9 @@ rates AS (
 SQL["icp_rates"] = with_ctes(OUTBOUND, _RATES, body="SELECT * FROM rates")
 
 SQL["icp_avg_rates"] = with_ctes(OUTBOUND, _RATES, body="""
-SELECT avg(ICP_click_through_rate) AS avg_ICP_click_through_rate,
-       avg(ICP_reply_rate) AS avg_ICP_reply_rate,
-       avg(ICP_positive_reply_rate) AS avg_ICP_positive_reply_rate
+SELECT round(avg(ICP_click_through_rate), 9) AS avg_ICP_click_through_rate,
+       round(avg(ICP_reply_rate), 9) AS avg_ICP_reply_rate,
+       round(avg(ICP_positive_reply_rate), 9) AS avg_ICP_positive_reply_rate
 FROM rates""")
 
 SQL["icp_share"] = _ob(f"""

@@ -166,7 +166,7 @@ def q_icp_rates(spark, sf_dir):
 
 @register("icp_avg_rates")
 def q_icp_avg_rates(spark, sf_dir):
-    return sizing.icp_avg_rates(_ob(spark, sf_dir))
+    return sizing.icp_avg_rates(_ob(spark, sf_dir), decimals=9)
 
 
 @register("icp_share")

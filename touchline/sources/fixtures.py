@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.text import epoch_seconds
-from touchline.sources.tables import read_table
+from touchline.sources.tables import read_table, spread
 
 # Fixed values used to shape the event log (FIXTURES.md §1).
 ORDER_DATE_ORIGIN = "2022-10-01"
@@ -28,7 +28,7 @@ ARR_COLUMN = "POLAR ARR ($)"
 
 def pixel_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat typed event log (one row per event, FIXTURES.md §1)."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = spread(read_table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     secs = epoch_seconds(F.col("ts"), ev.schema["ts"].dataType)
     b = ev.select(

@@ -55,3 +55,16 @@ def write_result(df: DataFrame, path: str, mode: str = "overwrite",
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an input with fewer splits than the cluster has cores (for
+    example one small file) before CPU-heavy per-row work such as JSON
+    parsing.  Large inputs already have many splits and are returned as is,
+    so at scale this adds nothing.  The round-robin exchange is made
+    deterministic by Spark (rows are sorted before partitioning), so a
+    retried task sees the same rows."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
