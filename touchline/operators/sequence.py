@@ -8,7 +8,9 @@ into many buckets of similar size:
 
 1. ``repartitionByRange(n, g, o)``; the bucket id is the partition id.  The
    result is checkpointed to the shared folder so both later reads see the
-   same bucket ids even after a lost executor.
+   same bucket ids even after a lost executor.  The input is persisted
+   while this runs: the range partitioner samples its input in a separate
+   job, which would otherwise compute the upstream (e.g. a join) twice.
 2. per (bucket, g): row count / value sum -- at most ``n`` rows per group.
 3. per g, running sum over its buckets (window over <= n rows) -> offset.
 4. per (bucket, g): local row number / running sum + offset.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +65,12 @@ def running(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
     pcols = list(partition_cols)
     order = [_col(c) for c in order_cols]
     sort_key = [F.col(c).asc_nulls_first() for c in pcols] + order
-    b = reliable_checkpoint(
-        df.repartitionByRange(n, *sort_key).withColumn(_B, F.spark_partition_id()))
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        b = reliable_checkpoint(
+            src.repartitionByRange(n, *sort_key).withColumn(_B, F.spark_partition_id()))
+    finally:
+        src.unpersist()
 
     measure = F.count(F.lit(1)) if value is None else F.sum(F.col(value))
     per_bucket = b.groupBy(_B, *pcols).agg(measure.alias("_tl_m"))

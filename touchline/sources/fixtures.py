@@ -83,7 +83,7 @@ def outbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     The ICP thresholds are nested, so "some ICP line with qty >= x" is
     "max ICP qty >= x".
     """
-    li = read_table(spark, sf_dir, "lineitem")
+    li = spread(read_table(spark, sf_dir, "lineitem"))
     part = read_table(spark, sf_dir, "part")
     icp = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
     j = li.join(part, li.l_partkey == part.p_partkey)
@@ -113,7 +113,7 @@ def outbound(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market table (FIXTURES.md §3): one row per customer with orders."""
     cust = read_table(spark, sf_dir, "customer")
-    orders = read_table(spark, sf_dir, "orders")
+    orders = spread(read_table(spark, sf_dir, "orders"))
     nation = read_table(spark, sf_dir, "nation")
     per_cust = (orders.groupBy("o_custkey")
                 .agg(F.count(F.lit(1)).alias("n"),

@@ -64,7 +64,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     so at scale this adds nothing.  The round-robin exchange is made
     deterministic by Spark (rows are sorted before partitioning), so a
     retried task sees the same rows."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # sessions without RDD access: leave the plan alone
         return df
     return df.repartition(target)
