@@ -20,6 +20,8 @@ SCALE_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # checkpoint files of a DataFrame that is no longer referenced are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -49,11 +51,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configuration; it is never invented here.  Only a local-mode session
     without one (tests) gets a fresh scratch folder.
     """
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server owns the folder
+        if conf_dir:
+            return conf_dir
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
