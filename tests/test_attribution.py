@@ -87,3 +87,23 @@ def test_json_null_missing_and_bad_documents(spark):
                                 "DATA string")
     ev = event_table(log)
     assert att.order_events(ev).count() == 1
+
+
+def test_journey_steps_equal_window_form(spark):
+    ev = inputs.events(spark, SF001)
+    fast = att.touch_journey(ev, ordered=False, n_buckets=3)
+    pairs = att.journey(ev, att.KEYS_NO_SHOP)
+    w = Window.partitionBy("order_id").orderBy("t_ts", "t_event_id", "o_event_id")
+    plain = pairs.select(F.col("order_id").alias("SHOPIFYORDERID"),
+                         F.col("o_shop").alias("SHOPIFYSHOPURL"),
+                         F.row_number().over(w).cast("bigint").alias("TOUCHPOINT_STEP"),
+                         F.col("attribution_source").alias("ATTRIBUTION_SOURCE"))
+    assert rows(fast) == rows(plain)
+
+
+def test_money_strip_is_noop_on_numbers(spark):
+    from touchline.plans import pages
+    mk = pages.market_frame(inputs.market(spark, SF001))
+    a = mk.select("TOTAL_GMV", "AVG_GMV")
+    b = pages.with_money_columns(mk).select("TOTAL_GMV", "AVG_GMV")
+    assert rows(a) == rows(b)

@@ -421,6 +421,8 @@ FROM obf WHERE CAMPAIGN_START_DATE IS NOT NULL GROUP BY 1""")
 SQL["describe"] = _mk(_describe("mkf", _MK_NUM))
 SQL["unique_counts"] = _mk(_unique("mkf", _MK_ALL))
 
+SQL["market_table"] = _mk("SELECT * FROM mkf")
+
 SQL["gmv_by_category"] = _mk("""
 SELECT GMV_CATEGORY, coalesce(sum(TOTAL_GMV), 0) AS TOTAL_GMV
 FROM mkf WHERE GMV_CATEGORY IS NOT NULL GROUP BY 1""")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from touchline.operators import profile, projections, reports, sizing
 from touchline.operators.cleaning import clean
+from touchline.functions.text import money
 from touchline.operators.filters import optional_filters
 
 OUTBOUND_METRIC = "NB_CONTACTS_TOUCHED"
@@ -65,10 +66,16 @@ def market_frame(market: DataFrame, platform: str = "All",
                             isin={"GMV_CATEGORY": list(categories)})
 
 
+def with_money_columns(df: DataFrame, cols: Iterable[str] = ("TOTAL_GMV", "AVG_GMV")) -> DataFrame:
+    """Currency text -> number for the GMV columns, as the market page does
+    before summing and plotting (a no-op on columns that are numbers)."""
+    return df.withColumns({c: money(df[c]) for c in cols})
+
+
 def market_profile(market: DataFrame, platform: str = "All",
                    categories: Iterable[str] | None = None, country: str = "All",
                    log: bool = False) -> dict:
-    df = market_frame(market, platform, categories, country)
+    df = with_money_columns(market_frame(market, platform, categories, country))
     by_platform = optional_filters(df, eq={"PLATFORM": platform})
     return {
         "table": df,

@@ -240,20 +240,27 @@ def q_unique_counts(spark, sf_dir):
     return profile.unique_counts(_mk_frame(spark, sf_dir))
 
 
+@register("market_table")
+def q_market_table(spark, sf_dir):
+    return _mk_frame(spark, sf_dir)
+
+
 @register("gmv_by_category")
 def q_gmv_by_category(spark, sf_dir):
-    return profile.sum_by(_mk_frame(spark, sf_dir), "GMV_CATEGORY", "TOTAL_GMV")
+    df = pages.with_money_columns(_mk_frame(spark, sf_dir))
+    return profile.sum_by(df, "GMV_CATEGORY", "TOTAL_GMV")
 
 
 @register("box_stats")
 def q_box_stats(spark, sf_dir):
-    return profile.box_stats(_mk_frame(spark, sf_dir), "GMV_CATEGORY", "AVG_GMV")
+    df = pages.with_money_columns(_mk_frame(spark, sf_dir))
+    return profile.box_stats(df, "GMV_CATEGORY", "AVG_GMV")
 
 
 @register("box_stats_log")
 def q_box_stats_log(spark, sf_dir):
-    return profile.box_stats(_mk_frame(spark, sf_dir), "GMV_CATEGORY", "AVG_GMV", log=True,
-                             decimals=9)
+    df = pages.with_money_columns(_mk_frame(spark, sf_dir))
+    return profile.box_stats(df, "GMV_CATEGORY", "AVG_GMV", log=True, decimals=9)
 
 
 @register("domains_scatter")
