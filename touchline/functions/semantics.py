@@ -49,14 +49,8 @@ def percent_of(part, whole) -> Column:
 
 
 def sum_or_zero(col) -> Column:
-    """pandas ``sum``: an all-null group sums to 0, not NULL."""
-    return F.coalesce(F.sum(_c(col)), F.lit(0).cast(_sum_type_hint(col)))
-
-
-def _sum_type_hint(col) -> str:
-    # The caller casts afterwards when it needs a specific type; 0 as bigint
-    # widens to whatever sum() returns.
-    return "bigint"
+    """pandas ``sum``: an all-null (or empty) group sums to 0, not NULL."""
+    return F.coalesce(F.sum(_c(col)), F.lit(0))
 
 
 def all_of(conditions: Iterable[Column]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from touchline.functions.semantics import sum_or_zero
 from touchline.functions.text import log1p_positive
 from touchline.operators.quantiles import exact_quantiles
 
@@ -79,7 +80,7 @@ def distinct_values(df: DataFrame, col: str, ordered: bool = True) -> DataFrame:
 def sum_by(df: DataFrame, key: str, metric: str, descending: bool = False) -> DataFrame:
     """Sum of ``metric`` per non-null ``key``; an all-null group sums to 0."""
     out = (df.filter(_q(key).isNotNull()).groupBy(_q(key).alias(key))
-           .agg(F.coalesce(F.sum(_q(metric)), F.lit(0)).alias(metric)))
+           .agg(sum_or_zero(_q(metric)).alias(metric)))
     if descending:
         out = out.orderBy(_q(metric).desc_nulls_last(), _q(key))
     return out
@@ -103,7 +104,7 @@ def metric_by_start_month(df: DataFrame, metric: str,
     without a date are dropped."""
     m = F.month(_q(date_col))
     return (df.filter(_q(date_col).isNotNull()).groupBy(m.cast("bigint").alias("START_MONTH"))
-            .agg(F.coalesce(F.sum(_q(metric)), F.lit(0)).alias(metric)))
+            .agg(sum_or_zero(_q(metric)).alias(metric)))
 
 
 def box_stats(df: DataFrame, key: str, value: str, log: bool = False,
