@@ -7,10 +7,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that matter at scale.  AQE re-plans joins from runtime sizes
-# (broadcast only when the materialised side is small), coalesces small
-# shuffle partitions and splits skewed ones.
+# Settings that matter at scale.  AQE re-plans joins from runtime sizes,
+# coalesces small shuffle partitions and splits skewed ones.  The static
+# planner's broadcast is off: its sizes are estimates (compressed file size,
+# no reduction through filters), so a "small" side could be far larger in
+# memory.  Broadcast happens only through AQE, from the measured size of a
+# materialised shuffle stage.
 SCALE_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
