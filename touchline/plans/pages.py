@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from touchline.operators import profile, projections, reports, sizing
 from touchline.operators.cleaning import clean
-from touchline.functions.text import money
+from touchline.functions.text import money, to_number
 from touchline.operators.filters import optional_filters
 
 OUTBOUND_METRIC = "NB_CONTACTS_TOUCHED"
@@ -83,7 +83,9 @@ def market_profile(market: DataFrame, platform: str = "All",
         "unique_counts": profile.unique_counts(df),
         "gmv_by_category": profile.sum_by(df, "GMV_CATEGORY", "TOTAL_GMV"),
         "box_stats": profile.box_stats(df, "GMV_CATEGORY", "AVG_GMV", log=log),
-        "domains_scatter": projections.scatter_pairs(df, "NB_DOMAINS", "TOTAL_GMV", "GMV_CATEGORY"),
+        "domains_scatter": projections.scatter_pairs(
+            df.withColumn("NB_DOMAINS", to_number("NB_DOMAINS")), "NB_DOMAINS", "TOTAL_GMV",
+            "GMV_CATEGORY"),
         "top_platforms": profile.top_n_by_sum(df, "PLATFORM", "TOTAL_GMV", 10),
         "top_countries": profile.top_n_by_sum(by_platform, "COUNTRY", "TOTAL_GMV", 10),
     }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from touchline.operators import attribution as att
 from touchline.operators import profile, projections, reports, sizing
 from touchline.operators.cleaning import clean
+from touchline.functions.text import to_number
 from touchline.operators.joins import lookback_join
 from touchline.plans import pages
 from touchline.sources.tables import read_table
@@ -265,8 +266,9 @@ def q_box_stats_log(spark, sf_dir):
 
 @register("domains_scatter")
 def q_domains_scatter(spark, sf_dir):
-    return projections.scatter_pairs(_mk_frame(spark, sf_dir), "NB_DOMAINS", "TOTAL_GMV",
-                                     "GMV_CATEGORY")
+    df = pages.with_money_columns(_mk_frame(spark, sf_dir))
+    df = df.withColumn("NB_DOMAINS", to_number("NB_DOMAINS"))
+    return projections.scatter_pairs(df, "NB_DOMAINS", "TOTAL_GMV", "GMV_CATEGORY")
 
 
 @register("top_platforms")
