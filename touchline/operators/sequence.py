@@ -31,7 +31,6 @@ from touchline.session import reliable_checkpoint
 
 _B = "_tl_bucket"
 _OFF = "_tl_offset"
-_LOCAL = "_tl_local"
 
 
 def _col(c) -> Column:
