@@ -62,5 +62,5 @@ def test_tam_share_keeps_null_category(spark):
 
 
 def test_sizing_page_builds(spark):
-    res = pages.outbound_sizing_page(inputs.outbound(spark, SF01), inputs.market(spark, SF01))
+    res = pages.sizing_page(inputs.outbound(spark, SF01), inputs.market(spark, SF01))
     assert res["tam_contribution"].count() == 1

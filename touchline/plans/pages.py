@@ -99,7 +99,7 @@ def tenants_profile(tenants: DataFrame) -> dict:
     }
 
 
-def outbound_sizing_page(outbound: DataFrame, market: DataFrame,
+def sizing_page(outbound: DataFrame, market: DataFrame,
                          country: str = "NATION_0") -> dict:
     ob = clean(outbound)
     mk = clean(market)
