@@ -25,9 +25,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(COLUMN_NAME, VALUE double) -- one row per cell of ``cols``."""
-    cells = F.array(*[F.struct(F.lit(c).alias("COLUMN_NAME"), _q(c).cast("double").alias("VALUE"))
-                      for c in cols])
-    return df.select(F.inline(cells))
+    wide = df.select(*[_q(c).cast("double").alias(c) for c in cols])
+    return wide.unpivot([], list(cols), "COLUMN_NAME", "VALUE")
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None,
@@ -65,11 +64,8 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
     ``approx=True`` uses HyperLogLog sketches (no expansion)."""
     cols = list(cols) if cols is not None else df.columns
     fn = F.approx_count_distinct if approx else F.count_distinct
-    agg = df.agg(*[fn(_q(c)).alias(f"c{i}") for i, c in enumerate(cols)])
-    cells = F.array(*[F.struct(F.lit(c).alias("COLUMN_NAME"),
-                               F.col(f"c{i}").cast("string").alias("UNIQUE_VALUES"))
-                      for i, c in enumerate(cols)])
-    return agg.select(F.inline(cells))
+    agg = df.agg(*[fn(_q(c)).cast("string").alias(c) for c in cols])
+    return agg.unpivot([], list(cols), "COLUMN_NAME", "UNIQUE_VALUES")
 
 
 def distinct_values(df: DataFrame, col: str, ordered: bool = True) -> DataFrame:
