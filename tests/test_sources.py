@@ -37,6 +37,14 @@ def test_build_and_write_marts(spark):
     assert set(back.columns) == set(marts["attribution_model_90"].columns)
 
 
+def test_marts_from_staged_events(spark):
+    d = tempfile.mkdtemp(prefix="tl-stage-", dir="/tmp")
+    staged = build_marts(inputs.events(spark, SF001), (90,), stage_dir=os.path.join(d, "ev"))
+    plain = build_marts(inputs.events(spark, SF001), (90,))
+    for name in staged:
+        assert rows(staged[name]) == rows(plain[name]), name
+
+
 def test_streaming_orders_equals_batch(spark):
     from touchline.streaming import start_orders_per_month_store
     d = tempfile.mkdtemp(prefix="tl-stream-", dir="/tmp")

@@ -39,7 +39,10 @@ def main(argv=None) -> None:
         from touchline.plans import inputs
         from touchline.plans.marts import build_marts, write_marts
         lookbacks = [int(x) for x in args.lookbacks.split(",") if x]
-        paths = write_marts(build_marts(inputs.events(spark, args.data), lookbacks), args.out)
+        import os
+        stage = os.path.join(args.out, "_typed_events")
+        marts = build_marts(inputs.events(spark, args.data), lookbacks, stage_dir=stage)
+        paths = write_marts(marts, args.out)
         for name, path in paths.items():
             print(f"{name}\t{path}")
     spark.stop()

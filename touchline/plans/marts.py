@@ -11,11 +11,21 @@ from touchline.operators import attribution as att
 from touchline.sources.tables import cached, write_result
 
 
-def build_marts(events: DataFrame, lookbacks: Iterable[int] = (90, 180)) -> dict[str, DataFrame]:
+def build_marts(events: DataFrame, lookbacks: Iterable[int] = (90, 180),
+                stage_dir: str | None = None) -> dict[str, DataFrame]:
     """orders_month_store, attribution_model_<days> per lookback and
-    attribution_cjm.  The typed event table is persisted once because every
-    mart reads it twice (order side and touch side)."""
-    ev = cached(events)
+    attribution_cjm.
+
+    Every mart reads the typed event table twice (order side and touch
+    side), so the JSON is parsed once and the typed table reused: written
+    as parquet to ``stage_dir`` (shared storage -- survives executor loss
+    and suits very large logs) or, without one, persisted on the executors.
+    """
+    if stage_dir:
+        events.write.mode("overwrite").parquet(stage_dir)
+        ev = events.sparkSession.read.parquet(stage_dir)
+    else:
+        ev = cached(events)
     marts = {"orders_month_store": att.orders_per_month_store(ev)}
     for days in lookbacks:
         marts[f"attribution_model_{days}"] = att.attribution_report(att.last_touch(ev, days=days))
