@@ -94,3 +94,13 @@ def test_outbound_profile_pipeline(spark):
     assert res["describe"].count() == 5
     spans = res["campaign_spans"].first()
     assert spans.LABEL.startswith("Start: ") and "<br>End: " in spans.LABEL
+
+
+def test_box_stats_approx_close(spark):
+    df = pages.market_frame(inputs.market(spark, SF01))
+    ex = {r.GMV_CATEGORY: r.median for r in profile.box_stats(df, "GMV_CATEGORY", "AVG_GMV").collect()}
+    ap = {r.GMV_CATEGORY: r.median for r in
+          profile.box_stats(df, "GMV_CATEGORY", "AVG_GMV", approx=True).collect()}
+    assert set(ex) == set(ap)
+    for k in ex:
+        assert abs(ex[k] - ap[k]) <= 0.05 * abs(ex[k]) + 1
