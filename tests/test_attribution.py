@@ -107,3 +107,10 @@ def test_money_strip_is_noop_on_numbers(spark):
     a = mk.select("TOTAL_GMV", "AVG_GMV")
     b = pages.with_money_columns(mk).select("TOTAL_GMV", "AVG_GMV")
     assert rows(a) == rows(b)
+
+
+def test_source_shares_add_to_100(spark):
+    from touchline.operators import reports
+    rep = att.attribution_report(att.last_touch(inputs.events(spark, SF001), 90), ordered=False)
+    total = reports.source_share(rep).agg(F.sum("PERCENTAGE")).first()[0]
+    assert abs(total - 100.0) < 1e-9
