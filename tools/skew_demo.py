@@ -37,7 +37,7 @@ def main() -> None:
         sc.setJobGroup(group, group)
         df.write.format("noop").mode("overwrite").save()
 
-    run("journey steps: range buckets", att.touch_journey(ev, ordered=False))
+    run("journey steps: range buckets", att.touch_journey(ev, ordered=False, n_buckets=16))
     pairs = att.journey(ev, att.KEYS_NO_SHOP)
     w = Window.partitionBy("order_id").orderBy("t_ts", "t_event_id", "o_event_id")
     run("journey steps: plain window", pairs.withColumn("step", F.row_number().over(w)))

@@ -6,7 +6,11 @@ with no partition key at all) becomes one task.  Here the rows are range
 partitioned on the *whole* sort key (g, o) instead, so a big group is cut
 into many buckets of similar size:
 
-1. ``repartitionByRange(n, g, o)``; the bucket id is the partition id.  The
+1. ``repartitionByRange(g, o)``; the bucket id is the partition id.  With
+   no explicit bucket count, AQE coalesces neighbouring range partitions
+   up to the advisory partition size, so buckets stay contiguous key
+   ranges and their number follows the data size: a hot group is cut into
+   pieces of about that size, a small input costs one bucket.  The
    result is checkpointed to the shared folder so both later reads see the
    same bucket ids even after a lost executor.  The input is persisted
    while this runs: the range partitioner samples its input in a separate
@@ -59,15 +63,14 @@ def running(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
 
     ``order_cols`` are column names or sort Columns (``F.col(x).desc()``).
     """
-    spark = df.sparkSession
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pcols = list(partition_cols)
     order = [_col(c) for c in order_cols]
     sort_key = [F.col(c).asc_nulls_first() for c in pcols] + order
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        b = reliable_checkpoint(
-            src.repartitionByRange(n, *sort_key).withColumn(_B, F.spark_partition_id()))
+        ranged = (src.repartitionByRange(n_buckets, *sort_key) if n_buckets
+                  else src.repartitionByRange(*sort_key))
+        b = reliable_checkpoint(ranged.withColumn(_B, F.spark_partition_id()))
     finally:
         src.unpersist()
 
