@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.semantics import is_member, percent_of
 from touchline.functions.text import trunc_int
+from touchline.operators.sequence import row_number_within
 
 SOURCE = "ATTRIBUTION_SOURCE"
 
@@ -81,12 +82,13 @@ def source_edges(report: DataFrame) -> DataFrame:
     name order, then 'Purchase')."""
     agg = (report.filter(F.col(SOURCE).isNotNull())
            .groupBy(SOURCE).agg(F.sum(trunc_int("ATTRIBUTED_ORDERS")).alias("VALUE")))
-    n_sources = agg.select(F.count(F.lit(1))).scalar()
-    # One row per distinct source: the ordering window sees a handful of rows.
-    idx = F.dense_rank().over(Window.orderBy(SOURCE)) - 1
-    return agg.select(F.col(SOURCE).alias("SOURCE"), idx.cast("bigint").alias("SOURCE_INDEX"),
-                      F.lit("Purchase").alias("TARGET"),
-                      n_sources.cast("bigint").alias("TARGET_INDEX"), "VALUE")
+    # One row per distinct source, numbered in name order with the
+    # range-bucketed row number (no single-task global window).
+    numbered = row_number_within(agg, [], [SOURCE], out="_n", total_out="_k")
+    return numbered.select(F.col(SOURCE).alias("SOURCE"),
+                           (F.col("_n") - 1).cast("bigint").alias("SOURCE_INDEX"),
+                           F.lit("Purchase").alias("TARGET"),
+                           F.col("_k").cast("bigint").alias("TARGET_INDEX"), "VALUE")
 
 
 def orders_by_month_chart(orders_month_store: DataFrame) -> DataFrame:

@@ -94,8 +94,9 @@ def running(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
 
 
 def row_number_within(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
-                      out: str = "row_number", n_buckets: int | None = None) -> DataFrame:
-    return running(df, partition_cols, order_cols, out, None, n_buckets)
+                      out: str = "row_number", n_buckets: int | None = None,
+                      total_out: str | None = None) -> DataFrame:
+    return running(df, partition_cols, order_cols, out, None, n_buckets, total_out)
 
 
 def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
