@@ -55,3 +55,15 @@ def test_streaming_orders_equals_batch(spark):
     got = spark.table("oms_test")
     want = att.orders_per_month_store(inputs.events(spark, SF001), ordered=False)
     assert rows(got) == rows(want)
+
+
+def test_read_events_from_json_array_file(spark):
+    import json
+    d = tempfile.mkdtemp(prefix="tl-jsonarr-", dir="/tmp")
+    docs = [json.loads(r.DATA) for r in inputs.event_log(spark, SF001).collect()]
+    with open(os.path.join(d, "pixel.json"), "w") as fh:
+        json.dump(docs, fh)
+    ev = event_table(read_events(spark, d, fmt="json", multi_line=True))
+    a = att.orders_per_month_store(ev, ordered=False)
+    b = att.orders_per_month_store(inputs.events(spark, SF001), ordered=False)
+    assert rows(a) == rows(b)

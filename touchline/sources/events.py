@@ -28,15 +28,28 @@ EVENT_FIELDS = {
 
 
 def read_events(spark: SparkSession, path: str, fmt: str = "text",
-                json_col: str = "DATA") -> DataFrame:
+                json_col: str = "DATA", multi_line: bool = False,
+                schema=None) -> DataFrame:
     """Read an event log into a one-column DataFrame of VARIANT.
 
     ``fmt='text'``: JSON lines (one document per line, split across tasks
-    by the file source).  ``fmt='parquet'``: a dataset whose ``json_col``
-    holds JSON text or VARIANT.  Malformed documents become NULL.
+    by the file source) -- the form to use for large logs.
+    ``fmt='json'``: JSON files read by Spark's JSON source (``multi_line``
+    for files holding one array of documents; give ``schema`` to skip the
+    inference pass), each document turned into a VARIANT object.
+    ``fmt='parquet'``: a dataset whose ``json_col`` holds JSON text or
+    VARIANT.  Malformed documents become NULL.
     """
     if fmt == "text":
         df = spark.read.text(path).select(F.col("value").alias(json_col))
+    elif fmt == "json":
+        reader = spark.read.option("multiLine", multi_line).option("mode", "PERMISSIVE")
+        if schema is not None:
+            reader = reader.schema(schema)
+        raw = reader.json(path)
+        fields = [c for c in raw.columns if c != "_corrupt_record"]
+        return raw.select(F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in fields]))
+                          .alias(json_col))
     elif fmt == "parquet":
         df = spark.read.parquet(path).select(json_col)
     else:
