@@ -68,3 +68,13 @@ def test_money_and_dates(spark):
     assert [r[0] for r in df.select(money("x")).collect()] == [1234.0, 1234.5, None, None]
     d = spark.createDataFrame([("2022-01-05",), ("2022/01/06",), ("bad",)], "x string")
     assert [str(r[0]) for r in d.select(to_day("x")).collect()] == ["2022-01-05", "2022-01-06", "None"]
+
+
+def test_number_texts_round_like_python(spark):
+    from touchline.functions.text import fixed_text, money_text
+    vals = [12.5, 13.5, 0.125, 1234567.0, 2.0 / 3.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.select(fixed_text("x", 0).alias("a"), fixed_text("x", 2).alias("b"),
+                    money_text("x").alias("c")).collect()
+    for v, r in zip(vals, got):
+        assert r.a == f"{v:.0f}" and r.b == f"{v:.2f}" and r.c == f"${v:,.0f}"

@@ -78,3 +78,15 @@ def epoch_seconds(col, dtype=None) -> Column:
 def log1p_positive(col) -> Column:
     """log(1 + x) for x > 0, else NULL."""
     return F.when(_c(col) > 0, F.log1p(_c(col)))
+
+
+def money_text(col) -> Column:
+    """'$' + thousands-grouped whole number (Python ``f"${x:,.0f}"``)."""
+    return F.concat(F.lit("$"), F.format_number(F.bround(_c(col).cast("double"), 0), 0))
+
+
+def fixed_text(col, digits: int) -> Column:
+    """Python ``f"{x:.{digits}f}"``: half-even rounding first, so a value
+    exactly half-way prints as Python prints it (Java's formatter alone
+    rounds half up)."""
+    return F.format_string(f"%.{digits}f", F.bround(_c(col).cast("double"), digits))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.semantics import pandas_div, percent_of
+from touchline.functions.text import fixed_text, money_text
 from touchline.operators.filters import tam_scope
 from touchline.operators.sequence import running_sum
 
@@ -58,12 +59,26 @@ def pareto_plain(df: DataFrame, metric: str = ARR, label_key: str = "CAMPAIGN_GR
                                    F.lit(OTHER))))
 
 
+# Texts the sizing page prints around its numbers.
+TITLE_PARETO = "{pct}% of Campaigns Account for 80% of Total New ARR"
+TEXT_OUTBOUND_ARR = "Total New ARR from Outbound Campaigns: "
+TEXT_TAM = "Total Addressable Market (TAM): "
+TEXT_CONTRIBUTION = "Outbound Campaigns contribute {pct}% to the Total Addressable Market (TAM)"
+
+
+def _fill(template: str, value: Column) -> Column:
+    head, tail = template.split("{pct}")
+    return F.concat(F.lit(head), value, F.lit(tail))
+
+
 def pareto_summary(labelled: DataFrame) -> DataFrame:
-    """Number and percent of campaigns inside the top share."""
-    return labelled.agg(F.count_if(F.col("COLOR_LABEL") == TOP).alias("NUM_CAMPAIGNS_TOP"),
-                        F.count(F.lit(1)).alias("NUM_CAMPAIGNS")) \
+    """Number and percent of campaigns inside the top share, and the chart
+    title that reports it."""
+    out = labelled.agg(F.count_if(F.col("COLOR_LABEL") == TOP).alias("NUM_CAMPAIGNS_TOP"),
+                       F.count(F.lit(1)).alias("NUM_CAMPAIGNS")) \
         .withColumn("PERCENT_CAMPAIGNS_TOP",
                     percent_of(F.col("NUM_CAMPAIGNS_TOP"), F.col("NUM_CAMPAIGNS")))
+    return out.withColumn("TITLE", _fill(TITLE_PARETO, fixed_text("PERCENT_CAMPAIGNS_TOP", 0)))
 
 
 def tam_share(market: DataFrame, country: str) -> DataFrame:
@@ -74,8 +89,11 @@ def tam_share(market: DataFrame, country: str) -> DataFrame:
     agg = scope.agg(F.coalesce(F.sum(arr), F.lit(0)).alias("POTENTIAL_ARR"),
                     F.coalesce(F.sum(F.when(F.col("COUNTRY") == F.lit(country), arr)), F.lit(0))
                     .alias("COUNTRY_ARR"))
+    share = pandas_div("COUNTRY_ARR", "POTENTIAL_ARR") * 100
     return agg.select(F.lit(country).alias("COUNTRY"), "POTENTIAL_ARR", "COUNTRY_ARR",
-                      (pandas_div("COUNTRY_ARR", "POTENTIAL_ARR") * 100).alias("COUNTRY_SHARE"))
+                      share.alias("COUNTRY_SHARE"),
+                      money_text("POTENTIAL_ARR").alias("POTENTIAL_ARR_TEXT"),
+                      F.concat(fixed_text(share, 0), F.lit("%")).alias("COUNTRY_SHARE_TEXT"))
 
 
 def tam_rollup(market: DataFrame) -> DataFrame:
@@ -118,8 +136,12 @@ def tam_contribution(outbound: DataFrame, market: DataFrame) -> DataFrame:
     """Outbound ARR as a percent of the addressable-market ARR."""
     tam = tam_scope(market).select(F.coalesce(F.sum(_q(MARKET_ARR)), F.lit(0))).scalar()
     ob = outbound.agg(F.coalesce(F.sum(_q(ARR)), F.lit(0)).alias("OUTBOUND_ARR"))
-    return ob.select("OUTBOUND_ARR", tam.alias("POTENTIAL_ARR"),
-                     (pandas_div(F.col("OUTBOUND_ARR"), tam) * 100).alias("CONTRIBUTION_PERCENT"))
+    pct = pandas_div(F.col("OUTBOUND_ARR"), tam) * 100
+    return ob.select("OUTBOUND_ARR", tam.alias("POTENTIAL_ARR"), pct.alias("CONTRIBUTION_PERCENT"),
+                     F.concat(F.lit(TEXT_OUTBOUND_ARR), money_text("OUTBOUND_ARR"))
+                     .alias("OUTBOUND_ARR_TEXT"),
+                     F.concat(F.lit(TEXT_TAM), money_text(tam)).alias("TAM_TEXT"),
+                     _fill(TEXT_CONTRIBUTION, fixed_text(pct, 2)).alias("CONTRIBUTION_TEXT"))
 
 
 ICP_RATES = (

@@ -308,7 +308,9 @@ SQL["pareto"] = with_ctes(OUTBOUND, _PARETO, body="SELECT * FROM pareto")
 SQL["pareto_summary"] = with_ctes(OUTBOUND, _PARETO, body="""
 SELECT NUM_CAMPAIGNS_TOP, NUM_CAMPAIGNS,
        cast(NUM_CAMPAIGNS_TOP AS double) / cast(NUM_CAMPAIGNS AS double) * 100.0
-         AS PERCENT_CAMPAIGNS_TOP
+         AS PERCENT_CAMPAIGNS_TOP,
+       printf('%.0f', cast(NUM_CAMPAIGNS_TOP AS double) / cast(NUM_CAMPAIGNS AS double) * 100.0)
+         || '% of Campaigns Account for 80% of Total New ARR' AS TITLE
 FROM (SELECT count(*) FILTER (WHERE COLOR_LABEL = 'Top 80%') AS NUM_CAMPAIGNS_TOP,
              count(*) AS NUM_CAMPAIGNS FROM pareto) s""")
 
@@ -321,7 +323,9 @@ FROM scope GROUP BY ROLLUP (GMV_CATEGORY, COUNTRY)""")
 
 SQL["tam_share"] = _mk(f"""
 SELECT 'NATION_0' AS COUNTRY, POTENTIAL_ARR, COUNTRY_ARR,
-       {pdiv('COUNTRY_ARR', 'POTENTIAL_ARR')} * 100 AS COUNTRY_SHARE
+       {pdiv('COUNTRY_ARR', 'POTENTIAL_ARR')} * 100 AS COUNTRY_SHARE,
+       '$' || format('{{:,}}', POTENTIAL_ARR) AS POTENTIAL_ARR_TEXT,
+       printf('%.0f', {pdiv('COUNTRY_ARR', 'POTENTIAL_ARR')} * 100) || '%' AS COUNTRY_SHARE_TEXT
 FROM (SELECT cast(coalesce(sum("POLAR ARR ($)"), 0) AS bigint) AS POTENTIAL_ARR,
              cast(coalesce(sum(CASE WHEN COUNTRY = 'NATION_0' THEN "POLAR ARR ($)" END), 0)
                   AS bigint) AS COUNTRY_ARR
@@ -337,7 +341,13 @@ UNION ALL SELECT 6, 'ICP Positive Replies', cast(sum(NB_COMPANIES_REPLIED_POSITI
 
 SQL["tam_contribution"] = _obmk(f"""
 SELECT OUTBOUND_ARR, POTENTIAL_ARR, {pdiv('OUTBOUND_ARR', 'POTENTIAL_ARR')} * 100
-         AS CONTRIBUTION_PERCENT
+         AS CONTRIBUTION_PERCENT,
+       'Total New ARR from Outbound Campaigns: $' || format('{{:,}}', OUTBOUND_ARR)
+         AS OUTBOUND_ARR_TEXT,
+       'Total Addressable Market (TAM): $' || format('{{:,}}', POTENTIAL_ARR) AS TAM_TEXT,
+       'Outbound Campaigns contribute '
+         || printf('%.2f', {pdiv('OUTBOUND_ARR', 'POTENTIAL_ARR')} * 100)
+         || '% to the Total Addressable Market (TAM)' AS CONTRIBUTION_TEXT
 FROM (SELECT cast(coalesce(sum(NEW_ARR_FROM_OB_ALL_TIME), 0) AS bigint) AS OUTBOUND_ARR FROM ob) a,
      (SELECT cast(coalesce(sum("POLAR ARR ($)"), 0) AS bigint) AS POTENTIAL_ARR FROM scope) b""")
 
