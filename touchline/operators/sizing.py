@@ -180,9 +180,9 @@ LIMIT_CTR = 0.2
 LIMIT_REPLY = 0.1
 LIMIT_POSITIVE = 0.05
 LIMIT_ICP_CONTACTED = 1000
-MSG_CTR = "    \n- Low click-through rate for ICP contacts. (%.2f%%)"
-MSG_REPLY = "    \n- Low reply rate from ICP contacts. (%.2f%%)"
-MSG_POSITIVE = "    \n- Low positive reply rate from ICP contacts. (%.2f%%)"
+MSG_CTR = "    \n- Low click-through rate for ICP contacts. ({pct}%)"
+MSG_REPLY = "    \n- Low reply rate from ICP contacts. ({pct}%)"
+MSG_POSITIVE = "    \n- Low positive reply rate from ICP contacts. ({pct}%)"
 MSG_ICP = "Limited ICP data – not enough ICP companies are being contacted."
 MSG_HEAD = "\nOutbound is facing the following limitations:\n"
 MSG_OK = "Outbound is performing well with respect to ICP conversion rates."
@@ -196,9 +196,9 @@ def outbound_limitations(outbound: DataFrame) -> DataFrame:
                 F.coalesce(F.sum("NB_COMPANIES_TOUCHED_ICP"), F.lit(0)).alias("ICP_CONTACTED"))
     ctr, rep, pos = (F.col(f"avg_{n}") for n, _ in ICP_RATES)
     msgs = F.array_compact(F.array(
-        F.when(ctr < LIMIT_CTR, F.format_string(MSG_CTR, ctr)),
-        F.when(rep < LIMIT_REPLY, F.format_string(MSG_REPLY, rep)),
-        F.when(pos < LIMIT_POSITIVE, F.format_string(MSG_POSITIVE, pos)),
+        F.when(ctr < LIMIT_CTR, _fill(MSG_CTR, fixed_text(ctr, 2))),
+        F.when(rep < LIMIT_REPLY, _fill(MSG_REPLY, fixed_text(rep, 2))),
+        F.when(pos < LIMIT_POSITIVE, _fill(MSG_POSITIVE, fixed_text(pos, 2))),
         F.when(F.col("ICP_CONTACTED") < LIMIT_ICP_CONTACTED, F.lit(MSG_ICP))))
     text = F.when(F.size(msgs) > 0, F.concat(F.lit(MSG_HEAD), F.array_join(msgs, "\n"))) \
         .otherwise(F.lit(MSG_OK))
