@@ -48,7 +48,7 @@ def test_limitations_message(spark):
                                "NB_COMPANIES_CLICKED_ICP long, NB_COMPANIES_REPLIED_ICP long, "
                                "NB_COMPANIES_REPLIED_POSITIVE_ICP long, NB_COMPANIES_TOUCHED long")
     r = sizing.outbound_limitations(df).first()
-    assert r.NUM_LIMITATIONS == 4
+    assert r.NUM_LIMITATIONS == 4 == len(r.LIMITATIONS)
     assert "Low click-through rate for ICP contacts. (0.10%)" in r.MESSAGE
     assert r.MESSAGE.startswith("\nOutbound is facing the following limitations:\n")
 

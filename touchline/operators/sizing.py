@@ -202,4 +202,5 @@ def outbound_limitations(outbound: DataFrame) -> DataFrame:
         F.when(F.col("ICP_CONTACTED") < LIMIT_ICP_CONTACTED, F.lit(MSG_ICP))))
     text = F.when(F.size(msgs) > 0, F.concat(F.lit(MSG_HEAD), F.array_join(msgs, "\n"))) \
         .otherwise(F.lit(MSG_OK))
-    return agg.select("*", F.size(msgs).cast("bigint").alias("NUM_LIMITATIONS"), text.alias("MESSAGE"))
+    return agg.select("*", msgs.alias("LIMITATIONS"),
+                      F.size(msgs).cast("bigint").alias("NUM_LIMITATIONS"), text.alias("MESSAGE"))

@@ -177,8 +177,8 @@ def q_icp_share(spark, sf_dir):
 
 @register("outbound_limitations")
 def q_outbound_limitations(spark, sf_dir):
-    return sizing.outbound_limitations(_ob(spark, sf_dir)).drop(
-        *[f"avg_{n}" for n, _ in sizing.ICP_RATES])
+    return sizing.outbound_limitations(_ob(spark, sf_dir)).select(
+        "ICP_CONTACTED", "NUM_LIMITATIONS", "MESSAGE")
 
 
 # --- outbound profile page --------------------------------------------------------
