@@ -41,3 +41,11 @@ def test_cli_list(capsys):
     from touchline.__main__ import main
     main(["list"])
     assert "attribution_report" in capsys.readouterr().out
+
+
+def test_market_empty_category_selection_gives_no_rows(spark):
+    mk = inputs.market(spark, SF001)
+    assert pages.market_frame(mk, categories=[]).count() == 0
+    some = pages.market_frame(mk, categories=["b) $1M - $3M"])
+    assert some.count() > 0
+    assert some.filter("GMV_CATEGORY != 'b) $1M - $3M'").count() == 0
