@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from touchline.operators import profile
