@@ -114,3 +114,22 @@ def test_source_shares_add_to_100(spark):
     rep = att.attribution_report(att.last_touch(inputs.events(spark, SF001), 90), ordered=False)
     total = reports.source_share(rep).agg(F.sum("PERCENTAGE")).first()[0]
     assert abs(total - 100.0) < 1e-9
+
+
+def test_epoch_milliseconds_give_same_attribution(spark):
+    ev = inputs.events(spark, SF01)
+    ms = ev.withColumn("timestamp", F.col("timestamp") * 1000)
+    cols = ["shopifyOrderId", "attribution_source", "pageReferrer", "match_type"]
+    for keys, days in [(att.KEYS_IDENTITY, 3), (att.KEYS_WITH_SHOP, 90)]:
+        a = att.last_touch(ev, days, keys=keys).select(cols)
+        b = att.last_touch(ms, days, keys=keys, epoch_unit="ms").select(cols)
+        assert rows(a) == rows(b)
+    # the range join scales its window with the unit: same pairs in s and ms,
+    # and a window read as seconds on millisecond data would be 1000x shorter
+    from touchline.operators.joins import lookback_join
+    o, t = att.order_events(ms), att.touchpoints(ms)
+    on = [("o_user", "t_user")]
+    n_ms = lookback_join(o, t, on, "o_ts", "t_ts", 3, units_per_second=1000).count()
+    n_s = lookback_join(att.order_events(ev), att.touchpoints(ev), on, "o_ts", "t_ts", 3).count()
+    n_wrong = lookback_join(o, t, on, "o_ts", "t_ts", 3).count()
+    assert n_ms == n_s > n_wrong

@@ -35,11 +35,12 @@ def match_type(o_user, t_user, o_ip, t_ip, o_ts, t_ts) -> Column:
             .otherwise(F.lit("no_match")))
 
 
-def within_lookback(t_ts, o_ts, days: int, seconds_per_unit: int = 1) -> Column:
-    """1 when the touch lies in [order - days, order], else 0.
+UNITS_PER_SECOND = {"s": 1, "ms": 1000}
 
-    ``seconds_per_unit`` is 1 for epoch seconds, 1000 for milliseconds.
-    """
-    span = F.lit(int(days) * 24 * 60 * 60 * int(seconds_per_unit))
+
+def within_lookback(t_ts, o_ts, days: int, epoch_unit: str = "s") -> Column:
+    """1 when the touch lies in [order - days, order], else 0.  Timestamps
+    are epoch numbers in ``epoch_unit`` ('s' or 'ms')."""
+    span = F.lit(int(days) * 24 * 60 * 60 * UNITS_PER_SECOND[epoch_unit])
     t, o = _c(t_ts), _c(o_ts)
     return F.when((t <= o) & (t >= o - span), F.lit(1)).otherwise(F.lit(0))

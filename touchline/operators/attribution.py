@@ -13,7 +13,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.attribution import classify_source, match_type, within_lookback
+from touchline.functions.attribution import (
+    UNITS_PER_SECOND, classify_source, match_type, within_lookback,
+)
 from touchline.functions.text import month_start_date, month_start_text
 from touchline.operators.joins import lookback_join
 from touchline.operators.sequence import row_number_within
@@ -79,7 +81,7 @@ def _key_condition(o: DataFrame, t: DataFrame, keys: Sequence[str]):
 
 
 def journey(events: DataFrame, keys: Sequence[str] = KEYS_WITH_SHOP,
-            days: int = 90) -> DataFrame:
+            days: int = 90, epoch_unit: str = "s") -> DataFrame:
     """Every (order event, touch) pair matching on ``keys`` with the touch
     not after the order, plus ``match_type`` and ``is_within_lookback``.
 
@@ -93,7 +95,7 @@ def journey(events: DataFrame, keys: Sequence[str] = KEYS_WITH_SHOP,
     return pairs.select(
         "*",
         match_type("o_user", "t_user", "o_ip", "t_ip", "o_ts", "t_ts").alias("match_type"),
-        within_lookback("t_ts", "o_ts", days).alias("is_within_lookback"))
+        within_lookback("t_ts", "o_ts", days, epoch_unit).alias("is_within_lookback"))
 
 
 _LAST_TOUCH_OUT = [
@@ -106,7 +108,7 @@ _LAST_TOUCH_OUT = [
 
 
 def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WITH_SHOP,
-               order_key: Sequence[str] = ("order_id",)) -> DataFrame:
+               order_key: Sequence[str] = ("order_id",), epoch_unit: str = "s") -> DataFrame:
     """Last touch inside the lookback window, one row per order key.
 
     Equivalent to ``ROW_NUMBER() OVER (PARTITION BY order ORDER BY touch ts
@@ -140,13 +142,14 @@ def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WIT
         # Candidates come from the bucketed range join, so only touches
         # inside the window are paired; they are reduced per order event
         # right after the join (partial aggregation).
-        pairs = lookback_join(o, t, [_KEY_COLS[k] for k in keys], "o_ts", "t_ts", days)
+        pairs = lookback_join(o, t, [_KEY_COLS[k] for k in keys], "o_ts", "t_ts", days,
+                              UNITS_PER_SECOND[epoch_unit])
         rank = F.struct((-F.col("t_ts")).alias("a"), F.col("t_event_id").alias("b"))
         win = F.min_by(F.struct(*pairs.columns), rank).alias("_w")
         per_order_event = pairs.groupBy("o_event_id").agg(win).select("_w.*")
     cand = (per_order_event
             .filter((F.col("t_ts") <= F.col("o_ts"))
-                    & (within_lookback("t_ts", "o_ts", days) == 1))
+                    & (within_lookback("t_ts", "o_ts", days, epoch_unit) == 1))
             .withColumn("match_type",
                         match_type("o_user", "t_user", "o_ip", "t_ip", "o_ts", "t_ts")))
     rank = F.struct((-F.col("t_ts")).alias("a"), F.col("t_event_id").alias("b"),

@@ -21,7 +21,8 @@ def _seconds(df: DataFrame, col: str) -> Column:
 
 
 def lookback_join(orders: DataFrame, touches: DataFrame, on: Sequence[tuple[str, str]],
-                  order_ts: str, touch_ts: str, days: float) -> DataFrame:
+                  order_ts: str, touch_ts: str, days: float,
+                  units_per_second: int = 1) -> DataFrame:
     """Pairs (order, touch) equal on ``on`` (order column, touch column)
     with ``order_ts - days <= touch_ts <= order_ts``.
 
@@ -30,11 +31,14 @@ def lookback_join(orders: DataFrame, touches: DataFrame, on: Sequence[tuple[str,
     the window: a touch sits in one bucket, an order probes its own bucket
     and the one before, and the exact range test runs on those candidates.
     Each qualifying pair is produced once.  Timestamps may be TIMESTAMP /
-    TIMESTAMP_NTZ or epoch seconds.
+    TIMESTAMP_NTZ or epoch numbers (``units_per_second``: 1 for seconds,
+    1000 for milliseconds).
     """
     width = int(round(days * 86400))
     if width <= 0:
         raise ValueError("lookback must be positive")
+    if not isinstance(orders.schema[order_ts].dataType, (TimestampType, TimestampNTZType)):
+        width *= int(units_per_second)  # epoch numbers: window in their unit
     t = touches.withColumn("_tl_tb", F.floor(_seconds(touches, touch_ts) / F.lit(width)))
     o = (orders.withColumn("_tl_ob", F.floor(_seconds(orders, order_ts) / F.lit(width)))
          .withColumn("_tl_tb", F.explode(F.array(F.col("_tl_ob"), F.col("_tl_ob") - 1)))
