@@ -32,3 +32,12 @@ def test_clean_dedups_rows(spark):
 def test_clean_all_protected_text_keeps_duplicates(spark):
     df = spark.createDataFrame([("x",), ("x",)], "PLATFORM string")
     assert clean(df).count() == 2
+
+
+def test_clean_maps_nan_to_null(spark):
+    from touchline.operators.profile import sum_by, top_n_by_sum
+    df = spark.createDataFrame([("a", float("nan")), ("a", 2.0), ("b", 1.0)], "PLATFORM string, v double")
+    out = clean(df)
+    assert out.filter("v IS NULL").count() == 1
+    assert dict(sum_by(out, "PLATFORM", "v").collect()) == {"a": 2.0, "b": 1.0}
+    assert [r[0] for r in top_n_by_sum(out, "PLATFORM", "v", 2).collect()] == ["a", "b"]

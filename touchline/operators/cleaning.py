@@ -10,6 +10,9 @@ For each text column, in column order:
    NULL.
 Then whole-row duplicates are dropped (when at least one column reached the
 dedup step in the source rule: any non-text or converted column).
+Floating-point NaN becomes NULL: pandas treats NaN as missing (skipped by
+sums and means, sorted last), while Spark treats it as a value above every
+number.
 
 Plan: one aggregate pass decides the date columns (a single row comes back
 to the driver), one select applies all casts, one ``dropDuplicates``.
@@ -21,7 +24,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, FloatType, StringType
 
 from touchline.functions.text import DATE_LIKE, to_day, to_int_lenient, to_int_strict
 
@@ -48,7 +51,10 @@ def clean(df: DataFrame, strict: bool = True, free_text: Sequence[str] = FREE_TE
     out, dedup = [], False
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if not isinstance(f.dataType, StringType):
+        if isinstance(f.dataType, (DoubleType, FloatType)):
+            out.append(F.when(~F.isnan(c), c).alias(f.name))
+            dedup = True
+        elif not isinstance(f.dataType, StringType):
             out.append(c)
             dedup = True
         elif f.name in free_text:
