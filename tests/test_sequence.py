@@ -58,3 +58,20 @@ def test_pareto_scalable_equals_plain(spark):
     ob = clean(inputs.outbound(spark, "/root/testdata/sf0.01"))
     cols = ["CAMPAIGN_GROUP", "CUMULATIVE_NEW_ARR", "COLOR_LABEL"]
     assert rows(pareto(ob, n_buckets=6).select(cols)) == rows(pareto_plain(ob).select(cols))
+
+
+def test_empty_inputs(spark):
+    from touchline.operators.quantiles import exact_quantiles
+    empty = spark.createDataFrame([], "id long, g string, o long, v long")
+    assert running_sum(empty, ["g"], ["o", "id"], value="v", out="cs").count() == 0
+    assert row_number_within(empty, [], ["id"], out="rn").count() == 0
+    assert exact_quantiles(empty, ["g"], "v", {"p50": 0.5}).count() == 0
+    ob = spark.createDataFrame([], "CAMPAIGN_GROUP string, NEW_ARR_FROM_OB_ALL_TIME long")
+    assert pareto(ob).count() == 0
+
+
+def test_single_value_quantiles(spark):
+    from touchline.operators.quantiles import exact_quantiles
+    df = spark.createDataFrame([("a", 7.0)], "g string, v double")
+    r = exact_quantiles(df, ["g"], "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).first()
+    assert (r.p25, r.p50, r.p75) == (7.0, 7.0, 7.0)
