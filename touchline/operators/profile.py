@@ -42,15 +42,16 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
     cols = list(cols) if cols is not None else numeric_columns(df)
     long = _long(df, cols).filter(F.col("VALUE").isNotNull() & ~F.isnan("VALUE"))
     v = F.col("VALUE")
-    basic = long.groupBy("COLUMN_NAME").agg(
-        F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
     if approx:
-        qs = long.groupBy("COLUMN_NAME").agg(
+        out = long.groupBy("COLUMN_NAME").agg(
+            F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
             *[F.percentile_approx(v, p, 10000).alias(n) for n, p in QUARTILES.items()])
     else:
-        qs = exact_quantiles(long, ["COLUMN_NAME"], "VALUE", QUARTILES)
-    out = basic.join(qs, "COLUMN_NAME")
+        # one ranked, checkpointed pass gives quartiles and the other stats
+        out = exact_quantiles(long, ["COLUMN_NAME"], "VALUE", QUARTILES, extra={
+            "count": lambda c: F.count(c).cast("double"), "mean": F.avg,
+            "std": F.stddev_samp, "min": F.min, "max": F.max})
     if decimals is not None:
         out = out.withColumns({c: F.round(c, decimals) for c in ("mean", "std")})
     return out.select("COLUMN_NAME", "count", "mean", "std", "min",
@@ -112,15 +113,15 @@ def box_stats(df: DataFrame, key: str, value: str, log: bool = False,
     v = log1p_positive(_q(value)) if log else _q(value).cast("double")
     base = df.select(_q(key).alias("KEY"), v.alias("VALUE"))
     base = base.filter(F.col("VALUE").isNotNull() & ~F.isnan("VALUE"))
-    mm = base.groupBy("KEY").agg(F.count(F.lit(1)).alias("count"), F.min("VALUE").alias("min"),
-                                 F.max("VALUE").alias("max"))
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     if approx:
-        qs = base.groupBy("KEY").agg(*[F.percentile_approx("VALUE", p, 10000).alias(n)
-                                       for n, p in probs.items()])
+        j = base.groupBy("KEY").agg(
+            F.count(F.lit(1)).alias("count"), F.min("VALUE").alias("min"),
+            F.max("VALUE").alias("max"),
+            *[F.percentile_approx("VALUE", p, 10000).alias(n) for n, p in probs.items()])
     else:
-        qs = exact_quantiles(base, ["KEY"], "VALUE", probs)
-    j = mm.join(qs, mm.KEY.eqNullSafe(qs.KEY)).drop(qs.KEY)
+        j = exact_quantiles(base, ["KEY"], "VALUE", probs, extra={
+            "count": F.count, "min": F.min, "max": F.max})
     stats = ["min", "q1", "median", "q3", "max"]
     if decimals is not None:
         j = j.withColumns({c: F.round(c, decimals) for c in stats})

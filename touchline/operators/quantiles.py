@@ -9,17 +9,22 @@ ascending order.  NULL and NaN values are ignored.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.sequence import running
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: dict[str, float], n_buckets: int | None = None) -> DataFrame:
-    """One row per group with one column per entry of ``probs``."""
+                    probs: dict[str, float], n_buckets: int | None = None,
+                    extra: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """One row per group with one column per entry of ``probs``.
+
+    ``extra`` adds other aggregates of the same values (name -> function of
+    the value column), computed from the same checkpointed relation so the
+    input is read only once."""
     g = list(group_cols)
     v = F.col(value_col).cast("double")
     vals = (df.select(*g, v.alias("_v"))
@@ -41,5 +46,13 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                   F.max(F.when(F.col("_r") == F.col("w.hi") + 1, F.col("_v"))).alias("hi_v"),
                   F.max("w.frac").alias("frac")))
     parts = parts.withColumn("qv", F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"))
-    return parts.groupBy(*g).agg(*[F.max(F.when(F.col("q") == name, F.col("qv"))).alias(name)
-                                   for name in probs])
+    out = parts.groupBy(*g).agg(*[F.max(F.when(F.col("q") == name, F.col("qv"))).alias(name)
+                                  for name in probs])
+    if not extra:
+        return out
+    stats = ranked.groupBy(*g).agg(*[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
+    if not g:
+        raise ValueError("extra aggregates need at least one group column")
+    s2 = stats.select(*[F.col(c).alias(f"_s_{c}") if c in g else F.col(c) for c in stats.columns])
+    cond = [out[c].eqNullSafe(s2[f"_s_{c}"]) for c in g]
+    return out.join(s2, cond).drop(*[f"_s_{c}" for c in g])

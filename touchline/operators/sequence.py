@@ -100,5 +100,6 @@ def row_number_within(df: DataFrame, partition_cols: Sequence[str], order_cols:
 
 
 def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
-                value: str, out: str, n_buckets: int | None = None) -> DataFrame:
-    return running(df, partition_cols, order_cols, out, value, n_buckets)
+                value: str, out: str, n_buckets: int | None = None,
+                total_out: str | None = None) -> DataFrame:
+    return running(df, partition_cols, order_cols, out, value, n_buckets, total_out)

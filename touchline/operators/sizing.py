@@ -37,12 +37,16 @@ def pareto(df: DataFrame, metric: str = ARR, label_key: str = "CAMPAIGN_GROUP",
     running total is within ``threshold`` of the grand total.  A NULL metric
     sorts last and gets no running total ('Other')."""
     order = [_q(metric).desc_nulls_last(), _q(label_key).asc_nulls_last()]
-    total = df.select(F.sum(_q(metric))).scalar()
+    # The grand total comes out of the same bucketed pass (sum of the
+    # per-bucket sums), so the input is not computed a second time.
     with_cum = running_sum(df.withColumn("_m", F.coalesce(_q(metric), F.lit(0))), [], order,
-                           value="_m", out="CUMULATIVE_NEW_ARR", n_buckets=n_buckets)
+                           value="_m", out="CUMULATIVE_NEW_ARR", n_buckets=n_buckets,
+                           total_out="_total")
     cum = F.when(_q(metric).isNotNull(), F.col("CUMULATIVE_NEW_ARR"))
-    return (with_cum.drop("_m").withColumn("CUMULATIVE_NEW_ARR", cum.cast("bigint"))
-            .withColumn("COLOR_LABEL", F.coalesce(_label(cum, total, threshold), F.lit(OTHER))))
+    return (with_cum.withColumn("CUMULATIVE_NEW_ARR", cum.cast("bigint"))
+            .withColumn("COLOR_LABEL",
+                        F.coalesce(_label(cum, F.col("_total"), threshold), F.lit(OTHER)))
+            .drop("_m", "_total"))
 
 
 def pareto_plain(df: DataFrame, metric: str = ARR, label_key: str = "CAMPAIGN_GROUP",
