@@ -15,6 +15,7 @@ def test_attribution_page(spark):
     marts = build_marts(inputs.events(spark, SF001))
     res = pages.attribution_page(marts, source="direct")
     _run_all(res)
+    marts.release()
     assert res["referrer_contribution"].count() <= 10
 
 

@@ -43,6 +43,7 @@ def test_marts_from_staged_events(spark):
     plain = build_marts(inputs.events(spark, SF001), (90,))
     for name in staged:
         assert rows(staged[name]) == rows(plain[name]), name
+    plain.release()
 
 
 def test_streaming_orders_equals_batch(spark):

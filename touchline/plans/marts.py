@@ -11,8 +11,22 @@ from touchline.operators import attribution as att
 from touchline.sources.tables import cached, write_result
 
 
+class Marts(dict):
+    """name -> mart DataFrame; ``release()`` drops the persisted event table
+    once the marts have been written."""
+
+    def __init__(self, *args, cached_input: DataFrame | None = None, **kw):
+        super().__init__(*args, **kw)
+        self._cached_input = cached_input
+
+    def release(self) -> None:
+        if self._cached_input is not None:
+            self._cached_input.unpersist()
+            self._cached_input = None
+
+
 def build_marts(events: DataFrame, lookbacks: Iterable[int] = (90, 180),
-                stage_dir: str | None = None) -> dict[str, DataFrame]:
+                stage_dir: str | None = None) -> Marts:
     """orders_month_store, attribution_model_<days> per lookback and
     attribution_cjm.
 
@@ -23,10 +37,11 @@ def build_marts(events: DataFrame, lookbacks: Iterable[int] = (90, 180),
     """
     if stage_dir:
         events.write.mode("overwrite").parquet(stage_dir)
-        ev = events.sparkSession.read.parquet(stage_dir)
+        ev, held = events.sparkSession.read.parquet(stage_dir), None
     else:
-        ev = cached(events)
-    marts = {"orders_month_store": att.orders_per_month_store(ev)}
+        ev = held = cached(events)
+    marts = Marts(cached_input=held)
+    marts["orders_month_store"] = att.orders_per_month_store(ev)
     for days in lookbacks:
         marts[f"attribution_model_{days}"] = att.attribution_report(att.last_touch(ev, days=days))
     marts["attribution_cjm"] = att.touch_journey(ev)
@@ -42,4 +57,6 @@ def write_marts(marts: dict[str, DataFrame], base: str) -> dict[str, str]:
         part = ["MONTH"] if name.startswith("attribution_model_") else None
         write_result(df, path, partition_by=part)
         paths[name] = path
+    if isinstance(marts, Marts):
+        marts.release()
     return paths

@@ -103,7 +103,7 @@ def sizing_page(outbound: DataFrame, market: DataFrame,
                          country: str = "NATION_0") -> dict:
     ob = clean(outbound)
     mk = clean(market)
-    labelled = sizing.pareto(ob)
+    labelled = sizing.pareto(ob.select("CAMPAIGN_GROUP", sizing.ARR))
     return {
         "pareto": labelled,
         "pareto_summary": sizing.pareto_summary(labelled),

@@ -127,15 +127,20 @@ def _mk(spark, sf_dir):
     return clean(inputs.market(spark, sf_dir))
 
 
+def _pareto(spark, sf_dir):
+    # only the two columns the ranking needs go into its checkpoint
+    return sizing.pareto(_ob(spark, sf_dir).select("CAMPAIGN_GROUP", sizing.ARR))
+
+
 @register("pareto")
 def q_pareto(spark, sf_dir):
-    return sizing.pareto(_ob(spark, sf_dir)).select(
+    return _pareto(spark, sf_dir).select(
         "CAMPAIGN_GROUP", sizing.ARR, "CUMULATIVE_NEW_ARR", "COLOR_LABEL")
 
 
 @register("pareto_summary")
 def q_pareto_summary(spark, sf_dir):
-    return sizing.pareto_summary(sizing.pareto(_ob(spark, sf_dir)))
+    return sizing.pareto_summary(_pareto(spark, sf_dir))
 
 
 @register("tam_rollup")
