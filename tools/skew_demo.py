@@ -45,6 +45,10 @@ def main() -> None:
     j = att.journey(ev, att.KEYS_WITH_SHOP, 90)
     w2 = Window.partitionBy("order_id").orderBy(F.col("t_ts").desc(), "t_event_id", "o_event_id")
     run("last touch: pairs + window", j.withColumn("rn", F.row_number().over(w2)).filter("rn = 1"))
+    # rows leaving the join: the aggregate form joins order events to one best
+    # touch per key; the plain form joins them to every touch of the key
+    join_rows_agg = att.order_events(ev).count()
+    join_rows_pairs = j.count()
     spark.stop()
 
     stage_group, task_records = {}, defaultdict(list)
@@ -75,6 +79,8 @@ def main() -> None:
     print(f"{'job':32s} {'max task records':>17s} {'stage records':>14s} {'share':>6s}")
     for g, (share, mx, tot) in sorted(worst.items()):
         print(f"{g:32s} {mx:17d} {tot:14d} {share:6.1%}")
+    print(f"last touch, rows out of the join: aggregates {join_rows_agg}, "
+          f"pairs + window {join_rows_pairs}")
     print("event log:", logdir)
 
 
