@@ -68,3 +68,22 @@ def test_read_events_from_json_array_file(spark):
     a = att.orders_per_month_store(ev, ordered=False)
     b = att.orders_per_month_store(inputs.events(spark, SF001), ordered=False)
     assert rows(a) == rows(b)
+
+
+def test_streaming_resumes_from_checkpoint(spark):
+    from pyspark.sql import functions as F
+    from touchline.streaming import start_orders_per_month_store
+    d = tempfile.mkdtemp(prefix="tl-stream2-", dir="/tmp")
+    log = inputs.event_log(spark, SF001)
+    with_id = log.withColumn("_id", F.get_json_object("DATA", "$.event_id").cast("bigint"))
+    with_id.filter("_id % 2 = 0").select("DATA").write.text(os.path.join(d, "log", "part1"))
+    q = start_orders_per_month_store(spark, os.path.join(d, "log", "*"), name="oms_resume",
+                                     checkpoint=os.path.join(d, "ck"))
+    q.awaitTermination(300)
+    with_id.filter("_id % 2 = 1").select("DATA").write.text(os.path.join(d, "log", "part2"))
+    q = start_orders_per_month_store(spark, os.path.join(d, "log", "*"), name="oms_resume",
+                                     checkpoint=os.path.join(d, "ck"))
+    q.awaitTermination(300)
+    got = spark.table("oms_resume")
+    want = att.orders_per_month_store(inputs.events(spark, SF001), ordered=False)
+    assert rows(got) == rows(want)
