@@ -1,9 +1,10 @@
 """Outbound sizing: Pareto share of campaigns, addressable market, funnel,
 ICP rates and the rule-based limitations summary.
 
-Global totals are scalar subqueries (computed once, inlined as a value);
-the running total uses the range-bucketed ``running_sum`` so no single task
-sees the whole table.
+Global totals are scalar subqueries (computed once, inlined as a value),
+except the Pareto total, which comes out of the same range-bucketed
+``running_sum`` pass that computes the running total; no single task sees
+the whole table.
 """
 
 from __future__ import annotations
