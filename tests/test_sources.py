@@ -87,3 +87,15 @@ def test_streaming_resumes_from_checkpoint(spark):
     got = spark.table("oms_resume")
     want = att.orders_per_month_store(inputs.events(spark, SF001), ordered=False)
     assert rows(got) == rows(want)
+
+
+def test_read_events_from_parquet_variant(spark):
+    from touchline.functions.json_paths import parse_json_column
+    d = tempfile.mkdtemp(prefix="tl-variant-", dir="/tmp")
+    path = os.path.join(d, "log")
+    parse_json_column(inputs.event_log(spark, SF001)).write.parquet(path)  # VARIANT column
+    log = read_events(spark, path, fmt="parquet")
+    assert dict(log.dtypes)["DATA"] == "variant"
+    a = att.orders_per_month_store(event_table(log), ordered=False)
+    b = att.orders_per_month_store(inputs.events(spark, SF001), ordered=False)
+    assert rows(a) == rows(b)
