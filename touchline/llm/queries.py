@@ -28,8 +28,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.url_filter import Rule, filter_urls
+    rules = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"),
+             Rule("www.example.com", "/en/", "allow"), Rule("net", "/es/", "block"),
+             Rule("net", "/fr/", "block")]
+    return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op10_url_filter": op10_url_filter,
 }
 
 SQL: dict[str, str] = {}
