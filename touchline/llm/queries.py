@@ -28,6 +28,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents"), keep_rows=False).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "shards")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.url_filter import Rule, filter_urls
     rules = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"),
@@ -38,6 +44,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op8_mixing": op8_mixing,
     "op10_url_filter": op10_url_filter,
 }
 
