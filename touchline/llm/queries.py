@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.warc import archive
+    r = F.col("response")
+    return archive(table(spark, sf_dir, "pages")).filter(r.isNotNull()).select(
+        r["page_id"].alias("page_id"), r["payload_bytes"].alias("payload_bytes"),
+        r["digest"].alias("payload_digest"), r["type"].alias("record_type"),
+        r["refers_to_page"].alias("refers_to"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.mixing import mix
     return mix(table(spark, sf_dir, "documents"), keep_rows=False).select(
@@ -44,8 +54,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op10_url_filter": op10_url_filter,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # Payload, digest and the smallest page of equal payloads of 100 bytes or more.
+    "op7_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body) as payload_bytes, sha256(body) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1)
+select d.page_id, cast(d.payload_bytes as bigint) as payload_bytes, d.payload_digest,
+  case when d.page_id > f.first then 'revisit' else 'response' end as record_type,
+  case when d.page_id > f.first then f.first end as refers_to
+from d left join f on d.payload_digest = f.payload_digest and d.payload_bytes >= 100
+""",
+}
