@@ -29,6 +29,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.decontaminate import contamination
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+                         ).drop("items", "matches")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.warc import archive
     r = F.col("response")
@@ -54,6 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_decontaminate": op3_decontaminate,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op10_url_filter": op10_url_filter,
