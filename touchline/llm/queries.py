@@ -35,6 +35,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                          ).drop("items", "matches")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.language_id import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.warc import archive
     r = F.col("response")
@@ -61,6 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_decontaminate": op3_decontaminate,
+    "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op10_url_filter": op10_url_filter,
