@@ -35,6 +35,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                          ).drop("items", "matches")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm import toxicity
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.language_id import identify
     return identify(table(spark, sf_dir, "documents"))
@@ -66,6 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_decontaminate": op3_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
