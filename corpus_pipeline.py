@@ -11,8 +11,48 @@ from touchline.session import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from ``labels``."""
+    from touchline.llm import toxicity as op
+    return op.remove_toxic(docs, op.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    from touchline.llm.jaccard_join import keep_one
+    return keep_one(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long repeated passages are cut out of the texts; all documents stay."""
+    from touchline.llm.suffix_dedup import remove_repeats
+    return remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    from touchline.llm.decontaminate import remove_contaminated
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by target weight: a row per copy taken."""
+    from touchline.llm.mixing import mix, mixed_rows
+    return mixed_rows(mix(docs))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("jaccard_join", jaccard_join),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+# The label model and the hashed cuts of the mix have no SQL form; tests hold
+# the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import textops as T
+from touchline.llm.packing import arrow_schema, pack, unpack
 from touchline.llm.tables import components, staged
 
 SHINGLE = 5
@@ -51,7 +52,7 @@ LOW48 = np.uint64((1 << 48) - 1)
 
 PACKED = "dest int, blob binary"
 SETS = ("kind int, doc_id bigint, cls bigint, n int, tokens binary, "
-        + ", ".join(f"k{r} bigint" for r in range(ROUNDS)))
+        + ", ".join(f"k{r} bigint" for r in range(ROUNDS)) + ", rk bigint")
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -101,27 +102,6 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE):
 
 # ------------------------------------------------------------------- packing
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one blob; 8-byte ones as byte planes, which compress."""
-    parts = [np.array([len(arrays)] + [len(a) for a in arrays], np.int32).tobytes()]
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        parts.append(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if len(a) else b"")
-    return b"".join(parts)
-
-
-def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    n = int(np.frombuffer(blob, np.int32, 1)[0])
-    sizes = np.frombuffer(blob, np.int32, n, 4)
-    at, out = 4 + 4 * n, []
-    for size, kind in zip(sizes.tolist(), kinds):
-        width = np.dtype(kind).itemsize
-        raw = np.frombuffer(blob, np.uint8, size * width, at).reshape(width, size)
-        out.append(np.ascontiguousarray(raw.T).reshape(-1).view(kind))
-        at += size * width
-    return out
-
-
 def _rows(dest: list, blobs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array(blobs, pa.binary())],
                                       names=["dest", "blob"])
@@ -138,7 +118,7 @@ def _to_shards(cls, n, token, at, buckets: int, shards: int):
         lo, hi = edge[s], edge[s + 1]
         used, local = np.unique(at[lo:hi], return_inverse=True)
         dest.append(buckets + int(s))
-        blobs.append(_pack(cls[used], n[used], token[lo:hi], local.astype(np.int32)))
+        blobs.append(pack(cls[used], n[used], token[lo:hi], local.astype(np.int32)))
     return dest, blobs
 
 
@@ -212,7 +192,7 @@ class _Packer:
             slot[used] = np.arange(len(used))
             e = np.sort(e >> np.uint64(16) << np.uint64(16) | slot[idx].astype(np.uint64))
             dest.append(int(b))
-            blobs.append(_pack(cls[used], n[used], e))
+            blobs.append(pack(cls[used], n[used], e))
         return dest, blobs
 
 
@@ -220,7 +200,7 @@ def _answer(bucket: int, table: pa.Table, buckets: int, shards: int):
     """Postings of the bucket's shared shingles, packed by shard."""
     cls, n, entries, at, base = [], [], [], [], 0
     for blob in table.column("blob"):
-        c, m, e = _unpack(blob.as_py(), np.int64, np.int32, np.uint64)
+        c, m, e = unpack(blob.as_py(), np.int64, np.int32, np.uint64)
         idx = (e & np.uint64(MARKER)).astype(np.int64)
         at.append(np.where(idx == MARKER, -1, idx + base))
         entries.append(e >> np.uint64(16))
@@ -258,18 +238,19 @@ def _gather(table: pa.Table, schema: pa.Schema):
     for blob in table.column("blob"):
         raw = blob.as_py()
         if np.frombuffer(raw, np.int32, 1)[0] == 5:        # documents
-            docs.append(_unpack(raw, np.int64, np.int64, np.int32, np.int8, np.int8))
+            docs.append(unpack(raw, np.int64, np.int64, np.int32, np.int8, np.int64))
             continue
-        c, m, t, i = _unpack(raw, np.int64, np.int32, np.uint64, np.int32)
+        c, m, t, i = unpack(raw, np.int64, np.int32, np.uint64, np.int32)
         cls.append(c)
         n.append(m)
         token.append(t)
         at.append(i + base)
         base += len(c)
-    for ids, c, m, null, _ in docs:
+    for ids, c, m, null, rk in docs:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(len(c), np.int32)), pa.array(ids, mask=null.astype(bool)),
-             pa.array(c), pa.array(m)] + [pa.nulls(len(c), f.type) for f in list(schema)[4:]],
+             pa.array(c), pa.array(m)] + [pa.nulls(len(c), f.type) for f in list(schema)[4:-1]]
+            + [pa.array(rk)],
             schema=schema)
     if not base:
         return
@@ -290,23 +271,24 @@ def _gather(table: pa.Table, schema: pa.Schema):
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.ones(len(part), np.int32)), pa.nulls(len(part), pa.int64()),
              pa.array(uniq[part]), pa.array(n[part]), pa.array([s.tobytes() for s in sets], pa.binary())]
-            + [pa.array([k[r] for k in keys], pa.int64()) for r in range(ROUNDS)], schema=schema)
+            + [pa.array([k[r] for k in keys], pa.int64()) for r in range(ROUNDS)]
+            + [pa.nulls(len(part), pa.int64())], schema=schema)
 
 
-def _arrow(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-    return to_arrow_schema(_parse_datatype_string(ddl))
+def row_key(id_col: str, text_col: str):
+    """Tells rows apart by id and text; rows that repeat share it."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def suspect_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Staged table (``SETS``): kind 0, every row of ``docs`` with its class
     and set size; kind 1, every class of which 75 % of the shingles also
     occur in another class, with those shingles."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
+                      row_key(id_col, text_col).alias("rk"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = shards = max(48, int(size) // BUCKET_TEXT)
-    schema = _arrow(SETS)
+    schema = arrow_schema(SETS)
 
     def read(batches):
         packer = _Packer(buckets, shards)
@@ -314,6 +296,7 @@ def suspect_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             h, edge, cls = shingle_sets(data, offs)
             ids = rows.column(0)
             null = np.array(ids.is_null())
+            rk = rows.column(2).to_numpy()
             ids = ids.fill_null(0).to_numpy()
             n = np.diff(edge).astype(np.int32)
             to = (T.mix64(ids.view(np.uint64) + cls.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
@@ -321,8 +304,8 @@ def suspect_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in np.unique(to):
                 m = to == s
                 dest.append(buckets + int(s))
-                blobs.append(_pack(ids[m], cls[m], n[m], null[m].astype(np.int8),
-                                   np.zeros(1, np.int8)))
+                blobs.append(pack(ids[m], cls[m], n[m], null[m].astype(np.int8),
+                                  rk[m]))
             yield _rows(dest, blobs)
             if packer.add(h, edge, cls):
                 yield _rows(*packer.flush())
@@ -364,7 +347,7 @@ STAR = "cls bigint, n int, tokens binary, " + ", ".join(
 def star_round(roots: DataFrame, r: int) -> DataFrame:
     """Compare each set with the last leaders of its min-hash.  Rows are dealt
     by range of (min-hash, size, class), so one min-hash may span tasks."""
-    schema = _arrow(STAR)
+    schema = arrow_schema(STAR)
     key = f"k{r}"
 
     def run(batches):
@@ -411,7 +394,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
     are kept.  The bitmap toggles a bit per shared shingle, so bits that
     differ are at most the shingles that differ.
     """
-    schema = _arrow(PREFIX)
+    schema = arrow_schema(PREFIX)
 
     def run(batches):
         for batch in batches:
@@ -502,7 +485,7 @@ def _tile_pairs(t: dict, lo: int, hi: int, most: int | None):
 
 
 def candidate_pairs(tiles: DataFrame, most: int | None) -> DataFrame:
-    schema = _arrow(PAIR)
+    schema = arrow_schema(PAIR)
     keys = ["token", "band", "bi", "bj"]
 
     def emit(t: dict, edges: np.ndarray):
@@ -593,10 +576,11 @@ def similarity_classes(sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id`` for every row.
+    """``doc_id, n_shingles, component_id, class_id, row_key, stays`` for every row.
 
     ``component_id`` is the smallest document id reachable by links, itself
-    included; ``class_id`` names the set of shingles (equal sets share it).
+    included; ``stays`` marks the row of that id (of repeated ids one text)
+    with which the component would be kept; ``class_id`` names the set of shingles (equal sets share it).
     Null and empty texts and texts without words have an empty set and link
     with nothing.  Repeated rows stay repeated; a null id never becomes a
     component id, so a null-id row alone has a null component.  Other columns
@@ -604,10 +588,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     sets = suspect_sets(docs, id_col, text_col)
     roots = similarity_classes(sets)
-    rows = (sets.filter("kind = 0").select("doc_id", "n", "cls").join(roots, "cls", "left")
+    rows = (sets.filter("kind = 0").select("doc_id", "n", "cls", "rk").join(roots, "cls", "left")
             .withColumn("grp", F.coalesce("root", "cls")))
-    least = (rows.filter("n > 0").groupBy("grp").agg(F.min("doc_id").alias("first")))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"),
+                    F.col("rk").alias("rk"))
+    least = rows.filter("n > 0").groupBy("grp").agg(F.min(name).alias("first"))
     return (rows.join(least, "grp", "left").select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.col("cls").alias("class_id")))
+        F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.col("cls").alias("class_id"), F.col("rk").alias("row_key"),
+        ((F.col("n") == 0) | (F.col("rk") == F.col("first.rk"))).alias("stays")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns unchanged; rows without words
+    all stay.  Rows that repeat (same id, same text) count as one."""
+    keys = (jaccard_components(docs, id_col, text_col).filter("stays")
+            .select(F.col("row_key").alias("k")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("rk"))
+    return (rows.join(keys, rows["rk"] == keys["k"], "left_semi")
+            .dropDuplicates(["rk"]).select("row.*"))

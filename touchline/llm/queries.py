@@ -66,6 +66,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.suffix_dedup import dedup_report
+    return dedup_report(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.url_filter import Rule, filter_urls
     rules = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"),
@@ -82,6 +87,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
