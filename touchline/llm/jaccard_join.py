@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -369,7 +370,7 @@ def star_round(roots: DataFrame, r: int) -> DataFrame:
                     leaders = [(cls, n, tokens)] + leaders[:LEADERS - 1]
                 out.append(parent)
             keep = pa.array([p is None for p in out])
-            tokens = pa.compute.if_else(keep, batch.column(batch.schema.get_field_index("tokens")),
+            tokens = pc.if_else(keep, batch.column(batch.schema.get_field_index("tokens")),
                                         pa.scalar(None, pa.binary()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("cls"), batch.column("n"), tokens]

@@ -29,6 +29,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.llm.neighbours import nearest
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.decontaminate import contamination
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -81,6 +87,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_neighbours": op2_neighbours,
     "op3_decontaminate": op3_decontaminate,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
