@@ -17,9 +17,10 @@ five-word shingles.  Equal sets are one class from the start.
    both in hash order.  Such shingles that occur in different groups make
    tiles, cut by bands of set size and into blocks of bounded rows.  In a tile
    parity bitmaps bound the overlap from above by bit counts; pairs that pass
-   are intersected exactly as sorted arrays.  A first pass tries the most
-   promising pairs of any two groups, a second pass all that remain, so no
-   link between groups is lost.
+   are intersected exactly as sorted arrays.  In some rounds each set tries
+   only its most promising partner in one block of a tile, and linked groups
+   merge; a last pass then tries all pairs between the groups that remain, so
+   no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -40,15 +41,16 @@ NUM, DEN = 75, 100
 KEEP = T.class_of([(0x20, 0x20), (0x09, 0x0D)])
 TABLE = T.byte_table(KEEP, fold_case=True, seed=13)
 
-FLUSH_TOKENS = 2_000_000      # shingles packed at once in a task
+FLUSH_TOKENS = 1_000_000      # shingles packed at once in a task
 FLUSH_SETS = 60_000           # fits the 16 bits of an entry; the last value marks
 MARKER = 0xFFFF
-BUCKET_TEXT = 12 << 20        # bytes of text per bucket and per shard
-ROUNDS = 2                    # star rounds, each with its own min-hash
+BUCKET_TEXT = 8 << 20         # bytes of text per bucket and per shard
+ROUNDS = 1                    # star rounds, each with its own min-hash
 LEADERS = 6
 BITS = 1024                   # bitmap size
 BLOCK = 512                   # rows of a tile's block
-FIRST_TRY = 4                 # pairs tried first between two groups of a tile
+MERGES = 4                    # rounds in which each set tries its most promising partner
+FIRST = 4                     # prefix shingles that these rounds look at
 LOW48 = np.uint64((1 << 48) - 1)
 
 PACKED = "dest int, blob binary"
@@ -414,11 +416,16 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return sets.select("cls", "n", "tokens").mapInArrow(run, PREFIX)
 
 
-def _tiles(pre: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of all tiles whose shingle occurs in different groups."""
+def _tiles(pre: DataFrame, roots: DataFrame, merge: int | None = None) -> DataFrame:
+    """Rows of all tiles whose shingle occurs in different groups.
+
+    In a merging round (number ``merge``) a tile's blocks, dealt anew each
+    round, are on their own; otherwise every two blocks meet.
+    """
     own = (pre.join(roots, "cls", "left")
            .withColumn("grp", F.coalesce("root", "cls")).drop("root"))
-    postings = own.select("cls", "grp", F.explode("prefix").alias("token"))
+    firsts = "prefix" if merge is None else F.slice("prefix", 1, FIRST)
+    postings = own.select("cls", "grp", F.explode(firsts).alias("token"))
     mixed = (postings.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
              .filter("lo < hi").select("token"))
     # Sets visit the next band of sizes too; bands are a factor 4/3 wide.
@@ -430,94 +437,106 @@ def _tiles(pre: DataFrame, roots: DataFrame) -> DataFrame:
              .agg(F.count("*").alias("m"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
              .filter("lo < hi").select("token", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     rows = rows.join(sizes, ["token", "band"])
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    block = F.pmod(F.xxhash64(F.lit(merge), "cls"), F.col("blocks")).cast("int")
+    other = (F.col("block") if merge is not None
+             else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return (rows.withColumn("block", block).withColumn("other", other)
             .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
             .select("token", "band", "bi", "bj", "block", "own", "cls", "grp", "n", "v", "bits"))
 
 
-PAIR = "x bigint, y bigint, gx bigint, gy bigint"
+PAIR = "x bigint, y bigint, gx bigint, gy bigint, score int"
 
 
-def _tile_pairs(t: dict, lo: int, hi: int, most: int | None):
-    """Pairs of one tile that bit counts cannot exclude."""
+def _tile_pairs(t: dict, lo: int, hi: int, best: bool):
+    """Pairs of one tile that bit counts cannot exclude: places and score; with
+    ``best`` only the most promising partner of every row."""
     band, bi, bj = t["band"][lo], t["bi"][lo], t["bj"][lo]
     own, block = t["own"][lo:hi], t["block"][lo:hi]
-    left = np.flatnonzero((block == bi))
-    right = np.flatnonzero((block == bj) & (own == band))
+    mine = own == band
+    pairs = [(np.flatnonzero(block == bi), np.flatnonzero((block == bj) & mine))]
     if bi != bj:      # visitors of either block meet the other block's own rows
-        pairs = [(left, right), (np.flatnonzero((block == bj) & (own != band)),
-                                 np.flatnonzero((block == bi) & (own == band)))]
-    else:
-        pairs = [(left, right)]
+        pairs.append((np.flatnonzero((block == bj) & ~mine), np.flatnonzero((block == bi) & mine)))
     n, v = t["n"][lo:hi].astype(np.int64), t["v"][lo:hi].astype(np.int64)
     cls, grp, bits = t["cls"][lo:hi], t["grp"][lo:hi], t["bits"][lo:hi]
-    out = []
+    xs, ys, scores = [], [], []
     for a, b in pairs:
         for i in a:
             j = b[(grp[b] != grp[i]) & (DEN * np.minimum(n[b], n[i]) >= NUM * np.maximum(n[b], n[i]))]
-            if bi == bj and own[i] == band:
+            if bi == bj and mine[i]:
                 j = j[cls[j] > cls[i]]
             if not len(j):
                 continue
             differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
             # Twice the most that they can share.
             twice = v[i] + v[j] - differ
-            ok = (2 * DEN - DEN + NUM) * twice >= 2 * NUM * (n[i] + n[j])
+            ok = (DEN + NUM) * twice >= 2 * NUM * (n[i] + n[j])
             j, twice = j[ok], twice[ok]
-            out.append(np.stack((np.full(len(j), i), j, twice)))
-    if not out:
+            xs.append(np.full(len(j), i))
+            ys.append(j)
+            scores.append(twice * 1_000_000 // (n[i] + n[j]))
+    if not xs:
         return None
-    x, y, score = np.concatenate(out, axis=1)
-    if most is not None and len(x):
-        g = np.minimum(grp[x], grp[y]), np.maximum(grp[x], grp[y])
-        order = np.lexsort((-score, g[1], g[0]))
-        x, y = x[order], y[order]
-        a, b = g[0][order], g[1][order]
-        new = np.ones(len(x), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        start = np.flatnonzero(new)
-        nth = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
-        x, y = x[nth < most], y[nth < most]
-    swap = cls[x] > cls[y]
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    return cls[x], cls[y], grp[x], grp[y]
+    x, y, score = (np.concatenate(c) for c in (xs, ys, scores))
+    if best and len(x):
+        x, y, score = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((score, score))
+        order = np.lexsort((cls[y], -score, x))
+        order = order[np.concatenate(([True], x[order][1:] != x[order][:-1]))]
+        x, y, score = x[order], y[order], score[order]
+    return x + lo, y + lo, score
 
 
-def candidate_pairs(tiles: DataFrame, most: int | None) -> DataFrame:
+def candidate_pairs(tiles: DataFrame, best: bool) -> DataFrame:
+    """Distinct pairs ``x < y`` of all tiles; with ``best``, one for each row."""
     schema = arrow_schema(PAIR)
     keys = ["token", "band", "bi", "bj"]
 
-    def emit(t: dict, edges: np.ndarray):
+    def emit(batch, edges: np.ndarray):
+        t = {c: batch.column(c).to_numpy() for c in batch.schema.names if c != "bits"}
+        t["bits"] = np.frombuffer(b"".join(x.as_py() for x in batch.column("bits")),
+                                  np.uint64).reshape(-1, BITS // 64)
         found = [p for lo, hi in zip(edges[:-1], edges[1:])
-                 if hi - lo > 1 and (p := _tile_pairs(t, lo, hi, most)) is not None]
-        if found:
-            cols = [np.concatenate([f[i] for f in found]) for i in range(4)]
-            _, first = np.unique(np.stack(cols[:2], axis=1), axis=0, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c[first]) for c in cols], schema=schema)
+                 if hi - lo > 1 and (p := _tile_pairs(t, lo, hi, best)) is not None]
+        if not found:
+            return
+        x, y, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+        if best:      # one partner for each set of the batch
+            order = np.lexsort((t["cls"][y], -score, t["cls"][x]))
+            c = t["cls"][x[order]]
+            keep = order[np.concatenate(([True], c[1:] != c[:-1]))] if len(order) else order
+        else:
+            swap = t["cls"][x] > t["cls"][y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            both = np.stack((t["cls"][x], t["cls"][y]), axis=1)
+            keep = np.unique(both, axis=0, return_index=True)[1]
+        x, y, score = x[keep], y[keep], score[keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(t["cls"][x]), pa.array(t["cls"][y]), pa.array(t["grp"][x]),
+             pa.array(t["grp"][y]), pa.array(score.astype(np.int32))], schema=schema)
 
     def run(batches):
         rest = None
         for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-            batch = table.to_batches()[0] if table.num_rows else batch
-            t = {c: batch.column(c).to_numpy() for c in batch.schema.names if c != "bits"}
-            t["bits"] = np.frombuffer(b"".join(x.as_py() for x in batch.column("bits")),
-                                      np.uint64).reshape(-1, BITS // 64)
+            if rest is not None and rest.num_rows:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
             new = np.ones(batch.num_rows, bool)
-            new[1:] = np.logical_or.reduce([t[k][1:] != t[k][:-1] for k in keys])
+            new[1:] = np.logical_or.reduce(
+                [(c := batch.column(k).to_numpy())[1:] != c[:-1] for k in keys])
             edges = np.flatnonzero(new)         # the last tile may go on in the next batch
-            yield from emit(t, edges)
+            yield from emit(batch, edges)
             rest = batch.slice(edges[-1])
         if rest is not None and rest.num_rows:
-            t = {c: rest.column(c).to_numpy() for c in rest.schema.names if c != "bits"}
-            t["bits"] = np.frombuffer(b"".join(x.as_py() for x in rest.column("bits")),
-                                      np.uint64).reshape(-1, BITS // 64)
-            yield from emit(t, np.array([0, rest.num_rows]))
+            yield from emit(rest, np.array([0, rest.num_rows]))
 
-    return (tiles.repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(run, PAIR).dropDuplicates(["x", "y"]))
+    pairs = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, PAIR)
+    if best:
+        pairs = (pairs.groupBy("x").agg(F.max(F.struct("score", "y", "gx", "gy")).alias("p"))
+                 .select("x", "p.y", "p.gx", "p.gy"))
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
+                             F.least("gx", "gy").alias("gx"), F.greatest("gx", "gy").alias("gy"))
+    return pairs.select("x", "y", "gx", "gy").dropDuplicates(["x", "y"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -535,7 +554,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["x", "y", "gx", "gy"]).filter(pa.array(keep, pa.bool_()))
 
     return (pairs.join(side("x"), "x").join(side("y"), "y")
-            .select("x", "y", "gx", "gy", "nx", "ny", "tx", "ty").mapInArrow(run, PAIR))
+            .select("x", "y", "gx", "gy", "nx", "ny", "tx", "ty")
+            .mapInArrow(run, "x bigint, y bigint, gx bigint, gy bigint"))
 
 
 # ---------------------------------------------------------------------- join
@@ -556,13 +576,8 @@ def similarity_classes(sets: DataFrame) -> DataFrame:
         roots = done.filter("parent is null").drop("parent")
     forest = staged(forest, "forest")
     pre = staged(prefixes(found), "prefixes")
-    tried = None
-    for most in (FIRST_TRY, None):
-        pairs = candidate_pairs(_tiles(pre, forest), most)
-        if tried is not None:
-            pairs = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tried = pairs
+    for merge in [*range(MERGES), None]:
+        pairs = candidate_pairs(_tiles(pre, forest, merge), best=merge is not None)
         links = staged(verify(pairs, found), "links")
         if links.isEmpty():
             continue
