@@ -49,7 +49,7 @@ ROUNDS = 1                    # star rounds, each with its own min-hash
 LEADERS = 6
 BITS = 1024                   # bitmap size
 BLOCK = 512                   # rows of a tile's block
-MERGES = 4                    # rounds in which each set tries its most promising partner
+MERGES = 4                    # at most so many rounds of the most promising partners
 FIRST = 4                     # prefix shingles that these rounds look at
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -576,10 +576,13 @@ def similarity_classes(sets: DataFrame) -> DataFrame:
         roots = done.filter("parent is null").drop("parent")
     forest = staged(forest, "forest")
     pre = staged(prefixes(found), "prefixes")
-    for merge in [*range(MERGES), None]:
+    todo = [*range(MERGES), None]
+    while todo:
+        merge = todo.pop(0)
         pairs = candidate_pairs(_tiles(pre, forest, merge), best=merge is not None)
         links = staged(verify(pairs, found), "links")
         if links.isEmpty():
+            todo = todo[-1:]          # merging is done: all pairs next, then the end
             continue
         joined = components(links.select(F.col("gx").alias("a"), F.col("gy").alias("b")))
         joined = joined.select(F.col("node"), F.col("root").alias("top"))
