@@ -44,7 +44,7 @@ MARKER = 0xFFFF
 BUCKET_TEXT = 64 << 20
 FLUSH_ANCHORS = 400_000
 FLUSH_ROWS = 60_000
-BLOCK_BYTES = 32 << 20        # surroundings that are sorted together
+BLOCK_BYTES = 4 << 20         # surroundings that are sorted together
 MIN_HOT = 200_000             # occurrences of an anchor that one task sorts at least
 HOT_KEYS = 100_000            # most anchors that can be above the limit
 LOW48 = np.uint64((1 << 48) - 1)
@@ -441,13 +441,16 @@ def _sorted_block(t: pa.Table, schema: pa.Schema):
     lo, hi = t.column("lo").to_numpy().astype(np.int64), t.column("hi").to_numpy().astype(np.int64)
     several = t.column("several").to_numpy().copy()
     data, offs = T.text_bytes(t.column("ctx"))
-    _, inv = T.powers(len(data))
-    total = prefix_hash(data)
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
     group = np.cumsum(new) - 1
-    name = T.mix64((total[offs[1:]] - total[offs[:-1]]) * inv[offs[:-1]]
-                   + T.mix64((right * 4096 + np.diff(offs)).astype(np.uint64)))
+    name = np.zeros(len(key), np.uint64)
+    for x in range(0, len(key), 2000):            # a large group exceeds the block
+        o = offs[x:x + 2001]
+        total = prefix_hash(data[o[0]:o[-1]])
+        _, inv = T.powers(len(total))
+        name[x:x + 2000] = (total[o[1:] - o[0]] - total[o[:-1] - o[0]]) * inv[o[:-1] - o[0]]
+    name = T.mix64(name + T.mix64((right * 4096 + np.diff(offs)).astype(np.uint64)))
     order = np.lexsort((name, group))
     head = np.ones(len(order), bool)
     head[1:] = (name[order][1:] != name[order][:-1]) | (group[order][1:] != group[order][:-1])
@@ -459,15 +462,14 @@ def _sorted_block(t: pa.Table, schema: pa.Schema):
     equal[order] = np.repeat(length > 1, length)
     owner = ~several                       # others got their answer in the reading task
     settled = np.logical_or.reduceat(several[order], start) | (length > 1)
-    spans = [(np.flatnonzero(equal & owner),) * 1]
-    members = [spans[0][0]]
+    members = [np.flatnonzero(equal & owner)]
     los, his = [lo[members[0]]], [hi[members[0]]]
     # Rounds only where a group still has different surroundings.
     kinds = np.bincount(group[rep], minlength=group[-1] + 1)
     go = np.flatnonzero(kinds[group[rep]] > 1)
     if len(go):
         r = rep[go]
-        near = right[r] * 0 + SPAN - right[r]          # left of the anchor, nearest window
+        near = SPAN - right[r]          # left of the anchor, nearest window
         far = near + (hi[r] - lo[r])
         texts = [data[offs[i]:offs[i + 1]] for i in r]
         who, d0, d1 = sort_columns(texts, right[r], group[r], near, far)
@@ -488,8 +490,9 @@ def _sorted_block(t: pa.Table, schema: pa.Schema):
     # Blocks of a hot anchor: windows that other blocks may hold too.
     ids, rks = t.column("doc_id").combine_chunks(), t.column("rk").combine_chunks()
     for j, u in zip(rep[salt[rep] > 0].tolist(), settled[salt[rep] > 0].tolist()):
-        w = np.arange(offs[j], offs[j + 1] - SPAN + 1)
-        h = T.mix64((total[w + SPAN] - total[w]) * inv[w])
+        total = prefix_hash(data[offs[j]:offs[j + 1]])
+        w = np.arange(len(total) - SPAN)
+        h = T.mix64((total[w + SPAN] - total[w]) * T.powers(len(total))[1][w])
         start = lo[j] + np.arange(len(w))
         done = np.full(len(w), u)
         for x, y in zip(a[i == j], b[i == j]):

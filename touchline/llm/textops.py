@@ -12,7 +12,7 @@ from typing import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 U64 = np.uint64
 
 # Multiplier of the polynomial hash; odd, so it has an inverse modulo 2**64.

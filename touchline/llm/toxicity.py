@@ -146,13 +146,22 @@ def train(texts: list, labels: np.ndarray, lexicon: int = 96, voters: int = 24,
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
         at = np.flatnonzero(first)
-        hs.append((h[at], np.diff(np.append(at, len(h)))))
-        rs.append(r[at] + base)
+        hs.append((h[at], np.diff(np.append(at, len(h))).astype(np.int32)))
+        rs.append((r[at] + base).astype(np.int32))
         pats.append(patterns(data, offs))
         base += len(offs) - 1
     h, count = (np.concatenate([x[i] for x in hs]) for i in (0, 1))
     row, pat = np.concatenate(rs), np.concatenate(pats)
-    terms, back = np.unique(h, return_inverse=True)
+    words = np.maximum(np.bincount(row, weights=count, minlength=n), 1)
+    # Terms of one or two rows say nothing about a class.
+    terms, df = np.unique(h, return_counts=True)
+    terms = terms[df >= 3]
+    if not len(terms):
+        terms = np.unique(h)
+    back = np.minimum(np.searchsorted(terms, h), len(terms) - 1).astype(np.int32)
+    known = terms[back] == h
+    back, row, count = back[known], row[known], count[known]
+    del h, hs, rs, known
 
     def association(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smoothed log odds of each term by class, and its z value."""
@@ -175,7 +184,6 @@ def train(texts: list, labels: np.ndarray, lexicon: int = 96, voters: int = 24,
     votes = np.zeros((n, voters + 5), np.int8)
     votes[row[hit], of[back[hit]]] = 1
     hits = np.bincount(row[hit], weights=count[hit], minlength=n)
-    words = np.maximum(np.bincount(row, weights=count, minlength=n), 1)
     # Pattern voters: no mark, two marks, dense marks, many capitals or exclamations.
     votes[:, voters] = np.where(hits == 0, -1, 0)
     votes[:, voters + 1] = np.where(hits >= 4, 1, np.where(hits < 2, -1, 0))
@@ -209,7 +217,7 @@ def train(texts: list, labels: np.ndarray, lexicon: int = 96, voters: int = 24,
     # Both classes weigh alike, however rare one is.
     balance = 0.5 * (post / post.mean() + (1 - post) / (1 - post.mean()))
     rate = 1 / (1.1 * norm * balance.max())
-    # Accelerated proximal steps: weights of terms stay at or above zero and
+    # Accelerated proximal steps: weights stay at or above zero, and terms
     # pay a price, so terms that only a few toxic rows share drop out.
     w = (np.zeros(k), np.zeros(pat.shape[1]), float(np.log(post.mean() / (1 - post.mean()))))
     look, t = w, 1.0
@@ -217,7 +225,7 @@ def train(texts: list, labels: np.ndarray, lexicon: int = 96, voters: int = 24,
         d = (1 / (1 + np.exp(-np.clip(forward(*look), -50, 50))) - post) * balance / n
         g = backward(d)
         new = (np.maximum(0, look[0] - rate * (g[0] + price / n)),
-               look[1] - rate * (g[1] + 1e-3 * look[1]), look[2] - rate * g[2])
+               np.maximum(0, look[1] - rate * (g[1] + 1e-3 * look[1])), look[2] - rate * g[2])
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look = tuple(a + (t - 1) / t_new * (a - old) for a, old in zip(new, w))
         w, t = new, t_new
@@ -231,7 +239,7 @@ def _fold(id_col: str, folds: int):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", folds: int = 5, held: int = 0,
-        max_labelled: int = 6000) -> Scorer:
+        max_labelled: int = 5000) -> Scorer:
     """Train on at most ``max_labelled`` labelled rows outside the held-out
     fold, those with the smallest hash of their id (a documented bound).  A
     document with several labels counts as toxic if any says so; rows with a
