@@ -7,18 +7,20 @@ single text, not on the partition.
 
 from __future__ import annotations
 
+import ctypes
 from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 # Multiplier of the polynomial hash; odd, so it has an inverse modulo 2**64.
 _MUL = 0x9E3779B97F4A7C15 | 2
 _INV = pow(_MUL, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+_LIBC = ctypes.CDLL(None)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -99,6 +101,15 @@ def slices(batches: Iterable[pa.RecordBatch], text: str,
             hi = min(n, max(lo + 1, hi))
             yield batch.slice(lo, hi - lo), data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
             lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed memory back, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray,
