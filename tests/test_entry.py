@@ -8,12 +8,14 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle_or_is_documented(spark):
+    from touchline.plans.registry import QUERIES
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == set()
+    assert set(QUERIES) <= set(o)
 
 
 def test_all_queries_run_on_smoke_data(spark):
-    for name, fn in entry_mod.queries().items():
+    from touchline.plans.registry import QUERIES
+    for name, fn in QUERIES.items():
         df = fn(spark, "/root/testdata/sf0.001")
         assert df.count() >= 0, name

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.operators import profile
 from touchline.plans import inputs, pages
 
-from conftest import SF01
+from conftest import rows, SF01
 
 
 def _close(a, b):
@@ -49,9 +49,43 @@ def test_box_stats_matches_numpy(spark):
     pdf = df.toPandas()
     got = {r.GMV_CATEGORY: r for r in profile.box_stats(df, "GMV_CATEGORY", "AVG_GMV").collect()}
     for cat, g in pdf.groupby("GMV_CATEGORY"):
-        q = np.percentile(g["AVG_GMV"], [0, 25, 50, 75, 100])
-        r = got[cat]
-        assert all(_close(a, b) for a, b in zip([r["min"], r.q1, r.median, r.q3, r["max"]], q))
+        r, want = got[cat], _chart_box(g["AVG_GMV"])
+        assert all(_close(r[k], v) for k, v in want.items())
+
+
+def _chart_box(values):
+    """Quartiles at place n p - 0.5 (numpy's Hazen rule), whiskers at the last
+    points within 1.5 box lengths, points beyond."""
+    v = np.sort(np.asarray(values, float))
+    q1, median, q3 = np.percentile(v, [25, 50, 75], method="hazen")
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    return {"min": v[0], "lower_whisker": min(q1, v[v >= lo][0]), "q1": q1, "median": median,
+            "q3": q3, "upper_whisker": max(q3, v[v <= hi][-1]), "max": v[-1],
+            "outliers": int(((v < lo) | (v > hi)).sum()), "count": len(v)}
+
+
+def test_box_stats_small_groups_and_outliers(spark):
+    groups = {"one": [4.0], "two": [1.0, 5.0], "four": [1.0, 2.0, 3.0, 10.0], "same": [7.0] * 5,
+              "far": [1.0, 2.0, 2.5, 3.0, 3.5, 4.0, 90.0, -80.0]}
+    df = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v], "k string, v double")
+    for r in profile.box_stats(df, "k", "v").collect():
+        assert all(_close(r[k], v) for k, v in _chart_box(groups[r["k"]]).items()), r
+
+
+def test_dotted_columns(spark):
+    df = spark.createDataFrame([(1, 2, "g%s"), (3, None, "h")], "`a.b` int, `c.d.1` int, `e.f` string")
+    assert rows(profile.unique_counts(df)) == [("a.b", "2"), ("c.d.1", "1"), ("e.f", "2")]
+    got = {r.COLUMN_NAME: r["max"] for r in profile.describe(df).collect()}
+    assert got == {"a.b": 3.0, "c.d.1": 2.0}
+    assert [r[0] for r in profile.distinct_values(df, "c.d.1").collect()] == [2]
+
+
+def test_describe_keeps_the_callers_cache(spark):
+    df = spark.range(50).selectExpr("cast(id as double) as x").cache()
+    df.count()
+    profile.describe(df)
+    assert df.storageLevel.useMemory
+    df.unpersist()
 
 
 def test_box_stats_log(spark):
@@ -89,8 +123,9 @@ def test_outbound_profile_pipeline(spark):
     res = pages.outbound_profile(inputs.outbound(spark, SF01))
     tbl = res["table"]
     assert tbl.columns[3] == "CAMPAIGN_LENGTH"
-    assert len(tbl.columns) == 11 - 3  # 10 campaign columns + length, last 3 dropped
-    assert res["describe"].count() == 5
+    # 17 metrics, group, two dates and the length; the three dotted ones dropped
+    assert len(tbl.columns) == 21 - 3 and not [c for c in tbl.columns if "." in c]
+    assert res["describe"].count() == 15
     spans = res["campaign_spans"].first()
     assert spans.LABEL.startswith("Start: ") and "<br>End: " in spans.LABEL
 

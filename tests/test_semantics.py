@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.functions.attribution import classify_source, match_type, within_lookback
@@ -65,14 +66,22 @@ def test_offset_timestamp_month(spark):
 
 def test_money_and_dates(spark):
     df = spark.createDataFrame([("$1,234",), ("1234.5",), ("",), (None,)], "x string")
-    assert [r[0] for r in df.select(money("x")).collect()] == [1234.0, 1234.5, None, None]
-    d = spark.createDataFrame([("2022-01-05",), ("2022/01/06",), ("bad",)], "x string")
-    assert [str(r[0]) for r in d.select(to_day("x")).collect()] == ["2022-01-05", "2022-01-06", "None"]
+    assert [r[0] for r in df.select(money("x", strict=False)).collect()] == [1234.0, 1234.5, None, None]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        df.select(money("x")).collect()
+    assert [r[0] for r in df.filter("x > '$'").select(money("x")).collect()] == [1234.0, 1234.5]
+    good = ["2022-01-05", "2022/01/05", "2022-01-05 23:59", "2022-01-05T10:00:00.5Z", " 2022-01-05 ",
+            "2022/01/05 10:00:00+02:00"]
+    bad = ["bad", "2022-01-05garbage", "2022-13-01", "2022-01/05", "2022-01-05 25:00", "2022-01", ""]
+    d = spark.createDataFrame([(x,) for x in good + bad], "x string")
+    got = [r[0] and str(r[0]) for r in d.select(to_day("x")).collect()]
+    assert got == ["2022-01-05"] * len(good) + [None] * len(bad)
 
 
 def test_number_texts_round_like_python(spark):
     from touchline.functions.text import fixed_text, money_text
-    vals = [12.5, 13.5, 0.125, 1234567.0, 2.0 / 3.0]
+    vals = [12.5, 13.5, 0.125, 1234567.0, 2.0 / 3.0, 2.675, 1.115, -2.675, -1.115, 0.145, 0.375,
+            1.005, 8.345, 1024.125, 99.995, 0.5, 1.5, 2.5, -0.5, 0.0]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = df.select(fixed_text("x", 0).alias("a"), fixed_text("x", 2).alias("b"),
                     money_text("x").alias("c")).collect()

@@ -6,11 +6,28 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.operators.sequence import row_number_within, running_sum
-from touchline.operators.sizing import pareto, pareto_plain
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from touchline.operators.sizing import ARR, OTHER, _label, _q, pareto
 
 from conftest import rows
 
 
+def pareto_plain(df: DataFrame, metric: str = ARR, label_key: str = "CAMPAIGN_GROUP",
+                 threshold: float = 0.8) -> DataFrame:
+    """Reference form of ``pareto`` with a single global window (all rows in
+    one task).  Used by tests to check the scalable form."""
+    w = (Window.orderBy(_q(metric).desc_nulls_last(), _q(label_key).asc_nulls_last())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    total = df.select(F.sum(_q(metric))).scalar()
+    cum = F.when(_q(metric).isNotNull(), F.sum(_q(metric)).over(w))
+    return (df.withColumn("CUMULATIVE_NEW_ARR", cum)
+            .withColumn("COLOR_LABEL",
+                        F.coalesce(_label(F.col("CUMULATIVE_NEW_ARR"), total, threshold),
+                                   F.lit(OTHER))))
+
+
 def _data(spark, n=3000, seed=7):
     rnd = random.Random(seed)
     # one hot group holding a third of the rows, many small ones, some nulls

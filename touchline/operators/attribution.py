@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.attribution import (
     UNITS_PER_SECOND, classify_source, match_type, within_lookback,
 )
 from touchline.functions.text import month_start_date, month_start_text
-from touchline.operators.joins import lookback_join
 from touchline.operators.sequence import row_number_within
 
 # Join keys of the two attribution statements.
@@ -98,6 +97,49 @@ def journey(events: DataFrame, keys: Sequence[str] = KEYS_WITH_SHOP,
         within_lookback("t_ts", "o_ts", days, epoch_unit).alias("is_within_lookback"))
 
 
+# Order of touches when several qualify: the latest, then the smallest id,
+# then the smallest values of whatever the output shows.
+_TOUCH_RANK = ("t_event_id", "attribution_source", "t_referrer", "t_medium", "t_campaign",
+               "t_user", "t_session", "t_ip", "t_shop")
+_ORDER_RANK = ("o_event_id", "o_processed_at", "o_price", "o_shop", "o_user", "o_ip")
+AS_OF_BUCKETS = 8
+
+
+def _touch_rank(*more: str):
+    return F.struct((-F.col("t_ts")).alias("_late"), *_TOUCH_RANK, *more)
+
+
+def as_of_touches(o: DataFrame, t: DataFrame, keys: Sequence[str], days: int,
+                  epoch_unit: str = "s", strict: bool = False) -> DataFrame:
+    """For each order event some touches of its key inside the window, the
+    last one among them.
+
+    Time is cut into buckets of an eighth of the window.  Of an earlier bucket
+    only its best touch can win, so each order meets the touches of its own
+    bucket and one row of each bucket before; nothing else is paired, and a
+    heavy key is cut by time.  ``strict`` takes touches before the order only.
+    """
+    span = days * 86400 * UNITS_PER_SECOND[epoch_unit]
+    width = max(1, -(-span // AS_OF_BUCKETS))
+    tkeys = [_KEY_COLS[k][1] for k in keys]
+    t = t.withColumn("_tb", F.floor(F.col("t_ts") / F.lit(width)))
+    o = o.withColumn("_ob", F.floor(F.col("o_ts") / F.lit(width)))
+    order = F.col("t_ts") < F.col("o_ts") if strict else F.col("t_ts") <= F.col("o_ts")
+    inside = order & (F.col("t_ts") >= F.col("o_ts") - F.lit(span))
+    own = (o.withColumn("_tb", F.col("_ob")).join(
+        t.withColumnRenamed("_tb", "_b"), [F.col("_tb") == F.col("_b"), *_key_condition(o, t, keys)])
+        .filter(inside).drop("_tb", "_b", "_ob"))
+    cols = [c for c in t.columns if c not in ("_tb", *tkeys)]
+    best = (t.filter(F.col("t_ts").isNotNull()).groupBy("_tb", *tkeys)
+            .agg(F.min_by(F.struct(*cols), _touch_rank()).alias("_w"))
+            .select(F.col("_tb").alias("_b"), *tkeys, "_w.*"))
+    back = F.explode(F.sequence(F.col("_ob") - AS_OF_BUCKETS - 1, F.col("_ob") - 1))
+    far = o.withColumn("_tb", back)
+    before = (far.join(best, [F.col("_tb") == F.col("_b"), *_key_condition(far, best, keys)])
+              .filter(inside).drop("_tb", "_b", "_ob"))
+    return own.unionByName(before)
+
+
 _LAST_TOUCH_OUT = [
     ("order_id", "shopifyOrderId"), ("o_shop", "shopifyShopURL"),
     ("o_processed_at", "shopifyOrderProcessedAt"), ("o_price", "shopifyOrderTotalPrice"),
@@ -108,7 +150,8 @@ _LAST_TOUCH_OUT = [
 
 
 def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WITH_SHOP,
-               order_key: Sequence[str] = ("order_id",), epoch_unit: str = "s") -> DataFrame:
+               order_key: Sequence[str] = ("order_id",), epoch_unit: str = "s",
+               strict: bool = False, touches: Column | None = None) -> DataFrame:
     """Last touch inside the lookback window, one row per order key.
 
     Equivalent to ``ROW_NUMBER() OVER (PARTITION BY order ORDER BY touch ts
@@ -121,39 +164,39 @@ def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WIT
       of one key group is the same touch: the one with the lowest id.  It
       is taken per key group first (``min`` of a struct, partial-aggregated
       map-side), then joined to the order events -- one row per order event.
-    * Otherwise (identity keys such as the user) the window itself bounds
-      the candidates: the bucketed ``lookback_join`` pairs each order only
-      with touches of the last ``days``, reduced per order event by
-      ``min_by``.
+    * Otherwise (identity keys such as the user) ``as_of_touches`` pairs an
+      order only with touches of its own time bucket and the best one of each
+      earlier bucket.
     * Finally ``min_by`` per order key picks the latest touch across that
       order's events.
+
+    Ties go by touch id, then by the values shown, then by order event; no
+    step needs an event id.  ``strict`` takes touches before the order only
+    (an order event is a touch of itself otherwise, so no window can then cut
+    anything); ``touches`` restricts which events count as touches.
     """
     o = order_events(events)
     t = touchpoints(events)
+    if touches is not None:
+        t = touchpoints(events.filter(touches))
     if "timestamp" in keys:
+        if strict:
+            raise ValueError("keys with the timestamp admit no earlier touch")
         tkeys = [_KEY_COLS[k][1] for k in keys]
-        rest = [c for c in t.columns if c not in tkeys and c != "t_event_id"]
-        best = (t.filter(F.col("t_ts").isNotNull())
-                .groupBy(*tkeys)
-                .agg(F.min(F.struct("t_event_id", *rest)).alias("_best")))
+        rest = [c for c in t.columns if c not in tkeys]
+        best = (t.filter(F.col("t_ts").isNotNull()).groupBy(*tkeys)
+                .agg(F.min_by(F.struct(*rest), F.struct(*[c for c in _TOUCH_RANK if c in rest]))
+                     .alias("_best")))
         best = best.select(*tkeys, "_best.*")
         per_order_event = o.join(best, _key_condition(o, best, keys))
     else:
-        # Candidates come from the bucketed range join, so only touches
-        # inside the window are paired; they are reduced per order event
-        # right after the join (partial aggregation).
-        pairs = lookback_join(o, t, [_KEY_COLS[k] for k in keys], "o_ts", "t_ts", days,
-                              UNITS_PER_SECOND[epoch_unit])
-        rank = F.struct((-F.col("t_ts")).alias("a"), F.col("t_event_id").alias("b"))
-        win = F.min_by(F.struct(*pairs.columns), rank).alias("_w")
-        per_order_event = pairs.groupBy("o_event_id").agg(win).select("_w.*")
+        per_order_event = as_of_touches(o, t, keys, days, epoch_unit, strict)
     cand = (per_order_event
             .filter((F.col("t_ts") <= F.col("o_ts"))
                     & (within_lookback("t_ts", "o_ts", days, epoch_unit) == 1))
             .withColumn("match_type",
                         match_type("o_user", "t_user", "o_ip", "t_ip", "o_ts", "t_ts")))
-    rank = F.struct((-F.col("t_ts")).alias("a"), F.col("t_event_id").alias("b"),
-                    F.col("o_event_id").alias("c"))
+    rank = _touch_rank(*_ORDER_RANK)
     keep = [src for src, _ in _LAST_TOUCH_OUT]
     win = F.min_by(F.struct(*keep), rank).alias("_w")
     okeys = [_ORDER_KEY_ALIASES.get(k, k) for k in order_key]
@@ -167,7 +210,8 @@ def attribution_report(last: DataFrame, ordered: bool = True) -> DataFrame:
     ``last`` holds one row per order key (``last_touch``), so the distinct
     order count of a group equals its row count; plain ``count`` keeps the
     aggregate partial (map-side) instead of shuffling every order id.
-    Revenue is summed exactly as DECIMAL(18,2) and returned as DOUBLE.
+    Revenue is summed as DECIMAL(38,10), rounded once to cents, and returned
+    as DOUBLE.
     """
     out = (last.groupBy(
         F.col("shopifyShopURL").alias("STORE"),
@@ -177,27 +221,57 @@ def attribution_report(last: DataFrame, ordered: bool = True) -> DataFrame:
         F.coalesce(F.col("utmMedium"), F.lit("none")).alias("MEDIUM"),
         F.coalesce(F.col("utmCampaign"), F.lit("none")).alias("CAMPAIGN"))
         .agg(F.count("shopifyOrderId").alias("ATTRIBUTED_ORDERS"),
-             F.sum(F.col("shopifyOrderTotalPrice").cast("decimal(18,2)"))
+             F.round(F.sum(F.col("shopifyOrderTotalPrice").cast("decimal(38,10)")), 2)
              .cast("double").alias("ATTRIBUTED_REVENUE")))
     if ordered:
         out = out.orderBy(F.col("STORE"), F.col("MONTH"), F.col("ATTRIBUTED_ORDERS").desc())
     return out
 
 
+_STEP_ORDER = ("t_ts", *_TOUCH_RANK, *_ORDER_RANK)
+
+
 def touch_journey(events: DataFrame, keys: Sequence[str] = KEYS_NO_SHOP,
                   ordered: bool = True, n_buckets: int | None = None) -> DataFrame:
     """Every touch of every order with its step number (1 = earliest).
 
     Steps count across all events of an order id, ordered by touch time,
-    then touch id, then order event id.  Numbering uses the range-bucketed
+    then touch id, then all that the rows hold, then order event, so the order
+    is total up to equal rows.  Numbering uses the range-bucketed
     ``row_number_within`` so one large order never lands in a single task.
     """
-    pairs = journey(events, keys).select(
-        "order_id", "o_shop", "o_event_id", "t_ts", "t_event_id", "attribution_source")
-    numbered = row_number_within(pairs, ["order_id"], ["t_ts", "t_event_id", "o_event_id"],
+    pairs = journey(events, keys).select("order_id", *_STEP_ORDER)
+    numbered = row_number_within(pairs, ["order_id"], list(_STEP_ORDER),
                                  out="TOUCHPOINT_STEP", n_buckets=n_buckets)
-    out = numbered.select(F.col("order_id").alias("SHOPIFYORDERID"),
-                          F.col("o_shop").alias("SHOPIFYSHOPURL"),
-                          F.col("TOUCHPOINT_STEP").cast("bigint").alias("TOUCHPOINT_STEP"),
-                          F.col("attribution_source").alias("ATTRIBUTION_SOURCE"))
+    out = _steps(numbered)
     return out.orderBy("SHOPIFYORDERID", "TOUCHPOINT_STEP") if ordered else out
+
+
+def _steps(numbered: DataFrame) -> DataFrame:
+    return numbered.select(F.col("order_id").alias("SHOPIFYORDERID"),
+                           F.col("o_shop").alias("SHOPIFYSHOPURL"),
+                           F.col("TOUCHPOINT_STEP").cast("bigint").alias("TOUCHPOINT_STEP"),
+                           F.col("attribution_source").alias("ATTRIBUTION_SOURCE"))
+
+
+def first_steps(events: DataFrame, below: int = 10,
+                keys: Sequence[str] = KEYS_NO_SHOP) -> DataFrame:
+    """``touch_journey`` cut to steps under ``below``, without its pairs.
+
+    With keys that hold the timestamp, a pair among an order's first n can
+    only use one of its key's first n touches.  Those are kept before the
+    join (Spark cuts each task's groups to n rows before the shuffle), so
+    every order event meets n touches at most.
+    """
+    if "timestamp" not in keys:
+        raise ValueError("the keys must hold the timestamp")
+    n = below - 1
+    t = touchpoints(events)
+    tkeys = [_KEY_COLS[k][1] for k in keys]
+    rank = [c for c in _TOUCH_RANK if c not in tkeys]
+    t = (t.withColumn("_k", F.row_number().over(Window.partitionBy(*tkeys).orderBy(*rank)))
+         .filter(F.col("_k") <= n).drop("_k"))
+    o = order_events(events)
+    step = F.row_number().over(Window.partitionBy("order_id").orderBy(*_STEP_ORDER))
+    pairs = o.join(t, _key_condition(o, t, keys)).filter(F.col("t_ts") <= F.col("o_ts"))
+    return _steps(pairs.withColumn("TOUCHPOINT_STEP", step).filter(F.col("TOUCHPOINT_STEP") <= n))

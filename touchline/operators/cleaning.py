@@ -43,10 +43,13 @@ def date_like_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 
 def clean(df: DataFrame, strict: bool = True, free_text: Sequence[str] = FREE_TEXT,
-          categories: Sequence[str] = CATEGORIES) -> DataFrame:
+          categories: Sequence[str] = CATEGORIES,
+          date_columns: Sequence[str] | None = None) -> DataFrame:
+    """See above.  With ``date_columns`` (a declared schema) the content test
+    is skipped and building the plan runs no job."""
     text = [f.name for f in df.schema.fields
             if isinstance(f.dataType, StringType) and f.name not in free_text]
-    dates = set(date_like_columns(df, text))
+    dates = set(date_like_columns(df, text) if date_columns is None else date_columns)
     to_int = to_int_strict if strict else to_int_lenient
     out, dedup = [], False
     for f in df.schema.fields:

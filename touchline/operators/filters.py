@@ -29,11 +29,6 @@ def optional_filters(df: DataFrame, eq: Mapping[str, object] | None = None,
     return df.filter(all_of(conds)) if conds else df
 
 
-def require(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Drop rows with NULL in any of ``cols``."""
-    return df.na.drop(subset=list(cols))
-
-
 def require_rows(df: DataFrame) -> DataFrame:
     """Raise when the table is empty (one tiny action)."""
     if df.isEmpty():

@@ -10,7 +10,9 @@ from pyspark.sql.types import NumericType
 
 from touchline.functions.semantics import sum_or_zero
 from touchline.functions.text import log1p_positive
-from touchline.operators.quantiles import exact_quantiles
+from touchline.operators.quantiles import (
+    exact_quantiles, join_groups, quantiles_of, ranked_values,
+)
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -23,10 +25,18 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
+def _unpivot(wide: DataFrame, cols: Sequence[str], value: str) -> DataFrame:
+    """(COLUMN_NAME, ``value``) from columns named c0, c1, ... in the order of
+    ``cols``; names with dots or other signs are only ever literals."""
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (f"c{i}", c)])
+    return (wide.unpivot([], [f"c{i}" for i in range(len(cols))], "COLUMN_NAME", value)
+            .withColumn("COLUMN_NAME", names[F.col("COLUMN_NAME")]))
+
+
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(COLUMN_NAME, VALUE double) -- one row per cell of ``cols``."""
-    wide = df.select(*[_q(c).cast("double").alias(c) for c in cols])
-    return wide.unpivot([], list(cols), "COLUMN_NAME", "VALUE")
+    wide = df.select(*[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    return _unpivot(wide, cols, "VALUE")
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None,
@@ -65,12 +75,12 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
     ``approx=True`` uses HyperLogLog sketches (no expansion)."""
     cols = list(cols) if cols is not None else df.columns
     fn = F.approx_count_distinct if approx else F.count_distinct
-    agg = df.agg(*[fn(_q(c)).cast("string").alias(c) for c in cols])
-    return agg.unpivot([], list(cols), "COLUMN_NAME", "UNIQUE_VALUES")
+    agg = df.agg(*[fn(_q(c)).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+    return _unpivot(agg, cols, "UNIQUE_VALUES")
 
 
 def distinct_values(df: DataFrame, col: str, ordered: bool = True) -> DataFrame:
-    out = df.select(_q(col)).na.drop().distinct()
+    out = df.select(_q(col)).filter(_q(col).isNotNull()).distinct()
     return out.orderBy(_q(col)) if ordered else out
 
 
@@ -106,26 +116,37 @@ def metric_by_start_month(df: DataFrame, metric: str,
 
 def box_stats(df: DataFrame, key: str, value: str, log: bool = False,
               decimals: int | None = None, approx: bool = False) -> DataFrame:
-    """Five-number summary of ``value`` per ``key`` (exact linear quartiles;
-    ``approx=True``: ``percentile_approx`` in one pass).  ``log=True`` first
-    maps x to log(1 + x) for x > 0, else NULL (dropped).  ``decimals``
-    rounds the statistics."""
+    """What a box chart draws of ``value`` per ``key``: quartiles by the chart
+    library's rule (interpolated at place n p - 0.5), whiskers (the last
+    values within 1.5 box lengths of the box), and how many points lie beyond
+    them.  ``approx=True``: ``percentile_approx`` quartiles, no ranking.
+    ``log=True`` first maps x to log(1 + x) for x > 0, else NULL (dropped).
+    ``decimals`` rounds the statistics."""
     v = log1p_positive(_q(value)) if log else _q(value).cast("double")
     base = df.select(_q(key).alias("KEY"), v.alias("VALUE"))
     base = base.filter(F.col("VALUE").isNotNull() & ~F.isnan("VALUE"))
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     if approx:
-        j = base.groupBy("KEY").agg(
-            F.count(F.lit(1)).alias("count"), F.min("VALUE").alias("min"),
-            F.max("VALUE").alias("max"),
-            *[F.percentile_approx("VALUE", p, 10000).alias(n) for n, p in probs.items()])
+        values = base.withColumnRenamed("VALUE", "_v")
+        box = values.groupBy("KEY").agg(
+            *[F.percentile_approx("_v", p, 10000).alias(n) for n, p in probs.items()])
     else:
-        j = exact_quantiles(base, ["KEY"], "VALUE", probs, extra={
-            "count": F.count, "min": F.min, "max": F.max})
-    stats = ["min", "q1", "median", "q3", "max"]
+        values = ranked_values(base, ["KEY"], "VALUE")
+        box = quantiles_of(values, ["KEY"], probs, "chart")
+    # One row per key on the right.
+    points = join_groups(values.select("KEY", "_v"), box, ["KEY"])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    v = F.col("_v")
+    j = points.groupBy("KEY", *probs).agg(
+        F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.least("q1", F.min(F.when(v >= F.col("q1") - reach, v))).alias("lower_whisker"),
+        F.greatest("q3", F.max(F.when(v <= F.col("q3") + reach, v))).alias("upper_whisker"),
+        F.count_if((v < F.least(F.col("q1"), F.col("q1") - reach))
+                   | (v > F.greatest(F.col("q3"), F.col("q3") + reach))).alias("outliers"))
+    stats = ["min", "lower_whisker", "q1", "median", "q3", "upper_whisker", "max"]
     if decimals is not None:
         j = j.withColumns({c: F.round(c, decimals) for c in stats})
-    return j.select(F.col("KEY").alias(key), "count", *stats)
+    return j.select(F.col("KEY").alias(key), "count", *stats, "outliers")
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:

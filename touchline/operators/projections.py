@@ -30,10 +30,6 @@ def drop_last(df: DataFrame, n: int) -> DataFrame:
     return df.select(*[_q(c) for c in df.columns[:-n]]) if n else df
 
 
-def rename_positional(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.toDF(*names)
-
-
 def with_campaign_length(df: DataFrame, start: str = "CAMPAIGN_START_DATE",
                          last: str = "CAMPAIGN_LAST_DATE",
                          name: str = "CAMPAIGN_LENGTH") -> DataFrame:
@@ -46,11 +42,11 @@ def campaign_spans(df: DataFrame, metric: str, group: str = "CAMPAIGN_GROUP",
                    last: str = "CAMPAIGN_LAST_DATE") -> DataFrame:
     """One span per campaign row with all four fields present, plus the hover
     label 'Start: ..<br>End: ..<br>metric: value'."""
-    rows = df.na.drop(subset=[start, last, metric, group])
-    # arguments as text: format_string would print a DATE as its day number
-    label = F.format_string(f"Start: %s<br>End: %s<br>{metric}: %s",
-                            _q(start).cast("string"), _q(last).cast("string"),
-                            _q(metric).cast("string"))
+    rows = df
+    for c in (start, last, metric, group):
+        rows = rows.filter(_q(c).isNotNull())
+    label = F.concat(F.lit("Start: "), _q(start).cast("string"), F.lit("<br>End: "),
+                     _q(last).cast("string"), F.lit(f"<br>{metric}: "), _q(metric).cast("string"))
     return rows.select(_q(group).alias("CAMPAIGN_GROUP"), _q(start).alias("START"),
                        _q(last).alias("END"), _q(metric).alias("VALUE"), label.alias("LABEL"))
 

@@ -2,7 +2,8 @@
 group, computed from distributed ranks rather than by gathering a group's
 values in one task.
 
-For n values of a group and probability p, h = (n - 1) p; the result is
+For n values of a group and probability p, h = (n - 1) p (``RULES`` has the
+chart library's rule as well); the result is
 v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h) with v 0-indexed in
 ascending order.  NULL and NaN values are ignored.
 """
@@ -17,42 +18,66 @@ from pyspark.sql import functions as F
 from touchline.operators.sequence import running
 
 
+# Place of probability p among n sorted values, counted from 0.
+RULES: dict[str, Callable[[Column, float], Column]] = {
+    "linear": lambda n, p: (n - 1).cast("double") * F.lit(float(p)),
+    # The chart library's default for box plots; outside 0..n-1 the end value.
+    "chart": lambda n, p: F.greatest(F.lit(0.0), F.least(
+        n.cast("double") * F.lit(float(p)) - 0.5, (n - 1).cast("double"))),
+}
+
+
+def ranked_values(df: DataFrame, group_cols: Sequence[str], value_col: str,
+                  n_buckets: int | None = None) -> DataFrame:
+    """Checkpointed values with rank ``_r`` (from 1) and group size ``_n``."""
+    g = list(group_cols)
+    vals = (df.select(*g, F.col(value_col).cast("double").alias("_v"))
+            .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+            # unique tie-breaker: lets the range split a run of equal values
+            .withColumn("_id", F.monotonically_increasing_id()))
+    ranked = running(vals, g, ["_v", "_id"], out="_r", n_buckets=n_buckets, total_out="_n")
+    return ranked.select(*g, "_v", "_r", "_n")
+
+
+def quantiles_of(ranked: DataFrame, group_cols: Sequence[str], probs: Mapping[str, float],
+                 rule: str = "linear") -> DataFrame:
+    """One row per group; only the few rows at wanted ranks are looked at
+    after one filter."""
+    g = list(group_cols)
+    at = {name: RULES[rule](F.col("_n"), p) for name, p in probs.items()}
+    wanted = [f(h).cast("bigint") + 1 for h in at.values() for f in (F.floor, F.ceil)]
+    hits = ranked.filter(F.array_contains(F.array(*wanted), F.col("_r").cast("bigint")))
+
+    def value(h: Column) -> Column:
+        lo = F.max(F.when(F.col("_r") == F.floor(h) + 1, F.col("_v")))
+        hi = F.max(F.when(F.col("_r") == F.ceil(h) + 1, F.col("_v")))
+        return lo + (hi - lo) * F.max(h - F.floor(h))
+
+    return hits.groupBy(*g).agg(*[value(h).alias(name) for name, h in at.items()])
+
+
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: dict[str, float], n_buckets: int | None = None,
-                    extra: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                    extra: Mapping[str, Callable[[Column], Column]] | None = None,
+                    rule: str = "linear") -> DataFrame:
     """One row per group with one column per entry of ``probs``.
 
     ``extra`` adds other aggregates of the same values (name -> function of
     the value column), computed from the same checkpointed relation so the
     input is read only once."""
     g = list(group_cols)
-    v = F.col(value_col).cast("double")
-    vals = (df.select(*g, v.alias("_v"))
-            .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-            # unique tie-breaker: lets the range split a run of equal values
-            .withColumn("_id", F.monotonically_increasing_id()))
-    ranked = running(vals, g, ["_v", "_id"], out="_r", n_buckets=n_buckets, total_out="_n")
-    ranked = ranked.select(*g, "_v", "_r", "_n")
-
-    h = [(name, (F.col("_n") - 1).cast("double") * F.lit(float(p))) for name, p in probs.items()]
-    want = F.array(*[F.struct(F.lit(name).alias("q"), F.floor(hx).alias("lo"),
-                              F.ceil(hx).alias("hi"), (hx - F.floor(hx)).alias("frac"))
-                     for name, hx in h])
-    # Rows whose rank some quantile needs: lo or hi position (1-based rank).
-    per_row = ranked.select(*g, "_v", "_r", F.explode(want).alias("w"))
-    hits = per_row.filter((F.col("_r") == F.col("w.lo") + 1) | (F.col("_r") == F.col("w.hi") + 1))
-    parts = (hits.groupBy(*g, F.col("w.q").alias("q"))
-             .agg(F.max(F.when(F.col("_r") == F.col("w.lo") + 1, F.col("_v"))).alias("lo_v"),
-                  F.max(F.when(F.col("_r") == F.col("w.hi") + 1, F.col("_v"))).alias("hi_v"),
-                  F.max("w.frac").alias("frac")))
-    parts = parts.withColumn("qv", F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"))
-    out = parts.groupBy(*g).agg(*[F.max(F.when(F.col("q") == name, F.col("qv"))).alias(name)
-                                  for name in probs])
+    ranked = ranked_values(df, g, value_col, n_buckets)
+    out = quantiles_of(ranked, g, probs, rule)
     if not extra:
         return out
-    stats = ranked.groupBy(*g).agg(*[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
     if not g:
         raise ValueError("extra aggregates need at least one group column")
-    s2 = stats.select(*[F.col(c).alias(f"_s_{c}") if c in g else F.col(c) for c in stats.columns])
-    cond = [out[c].eqNullSafe(s2[f"_s_{c}"]) for c in g]
-    return out.join(s2, cond).drop(*[f"_s_{c}" for c in g])
+    stats = ranked.groupBy(*g).agg(*[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
+    return join_groups(out, stats, g)
+
+
+def join_groups(left: DataFrame, right: DataFrame, g: Sequence[str]) -> DataFrame:
+    """Join on group columns that may be NULL."""
+    r = right.select(*[F.col(c).alias(f"_s_{c}") if c in g else F.col(c) for c in right.columns])
+    cond = [left[c].eqNullSafe(r[f"_s_{c}"]) for c in g]
+    return left.join(r, cond).drop(*[f"_s_{c}" for c in g])

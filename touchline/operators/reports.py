@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from touchline.functions.semantics import is_member, percent_of
 from touchline.functions.text import trunc_int
-from touchline.operators.sequence import row_number_within
 
 SOURCE = "ATTRIBUTION_SOURCE"
 
@@ -82,9 +81,9 @@ def source_edges(report: DataFrame) -> DataFrame:
     name order, then 'Purchase')."""
     agg = (report.filter(F.col(SOURCE).isNotNull())
            .groupBy(SOURCE).agg(F.sum(trunc_int("ATTRIBUTED_ORDERS")).alias("VALUE")))
-    # One row per distinct source, numbered in name order with the
-    # range-bucketed row number (no single-task global window).
-    numbered = row_number_within(agg, [], [SOURCE], out="_n", total_out="_k")
+    # One row per distinct source, so a plain window over them will do.
+    numbered = (agg.withColumn("_n", F.row_number().over(Window.orderBy(SOURCE)))
+                .withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy())))
     return numbered.select(F.col(SOURCE).alias("SOURCE"),
                            (F.col("_n") - 1).cast("bigint").alias("SOURCE_INDEX"),
                            F.lit("Purchase").alias("TARGET"),

@@ -9,8 +9,9 @@ into many buckets of similar size:
 1. ``repartitionByRange(g, o)``; the bucket id is the partition id.  With
    no explicit bucket count, AQE coalesces neighbouring range partitions
    up to the advisory partition size, so buckets stay contiguous key
-   ranges and their number follows the data size: a hot group is cut into
-   pieces of about that size, a small input costs one bucket.  The
+   ranges.  A piece of a hot group is the input's size divided by
+   ``spark.sql.shuffle.partitions`` at least, so that number (or
+   ``n_buckets``) is to be set from the input's size on large data.  The
    result is checkpointed to the shared folder so both later reads see the
    same bucket ids even after a lost executor.  The input is persisted
    while this runs: the range partitioner samples its input in a separate
@@ -66,13 +67,15 @@ def running(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
     pcols = list(partition_cols)
     order = [_col(c) for c in order_cols]
     sort_key = [F.col(c).asc_nulls_first() for c in pcols] + order
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    held = df.storageLevel.useMemory or df.storageLevel.useDisk   # the caller's own cache
+    src = df if held else df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ranged = (src.repartitionByRange(n_buckets, *sort_key) if n_buckets
                   else src.repartitionByRange(*sort_key))
         b = reliable_checkpoint(ranged.withColumn(_B, F.spark_partition_id()))
     finally:
-        src.unpersist()
+        if not held:
+            src.unpersist()
 
     measure = F.count(F.lit(1)) if value is None else F.sum(F.col(value))
     per_bucket = b.groupBy(_B, *pcols).agg(measure.alias("_tl_m"))

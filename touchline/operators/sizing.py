@@ -44,26 +44,13 @@ def pareto(df: DataFrame, metric: str = ARR, label_key: str = "CAMPAIGN_GROUP",
                            value="_m", out="CUMULATIVE_NEW_ARR", n_buckets=n_buckets,
                            total_out="_total")
     cum = F.when(_q(metric).isNotNull(), F.col("CUMULATIVE_NEW_ARR"))
-    return (with_cum.withColumn("CUMULATIVE_NEW_ARR", cum.cast("bigint"))
+    # The total keeps the metric's type, fractions included.
+    return (with_cum.withColumn("CUMULATIVE_NEW_ARR", cum)
             .withColumn("COLOR_LABEL",
                         F.coalesce(_label(cum, F.col("_total"), threshold), F.lit(OTHER)))
             .drop("_m", "_total"))
 
 
-def pareto_plain(df: DataFrame, metric: str = ARR, label_key: str = "CAMPAIGN_GROUP",
-                 threshold: float = 0.8) -> DataFrame:
-    """Reference form of ``pareto`` with a single global window (all rows in
-    one task).  Used by tests to check the scalable form."""
-    w = (Window.orderBy(_q(metric).desc_nulls_last(), _q(label_key).asc_nulls_last())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    total = df.select(F.sum(_q(metric))).scalar()
-    cum = F.when(_q(metric).isNotNull(), F.sum(_q(metric)).over(w))
-    return (df.withColumn("CUMULATIVE_NEW_ARR", cum.cast("bigint"))
-            .withColumn("COLOR_LABEL",
-                        F.coalesce(_label(F.col("CUMULATIVE_NEW_ARR"), total, threshold),
-                                   F.lit(OTHER))))
-
-
 # Texts the sizing page prints around its numbers.
 TITLE_PARETO = "{pct}% of Campaigns Account for 80% of Total New ARR"
 TEXT_OUTBOUND_ARR = "Total New ARR from Outbound Campaigns: "

@@ -12,7 +12,7 @@ b AS (
          cast(floor(cast(floor(epoch(ts)) AS bigint) / 3600) * 3600 AS bigint) AS t,
          'u' || cast(user_id AS varchar) AS u,
          's' || cast(user_id % 5 AS varchar) AS shop,
-         'ip' || cast(user_id % 7 AS varchar) AS ip,
+         'ip' || cast(user_id // 7 AS varchar) AS ip,
          cast(json_extract_string(props, '$.k') AS bigint) AS k
   FROM events),
 pixel AS (
@@ -77,7 +77,8 @@ report AS (
          attribution_source AS ATTRIBUTION_SOURCE, pageReferrer AS PAGEREFERRER,
          coalesce(utmMedium, 'none') AS MEDIUM, coalesce(utmCampaign, 'none') AS CAMPAIGN,
          count(DISTINCT shopifyOrderId) AS ATTRIBUTED_ORDERS,
-         cast(sum(cast(shopifyOrderTotalPrice AS decimal(18,2))) AS double) AS ATTRIBUTED_REVENUE
+         cast(round(sum(cast(shopifyOrderTotalPrice AS decimal(28,10))), 2) AS double)
+           AS ATTRIBUTED_REVENUE
   FROM lca GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
@@ -132,7 +133,7 @@ SQL["attribution_report_180"] = attribution_model(180)
 SQL["last_touch"] = with_ctes(PIXEL, ORDERS_TOUCHES, _last_click(90), body="""
 SELECT shopifyOrderId, o_shop AS shopifyShopURL,
        strftime(shopifyOrderProcessedAt, '%Y-%m-%d') AS shopifyOrderProcessedAt,
-       cast(cast(shopifyOrderTotalPrice AS decimal(18,2)) AS double) AS shopifyOrderTotalPrice,
+       cast(cast(shopifyOrderTotalPrice AS decimal(28,10)) AS double) AS shopifyOrderTotalPrice,
        attribution_source, pageReferrer, utmMedium, utmCampaign, match_type,
        t_ts AS touchpoint_timestamp
 FROM lca""")
@@ -196,37 +197,43 @@ FROM (SELECT ATTRIBUTION_SOURCE, TOUCHPOINT_STEP, count(DISTINCT SHOPIFYORDERID)
 
 # --- campaigns / market / tenants (FIXTURES.md §2-4) ----------------------------
 
-OUTBOUND = r"""
+def _icp_orders(least: int) -> str:
+    return ("count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 "
+            f"AND l_quantity >= {least} THEN l_orderkey END)")
+
+
+OUTBOUND = f"""
 outbound AS (
   SELECT p_brand || '/' || p_type AS CAMPAIGN_GROUP,
          cast(min(l_shipdate) AS date) AS CAMPAIGN_START_DATE,
          cast(max(l_shipdate) AS date) AS CAMPAIGN_LAST_DATE,
+         cast(sum(l_linenumber) AS bigint) AS NB_EMAILS,
          count(*) AS NB_CONTACTS_TOUCHED,
          count(DISTINCT l_orderkey) AS NB_COMPANIES_TOUCHED,
-         count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity >= 45
-                             THEN l_orderkey END) AS NB_COMPANIES_TOUCHED_ICP,
-         count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity >= 46
-                             THEN l_orderkey END) AS NB_COMPANIES_CLICKED_ICP,
-         count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity >= 48
-                             THEN l_orderkey END) AS NB_COMPANIES_REPLIED_ICP,
-         count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 AND l_quantity >= 49
-                             THEN l_orderkey END) AS NB_COMPANIES_REPLIED_POSITIVE_ICP,
+         count(*) FILTER (l_quantity >= 25) AS TOTAL_NB_CLICKS,
+         count(*) FILTER (l_returnflag = 'A') AS TOTAL_NB_POSITIVE_REPLIES_PER_CAMPAIGN,
+         count(*) FILTER (l_returnflag = 'N') AS TOTAL_NB_NEGATIVE_REPLIES_PER_CAMPAIGN,
+         count(DISTINCT l_orderkey) FILTER (l_quantity >= 40) AS NB_COMPANIES_CLICKED,
+         count(DISTINCT l_orderkey) FILTER (l_quantity >= 50) AS NB_CUSTOMERS_FROM_OB_ALL_TIME,
+         cast(sum(cast(floor(l_extendedprice) AS bigint)) AS bigint)
+           AS PIPELINE_OPP_AMOUNT_FROM_OB_ALL_TIME,
          cast(floor(sum(cast(floor(l_quantity) AS bigint)) / 500.0) * 500 AS bigint)
-           AS NEW_ARR_FROM_OB_ALL_TIME
+           AS NEW_ARR_FROM_OB_ALL_TIME,
+         {_icp_orders(45)} AS NB_COMPANIES_TOUCHED_ICP,
+         {_icp_orders(46)} AS NB_COMPANIES_CLICKED_ICP,
+         {_icp_orders(48)} AS NB_COMPANIES_REPLIED_ICP,
+         {_icp_orders(49)} AS NB_COMPANIES_REPLIED_POSITIVE_ICP,
+         {_icp_orders(46)} AS "NB_COMPANIES_CLICKED_ICP.1",
+         {_icp_orders(48)} AS "NB_COMPANIES_REPLIED_ICP.1",
+         {_icp_orders(49)} AS "NB_COMPANIES_REPLIED_POSITIVE_ICP.1"
   FROM lineitem JOIN part ON l_partkey = p_partkey
   GROUP BY 1),
 ob AS (SELECT DISTINCT * FROM outbound),
 obf AS (
-  SELECT CAMPAIGN_GROUP, CAMPAIGN_START_DATE, CAMPAIGN_LAST_DATE,
-         datediff('day', CAMPAIGN_START_DATE, CAMPAIGN_LAST_DATE) AS CAMPAIGN_LENGTH,
-         NB_CONTACTS_TOUCHED, NB_COMPANIES_TOUCHED, NB_COMPANIES_TOUCHED_ICP,
-         NB_COMPANIES_CLICKED_ICP, NB_COMPANIES_REPLIED_ICP, NB_COMPANIES_REPLIED_POSITIVE_ICP,
-         NEW_ARR_FROM_OB_ALL_TIME
-  FROM ob),
+  SELECT *, datediff('day', CAMPAIGN_START_DATE, CAMPAIGN_LAST_DATE) AS CAMPAIGN_LENGTH FROM ob),
 obt AS (
-  SELECT CAMPAIGN_GROUP, CAMPAIGN_START_DATE, CAMPAIGN_LAST_DATE, CAMPAIGN_LENGTH,
-         NB_CONTACTS_TOUCHED, NB_COMPANIES_TOUCHED, NB_COMPANIES_TOUCHED_ICP,
-         NB_COMPANIES_CLICKED_ICP
+  SELECT * EXCLUDE ("NB_COMPANIES_CLICKED_ICP.1", "NB_COMPANIES_REPLIED_ICP.1",
+                    "NB_COMPANIES_REPLIED_POSITIVE_ICP.1")
   FROM obf)"""
 
 MARKET = r"""
@@ -283,7 +290,7 @@ def _ob(body: str) -> str:
 
 
 def _mk(body: str) -> str:
-    return with_ctes(MARKET, body=body)
+    return with_ctes(MARKET, body=body)   # a body that starts with a comma adds relations
 
 
 def _obmk(body: str) -> str:
@@ -397,8 +404,14 @@ FROM (SELECT ICP_CONTACTED,
                      AS ICP_CONTACTED
             FROM rates) r) m""")
 
-_OB_NUM = ["CAMPAIGN_LENGTH", "NB_CONTACTS_TOUCHED", "NB_COMPANIES_TOUCHED",
-           "NB_COMPANIES_TOUCHED_ICP", "NB_COMPANIES_CLICKED_ICP"]
+_OB_NUM = ["CAMPAIGN_LENGTH", "NB_EMAILS", "NB_CONTACTS_TOUCHED", "NB_COMPANIES_TOUCHED",
+           "TOTAL_NB_CLICKS", "TOTAL_NB_POSITIVE_REPLIES_PER_CAMPAIGN",
+           "TOTAL_NB_NEGATIVE_REPLIES_PER_CAMPAIGN", "NB_COMPANIES_CLICKED",
+           "NB_CUSTOMERS_FROM_OB_ALL_TIME", "PIPELINE_OPP_AMOUNT_FROM_OB_ALL_TIME",
+           "NEW_ARR_FROM_OB_ALL_TIME", "NB_COMPANIES_TOUCHED_ICP", "NB_COMPANIES_CLICKED_ICP",
+           "NB_COMPANIES_REPLIED_ICP", "NB_COMPANIES_REPLIED_POSITIVE_ICP"]
+_OB_DOTTED = ["NB_COMPANIES_CLICKED_ICP.1", "NB_COMPANIES_REPLIED_ICP.1",
+              "NB_COMPANIES_REPLIED_POSITIVE_ICP.1"]
 _OB_ALL = ["CAMPAIGN_GROUP", "CAMPAIGN_START_DATE", "CAMPAIGN_LAST_DATE"] + _OB_NUM
 _MK_NUM = ["TOTAL_GMV", "AVG_GMV", "NB_DOMAINS", "POLAR ARR ($)"]
 _MK_ALL = ["PLATFORM", "COUNTRY", "GMV_CATEGORY"] + _MK_NUM
@@ -438,16 +451,34 @@ SELECT GMV_CATEGORY, coalesce(sum(TOTAL_GMV), 0) AS TOTAL_GMV
 FROM mkf WHERE GMV_CATEGORY IS NOT NULL GROUP BY 1""")
 
 
+def _at(p: str) -> str:
+    """Chart quartile by rank arithmetic: place n p - 0.5 from 0, ends clamped,
+    between the values at the places around it."""
+    place = f"greatest(0, least(n * {p} - 0.5, n - 1))"
+    low = f"max(v) FILTER (r = floor({place}))"
+    high = f"max(v) FILTER (r = ceil({place}))"
+    return f"{low} + ({high} - {low}) * max({place} - floor({place}))"
+
+
 def _box(expr: str, d: int | None = None) -> str:
     def r(x: str) -> str:
         return f"round({x}, {d})" if d is not None else x
     return _mk(f"""
+, v AS (
+  SELECT GMV_CATEGORY, v, row_number() OVER (PARTITION BY GMV_CATEGORY ORDER BY v) - 1 AS r,
+         count(*) OVER (PARTITION BY GMV_CATEGORY) AS n
+  FROM (SELECT GMV_CATEGORY, {expr} AS v FROM mkf) b WHERE v IS NOT NULL AND NOT isnan(v)),
+q AS (SELECT GMV_CATEGORY, {_at('0.25')} AS q1, {_at('0.5')} AS median, {_at('0.75')} AS q3
+      FROM v GROUP BY 1),
+w AS (
+  SELECT v.GMV_CATEGORY, v, q1, median, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
+  FROM v JOIN q ON v.GMV_CATEGORY IS NOT DISTINCT FROM q.GMV_CATEGORY)
 SELECT GMV_CATEGORY, count(*) AS count, {r('min(v)')} AS min,
-       {r('quantile_cont(v, 0.25)')} AS q1, {r('quantile_cont(v, 0.5)')} AS median,
-       {r('quantile_cont(v, 0.75)')} AS q3, {r('max(v)')} AS max
-FROM (SELECT GMV_CATEGORY, {expr} AS v FROM mkf) b
-WHERE v IS NOT NULL AND NOT isnan(v)
-GROUP BY 1""")
+       {r('least(any_value(q1), min(v) FILTER (v >= lo))')} AS lower_whisker,
+       {r('any_value(q1)')} AS q1, {r('any_value(median)')} AS median, {r('any_value(q3)')} AS q3,
+       {r('greatest(any_value(q3), max(v) FILTER (v <= hi))')} AS upper_whisker,
+       {r('max(v)')} AS max, count(*) FILTER (v < lo OR v > hi) AS outliers
+FROM w GROUP BY 1""")
 
 
 SQL["box_stats"] = _box("cast(AVG_GMV AS double)")
@@ -485,3 +516,93 @@ SELECT o.event_id AS ORDER_EVENT_ID, t.event_id AS TOUCH_EVENT_ID, o.user_id AS
 FROM events o JOIN events t
   ON o.user_id = t.user_id AND t.ts <= o.ts AND t.ts >= o.ts - INTERVAL 3 DAY
 WHERE o.event_type = 'purchase'"""
+
+
+SQL["journey_lookback"] = with_ctes(PIXEL, ORDERS_TOUCHES, body="""
+SELECT shopifyOrderId AS ORDER_ID, o_eid AS ORDER_EVENT_ID, t_eid AS TOUCH_EVENT_ID,
+       attribution_source AS ATTRIBUTION_SOURCE,
+       CASE WHEN o_user = t_user THEN 'userId_match'
+            WHEN o_ip = t_ip AND o_ts = t_ts THEN 'ip_match' ELSE 'no_match' END AS MATCH_TYPE,
+       CASE WHEN t_ts <= o_ts AND t_ts >= o_ts - 3*24*60*60 THEN 1 ELSE 0 END AS IS_WITHIN_LOOKBACK
+FROM o JOIN t ON o_user = t_user WHERE t_ts <= o_ts""")
+
+
+def _marketing_touch(days: int) -> str:
+    lca = f"""
+mt AS (SELECT t.* FROM t JOIN pixel ON t_eid = event_id WHERE utmSource IS NOT NULL),
+lca AS (
+  SELECT * FROM (
+    SELECT o.*, mt.*, row_number() OVER (PARTITION BY shopifyOrderId
+                                         ORDER BY t_ts DESC, t_eid, o_eid) AS rn
+    FROM o JOIN mt ON o_user = t_user AND t_ts < o_ts AND t_ts >= o_ts - {days}*24*60*60) x
+  WHERE rn = 1)"""
+    return with_ctes(PIXEL, ORDERS_TOUCHES, lca, _report(days), body="SELECT * FROM report")
+
+
+for _days in (3, 10, 25):
+    SQL[f"attribution_marketing_touch_{_days}d"] = _marketing_touch(_days)
+
+_STORE_TENANTS = """
+store_tenants AS (
+  SELECT 's' || cast(c_custkey % 5 AS varchar) AS shopify_url, min(c_nationkey) AS tenant_id
+  FROM customer GROUP BY 1)"""
+
+SQL["attribution_brand"] = with_ctes(
+    PIXEL, ORDERS_TOUCHES, _last_click(90), _report(90), _STORE_TENANTS, body="""
+SELECT report.*, tenant_id AS BRAND FROM report JOIN store_tenants ON STORE = shopify_url""")
+
+SQL["referrer_top10"] = SQL["referrer_contribution"] + """
+ORDER BY total_orders DESC, total_revenue DESC, PAGEREFERRER LIMIT 10"""
+
+SQL["orders_by_month_chart"] = SQL["orders_per_month_store"]
+
+SQL["orders_per_month_ordered"] = f"""
+SELECT *, row_number() OVER (ORDER BY STORE, MONTH) AS POSITION
+FROM ({SQL["orders_per_month_store"]}) m"""
+
+SQL["attribution_report_ordered"] = _model90("""
+SELECT *, row_number() OVER (
+  ORDER BY STORE, MONTH, ATTRIBUTED_ORDERS DESC, ATTRIBUTION_SOURCE,
+           PAGEREFERRER NULLS FIRST, MEDIUM, CAMPAIGN) AS POSITION
+FROM report""")
+
+SQL["campaign_spans_dotted"] = _ob("""
+SELECT CAMPAIGN_GROUP, "NB_COMPANIES_REPLIED_ICP.1" AS VALUE,
+       'Start: ' || cast(CAMPAIGN_START_DATE AS varchar) || '<br>End: '
+         || cast(CAMPAIGN_LAST_DATE AS varchar) || '<br>NB_COMPANIES_REPLIED_ICP.1: '
+         || cast("NB_COMPANIES_REPLIED_ICP.1" AS varchar) AS LABEL
+FROM obf""")
+
+SQL["metric_by_campaign_dotted"] = _ob("""
+SELECT CAMPAIGN_GROUP, cast(sum("NB_COMPANIES_CLICKED_ICP.1") AS bigint) AS CLICKED_ICP
+FROM obf GROUP BY 1""")
+
+SQL["metric_by_campaign_ordered"] = _ob("""
+SELECT CAMPAIGN_GROUP, NB_CONTACTS_TOUCHED,
+       row_number() OVER (ORDER BY NB_CONTACTS_TOUCHED DESC, CAMPAIGN_GROUP) AS POSITION
+FROM obf""")
+
+SQL["describe_outbound_full"] = _ob(_describe("obf", _OB_NUM + _OB_DOTTED))
+
+SQL["outbound_one_group"] = _ob("SELECT * FROM obt WHERE CAMPAIGN_GROUP = 'Brand#11/SMALL'")
+
+SQL["gmv_two_categories"] = _mk("""
+SELECT GMV_CATEGORY, coalesce(sum(TOTAL_GMV), 0) AS TOTAL_GMV
+FROM mk WHERE GMV_CATEGORY IN ('a) < $1M', 'c) > $3M') GROUP BY 1""")
+
+
+def _cleaned(dirty: bool) -> str:
+    """What cleaning makes of the text export: typed values, each row once."""
+    bad = "n = {}" if dirty else "false"
+    return with_ctes(OUTBOUND, "x AS (SELECT *, NB_EMAILS % 5 AS n FROM outbound)", body=f"""
+SELECT DISTINCT CAMPAIGN_GROUP,
+       CASE WHEN {bad.format(2)} THEN NULL ELSE CAMPAIGN_START_DATE END AS CAMPAIGN_START_DATE,
+       CASE WHEN {bad.format(3)} THEN NULL ELSE PIPELINE_OPP_AMOUNT_FROM_OB_ALL_TIME END
+         AS PIPELINE_OPP_AMOUNT_FROM_OB_ALL_TIME,
+       TOTAL_NB_CLICKS,
+       CASE WHEN n = 4 THEN NULL ELSE NB_EMAILS / 2.0::double END AS NB_EMAILS
+FROM x""")
+
+
+SQL["clean_lenient"] = _cleaned(True)
+SQL["clean_strict"] = _cleaned(False)

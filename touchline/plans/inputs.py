@@ -28,3 +28,11 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.tenants(spark, sf_dir)
+
+
+def outbound_text(spark: SparkSession, sf_dir: str, dirty: bool = True) -> DataFrame:
+    return fixtures.outbound_text(spark, sf_dir, dirty)
+
+
+def store_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.store_tenants(spark, sf_dir)

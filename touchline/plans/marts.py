@@ -6,11 +6,15 @@ import os
 from typing import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from touchline.operators import attribution as att
 from touchline.sources.tables import cached, write_result
 
 
+FILES_PER_MONTH = 8
+
+
 class Marts(dict):
     """name -> mart DataFrame; ``release()`` drops the persisted event table
     once the marts have been written."""
@@ -43,18 +47,22 @@ def build_marts(events: DataFrame, lookbacks: Iterable[int] = (90, 180),
     marts = Marts(cached_input=held)
     marts["orders_month_store"] = att.orders_per_month_store(ev)
     for days in lookbacks:
-        marts[f"attribution_model_{days}"] = att.attribution_report(att.last_touch(ev, days=days))
-    marts["attribution_cjm"] = att.touch_journey(ev)
+        marts[f"attribution_model_{days}"] = att.attribution_report(
+            att.last_touch(ev, days=days), ordered=False)
+    marts["attribution_cjm"] = att.touch_journey(ev, ordered=False)
     return marts
 
 
 def write_marts(marts: dict[str, DataFrame], base: str) -> dict[str, str]:
     """Write each mart as parquet under ``base`` (shared storage); the
-    model marts are partitioned by month."""
+    model marts are partitioned by month.  Rows meet by month and store before
+    the write, so a month has a few files and a large one several."""
     paths = {}
     for name, df in marts.items():
         path = os.path.join(base, name)
         part = ["MONTH"] if name.startswith("attribution_model_") else None
+        if part:
+            df = df.repartition("MONTH", F.pmod(F.xxhash64("STORE"), F.lit(FILES_PER_MONTH)))
         write_result(df, path, partition_by=part)
         paths[name] = path
     if isinstance(marts, Marts):

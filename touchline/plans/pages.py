@@ -7,11 +7,12 @@ from __future__ import annotations
 from typing import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType
 
 from touchline.operators import profile, projections, reports, sizing
 from touchline.operators.cleaning import clean
 from touchline.functions.text import money, to_number
-from touchline.operators.filters import optional_filters
+from touchline.operators.filters import optional_filters, require_columns, require_rows
 
 OUTBOUND_METRIC = "NB_CONTACTS_TOUCHED"
 
@@ -68,14 +69,17 @@ def market_frame(market: DataFrame, platform: str = "All",
 
 def with_money_columns(df: DataFrame, cols: Iterable[str] = ("TOTAL_GMV", "AVG_GMV")) -> DataFrame:
     """Currency text -> number for the GMV columns, as the market page does
-    before summing and plotting (a no-op on columns that are numbers)."""
-    return df.withColumns({c: money(df[c]) for c in cols})
+    before summing and plotting; columns that are numbers stay as they are."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    return df.withColumns({c: money(df[c]) for c in cols if c in text})
 
 
 def market_profile(market: DataFrame, platform: str = "All",
                    categories: Iterable[str] | None = None, country: str = "All",
                    log: bool = False) -> dict:
-    df = with_money_columns(market_frame(market, platform, categories, country))
+    require_columns(market, ("PLATFORM", "GMV_CATEGORY", "COUNTRY", "TOTAL_GMV", "AVG_GMV",
+                             "NB_DOMAINS"))
+    df = with_money_columns(market_frame(require_rows(market), platform, categories, country))
     by_platform = optional_filters(df, eq={"PLATFORM": platform})
     return {
         "table": df,
@@ -92,6 +96,8 @@ def market_profile(market: DataFrame, platform: str = "All",
 
 
 def tenants_profile(tenants: DataFrame) -> dict:
+    require_columns(tenants, ("TENANT_ID", "DATASOURCE_ID"))
+    require_rows(tenants)
     return {
         "preview": profile.preview(tenants, 5),
         "unique_counts": profile.unique_counts(tenants),

@@ -12,10 +12,14 @@ from touchline.functions.text import to_number
 from touchline.operators import attribution as att
 from touchline.operators import profile, projections, reports, sizing
 from touchline.operators.cleaning import clean
-from touchline.operators.joins import lookback_join
+from touchline.operators.joins import lookback_join, with_brand
+from touchline.operators.sequence import row_number_within
 from touchline.plans import inputs, pages
 from touchline.sources.tables import read_table
 
+ONE_GROUP = "Brand#11/SMALL"
+TWO_CATEGORIES = ("a) < $1M", "c) > $3M")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -114,7 +118,67 @@ def q_touch_step_orders(spark, sf_dir):
 
 @register("touch_funnel")
 def q_touch_funnel(spark, sf_dir):
-    return reports.touch_funnel(_cjm(spark, sf_dir))
+    """Steps under ten only, so the journey's pairs are never built."""
+    return reports.touch_funnel(att.first_steps(inputs.events(spark, sf_dir), below=10))
+
+
+@register("journey_lookback")
+def q_journey_lookback(spark, sf_dir):
+    """The journey by user identity, with match type and both lookback flags."""
+    pairs = att.journey(inputs.events(spark, sf_dir), keys=att.KEYS_IDENTITY, days=3)
+    return pairs.select(F.col("order_id").alias("ORDER_ID"), F.col("o_event_id").alias("ORDER_EVENT_ID"),
+                        F.col("t_event_id").alias("TOUCH_EVENT_ID"),
+                        F.col("attribution_source").alias("ATTRIBUTION_SOURCE"),
+                        F.col("match_type").alias("MATCH_TYPE"),
+                        F.col("is_within_lookback").alias("IS_WITHIN_LOOKBACK"))
+
+
+def _marketing_touch(days: int) -> Query:
+    def query(spark, sf_dir):
+        """Last touch with a campaign source before the order, by user: rare
+        enough that the window decides."""
+        last = att.last_touch(inputs.events(spark, sf_dir), days=days, keys=att.KEYS_IDENTITY,
+                              strict=True, touches=F.col("utmSource").isNotNull())
+        return att.attribution_report(last)
+    return query
+
+
+for _days in (3, 10, 25):
+    register(f"attribution_marketing_touch_{_days}d")(_marketing_touch(_days))
+
+
+@register("attribution_brand")
+def q_attribution_brand(spark, sf_dir):
+    return with_brand(_model_90(spark, sf_dir), inputs.store_tenants(spark, sf_dir))
+
+
+@register("referrer_top10")
+def q_referrer_top10(spark, sf_dir):
+    return reports.referrer_contribution(_model_90(spark, sf_dir), n=10)
+
+
+@register("orders_by_month_chart")
+def q_orders_by_month_chart(spark, sf_dir):
+    return reports.orders_by_month_chart(
+        att.orders_per_month_store(inputs.events(spark, sf_dir), ordered=False))
+
+
+def _numbered(df: DataFrame, *order) -> DataFrame:
+    """Rows with their place in the stated order."""
+    return row_number_within(df, [], list(order), out="POSITION") \
+        .withColumn("POSITION", F.col("POSITION").cast("bigint"))
+
+
+@register("orders_per_month_ordered")
+def q_orders_per_month_ordered(spark, sf_dir):
+    mart = att.orders_per_month_store(inputs.events(spark, sf_dir), ordered=False)
+    return _numbered(mart, "STORE", "MONTH")
+
+
+@register("attribution_report_ordered")
+def q_attribution_report_ordered(spark, sf_dir):
+    return _numbered(_model_90(spark, sf_dir), "STORE", "MONTH", F.col("ATTRIBUTED_ORDERS").desc(),
+                     "ATTRIBUTION_SOURCE", F.col("PAGEREFERRER").asc_nulls_first(), "MEDIUM", "CAMPAIGN")
 
 
 # --- outbound sizing page -------------------------------------------------------
@@ -218,6 +282,46 @@ def q_campaign_spans(spark, sf_dir):
         .drop("START", "END")
 
 
+@register("campaign_spans_dotted")
+def q_campaign_spans_dotted(spark, sf_dir):
+    return projections.campaign_spans(_ob_frame(spark, sf_dir), "NB_COMPANIES_REPLIED_ICP.1") \
+        .drop("START", "END")
+
+
+@register("metric_by_campaign_dotted")
+def q_metric_by_campaign_dotted(spark, sf_dir):
+    df = profile.sum_by(_ob_frame(spark, sf_dir), "CAMPAIGN_GROUP", "NB_COMPANIES_CLICKED_ICP.1")
+    return df.toDF("CAMPAIGN_GROUP", "CLICKED_ICP")
+
+
+@register("metric_by_campaign_ordered")
+def q_metric_by_campaign_ordered(spark, sf_dir):
+    df = profile.sum_by(_ob_frame(spark, sf_dir), "CAMPAIGN_GROUP", pages.OUTBOUND_METRIC)
+    return _numbered(df, F.col(pages.OUTBOUND_METRIC).desc(), "CAMPAIGN_GROUP")
+
+
+@register("describe_outbound_full")
+def q_describe_outbound_full(spark, sf_dir):
+    return profile.describe(_ob_frame(spark, sf_dir), decimals=6)
+
+
+@register("outbound_one_group")
+def q_outbound_one_group(spark, sf_dir):
+    """The page's table under its campaign group filter."""
+    return pages.outbound_profile(inputs.outbound(spark, sf_dir), group=ONE_GROUP)["table"]
+
+
+@register("clean_lenient")
+def q_clean_lenient(spark, sf_dir):
+    return clean(inputs.outbound_text(spark, sf_dir, dirty=True), strict=False)
+
+
+@register("clean_strict")
+def q_clean_strict(spark, sf_dir):
+    return clean(inputs.outbound_text(spark, sf_dir, dirty=False), strict=True,
+                 date_columns=["CAMPAIGN_START_DATE"])
+
+
 @register("length_scatter")
 def q_length_scatter(spark, sf_dir):
     return projections.scatter_pairs(_ob_frame(spark, sf_dir), "CAMPAIGN_LENGTH",
@@ -256,6 +360,13 @@ def q_gmv_by_category(spark, sf_dir):
     return profile.sum_by(df, "GMV_CATEGORY", "TOTAL_GMV")
 
 
+@register("gmv_two_categories")
+def q_gmv_two_categories(spark, sf_dir):
+    """The category selection of the market page."""
+    df = pages.market_frame(inputs.market(spark, sf_dir), categories=TWO_CATEGORIES)
+    return profile.sum_by(df, "GMV_CATEGORY", "TOTAL_GMV")
+
+
 @register("box_stats")
 def q_box_stats(spark, sf_dir):
     df = pages.with_money_columns(_mk_frame(spark, sf_dir))

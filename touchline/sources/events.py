@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.functions.json_paths import extract_fields, parse_json_column
+from touchline.functions.json_paths import extract_fields, field, parse_json_column
 
 # Fields of one event and their SQL types (fixed values: the field names
 # the log carries).
@@ -18,7 +18,7 @@ EVENT_FIELDS = {
     "ip": "string",
     "shopifyOrderId": "string",
     "shopifyOrderProcessedAt": "string",
-    "shopifyOrderTotalPrice": "decimal(18,2)",
+    "shopifyOrderTotalPrice": "decimal(38,10)",
     "shopifyPageType": "string",
     "pageReferrer": "string",
     "utmSource": "string",
@@ -57,6 +57,16 @@ def read_events(spark: SparkSession, path: str, fmt: str = "text",
     return parse_json_column(df, json_col)
 
 
+def unread_values(log: DataFrame, json_col: str = "DATA",
+                  fields: dict | None = None) -> DataFrame:
+    """Per field, how many documents hold a value that does not fit its type
+    (``event_table`` reads those as NULL): one row of counts."""
+    log = parse_json_column(log, json_col)
+    return log.agg(*[
+        F.count_if(field(json_col, name).isNotNull() & field(json_col, name, t).isNull()).alias(name)
+        for name, t in (fields or EVENT_FIELDS).items()])
+
+
 def event_table(log: DataFrame, json_col: str = "DATA",
                 fields: dict | None = None) -> DataFrame:
     """Typed flat projection of the log, parsed once."""

@@ -4,6 +4,7 @@ reuse between queries and result output."""
 from __future__ import annotations
 
 import os
+import uuid
 from typing import Iterable
 
 from pyspark import StorageLevel
@@ -34,7 +35,9 @@ def load_tables(spark: SparkSession, base: str | None = None,
     if base is None:
         raise ValueError("give base or database")
     if names is None:
-        names = sorted(e[:-len(".parquet")] for e in os.listdir(base) if e.endswith(".parquet"))
+        fs, at = _file_system(spark, base)
+        found = [f.getPath().getName() for f in fs.listStatus(at(base))]
+        names = sorted(e[:-len(".parquet")] for e in found if e.endswith(".parquet"))
     return {n: read_table(spark, base, n) for n in names}
 
 
@@ -47,27 +50,37 @@ def cached(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
 def write_result(df: DataFrame, path: str, mode: str = "overwrite",
                  partition_by: Iterable[str] | None = None,
                  sort_within: Iterable[str] | None = None) -> None:
-    """Write a result as parquet.  Job commit is atomic per dataset, so a
-    retried or restarted job leaves no half-written output."""
+    """Write a result as parquet.
+
+    An overwrite goes to a new folder beside ``path`` first; only when that
+    job has committed do two renames put it in place, so a failed job leaves
+    the old result as it was.  Between the renames ``path`` is missing for a
+    moment, as stores without an atomic folder exchange allow no better.
+    """
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an input with fewer splits than the cluster has cores (for
-    example one small file) before CPU-heavy per-row work such as JSON
-    parsing.  Large inputs already have many splits and are returned as is,
-    so at scale this adds nothing.  The round-robin exchange is made
-    deterministic by Spark (rows are sorted before partitioning), so a
-    retried task sees the same rows."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # sessions without RDD access: leave the plan alone
-        return df
-    return df.repartition(target)
+
+    def write(to: str, how: str) -> None:
+        writer = df.write.mode(how)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(to)
+
+    if mode != "overwrite":
+        return write(path, mode)
+    tag = uuid.uuid4().hex
+    fresh, old = f"{path}.new-{tag}", f"{path}.old-{tag}"
+    write(fresh, "error")
+    fs, at = _file_system(df.sparkSession, path)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(fresh), at(path)):
+        raise OSError(f"could not put {fresh} in place of {path}")
+    fs.delete(at(old), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop file system of a path (any store Spark knows) and its paths."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(conf), at
