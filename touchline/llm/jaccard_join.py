@@ -44,7 +44,7 @@ TABLE = T.byte_table(KEEP, fold_case=True, seed=13)
 FLUSH_TOKENS = 1_000_000      # shingles packed at once in a task
 FLUSH_SETS = 60_000           # fits the 16 bits of an entry; the last value marks
 MARKER = 0xFFFF
-BUCKET_TEXT = 8 << 20         # bytes of text per bucket and per shard
+BUCKET_TEXT = 16 << 20        # bytes of text per bucket and per shard
 ROUNDS = 1                    # star rounds, each with its own min-hash
 LEADERS = 6
 BITS = 1024                   # bitmap size
@@ -110,7 +110,7 @@ def _rows(dest: list, blobs: list) -> pa.RecordBatch:
                                       names=["dest", "blob"])
 
 
-def _to_shards(cls, n, token, at, buckets: int, shards: int):
+def _to_shards(cls, token, at, buckets: int, shards: int):
     """Answers, packed by the shard of their set."""
     shard = (cls.view(np.uint64) % np.uint64(shards)).astype(np.int64)[at]
     order = np.argsort(shard, kind="stable")
@@ -121,7 +121,7 @@ def _to_shards(cls, n, token, at, buckets: int, shards: int):
         lo, hi = edge[s], edge[s + 1]
         used, local = np.unique(at[lo:hi], return_inverse=True)
         dest.append(buckets + int(s))
-        blobs.append(pack(cls[used], n[used], token[lo:hi], local.astype(np.int32)))
+        blobs.append(pack(cls[used], token[lo:hi], local.astype(np.int32)))
     return dest, blobs
 
 
@@ -179,8 +179,14 @@ class _Packer:
         bucket = ((tokens >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
         # Met twice here already: answer now, send one marker.
         known = np.repeat(length > 1, length)
-        dest, blobs = _to_shards(cls, n, _token_id(bucket[known], tokens[known] & LOW48),
+        dest, blobs = _to_shards(cls, _token_id(bucket[known], tokens[known] & LOW48),
                                  at[known], self.buckets, self.shards)
+        # Set sizes go to the sets' shards once.
+        shard = cls.view(np.uint64) % np.uint64(self.shards)
+        for s in np.unique(shard):
+            m = shard == s
+            dest.append(self.buckets + int(s))
+            blobs.append(pack(cls[m], n[m]))
         keep = ~known
         keep[start] = True
         entry = (tokens[keep] & LOW48) << np.uint64(16)
@@ -195,22 +201,22 @@ class _Packer:
             slot[used] = np.arange(len(used))
             e = np.sort(e >> np.uint64(16) << np.uint64(16) | slot[idx].astype(np.uint64))
             dest.append(int(b))
-            blobs.append(pack(cls[used], n[used], e))
+            blobs.append(pack(cls[used], e))
         return dest, blobs
 
 
 def _answer(bucket: int, table: pa.Table, buckets: int, shards: int):
     """Postings of the bucket's shared shingles, packed by shard."""
-    cls, n, entries, at, base = [], [], [], [], 0
+    cls, entries, at, base = [], [], [], 0
     for blob in table.column("blob"):
-        c, m, e = unpack(blob.as_py(), np.int64, np.int32, np.uint64)
+        c, e = unpack(blob.as_py(), np.int64, np.uint64)
         idx = (e & np.uint64(MARKER)).astype(np.int64)
         at.append(np.where(idx == MARKER, -1, idx + base))
         entries.append(e >> np.uint64(16))
         cls.append(c)
-        n.append(m)
         base += len(c)
-    cls, n, token, at = (np.concatenate(x) for x in (cls, n, entries, at))
+    cls, token, at = (np.concatenate(x) for x in (cls, entries, at))
+    del entries
     order = np.argsort(token)
     token, at = token[order], at[order]
     new = np.ones(len(token), bool)
@@ -227,7 +233,7 @@ def _answer(bucket: int, table: pa.Table, buckets: int, shards: int):
     low = np.minimum.reduceat(np.where(marked, np.iinfo(np.int64).max, owner), start)
     high = np.maximum.reduceat(np.where(marked, np.iinfo(np.int64).min, owner), start)
     shared = np.repeat((low < high) | np.logical_or.reduceat(marked, start), length) & ~marked
-    return _to_shards(cls, n, _token_id(bucket, token[shared]), at[shared], buckets, shards)
+    return _to_shards(cls, _token_id(bucket, token[shared]), at[shared], buckets, shards)
 
 
 def _min_hashes(tokens: np.ndarray) -> list[int]:
@@ -237,15 +243,18 @@ def _min_hashes(tokens: np.ndarray) -> list[int]:
 
 def _gather(table: pa.Table, schema: pa.Schema):
     """Suspect sets of a shard and the documents that are keyed here."""
-    cls, n, token, at, base, docs = [], [], [], [], 0, []
+    cls, token, at, base, docs, sizes = [], [], [], 0, [], []
     for blob in table.column("blob"):
         raw = blob.as_py()
-        if np.frombuffer(raw, np.int32, 1)[0] == 5:        # documents
+        kind = np.frombuffer(raw, np.int32, 1)[0]
+        if kind == 2:                                      # set sizes
+            sizes.append(unpack(raw, np.int64, np.int32))
+            continue
+        if kind == 5:                                      # documents
             docs.append(unpack(raw, np.int64, np.int64, np.int32, np.int8, np.int64))
             continue
-        c, m, t, i = unpack(raw, np.int64, np.int32, np.uint64, np.int32)
+        c, t, i = unpack(raw, np.int64, np.uint64, np.int32)
         cls.append(c)
-        n.append(m)
         token.append(t)
         at.append(i + base)
         base += len(c)
@@ -257,9 +266,11 @@ def _gather(table: pa.Table, schema: pa.Schema):
             schema=schema)
     if not base:
         return
-    cls, n, token, at = (np.concatenate(x) for x in (cls, n, token, at))
-    uniq, first, back = np.unique(cls, return_index=True, return_inverse=True)
-    n, at = n[first], back[at]
+    cls, token, at = (np.concatenate(x) for x in (cls, token, at))
+    uniq, back = np.unique(cls, return_inverse=True)
+    known, first = np.unique(np.concatenate([c for c, _ in sizes]), return_index=True)
+    n = np.concatenate([m for _, m in sizes])[first[np.searchsorted(known, uniq)]]
+    at = back[at]
     order = np.lexsort((token, at))
     token, at = token[order], at[order]
     keep = np.ones(len(token), bool)
