@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "orders_per_month_store", "attribution_report", "attribution_report_180", "touch_journey",
-    "attribution_lookback_user_3d", "lookback_pairs", "source_share", "touch_funnel",
+    "attribution_lookback_user_3d", "attribution_marketing_touch_10d", "lookback_pairs", "source_share", "touch_funnel",
     "pareto", "tam_rollup", "outbound_funnel", "describe", "box_stats", "unique_counts",
     "top_countries", "tenant_stores",
 ]
