@@ -43,7 +43,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from touchline.llm.jaccard_join import jaccard_components
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +99,46 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
+    # Every window of every length an item has, looked up at every document word.
+    "op3_decontaminate": rf"""
+with d as (select doc_id, row_number() over () as r,
+             regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+      from benchmark),
+win as (select distinct item_id, least(10, len(w)) as n,
+          array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as s
+        from b, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(i) where len(w) > 0),
+lens as (select distinct n from win),
+occ as (select r, i, lens.n, array_to_string(w[i:i + lens.n - 1], ' ') as s
+        from d, lens, unnest(range(1, len(w) - lens.n + 2)) t(i)),
+hit as (select r, i, n, item_id from occ join win using (n, s)),
+pos as (select r, count(distinct i + k) as n_hit from hit, unnest(range(n)) t(k) group by 1),
+ids as (select r, count(*) as n_items, string_agg(id, ',' order by id) as list
+        from (select distinct r, cast(item_id as varchar) as id from hit) x group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
+  coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (r) left join ids using (r)
+""",
+    # Pairs by shared shingles, then the smallest id that links reach.
+    "op4_jaccard_join": rf"""
+with recursive d as (select doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as w
+                     from documents),
+sh as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+       from d, unnest(range(1, greatest(len(w) - 3, 2))) t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from sh group by 1),
+links as (select a.doc_id as x, b.doc_id as y from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id
+          group by 1, 2
+          having 100 * count(*) >= 75 * ((select n from n where doc_id = a.doc_id)
+                                         + (select n from n where doc_id = b.doc_id) - count(*))),
+reach as (select x, y from links union select reach.x, links.y from reach join links on reach.y = links.x)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles,
+  least(d.doc_id, coalesce(min(reach.y), d.doc_id)) as component_id
+from d left join n using (doc_id) left join reach on reach.x = d.doc_id group by d.doc_id
+""",
     # Payload, digest and the smallest page of equal payloads of 100 bytes or more.
     "op7_warc": """
 with p as (select page_id, encode(coalesce(html, '')) as body from pages),
