@@ -138,6 +138,25 @@ reach as (select x, y from links union select reach.x, links.y from reach join l
 select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles,
   least(d.doc_id, coalesce(min(reach.y), d.doc_id)) as component_id
 from d left join n using (doc_id) left join reach on reach.x = d.doc_id group by d.doc_id
+""",
+    # Every 400-byte string by hash, runs of repeated starts, and what is left.
+    "op9_suffix_dedup": """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+s as (select r, i, hash(substr(h, 2 * i + 1, 800)) as k
+      from d, unnest(range(0, len(h) // 2 - 399)) t(i)),
+rep as (select r, i from s where k in (select k from s group by 1 having count(*) > 1)),
+run as (select r, i, sum(fresh) over (partition by r order by i) as g
+        from (select r, i, case when i > lag(i) over (partition by r order by i) + 400 then 1 else 0 end
+                as fresh from rep) x),
+span as (select r, min(i) as lo, max(i) + 400 as hi from run group by r, g),
+part as (select r, coalesce(lag(hi) over (partition by r order by lo), 0) as a, lo as b from span
+         union all select r, max(hi), null from span group by r),
+kept as (select r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' order by a) as h
+         from part join d using (r) group by r),
+n as (select r, sum(hi - lo) as n_removed, count(*) as n_spans from span group by r)
+select doc_id, cast(len(d.h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join n using (r) left join kept using (r)
 """,
     # Payload, digest and the smallest page of equal payloads of 100 bytes or more.
     "op7_warc": """
