@@ -423,9 +423,10 @@ def surroundings(joined: DataFrame, buckets: int, hot: dict, hot_limit: int) ->
             at = np.flatnonzero(several)
             if len(at):
                 pick = pa.array(row[at])
+                # They only pass through: dealt by their row, not by the anchor.
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(at), np.int32)), pa.array(key[at].view(np.int64)),
-                     pa.array(np.zeros(len(at), np.int32)), pa.nulls(len(at), pa.binary()),
+                    [pa.array(np.ones(len(at), np.int32)), rk.take(pick),
+                     pa.array(np.full(len(at), -1, np.int32)), pa.nulls(len(at), pa.binary()),
                      pa.nulls(len(at), pa.int32()), ids.take(pick), rk.take(pick),
                      pa.array((lo - shift)[at].astype(np.int32)),
                      pa.array((hi - shift)[at].astype(np.int32)), pa.array(np.ones(len(at), bool))],
