@@ -12,7 +12,6 @@ from touchline.session import ensure_checkpoint_dir
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from ``labels``."""
     from touchline.llm import toxicity as op
