@@ -1,6 +1,7 @@
 import re
 
 from common import table
+from pyspark.sql import functions as F
 
 from touchline.llm.url_filter import Rule, filter_urls
 
@@ -69,3 +70,27 @@ def test_plan_is_native(spark):
                                "page_id bigint, url string")
     plan = filter_urls(df, RULES, trees=2)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_hot_url_does_not_fill_the_sample(spark):
+    rows = [(i, f"http://s{i}.net/{'es' if i % 2 else 'fr'}/{i}") for i in range(60)]
+    rows += [(1000 + i, f"http://s{i}.com/about/{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    hot = df.filter("url like '%.com/%'").orderBy(F.xxhash64("url")).first()["url"]
+    asked = spark.createDataFrame([(5000, "http://q.org/es/77"), (5001, "http://q.org/about/77")], df.schema)
+    more = spark.range(300).select((F.col("id") + 9000).alias("page_id"), F.lit(hot).alias("url"))
+    got = {r["page_id"]: r for r in filter_urls(df.union(asked).union(more), RULES, trees=4,
+                                                max_train=100).collect()}
+    assert len(got) == 422
+    assert got[5000]["score"] > got[5001]["score"] and got[5001]["verdict"] == "allow"
+    assert got[9000]["verdict"] == "allow" and got[5000]["score"] > 0.3
+
+
+def test_rare_class_is_in_the_sample(spark):
+    rows = [(i, f"http://s{i}.com/about/{i}") for i in range(2000)]
+    rows += [(5000, "http://q.org/es/77"), (5001, "http://q.org/about/77")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    last = (spark.range(3000).select(F.concat(F.lit("http://s"), "id", F.lit(".net/es/"), "id").alias("url"))
+            .orderBy(F.xxhash64("url").desc()).limit(3).selectExpr("7000L as page_id", "url"))
+    got = {r["page_id"]: r for r in filter_urls(df.union(last), RULES, trees=4, max_train=64).collect()}
+    assert got[5000]["score"] > got[5001]["score"] > 0

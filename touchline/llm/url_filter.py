@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.tables import staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -86,6 +88,26 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
     }
 
 
+def _with_parts(urls: DataFrame) -> DataFrame:
+    host, path = host_and_path(F.col("url"))
+    return (urls.withColumn("host", host).withColumn("path", path)
+            .withColumn("suffix", F.substring_index("host", ".", -1))
+            .withColumn("segment", F.regexp_extract("path", r"^/([^/]*)/", 1)))
+
+
+def _first_by_hash(urls: DataFrame, n: int, of: int) -> DataFrame:
+    """The ``n`` urls of ``of`` distinct ones with the smallest hash.
+
+    Hashes above the place of the n-th, by far more than chance moves it, are
+    cut first, so the task that ends the sort gets about ``n`` rows.
+    """
+    share = (n + 8 * n ** 0.5 + 64) / of
+    h = F.xxhash64("url")
+    if share < 1:
+        urls = urls.filter(h < F.lit(int(share * 2 ** 64) - 2 ** 63))
+    return urls.orderBy(h, "url").limit(n)
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
                 url_col: str = "url", max_train: int = 8192, trees: int = 12,
                 depth: int = 4, prior: float = 8.0) -> DataFrame:
@@ -93,41 +115,54 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
 
     The verdict is the rule's if one fits, else ``block`` where the trees'
     probability of block (``score``) is 0.5 or more.  The trees are fitted on
-    at most ``max_train`` rule-decided rows, those with the smallest hash of
-    the url (a documented bound: the labelled rows grow with the table, what
-    a small model needs does not); suffix statistics are the smoothed block
-    rate and weight of the host's last label and of the first path segment
-    in that sample.  ``prior`` is the weight of the overall rate in them.
+    at most ``max_train`` distinct rule-decided urls, of each class those with
+    the smallest hash, half of the places each and more where the other class
+    has fewer (a documented bound: the labelled rows grow with the table, what
+    a small model needs does not).  A url weighs as many rows as it has, scaled
+    so that each class weighs what it does among all labelled rows; which
+    classes there are and their rows are counted over all of them.  Suffix
+    statistics are the smoothed block rate and weight of the host's last label
+    and of the first path segment in that sample.  ``prior`` is the weight of
+    the overall rate in them.
 
     A null url has empty host and path and no rule; its verdict is the
     trees'.  Without labelled rows every verdict is ``allow``; with one class
     only, that class.  Repeated rows stay repeated; other columns are not read.
     """
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    host, path = host_and_path(F.col("url"))
-    parsed = src.withColumn("host", host).withColumn("path", path)
+    parsed = _with_parts(src)
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    parsed = (parsed.withColumn("rule", rule).withColumn("action", action)
-              .withColumn("suffix", F.substring_index("host", ".", -1))
-              .withColumn("segment", F.regexp_extract("path", r"^/([^/]*)/", 1)))
+    parsed = parsed.withColumn("rule", rule).withColumn("action", action)
 
-    sample = (parsed.filter(F.col("action").isNotNull())
-              .orderBy(F.xxhash64("url"), "url", "page_id").limit(max_train))
-    labelled = sample.withColumn("label", (F.col("action") == "block").cast("double"))
+    urls = staged(parsed.filter(F.col("action").isNotNull()).groupBy("url", "action")
+                  .agg(F.count("*").alias("n")), "url-labels")
     # At most two rows come to the driver.
-    classes = {r["action"]: r["n"] for r in sample.groupBy("action").agg(F.count("*").alias("n"))
-               .collect()}
+    classes = {r["action"]: r for r in urls.groupBy("action").agg(
+        F.sum("n").alias("n"), F.count("*").alias("urls")).collect()}
     out = ["page_id", "host", "path", "rule"]
     if len(classes) < 2:
         only = next(iter(classes), "allow")
         return parsed.select(*out, F.coalesce("action", F.lit(only)).alias("verdict"),
                              F.lit(float(only == "block")).alias("score"))
-    rate = classes["block"] / sum(classes.values())
+    rate = classes["block"]["n"] / sum(c["n"] for c in classes.values())
+
+    def share(action: str, other: str) -> DataFrame:
+        places = max(max_train // 2, max_train - classes[other]["urls"])
+        return _first_by_hash(urls.filter(F.col("action") == action), places, classes[action]["urls"])
+
+    sample = staged(share("block", "allow").union(share("allow", "block")), "url-sample")
+    taken = {r["action"]: r["n"] for r in
+             sample.groupBy("action").agg(F.sum("n").alias("n")).collect()}
+    scale = F.when(F.col("action") == "block", classes["block"]["n"] / taken["block"]).otherwise(
+        classes["allow"]["n"] / taken["allow"])
+    labelled = (_with_parts(sample).withColumn("label", (F.col("action") == "block").cast("double"))
+                .withColumn("weight", F.col("n") * scale))
 
     def statistics(key: str) -> DataFrame:
         return labelled.groupBy(key).agg(
-            ((F.sum("label") + prior * rate) / (F.count("*") + prior)).alias(f"f_{key}_rate"),
-            F.log1p(F.count("*")).alias(f"f_{key}_weight"))
+            ((F.sum(F.col("label") * F.col("weight")) + prior * rate) / (F.sum("weight") + prior)
+             ).alias(f"f_{key}_rate"),
+            F.log1p(F.sum("weight")).alias(f"f_{key}_weight"))
 
     def with_features(df: DataFrame) -> DataFrame:
         feats = lexical_features(F.col("url"), F.col("host"), F.col("path"))
@@ -141,8 +176,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
         return VectorAssembler(inputCols=names, outputCol="features").transform(df)
 
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11,
-                          checkpointInterval=-1).fit(
-        with_features(labelled).select("features", "label"))
+                          checkpointInterval=-1, weightCol="weight").fit(
+        with_features(labelled).select("features", "label", "weight"))
     scored = model.transform(with_features(parsed))
     p = vector_to_array("probability")[1]
     return scored.select(*out, F.coalesce(
