@@ -94,3 +94,15 @@ def test_rare_class_is_in_the_sample(spark):
             .orderBy(F.xxhash64("url").desc()).limit(3).selectExpr("7000L as page_id", "url"))
     got = {r["page_id"]: r for r in filter_urls(df.union(last), RULES, trees=4, max_train=64).collect()}
     assert got[5000]["score"] > got[5001]["score"] > 0
+
+
+def test_statistics_cover_all_labelled_rows(spark):
+    # Nothing but the first segment tells the classes apart, and most segments lie outside the sample.
+    rules = [Rule("com", f"/{k}/", "block" if k % 2 else "allow") for k in range(100, 300)]
+    rows = [(k * 10 + i, f"http://s.com/{k}/{i}") for k in range(100, 300) for i in range(10)]
+    rows += [(100_000 + k, f"http://s.org/{k}/5") for k in range(100, 300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(df, rules, trees=8, max_train=60)
+           .filter("page_id >= 100000").collect()}
+    right = sum((got[100_000 + k] == "block") == bool(k % 2) for k in range(100, 300))
+    assert right >= 190

@@ -122,8 +122,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
     so that each class weighs what it does among all labelled rows; which
     classes there are and their rows are counted over all of them.  Suffix
     statistics are the smoothed block rate and weight of the host's last label
-    and of the first path segment in that sample.  ``prior`` is the weight of
-    the overall rate in them.
+    and of the first path segment over all rule-decided rows.  ``prior`` is
+    the weight of the overall rate in them.
 
     A null url has empty host and path and no rule; its verdict is the
     trees'.  Without labelled rows every verdict is ``allow``; with one class
@@ -158,17 +158,19 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
     labelled = (_with_parts(sample).withColumn("label", (F.col("action") == "block").cast("double"))
                 .withColumn("weight", F.col("n") * scale))
 
+    counted = _with_parts(urls).withColumn(
+        "blocked", F.when(F.col("action") == "block", F.col("n")).otherwise(0))
+
     def statistics(key: str) -> DataFrame:
-        return labelled.groupBy(key).agg(
-            ((F.sum(F.col("label") * F.col("weight")) + prior * rate) / (F.sum("weight") + prior)
-             ).alias(f"f_{key}_rate"),
-            F.log1p(F.sum("weight")).alias(f"f_{key}_weight"))
+        return counted.groupBy(key).agg(
+            ((F.sum("blocked") + prior * rate) / (F.sum("n") + prior)).alias(f"f_{key}_rate"),
+            F.log1p(F.sum("n")).alias(f"f_{key}_weight"))
 
     def with_features(df: DataFrame) -> DataFrame:
         feats = lexical_features(F.col("url"), F.col("host"), F.col("path"))
         df = df.withColumns(feats)
         names = list(feats)
-        # At most max_train rows on the right; Spark broadcasts by measured size.
+        # A row per suffix or segment on the right; Spark broadcasts by measured size.
         for key in ("suffix", "segment"):
             df = df.join(statistics(key), key, "left").fillna(
                 {f"f_{key}_rate": rate, f"f_{key}_weight": 0.0})
