@@ -87,3 +87,11 @@ def test_bit_counts_never_exclude_a_link():
         bits = [np.bincount((J.T.mix64(x) % np.uint64(J.BITS)).astype(int), minlength=J.BITS) & 1
                 for x in (a, b)]
         assert (len(a) + len(b) - int((bits[0] ^ bits[1]).sum())) / 2 >= J._overlap(a, b)
+
+
+def test_rows_without_words_all_stay(spark):
+    empty = [(None, None), (None, None), (None, ""), (None, " "), (7, ""), (7, None), (8, " \n\t"), (9, None)]
+    rows = empty + [(1, "one two three"), (1, "one two three"), (None, "four"), (None, "four"), (2, "\u00a0"),
+                    (2, "\u00a0"), (7, "")]
+    kept = table(J.keep_one(docs_frame(spark, rows)).select("doc_id", "text"))
+    assert kept == sorted(empty + [(1, "one two three"), (None, "four"), (2, "\u00a0")], key=str)

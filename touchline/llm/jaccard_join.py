@@ -632,9 +632,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, all columns unchanged; rows without words
-    all stay.  Rows that repeat (same id, same text) count as one."""
-    keys = (jaccard_components(docs, id_col, text_col).filter("stays")
+    all stay.  Rows that repeat (same id, same text) count as one, but of
+    rows without words only those that have an id."""
+    keys = (jaccard_components(docs, id_col, text_col).filter("stays and n_shingles > 0")
             .select(F.col("row_key").alias("k")).distinct())
-    rows = docs.select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("rk"))
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(worded).select(F.struct("*").alias("row"), row_key(id_col, text_col).alias("rk"))
+    blank, named = docs.filter(~worded), F.col(id_col).isNotNull()
     return (rows.join(keys, rows["rk"] == keys["k"], "left_semi")
-            .dropDuplicates(["rk"]).select("row.*"))
+            .dropDuplicates(["rk"]).select("row.*")
+            .union(blank.filter(~named))
+            .union(blank.filter(named).dropDuplicates([id_col, text_col])))
