@@ -80,3 +80,17 @@ def test_reader_goes_by_length():
 
 def test_empty_table(spark, tmp_path):
     assert W.archive(frame(spark).limit(0), str(tmp_path / "w")).count() == 0
+
+
+def test_several_records_and_links_of_a_capture(spark, tmp_path):
+    def rec(kind, rid, *to):
+        head = "".join(f"WARC-Concurrent-To: <{t}>\r\n" for t in to)
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{rid}>\r\n{head}Content-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes("".join([
+        rec("revisit", "r1"), rec("revisit", "r2"), rec("request", "q2", "r1"), rec("request", "q1", "r1"),
+        rec("metadata", "m1", "r1", "r2", "r1"), rec("metadata", "m2", "r1"), rec("metadata", "m3")]).encode())
+    got = W.assemble(W.read_warc(spark, str(tmp_path))).select(
+        "capture_id", "response.record_id", "request.record_id", "metadata.record_id").collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == {
+        "<r1>": ("<r1>", ["<q1>", "<q2>"], ["<m1>", "<m2>"]), "<r2>": ("<r2>", None, ["<m1>"]),
+        "<m3>": (None, None, ["<m3>"])}

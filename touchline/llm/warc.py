@@ -26,7 +26,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_ROWS = 10_000   # captures per archive file at most
 
-RECORD_SCHEMA = ("type string, record_id string, concurrent_to string, refers_to string, "
+RECORD_SCHEMA = ("type string, record_id string, concurrent_to array<string>, refers_to string, "
                  "uri string, page_id bigint, refers_to_page bigint, header_digest string, "
                  "digest string, payload_bytes bigint, payload binary")
 
@@ -146,7 +146,8 @@ def _plain(content: bytes) -> Iterator[bytes]:
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Header fields (names in lower case) and block of every record."""
+    """Header fields (names in lower case, all values of each in order) and
+    block of every record."""
     pieces, buf, at = _plain(content), bytearray(), 0
 
     def fill(upto: int) -> bool:
@@ -171,11 +172,11 @@ def parse_records(content: bytes) -> Iterator[tuple[dict, bytes]]:
         head = buf[at:cut].decode("utf-8", "replace").split("\r\n")
         if not head[0].startswith("WARC/"):
             raise ValueError("not a record: " + head[0][:40])
-        fields = {}
+        fields: dict[str, list[str]] = {}
         for line in head[1:]:
             name, _, value = line.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        begin, n = cut + 4, int(fields["content-length"])
+            fields.setdefault(name.strip().lower(), []).append(value.strip())
+        begin, n = cut + 4, int(fields["content-length"][-1])
         if not fill(begin + n + 4):
             raise ValueError("archive ends inside a record")
         yield fields, bytes(buf[begin:begin + n])
@@ -194,11 +195,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     schema = to_arrow_schema(_parse_datatype_string(RECORD_SCHEMA))
     names = schema.names
 
-    def row(f: dict, block: bytes) -> dict:
+    def row(fields: dict, block: bytes) -> dict:
+        f = {name: values[-1] for name, values in fields.items()}
         kind = f.get("warc-type")
         out = dict.fromkeys(names)
         out.update(type=kind, record_id=f.get("warc-record-id"), uri=f.get("warc-target-uri"),
-                   concurrent_to=f.get("warc-concurrent-to"), refers_to=f.get("warc-refers-to"),
+                   concurrent_to=fields.get("warc-concurrent-to"), refers_to=f.get("warc-refers-to"),
                    page_id=int(f["x-page-id"]) if "x-page-id" in f else None,
                    refers_to_page=int(f["x-refers-to-page"]) if "x-refers-to-page" in f else None)
         out["header_digest"] = (f.get("warc-payload-digest") or "").removeprefix("sha256:") or None
@@ -237,18 +239,24 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: ``capture_id, response, request, metadata``.
 
     Records meet by ``WARC-Concurrent-To`` (a response or revisit stands for
-    itself).  A part that is missing is null, so a request without a response
-    still gives a row.  If several records of a kind name one capture, that
-    with the smallest record id is nested.
+    itself); a record that names several captures is part of each.  Requests
+    and metadata are arrays of all such records in order of record id, as a
+    capture may have several.  A part that is missing is null, so a request
+    without a response still gives a row.  If several responses name one
+    capture, that with the smallest record id is nested.
     """
-    def part(*kinds: str) -> Column:
-        cols = ["record_id", *(c for c in records.columns
-                               if c not in ("record_id", "concurrent_to"))]
-        return F.min(F.when(F.col("type").isin(*kinds), F.struct(*cols)))
-
-    return (records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id"))
-            .agg(part("response", "revisit").alias("response"),
-                 part("request").alias("request"), part("metadata").alias("metadata")))
+    part = F.struct("record_id", *(c for c in records.columns
+                                   if c not in ("record_id", "concurrent_to")))
+
+    def every(kind: str) -> Column:
+        found = F.sort_array(F.collect_list(F.when(F.col("type") == kind, part)))
+        return F.when(F.size(found) > 0, found)
+
+    captures = F.when(F.size("concurrent_to") > 0, F.array_distinct("concurrent_to")).otherwise(
+        F.array("record_id"))
+    return (records.withColumn("capture_id", F.explode(captures)).groupBy("capture_id")
+            .agg(F.min(F.when(F.col("type").isin("response", "revisit"), part)).alias("response"),
+                 every("request").alias("request"), every("metadata").alias("metadata")))
 
 
 def archive(pages: DataFrame, path: str | None = None, payloads: bool = False) -> DataFrame:
