@@ -62,3 +62,12 @@ def test_ties_and_odd_rows(spark):
     few = N.nearest(df.filter(F.col("vec_id").isin(1, 100)), df.filter("vec_id = 100"))
     assert [r[:3] for r in table(few)] == [(100, 1, 1)]
     assert N.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_query_id_with_different_vectors(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 30)],
+                                 "vec_id bigint, embedding array<float>")
+    for asked in ([20.0, 5.0, 9.0], [5.0, 20.0, 9.0], [9.0, 20.0, 5.0]):
+        q = spark.createDataFrame([(99, [a, 1.0]) for a in asked], rows.schema).coalesce(1)
+        got = table(N.nearest(rows, q, k=1))
+        assert got == [(99, 1, 5, 0)]

@@ -125,8 +125,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     no candidate.  Rows with a null id, and vectors that are null, zero, of
     another length than the table's commonest, or hold null or non-finite
     components take no part.  Rows that repeat an id count once per row among
-    the candidates and once among the queries.  Queries come in blocks of
-    ``QUERY_BLOCK``, one pass over the rows each.
+    the candidates and once among the queries, there with the smallest of its
+    vectors in order.  Queries come in blocks of ``QUERY_BLOCK``, one pass over
+    the rows each.
     """
     src = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"),
                          F.col(vector_col).cast("array<double>").alias("v"))
@@ -142,7 +143,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         good = ((F.size("v") == dim) & F.col("vec_id").isNotNull()
                 & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e)
                            & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0))
-        asked = asked.filter(good).dropDuplicates(["vec_id"])
+        asked = asked.filter(good).groupBy("vec_id").agg(F.min("v").alias("v"))
         n = asked.count()
         blocks = -(-n // QUERY_BLOCK)
         for b in range(blocks):
