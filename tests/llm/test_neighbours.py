@@ -71,3 +71,15 @@ def test_query_id_with_different_vectors(spark):
         q = spark.createDataFrame([(99, [a, 1.0]) for a in asked], rows.schema).coalesce(1)
         got = table(N.nearest(rows, q, k=1))
         assert got == [(99, 1, 5, 0)]
+
+
+def test_blocks_are_staged_one_by_one(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 101)],
+                                 "vec_id bigint, embedding array<float>")
+    asked = rows.filter("vec_id <= 50")
+    want = table(N.nearest(rows, asked, k=3))
+    monkeypatch.setattr(N, "QUERY_BLOCK", 8)
+    got = N.nearest(rows, asked, k=3)
+    assert table(got) == want and len(want) == 150
+    # No closure with a block's queries is left in the plan.
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()

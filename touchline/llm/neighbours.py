@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.llm.tables import staged
+
 DIMS = 8                  # projected dimensions (even)
 LEAF = 48                 # points of a leaf
 INDEX_ROWS = 1 << 16      # rows of one kd-tree
@@ -127,7 +129,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     components take no part.  Rows that repeat an id count once per row among
     the candidates and once among the queries, there with the smallest of its
     vectors in order.  Queries come in blocks of ``QUERY_BLOCK``, one pass over
-    the rows each.
+    the rows each; if there are several, queries and each pass's result are
+    staged, so the driver holds one block at a time.
     """
     src = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"),
                          F.col(vector_col).cast("array<double>").alias("v"))
@@ -146,8 +149,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         asked = asked.filter(good).groupBy("vec_id").agg(F.min("v").alias("v"))
         n = asked.count()
         blocks = -(-n // QUERY_BLOCK)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+        if blocks > 1:
+            asked = staged(asked, "queries")
         for b in range(blocks):
-            part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
+            part = asked.filter(F.col("block") == b).collect()
             q_ids = np.array([r["vec_id"] for r in part], np.int64)
             q = np.array([r["v"] for r in part], np.float64).reshape(-1, dim)
 
@@ -176,7 +182,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                         [pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([i for _, i in best])),
                          pa.array(np.concatenate([d for d, _ in best]))], schema=schema)
 
-            found = found.union(src.mapInArrow(run, SCHEMA))
+            near = src.mapInArrow(run, SCHEMA)
+            found = found.union(staged(near, "near") if blocks > 1 else near)
     # At most k rows of a query come from each task.
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
