@@ -36,9 +36,9 @@ from touchline.llm.tables import staged
 from touchline.llm.textops import byte_table, class_of, mix64, slices, span_hashes, word_spans
 
 U64 = np.uint64
-MAP_BITS = 26                  # bitmap of phrases that may be frequent: 8 MB
-TRIE_BYTES = 3 << 20           # candidate bytes of one trie
-WAVE_BYTES = 128 << 20         # tries that tasks hold at once
+MAP_BITS = 25                  # bitmap of phrases that may be frequent: 4 MB
+TRIE_BYTES = 2 << 20           # candidate bytes of one trie
+WAVE_BYTES = 24 << 20          # tries that tasks hold at once
 
 WORD = class_of([(0x09, 0x0D), (0x20, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F)])
 BREAK = ~class_of([(0x0A, 0x0D), (0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F)])
@@ -231,7 +231,7 @@ def _place(parent: np.ndarray, symbol: np.ndarray, n_nodes: int, final: np.ndarr
     states, first, n_children = np.unique(parent, return_index=True, return_counts=True)
     base_of = np.zeros(n_nodes, np.int64)
     slot = np.zeros(n_nodes, np.int64)
-    size = 2 * n_nodes + 1024
+    size = n_nodes + n_nodes // 8 + 1024
     taken = np.zeros(size + 512, bool)
     taken[0] = True
     rng = np.random.default_rng(1)
@@ -383,8 +383,9 @@ def trie_counts(docs: DataFrame, tries: DataFrame, wave_bytes: int) -> DataFrame
         held += size
     out = None
     for names in waves:
-        rows = tries.filter(F.col("trie").isin(names)).select("trie", "arrays").collect()
-        wave = spark.sparkContext.broadcast([(r["trie"], bytes(r["arrays"])) for r in rows])
+        # One at a time, so that the driver's JVM holds one trie beside the wave.
+        wave = spark.sparkContext.broadcast([
+            (x, bytes(tries.filter(F.col("trie") == x).select("arrays").first()[0])) for x in names])
         part = staged(counted(wave), "phrase-counts")
         wave.destroy()
         out = part if out is None else out.union(part)
