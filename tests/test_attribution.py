@@ -1,6 +1,7 @@
 """Attribution marts: known answers (FIXTURES.md), invariants, and the
 aggregate-based last touch against the plain window form."""
 
+import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -166,3 +167,76 @@ def test_epoch_milliseconds_give_same_attribution(spark):
     n_s = lookback_join(att.order_events(ev), att.touchpoints(ev), on, "o_ts", "t_ts", 3).count()
     n_wrong = lookback_join(o, t, on, "o_ts", "t_ts", 3).count()
     assert n_ms == n_s > n_wrong
+
+
+def _tangled_events(spark):
+    """Events in which orders return at several times, ips and event pieces,
+    with null keys, equal rows and one heavy (ip, time)."""
+    r = random.Random(5)
+    n = att.PIECE_IDS
+    data = []
+    for i in range(1500):
+        heavy = i % 3 == 0
+        data.append((r.choice([i, i + n, i + 3 * n]) if i % 50 else None,
+                     None if i % 97 == 0 else 3600 if heavy else r.choice([3600, 7200, 90_000, 400_000]),
+                     f"u{r.randrange(4)}", None if i % 89 == 0 else "ip0" if heavy else f"ip{r.randrange(5)}",
+                     f"o{r.randrange(25)}" if i % 4 == 0 else None, f"s{i % 3}", r.choice(["x", None])))
+    data += data[:40:4]
+    flat = spark.createDataFrame(data, "event_id bigint, timestamp bigint, userId string, ip string, "
+                                       "shopifyOrderId string, shopifyShopURL string, utmSource string")
+    none = F.lit(None).cast("string")
+    return flat.select("*", *[none.alias(c) for c in (
+        "sessionId", "shopifyOrderProcessedAt", "pageReferrer", "utmMedium", "utmCampaign")],
+        F.lit(1).cast("decimal(38,10)").alias("shopifyOrderTotalPrice"), F.lit("product").alias("shopifyPageType"))
+
+
+def _plain_steps(ev):
+    w = Window.partitionBy("order_id").orderBy(*att._STEP_ORDER)
+    return att.journey(ev, att.KEYS_NO_SHOP).select(
+        "order_id", "t_ip", "attribution_source", F.row_number().over(w).alias("step"))
+
+
+def test_composed_steps_of_tangled_orders(spark):
+    ev = _tangled_events(spark)
+    got = att.touch_journey(ev, ordered=False).select(
+        "SHOPIFYORDERID", "ATTRIBUTION_SOURCE", F.col("TOUCHPOINT_STEP").cast("int"))
+    assert rows(got) == rows(_plain_steps(ev).select("order_id", "attribution_source", "step"))
+
+
+def test_step_counts_equal_the_journey(spark):
+    from touchline.operators import reports
+    for ev in (_tangled_events(spark), inputs.events(spark, SF001)):
+        cjm = att.touch_journey(ev, ordered=False)
+        want = cjm.groupBy("TOUCHPOINT_STEP", "ATTRIBUTION_SOURCE").agg(F.count_distinct("SHOPIFYORDERID"))
+        assert rows(att.step_counts(ev)) == rows(want)
+        assert rows(att.step_counts(ev, below=4)) == rows(want.filter("TOUCHPOINT_STEP < 4"))
+        cols = reports.touch_funnel(cjm).columns
+        assert rows(reports.funnel_of_counts(att.step_counts(ev, below=10)).select(cols)) == rows(reports.touch_funnel(cjm))
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_the_log_is_read_once(spark):
+    ev = inputs.events(spark, SF001)
+    for df in (att.last_touch(ev, 3, keys=att.KEYS_IDENTITY), att.step_counts(ev),
+               att.touch_journey(ev, ordered=False)):
+        assert _final_plan(df).count("FileScan") == 1
+
+
+def test_as_of_scan_with_pieces_nulls_and_ties(spark):
+    ev = _tangled_events(spark)
+    for strict in (False, True):
+        for only in (None, F.col("utmSource").isNotNull()):
+            o, t = att.order_events(ev), att.touchpoints(ev if only is None else ev.filter(only))
+            late = F.col("t_ts") < F.col("o_ts") if strict else F.col("t_ts") <= F.col("o_ts")
+            pairs = (o.join(t, F.col("o_user") == F.col("t_user"))
+                     .filter(late & (F.col("t_ts") >= F.col("o_ts") - 2 * 86400)))
+            w = Window.partitionBy("order_id").orderBy(F.col("t_ts").desc(), *att._TOUCH_RANK, *att._ORDER_RANK)
+            plain = (pairs.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+                     .select("order_id", "attribution_source", "t_ts", "o_shop"))
+            fast = att.last_touch(ev, 2, att.KEYS_IDENTITY, strict=strict, touches=only).select(
+                "shopifyOrderId", "attribution_source", "touchpoint_timestamp", "shopifyShopURL")
+            assert rows(fast) == rows(plain)

@@ -92,3 +92,16 @@ def test_single_value_quantiles(spark):
     df = spark.createDataFrame([("a", 7.0)], "g string, v double")
     r = exact_quantiles(df, ["g"], "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).first()
     assert (r.p25, r.p50, r.p75) == (7.0, 7.0, 7.0)
+
+
+def test_running_by_pieces_matches_window(spark):
+    from touchline.operators.sequence import running_by_pieces
+    df = _data(spark).withColumn("v", F.col("id") % 7).filter("g is not null")
+    w = Window.partitionBy("g").orderBy("o", "id")
+    plain = df.select("*", F.row_number().over(w).alias("rn"), F.sum("v").over(
+        w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs"), F.count("*").over(Window.partitionBy("g")).alias("n"))
+    piece = F.floor(F.col("o") / 2)
+    a = running_by_pieces(df, ["g"], ["o", "id"], piece, "rn", total_out="n")
+    b = running_by_pieces(df, ["g"], ["o", "id"], piece, "cs", value="v")
+    assert rows(a.select("g", "id", "rn", "n")) == rows(plain.select("g", "id", "rn", "n"))
+    assert rows(b.select("g", "id", "cs")) == rows(plain.select("g", "id", "cs"))

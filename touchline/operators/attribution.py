@@ -17,7 +17,9 @@ from touchline.functions.attribution import (
     UNITS_PER_SECOND, classify_source, match_type, within_lookback,
 )
 from touchline.functions.text import month_start_date, month_start_text
-from touchline.operators.sequence import row_number_within
+from touchline.operators.sequence import (
+    dealt_once, inside, row_number_within, running_by_pieces, unpacked,
+)
 
 # Join keys of the two attribution statements.
 KEYS_WITH_SHOP = ("ip", "timestamp", "shop")
@@ -50,16 +52,20 @@ def order_events(events: DataFrame) -> DataFrame:
     return has_order(events).select(*[F.col(k).alias(v) for k, v in _ORDER_SIDE.items()])
 
 
+def _touch_values() -> list[Column]:
+    """What a touch shows besides its time, in the order in which touches of
+    one time are ranked (the columns of ``_TOUCH_RANK``)."""
+    return [F.col("event_id").alias("t_event_id"),
+            classify_source(F.col("utmSource"), F.col("pageReferrer")).alias("attribution_source"),
+            F.col("pageReferrer").alias("t_referrer"), F.col("utmMedium").alias("t_medium"),
+            F.col("utmCampaign").alias("t_campaign"), F.col("userId").alias("t_user"),
+            F.col("sessionId").alias("t_session"), F.col("ip").alias("t_ip"),
+            F.col("shopifyShopURL").alias("t_shop")]
+
+
 def touchpoints(events: DataFrame) -> DataFrame:
     """Every event as a touch (order events included) with its source class."""
-    return events.select(
-        F.col("event_id").alias("t_event_id"), F.col("timestamp").alias("t_ts"),
-        F.col("userId").alias("t_user"), F.col("sessionId").alias("t_session"),
-        F.col("shopifyShopURL").alias("t_shop"), F.col("ip").alias("t_ip"),
-        classify_source(F.col("utmSource"), F.col("pageReferrer")).alias("attribution_source"),
-        F.col("pageReferrer").alias("t_referrer"),
-        F.col("utmMedium").alias("t_medium"), F.col("utmCampaign").alias("t_campaign"),
-    )
+    return events.select(F.col("timestamp").alias("t_ts"), *_touch_values())
 
 
 def orders_per_month_store(events: DataFrame, ordered: bool = True) -> DataFrame:
@@ -102,42 +108,58 @@ def journey(events: DataFrame, keys: Sequence[str] = KEYS_WITH_SHOP,
 _TOUCH_RANK = ("t_event_id", "attribution_source", "t_referrer", "t_medium", "t_campaign",
                "t_user", "t_session", "t_ip", "t_shop")
 _ORDER_RANK = ("o_event_id", "o_processed_at", "o_price", "o_shop", "o_user", "o_ip")
-AS_OF_BUCKETS = 8
+PIECE_SECONDS = 3600
 
 
 def _touch_rank(*more: str):
     return F.struct((-F.col("t_ts")).alias("_late"), *_TOUCH_RANK, *more)
 
 
-def as_of_touches(o: DataFrame, t: DataFrame, keys: Sequence[str], days: int,
-                  epoch_unit: str = "s", strict: bool = False) -> DataFrame:
-    """For each order event some touches of its key inside the window, the
-    last one among them.
+_EVENT_KEY = {"ip": "ip", "shop": "shopifyShopURL", "user": "userId"}
+
 
-    Time is cut into buckets of an eighth of the window.  Of an earlier bucket
-    only its best touch can win, so each order meets the touches of its own
-    bucket and one row of each bucket before; nothing else is paired, and a
-    heavy key is cut by time.  ``strict`` takes touches before the order only.
+def as_of_touches(events: DataFrame, keys: Sequence[str], epoch_unit: str = "s",
+                  strict: bool = False, touches: Column | None = None) -> DataFrame:
+    """Each order event with the last touch of its key up to it, found by one
+    scan of one stream instead of a join of orders and touches.
+
+    Every event is a row of the stream: a touch (if ``touches`` holds), an
+    order event, or both.  A key's stream is cut into pieces of an hour; within
+    a piece a running minimum over the touches' rank gives the last touch so
+    far, and a small table with each piece's last touch is carried over to the
+    key's later pieces.  The log is read once (both parts share one exchange),
+    no order meets a second touch, and a heavy key is cut by time.  ``strict``
+    takes touches before the order only.
     """
-    span = days * 86400 * UNITS_PER_SECOND[epoch_unit]
-    width = max(1, -(-span // AS_OF_BUCKETS))
-    tkeys = [_KEY_COLS[k][1] for k in keys]
-    t = t.withColumn("_tb", F.floor(F.col("t_ts") / F.lit(width)))
-    o = o.withColumn("_ob", F.floor(F.col("o_ts") / F.lit(width)))
-    order = F.col("t_ts") < F.col("o_ts") if strict else F.col("t_ts") <= F.col("o_ts")
-    inside = order & (F.col("t_ts") >= F.col("o_ts") - F.lit(span))
-    own = (o.withColumn("_tb", F.col("_ob")).join(
-        t.withColumnRenamed("_tb", "_b"), [F.col("_tb") == F.col("_b"), *_key_condition(o, t, keys)])
-        .filter(inside).drop("_tb", "_b", "_ob"))
-    cols = [c for c in t.columns if c not in ("_tb", *tkeys)]
-    best = (t.filter(F.col("t_ts").isNotNull()).groupBy("_tb", *tkeys)
-            .agg(F.min_by(F.struct(*cols), _touch_rank()).alias("_w"))
-            .select(F.col("_tb").alias("_b"), *tkeys, "_w.*"))
-    back = F.explode(F.sequence(F.col("_ob") - AS_OF_BUCKETS - 1, F.col("_ob") - 1))
-    far = o.withColumn("_tb", back)
-    before = (far.join(best, [F.col("_tb") == F.col("_b"), *_key_condition(far, best, keys)])
-              .filter(inside).drop("_tb", "_b", "_ob"))
-    return own.unionByName(before)
+    width = PIECE_SECONDS * UNITS_PER_SECOND[epoch_unit]
+    ekeys = [_EVENT_KEY[k] for k in keys]
+    present = F.col("timestamp").isNotNull()
+    for c in ekeys:
+        present = present & F.col(c).isNotNull()
+    touch = F.struct((-F.col("timestamp")).alias("_late"), *_touch_values())
+    order = F.struct(*[F.col(k).alias(v) for k, v in _ORDER_SIDE.items()])
+    stream = events.filter(present).select(
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(ekeys)],
+        F.floor(F.col("timestamp") / F.lit(width)).alias("piece"), F.col("timestamp").alias("ts"),
+        (F.when(touches, touch) if touches is not None else touch).alias("touch"),
+        F.when(F.col("shopifyOrderId").isNotNull(), order).alias("order"))
+    stream = stream.filter(F.col("touch").isNotNull() | F.col("order").isNotNull())
+    names = [f"k{i}" for i in range(len(ekeys))]
+    dealt = dealt_once(stream, [*names, "piece"])
+    dkeys = [f"_k_{n}" for n in names]
+
+    last = dealt.groupBy(*dkeys, "_k_piece").agg(F.min(inside(lambda r: r["touch"])).alias("m"))
+    before = Window.partitionBy(*dkeys).orderBy("_k_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(*[F.col(k).alias(f"_c{k}") for k in dkeys], F.col("_k_piece").alias("_c_piece"),
+                        F.min("m").over(before).alias("_carried"))
+    so_far = (Window.partitionBy(*dkeys, "_k_piece").orderBy("ts")
+              .rangeBetween(Window.unboundedPreceding, -1 if strict else Window.currentRow))
+    scan = unpacked(dealt).withColumn("_seen", F.min("touch").over(so_far)).filter(F.col("order").isNotNull())
+    cond = [scan[k] == carry[f"_c{k}"] for k in dkeys] + [scan["_k_piece"] == carry["_c_piece"]]
+    # A touch of the order's own piece is later than any carried into it.
+    found = scan.join(carry, cond).select("order.*", F.coalesce("_seen", "_carried").alias("_t"))
+    return (found.filter(F.col("_t").isNotNull())
+            .select("*", (-F.col("_t._late")).alias("t_ts"), "_t.*").drop("_t", "_late"))
 
 
 _LAST_TOUCH_OUT = [
@@ -164,9 +186,8 @@ def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WIT
       of one key group is the same touch: the one with the lowest id.  It
       is taken per key group first (``min`` of a struct, partial-aggregated
       map-side), then joined to the order events -- one row per order event.
-    * Otherwise (identity keys such as the user) ``as_of_touches`` pairs an
-      order only with touches of its own time bucket and the best one of each
-      earlier bucket.
+    * Otherwise (identity keys such as the user) ``as_of_touches`` scans one
+      stream of orders and touches and finds the last touch of each order event.
     * Finally ``min_by`` per order key picks the latest touch across that
       order's events.
 
@@ -175,13 +196,11 @@ def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WIT
     (an order event is a touch of itself otherwise, so no window can then cut
     anything); ``touches`` restricts which events count as touches.
     """
-    o = order_events(events)
-    t = touchpoints(events)
-    if touches is not None:
-        t = touchpoints(events.filter(touches))
     if "timestamp" in keys:
         if strict:
             raise ValueError("keys with the timestamp admit no earlier touch")
+        o = order_events(events)
+        t = touchpoints(events if touches is None else events.filter(touches))
         tkeys = [_KEY_COLS[k][1] for k in keys]
         rest = [c for c in t.columns if c not in tkeys]
         best = (t.filter(F.col("t_ts").isNotNull()).groupBy(*tkeys)
@@ -190,7 +209,7 @@ def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WIT
         best = best.select(*tkeys, "_best.*")
         per_order_event = o.join(best, _key_condition(o, best, keys))
     else:
-        per_order_event = as_of_touches(o, t, keys, days, epoch_unit, strict)
+        per_order_event = as_of_touches(events, keys, epoch_unit, strict, touches)
     cand = (per_order_event
             .filter((F.col("t_ts") <= F.col("o_ts"))
                     & (within_lookback("t_ts", "o_ts", days, epoch_unit) == 1))
@@ -229,24 +248,138 @@ def attribution_report(last: DataFrame, ordered: bool = True) -> DataFrame:
 
 
 _STEP_ORDER = ("t_ts", *_TOUCH_RANK, *_ORDER_RANK)
+PIECE_IDS = 65_536
+PIECE_DAYS = 86_400
+
+
+class _Ranks:
+    """Places of touches and order events under ``KEYS_NO_SHOP``, from which
+    journey steps are composed without sorting pairs.
+
+    All touches of a pair share the order event's time, so an order's steps go
+    by time first.  Where the order has one ip at a time, the touches of that
+    (ip, time) come in rank order, and for each of them the order's events
+    there: the step is the number of the order's pairs at earlier times, plus
+    (touch place - 1) x (order events there), plus the order event's place.
+    Times at which an order has several ips (``many``) interleave their
+    touches; their pairs alone are numbered as pairs.
+
+    The log is read and exchanged once, by (ip, time, piece of event ids), so a
+    heavy (ip, time) is cut; order events go by (order, day), so a heavy order
+    is cut too.  Per-piece and per-day counts give the offsets.  Nothing is
+    persisted or checkpointed.  Copies of one touch follow each other.
+    """
+
+    def __init__(self, events: DataFrame, epoch_unit: str = "s"):
+        order = F.struct(*[F.col(k).alias(v) for k, v in _ORDER_SIDE.items()])
+        piece = F.coalesce(F.floor(F.col("event_id") / F.lit(PIECE_IDS)), F.lit(-(1 << 62)))
+        stream = events.filter(F.col("ip").isNotNull() & F.col("timestamp").isNotNull()).select(
+            F.col("ip").alias("ip"), F.col("timestamp").alias("ts"), piece.cast("bigint").alias("piece"),
+            F.struct(*_touch_values()).alias("touch"),
+            F.when(F.col("shopifyOrderId").isNotNull(), order).alias("order"))
+        at = ["ip", "ts", "piece"]
+        dealt = dealt_once(stream, at)
+        kat = [f"_k_{c}" for c in at]
+        counts = dealt.groupBy(*kat).agg(F.sum(inside(lambda r: F.lit(1).cast("bigint"))).alias("n"))
+        key = Window.partitionBy("_k_ip", "_k_ts")
+        before = key.orderBy("_k_piece").rowsBetween(Window.unboundedPreceding, -1)
+        places = counts.select(*[F.col(c).alias(f"p{c}") for c in kat], F.sum("n").over(key).alias("m"),
+                               F.coalesce(F.sum("n").over(before), F.lit(0)).alias("t_before"))
+        local = Window.partitionBy(*kat).orderBy(*[F.col(f"touch.{c}") for c in _TOUCH_RANK])
+        rows = unpacked(dealt).withColumn("_here", F.row_number().over(local))
+        rows = rows.join(places, [rows[c] == places[f"p{c}"] for c in kat])
+        t = rows.select("ip", "ts", "touch.*", (F.col("_here") + F.col("t_before")).alias("place"))
+        # Both kinds of pairs read one exchange of the touches, and one of the orders.
+        self.touches = unpacked(dealt_once(t, ["ip", "ts"])).drop("ip", "ts").withColumnsRenamed(
+            {"_k_ip": "t_ip_", "_k_ts": "t_ts"})
+
+        day = F.floor(F.col("o_ts") / F.lit(PIECE_DAYS * UNITS_PER_SECOND[epoch_unit])).alias("day")
+        o = rows.filter(F.col("order").isNotNull()).select("order.*", "m").select("*", day)
+        days = dealt_once(o, ["order_id", "day"])
+        xday = ["_k_order_id", "_k_day"]
+        per_day = days.groupBy(*xday).agg(F.sum(inside(lambda r: r["m"])).alias("n"))
+        earlier = Window.partitionBy("_k_order_id").orderBy("_k_day").rowsBetween(Window.unboundedPreceding, -1)
+        per_day = per_day.select(*[F.col(c).alias(f"d{c}") for c in xday],
+                                 F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("d_before"))
+        in_day, moment = Window.partitionBy(*xday), Window.partitionBy(*xday, "o_ts")
+        here = Window.partitionBy(*xday, "o_ts", "o_ip")
+        o = unpacked(days).select(
+            "*", F.coalesce(F.sum("m").over(in_day.orderBy("o_ts").rangeBetween(Window.unboundedPreceding, -1)),
+                            F.lit(0)).alias("in_day"),
+            (F.min("o_ip").over(moment) != F.max("o_ip").over(moment)).alias("many"),
+            F.count(F.lit(1)).over(here).alias("k"),
+            F.row_number().over(here.orderBy(*_ORDER_RANK)).alias("o_place"))
+        o = o.join(per_day, [o[c] == per_day[f"d{c}"] for c in xday]).select(
+            *_ORDER_SIDE.values(), "k", "many", "o_place", (F.col("in_day") + F.col("d_before")).alias("offset"))
+        self.orders = unpacked(dealt_once(o, ["o_ip", "o_ts"])).drop("_k_o_ip", "_k_o_ts")
+
+    def _pairs(self, which: Column) -> DataFrame:
+        o, t = self.orders.filter(which), self.touches
+        return o.join(t, [o["o_ip"] == t["t_ip_"], o["o_ts"] == t["t_ts"]])
+
+    def interleaved(self) -> DataFrame:
+        """Steps of the pairs at times where an order has several ips."""
+        moment = Window.partitionBy("order_id", "o_ts").orderBy(*_TOUCH_RANK, "place", *_ORDER_RANK)
+        return self._pairs(F.col("many")).withColumn(
+            "TOUCHPOINT_STEP", F.col("offset") + F.row_number().over(moment))
+
+    def composed(self) -> DataFrame:
+        return self._pairs(~F.col("many")).withColumn(
+            "TOUCHPOINT_STEP", F.col("offset") + (F.col("place") - 1) * F.col("k") + F.col("o_place"))
 
 
 def touch_journey(events: DataFrame, keys: Sequence[str] = KEYS_NO_SHOP,
-                  ordered: bool = True, n_buckets: int | None = None) -> DataFrame:
+                  ordered: bool = True, n_buckets: int | None = None,
+                  epoch_unit: str = "s") -> DataFrame:
     """Every touch of every order with its step number (1 = earliest).
 
     Steps count across all events of an order id, ordered by touch time,
     then touch id, then all that the rows hold, then order event, so the order
-    is total up to equal rows.  Numbering uses the range-bucketed
-    ``row_number_within`` so one large order never lands in a single task.
+    is total up to equal rows.  With ``KEYS_NO_SHOP`` steps are composed from
+    places (``_Ranks``) and pairs are only emitted; other keys number the pairs
+    through the range-bucketed ``row_number_within``.
     """
-    pairs = journey(events, keys).select("order_id", *_STEP_ORDER)
-    numbered = row_number_within(pairs, ["order_id"], list(_STEP_ORDER),
-                                 out="TOUCHPOINT_STEP", n_buckets=n_buckets)
-    out = _steps(numbered)
+    if tuple(keys) == KEYS_NO_SHOP:
+        ranks = _Ranks(events, epoch_unit)
+        out = _steps(ranks.composed()).unionByName(_steps(ranks.interleaved()))
+    else:
+        pairs = journey(events, keys, epoch_unit=epoch_unit).select("order_id", *_STEP_ORDER)
+        out = _steps(row_number_within(pairs, ["order_id"], list(_STEP_ORDER),
+                                       out="TOUCHPOINT_STEP", n_buckets=n_buckets))
     return out.orderBy("SHOPIFYORDERID", "TOUCHPOINT_STEP") if ordered else out
 
 
+def step_counts(events: DataFrame, below: int | None = None, epoch_unit: str = "s") -> DataFrame:
+    """Distinct orders by (step, source) of ``touch_journey``, with no row per
+    order and touch.
+
+    A step number occurs once per order, so orders are counted, not told apart:
+    those that stand alike at an (ip, time) -- same offset, same number of
+    events there -- are one row with a count, and each touch is multiplied by
+    it.  ``below`` keeps steps under it and drops what starts later early.
+    """
+    ranks = _Ranks(events, epoch_unit)
+    # One row per order and (ip, time).
+    g = ranks.orders.filter(~F.col("many") & (F.col("o_place") == 1))
+    t = ranks.touches
+    if below is not None:
+        g, t = g.filter(F.col("offset") < below - 1), t.filter(F.col("place") < below)
+    alike = g.groupBy("o_ip", "o_ts", "offset", "k").agg(F.count(F.lit(1)).alias("orders"))
+    met = alike.join(t, [alike["o_ip"] == t["t_ip_"], alike["o_ts"] == t["t_ts"]])
+    steps = met.groupBy("offset", "place", "k", "attribution_source").agg(F.sum("orders").alias("orders")).select(
+        "attribution_source", "orders", F.explode(F.sequence(
+            F.col("offset") + (F.col("place") - 1) * F.col("k") + 1,
+            F.col("offset") + F.col("place") * F.col("k"))).alias("step"))
+    apart = ranks.interleaved().select("attribution_source", F.lit(1).cast("bigint").alias("orders"),
+                                       F.col("TOUCHPOINT_STEP").alias("step"))
+    both = steps.unionByName(apart)
+    if below is not None:
+        both = both.filter(F.col("step") < below)
+    return (both.groupBy(F.col("step").cast("bigint").alias("TOUCHPOINT_STEP"),
+                         F.col("attribution_source").alias("ATTRIBUTION_SOURCE"))
+            .agg(F.sum("orders").alias("ORDER_COUNT")))
+
+
 def _steps(numbered: DataFrame) -> DataFrame:
     return numbered.select(F.col("order_id").alias("SHOPIFYORDERID"),
                            F.col("o_shop").alias("SHOPIFYSHOPURL"),

@@ -21,12 +21,12 @@ SOURCE = "ATTRIBUTION_SOURCE"
 def source_share(report: DataFrame) -> DataFrame:
     """Attributed orders per source and its percent of all orders.
 
-    The grand total is a scalar subquery (one row, computed once and
-    inlined), not a join."""
+    The grand total is a window over the aggregated rows (one per source), so
+    the report behind them is computed once."""
     agg = (report.filter(F.col(SOURCE).isNotNull())
            .groupBy(SOURCE)
            .agg(F.sum(trunc_int("ATTRIBUTED_ORDERS")).alias("ATTRIBUTED_ORDERS")))
-    total = agg.select(F.sum("ATTRIBUTED_ORDERS")).scalar()
+    total = F.sum("ATTRIBUTED_ORDERS").over(Window.partitionBy())
     return agg.withColumn("PERCENTAGE",
                           F.col("ATTRIBUTED_ORDERS").cast("double") / total.cast("double")
                           * F.lit(100.0))
@@ -69,9 +69,13 @@ def touch_funnel(cjm: DataFrame, sources: Iterable[str] | None = None,
                    & (F.col("TOUCHPOINT_STEP").cast("double") < max_step))
     if sources is not None:
         f = f.filter(is_member(F.col(SOURCE), sources))
-    agg = (f.groupBy(SOURCE, "TOUCHPOINT_STEP")
-           .agg(F.count_distinct("SHOPIFYORDERID").alias("ORDER_COUNT")))
-    # At most max_step rows per source: a small window.
+    return funnel_of_counts(f.groupBy(SOURCE, "TOUCHPOINT_STEP")
+                            .agg(F.count_distinct("SHOPIFYORDERID").alias("ORDER_COUNT")))
+
+
+def funnel_of_counts(agg: DataFrame) -> DataFrame:
+    """``touch_funnel`` from orders by step and source (``step_counts``)."""
+    # One row per step and source: a small window.
     first = F.min_by("ORDER_COUNT", "TOUCHPOINT_STEP").over(Window.partitionBy(SOURCE))
     return agg.withColumn("PERCENT_INITIAL", percent_of(F.col("ORDER_COUNT"), first))
 

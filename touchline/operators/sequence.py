@@ -106,3 +106,62 @@ def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequen
                 value: str, out: str, n_buckets: int | None = None,
                 total_out: str | None = None) -> DataFrame:
     return running(df, partition_cols, order_cols, out, value, n_buckets, total_out)
+
+
+def dealt_once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` hash partitioned on ``keys``, its columns packed as ``_row``.
+
+    Several readers of the result share one exchange, so ``df`` is computed
+    once: they all take the whole ``_row`` (``unpacked`` or ``inside``) and the
+    filters that joins on the keys would infer stand here already, which keeps
+    their exchanges the same plan.  Rows with a null key are dropped.
+    """
+    present = F.lit(True)
+    for k in keys:
+        present = present & F.col(f"`{k}`").isNotNull()
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    return df.filter(present).select(*[F.col(f"`{k}`").alias(f"_k_{k}") for k in keys], row) \
+        .repartition(*[F.col(f"`_k_{k}`") for k in keys])
+
+
+def unpacked(dealt: DataFrame) -> DataFrame:
+    keys = [c for c in dealt.columns if c != "_row"]
+    return dealt.select(F.inline(F.array("_row")), *[F.col(f"`{k}`") for k in keys])
+
+
+def inside(expr) -> Column:
+    """A value computed from the whole packed row (``expr`` takes the row)."""
+    return F.element_at(F.transform(F.array("_row"), expr), 1)
+
+
+def running_by_pieces(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence,
+                      piece: Column, out: str, value: str | None = None,
+                      total_out: str | None = None) -> DataFrame:
+    """``running`` without a job while the plan is built, and without a sort
+    or checkpoint of the whole relation: pieces come from the data.
+
+    ``piece`` must not fall along ``order_cols`` (for example a leading order
+    column divided by a width, rounded down; null counts as first), so a group
+    is cut into runs of rows that stand together.  Per-piece measures are summed
+    into offsets by a window over one row per piece, a local window adds them.
+    The rows are exchanged once.  ``partition_cols`` must hold no null.
+    """
+    pcols = list(partition_cols)
+    keyed = df.withColumn("_piece", F.coalesce(piece.cast("bigint"), F.lit(-(1 << 63))))
+    dealt = dealt_once(keyed, [*pcols, "_piece"])
+    keys = [f"_k_{c}" for c in pcols]
+    measure = inside(lambda r: F.lit(1).cast("bigint") if value is None else r[value])
+    per = dealt.groupBy(*keys, "_k__piece").agg(F.sum(measure).alias("_m"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_k__piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.sum("_m").over(whole).alias("_total")] if total_out else []
+    offsets = per.select(*[F.col(k).alias(f"_o{k}") for k in keys], F.col("_k__piece").alias("_o_piece"),
+                         F.coalesce(F.sum("_m").over(before), F.lit(0)).alias(_OFF), *totals)
+    local = Window.partitionBy(*keys, "_k__piece").orderBy(*[_col(c) for c in order_cols])
+    here = (F.row_number().over(local) if value is None
+            else F.sum(F.col(value)).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = unpacked(dealt).withColumn("_here", here)
+    cond = [rows[k] == offsets[f"_o{k}"] for k in keys] + [rows["_k__piece"] == offsets["_o_piece"]]
+    extra = [F.col("_total").alias(total_out)] if total_out else []
+    return rows.join(offsets, cond).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("_here") + F.col(_OFF)).alias(out), *extra)

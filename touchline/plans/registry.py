@@ -56,7 +56,8 @@ def q_last_touch(spark, sf_dir):
 
 @register("touch_journey")
 def q_touch_journey(spark, sf_dir):
-    return att.touch_journey(inputs.events(spark, sf_dir))
+    """Steps are in the rows; ``ordered=True`` would add a sort of all pairs."""
+    return att.touch_journey(inputs.events(spark, sf_dir), ordered=False)
 
 
 @register("attribution_lookback_user_3d")
@@ -113,13 +114,15 @@ def q_source_edges(spark, sf_dir):
 
 @register("touch_step_orders")
 def q_touch_step_orders(spark, sf_dir):
-    return reports.step_orders(_cjm(spark, sf_dir))
+    """Counted per (ip, time): no row per order and touch."""
+    counts = att.step_counts(inputs.events(spark, sf_dir))
+    return counts.filter(F.col("ATTRIBUTION_SOURCE").isNotNull())
 
 
 @register("touch_funnel")
 def q_touch_funnel(spark, sf_dir):
-    """Steps under ten only, so the journey's pairs are never built."""
-    return reports.touch_funnel(att.first_steps(inputs.events(spark, sf_dir), below=10))
+    """Steps under ten only, counted without the journey's pairs."""
+    return reports.funnel_of_counts(att.step_counts(inputs.events(spark, sf_dir), below=10))
 
 
 @register("journey_lookback")
