@@ -138,3 +138,48 @@ def test_box_stats_approx_close(spark):
     assert set(ex) == set(ap)
     for k in ex:
         assert abs(ex[k] - ap[k]) <= 0.05 * abs(ex[k]) + 1
+
+
+def test_ordered_keys_keep_order_and_turn_back(spark):
+    import struct
+    from touchline.operators.quantiles import ordered_key, value_of
+    tiny = 5e-324
+    vals = [0.0, -0.0, tiny, -tiny, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 2.0, 0.5, 3.0, -3.5,
+            4503599627370497.0, 1.7976931348623157e308, float("inf"), float("-inf"), 0.1, 1 / 3, -1e-300]
+    got = spark.createDataFrame([(v,) for v in vals], "v double").select(
+        "v", ordered_key(F.col("v")).alias("k")).select("v", "k", value_of(F.col("k")).alias("back")).collect()
+    assert all(r.back == r.v for r in got)
+    assert [r.v for r in sorted(got, key=lambda r: r.k)] == sorted(vals)
+    bits = {r.v: r.k for r in got if r.v > 0}
+    assert all(struct.unpack("<q", struct.pack("<d", v))[0] == k for v, k in bits.items())
+
+
+def test_rank_selection_against_numpy(spark):
+    import numpy as np
+    from touchline.operators.quantiles import exact_quantiles
+    r = np.random.default_rng(4)
+    groups = {"a": r.normal(0, 1e6, 900), "b": np.repeat([7.0, 7.5], [500, 1]), "c": np.array([3.0]),
+              None: r.integers(-5, 5, 300) / 4, "d": 1e9 + r.random(400) * 1e-3, "e": r.choice([-1e300, 1e-300, 0.0, 2e300], 50)}
+    data = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("z", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    probs = {f"p{i}": p for i, p in enumerate([0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0])}
+    got = {x.g: x for x in exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        for name, p in probs.items():
+            assert math.isclose(got[g][name], np.quantile(vs, p), rel_tol=1e-14), (g, p)
+    plan = exact_quantiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan.replace("SortOrder", "") and "LogicalRDD" in plan
+
+
+def test_box_with_points_at_the_fences(spark):
+    # box 0.5 .. 2.5 (by the chart rule), fences at -2.5 and 5.5, values on and beside them
+    vals = [0.0, 1.0, 2.0, 3.0, 5.5, 5.500000000000001, -2.5, -2.5000000000000004, 1.5, 1.0, 2.0, 1.5]
+    df = spark.createDataFrame([("k", v) for v in vals] + [(None, 1.0)], "k string, v double")
+    got = {r.k: r for r in profile.box_stats(df, "k", "v").collect()}
+    x = got["k"]
+    reach = 1.5 * (x.q3 - x.q1)
+    lo, hi = x.q1 - reach, x.q3 + reach
+    assert x.lower_whisker == min(v for v in vals if v >= lo) and x.upper_whisker == max(v for v in vals if v <= hi)
+    assert x.outliers == sum(v < lo or v > hi for v in vals) and x["count"] == len(vals)
+    assert got[None]["count"] == 1 and got[None].lower_whisker == got[None].upper_whisker == 1.0

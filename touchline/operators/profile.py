@@ -11,8 +11,9 @@ from pyspark.sql.types import NumericType
 from touchline.functions.semantics import sum_or_zero
 from touchline.functions.text import log1p_positive
 from touchline.operators.quantiles import (
-    exact_quantiles, join_groups, quantiles_of, ranked_values,
+    SHIFTS, exact_quantiles, in_bins, join_groups, keyed_values, ordered_key, quantiles_of,
 )
+from touchline.session import reliable_checkpoint
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -42,9 +43,9 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str] | None = None,
              approx: bool = False, decimals: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per numeric column, one
-    row per column.  Quartiles are exact (linear interpolation) and computed
-    from distributed ranks; ``approx=True`` uses ``percentile_approx``
-    instead (one pass, bounded memory).  NULL and NaN are skipped.
+    row per column.  Quartiles are exact (linear interpolation), found by rank
+    selection over histograms (``quantiles``); ``approx=True`` uses
+    ``percentile_approx`` instead (one pass).  NULL and NaN are skipped.
 
     Mean and std depend on the order of floating-point addition, which no
     distributed engine fixes; ``decimals`` rounds them for reproducible
@@ -58,7 +59,6 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
             F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
             *[F.percentile_approx(v, p, 10000).alias(n) for n, p in QUARTILES.items()])
     else:
-        # one ranked, checkpointed pass gives quartiles and the other stats
         out = exact_quantiles(long, ["COLUMN_NAME"], "VALUE", QUARTILES, extra={
             "count": lambda c: F.count(c).cast("double"), "mean": F.avg,
             "std": F.stddev_samp, "min": F.min, "max": F.max})
@@ -126,23 +126,35 @@ def box_stats(df: DataFrame, key: str, value: str, log: bool = False,
     base = df.select(_q(key).alias("KEY"), v.alias("VALUE"))
     base = base.filter(F.col("VALUE").isNotNull() & ~F.isnan("VALUE"))
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    values = keyed_values(base, ["KEY"], "VALUE")
     if approx:
-        values = base.withColumnRenamed("VALUE", "_v")
         box = values.groupBy("KEY").agg(
             *[F.percentile_approx("_v", p, 10000).alias(n) for n, p in probs.items()])
     else:
-        values = ranked_values(base, ["KEY"], "VALUE")
         box = quantiles_of(values, ["KEY"], probs, "chart")
-    # One row per key on the right.
-    points = join_groups(values.select("KEY", "_v"), box, ["KEY"])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col("_v")
-    j = points.groupBy("KEY", *probs).agg(
-        F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.least("q1", F.min(F.when(v >= F.col("q1") - reach, v))).alias("lower_whisker"),
-        F.greatest("q3", F.max(F.when(v <= F.col("q3") + reach, v))).alias("upper_whisker"),
-        F.count_if((v < F.least(F.col("q1"), F.col("q1") - reach))
-                   | (v > F.greatest(F.col("q3"), F.col("q3") + reach))).alias("outliers"))
+    fence = {"low": F.col("q1") - reach, "high": F.col("q3") + reach}
+    # One row per key; every part below reads it.
+    box = reliable_checkpoint(box.select("*", *[x.alias(n) for n, x in fence.items()], *[
+        F.shiftright(ordered_key(x), SHIFTS[0]).alias(f"{n}_bin") for n, x in fence.items()]))
+
+    # Values by bin of the histogram; those in a fence's bin one by one, so that
+    # each row lies on one side of both fences.
+    bin_ = F.shiftright("_key", SHIFTS[0])
+    sides = [F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")]
+    bins = values.groupBy("KEY", bin_.alias("bin")).agg(*sides).withColumn("whole", F.lit(True))
+    fences = box.select("KEY", F.explode(F.array("low_bin", "high_bin")).alias("b"))
+    near = (in_bins(values, fences, ["KEY"], bin_, "b").groupBy("KEY", bin_.alias("bin"), "_key").agg(*sides)
+            .drop("_key").withColumn("whole", F.lit(False)))
+    rows = join_groups(bins.unionByName(near), box, ["KEY"])
+    at_fence = (F.col("bin") == F.col("low_bin")) | (F.col("bin") == F.col("high_bin"))
+    rows = rows.filter(F.col("whole") != at_fence)
+    j = rows.groupBy("KEY", *probs).agg(
+        F.sum("c").alias("count"), F.min("lo").alias("min"), F.max("hi").alias("max"),
+        F.least("q1", F.min(F.when(F.col("lo") >= F.col("low"), F.col("lo")))).alias("lower_whisker"),
+        F.greatest("q3", F.max(F.when(F.col("hi") <= F.col("high"), F.col("hi")))).alias("upper_whisker"),
+        F.sum(F.when((F.col("hi") < F.col("low")) | (F.col("lo") > F.col("high")), F.col("c")).otherwise(0))
+        .alias("outliers"))
     stats = ["min", "lower_whisker", "q1", "median", "q3", "upper_whisker", "max"]
     if decimals is not None:
         j = j.withColumns({c: F.round(c, decimals) for c in stats})
