@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchline.session import ensure_checkpoint_dir
 
+# Least length of a passage that the dedup stage takes for a repeat: 51 words of
+# 5.5 bytes each, separators included.
+PASSAGE_BYTES = 280
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,9 +29,10 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long repeated passages are cut out of the texts; all documents stay."""
+    """Repeated passages of ``PASSAGE_BYTES`` or more are cut out of the texts;
+    all documents stay."""
     from touchline.llm.suffix_dedup import remove_repeats
-    return remove_repeats(docs)
+    return remove_repeats(docs, span=PASSAGE_BYTES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

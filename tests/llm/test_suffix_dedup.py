@@ -94,3 +94,23 @@ def test_rounds_give_common_prefixes():
             if d >= max(0, near[i]):
                 at[d, t[s:s + S.SPAN].tobytes()].append((i, d))
     assert got == {x for v in at.values() if len(v) > 1 for x in v}
+
+
+def test_passages_by_length(spark):
+    """Passages of 51 to 90 words in two documents each: those of at least the
+    span go from both, whatever stands beside them, shorter ones stay."""
+    r = rng(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.choice([2, 4, 5, 6, 9])))
+    text = lambda n: " ".join(word() for _ in range(n))
+    span, docs, planted = 350, [], {}
+    for k in range(51, 91):
+        passage = text(k)
+        planted[k] = len(passage)
+        docs += [(2 * k, f"{text(60)} |{passage}| {text(9)}"), (2 * k + 1, f"<{passage}> {text(70)}")]
+    assert min(planted.values()) < span < max(planted.values())
+    df = docs_frame(spark, docs)
+    got = {x.doc_id: x.text for x in S.remove_repeats(df, span=span).collect()}
+    for k, n in planted.items():
+        for i, before in docs[2 * (k - 51):2 * (k - 51) + 2]:
+            # One space on either side may belong to the match.
+            assert (len(before) - len(got[i])) in ((n, n + 1, n + 2) if n >= span else (0,) if n < span - 2 else (0, n, n + 1, n + 2))

@@ -38,7 +38,7 @@ from touchline.llm import textops as T
 from touchline.llm.packing import arrow_schema, pack, unpack
 from touchline.llm.tables import staged
 
-SPAN = 400
+SPAN = 400                    # bytes of a repeated string, unless given
 GRAM = 32
 MARKER = 0xFFFF
 BUCKET_TEXT = 64 << 20
@@ -66,28 +66,28 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum(ALL[data] * p[:len(data)])))
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, total: np.ndarray):
+def anchors(data: np.ndarray, offs: np.ndarray, total: np.ndarray, span: int = SPAN):
     """Anchors of all windows: row, first and last window start, place of the
     gram, hash of the gram (places count from the slice's start)."""
     none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    if len(data) < SPAN:
+    if len(data) < span:
         return none
     _, inv = T.powers(len(data))
     n = len(data) - GRAM + 1
     h = T.mix64((total[GRAM:] - total[:-GRAM]) * inv[:n])
     # High half: hash; low half: place.  The smallest is the leftmost of equals.
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    wide, reach = SPAN - GRAM + 1, 1
+    wide, reach = span - GRAM + 1, 1
     while reach * 2 <= wide:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
-    starts = len(data) - SPAN + 1
+    starts = len(data) - span + 1
     low = np.minimum(low[:starts], low[wide - reach:wide - reach + starts])
     place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     step = np.zeros(len(data) + 1, np.int32)
-    long = np.flatnonzero(np.diff(offs) >= SPAN)
+    long = np.flatnonzero(np.diff(offs) >= span)
     np.add.at(step, offs[long], 1)
-    np.add.at(step, offs[long + 1] - SPAN + 1, -1)
+    np.add.at(step, offs[long + 1] - span + 1, -1)
     valid = np.cumsum(step[:starts]) > 0
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
@@ -222,7 +222,7 @@ def _gather(table: pa.Table, schema: pa.Schema):
     return pa.Table.from_batches(out, schema=schema)
 
 
-def repeated_anchors(src: DataFrame, buckets: int, hot: int) -> DataFrame:
+def repeated_anchors(src: DataFrame, buckets: int, hot: int, span: int) -> DataFrame:
     """Staged table (``ANSWER``): kind 0, the repeated anchors of each row that
     has any; kind 1, hot anchors (``doc_id``: key, ``rk``: occurrences)."""
     schema, shards = arrow_schema(ANSWER), buckets
@@ -243,7 +243,7 @@ def repeated_anchors(src: DataFrame, buckets: int, hot: int) -> DataFrame:
                                         buckets, shards))
 
         for rows, data, offs in T.slices(batches, "text"):
-            row, _, _, _, h = anchors(data, offs, prefix_hash(data))
+            row, _, _, _, h = anchors(data, offs, prefix_hash(data), span)
             ids = rows.column(0)
             held.append((ids.fill_null(0).to_numpy(), rows.column(1).to_numpy(),
                          np.array(ids.is_null()).astype(np.int8), row, h))
@@ -292,7 +292,7 @@ class ColumnFile:
 
 
 def sort_columns(texts: list[np.ndarray], right: np.ndarray, group: np.ndarray,
-                 near: np.ndarray, far: np.ndarray):
+                 near: np.ndarray, far: np.ndarray, span: int = SPAN):
     """Repeated windows of aligned texts, by inserting one column per round.
 
     ``right[i]``: columns of text i right of the anchor's start; ``group``:
@@ -334,7 +334,7 @@ def sort_columns(texts: list[np.ndarray], right: np.ndarray, group: np.ndarray,
             if d < 0:
                 continue
             active = (near[order] <= d) & (d <= far[order])
-            hit = active & (np.maximum(lcp[:-1], lcp[1:]) >= SPAN)
+            hit = active & (np.maximum(lcp[:-1], lcp[1:]) >= span)
             begin = order[hit & (open_at[order] < 0)]
             open_at[begin] = d
             close = order[~hit & (open_at[order] >= 0)]
@@ -362,10 +362,10 @@ def _without(order, lcp, gone):
 
 # --------------------------------------------------------------- surroundings
 
-def _members(rows, data, offs, keys, buckets: int, hot: dict, hot_limit: int):
+def _members(rows, data, offs, keys, buckets: int, hot: dict, hot_limit: int, span: int):
     """Surroundings of the repeated anchors of a slice; equal ones once."""
     total = prefix_hash(data)
-    row, lo, hi, place, h = anchors(data, offs, total)
+    row, lo, hi, place, h = anchors(data, offs, total, span)
     key = _key(h, buckets)
     want = np.zeros(len(key), bool)
     edge = T.row_starts(row, len(offs) - 1)
@@ -379,8 +379,8 @@ def _members(rows, data, offs, keys, buckets: int, hot: dict, hot_limit: int):
     if not len(row):
         return None
     _, inv = T.powers(len(data))
-    right = hi + SPAN - place                     # bytes from the anchor's start on
-    same = T.mix64((total[hi + SPAN] - total[lo]) * inv[lo]
+    right = hi + span - place                     # bytes from the anchor's start on
+    same = T.mix64((total[hi + span] - total[lo]) * inv[lo]
                    + T.mix64(key + (right * 1024 + hi - lo).astype(np.uint64)))
     _, first, back, count = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
     several = count[back] > 1
@@ -393,20 +393,20 @@ def _members(rows, data, offs, keys, buckets: int, hot: dict, hot_limit: int):
     return row, lo, hi, key, right, first, several, salt
 
 
-def surroundings(joined: DataFrame, buckets: int, hot: dict, hot_limit: int) -> DataFrame:
+def surroundings(joined: DataFrame, buckets: int, hot: dict, hot_limit: int, span: int) -> DataFrame:
     """Rows of ``MEMBER``: kind 0, surroundings of a repeated anchor; kind 1, a
     run of windows that repeat within the slice."""
     schema = arrow_schema(MEMBER)
 
     def run(batches):
         for rows, data, offs in T.slices(batches, "text"):
-            m = _members(rows, data, offs, rows.column(3).to_pylist(), buckets, hot, hot_limit)
+            m = _members(rows, data, offs, rows.column(3).to_pylist(), buckets, hot, hot_limit, span)
             if m is None:
                 continue
             row, lo, hi, key, right, first, several, salt = m
             ids, rk = rows.column(0), rows.column(1)
             # Members.
-            a, n = lo[first], hi[first] + SPAN - lo[first]
+            a, n = lo[first], hi[first] + span - lo[first]
             edge = np.concatenate(([0], np.cumsum(n)))
             flat = data[np.arange(edge[-1]) - np.repeat(edge[:-1] - a, n)]
             ctx = pa.Array.from_buffers(pa.binary(), len(first), [
@@ -435,7 +435,7 @@ def surroundings(joined: DataFrame, buckets: int, hot: dict, hot_limit: int) ->
     return joined.mapInArrow(run, MEMBER)
 
 
-def _sorted_block(t: pa.Table, schema: pa.Schema):
+def _sorted_block(t: pa.Table, schema: pa.Schema, span: int):
     """Repeated windows of a block of whole groups."""
     key, salt = t.column("key").to_numpy(), t.column("salt").to_numpy()
     right = t.column("right").to_numpy().astype(np.int64)
@@ -470,10 +470,10 @@ def _sorted_block(t: pa.Table, schema: pa.Schema):
     go = np.flatnonzero(kinds[group[rep]] > 1)
     if len(go):
         r = rep[go]
-        near = SPAN - right[r]          # left of the anchor, nearest window
+        near = span - right[r]          # left of the anchor, nearest window
         far = near + (hi[r] - lo[r])
         texts = [data[offs[i]:offs[i + 1]] for i in r]
-        who, d0, d1 = sort_columns(texts, right[r], group[r], near, far)
+        who, d0, d1 = sort_columns(texts, right[r], group[r], near, far, span)
         keep = ~settled[go][who]
         who, d0, d1 = who[keep], d0[keep], d1[keep]
         i = r[who]
@@ -492,8 +492,8 @@ def _sorted_block(t: pa.Table, schema: pa.Schema):
     ids, rks = t.column("doc_id").combine_chunks(), t.column("rk").combine_chunks()
     for j, u in zip(rep[salt[rep] > 0].tolist(), settled[salt[rep] > 0].tolist()):
         total = prefix_hash(data[offs[j]:offs[j + 1]])
-        w = np.arange(len(total) - SPAN)
-        h = T.mix64((total[w + SPAN] - total[w]) * T.powers(len(total))[1][w])
+        w = np.arange(len(total) - span)
+        h = T.mix64((total[w + span] - total[w]) * T.powers(len(total))[1][w])
         start = lo[j] + np.arange(len(w))
         done = np.full(len(w), u)
         for x, y in zip(a[i == j], b[i == j]):
@@ -506,7 +506,7 @@ def _sorted_block(t: pa.Table, schema: pa.Schema):
     return out
 
 
-def repeated_runs(members: DataFrame) -> DataFrame:
+def repeated_runs(members: DataFrame, span: int) -> DataFrame:
     """Rows of ``FOUND``: kind 1, runs of repeated windows; kind 2, windows of
     hot blocks by hash."""
     schema = arrow_schema(FOUND)
@@ -535,30 +535,30 @@ def repeated_runs(members: DataFrame) -> DataFrame:
                 k, s = t.column("key").to_numpy(), t.column("salt").to_numpy()
                 cut = int(np.flatnonzero((k == k[-1]) & (s == s[-1]))[0])
                 if cut:
-                    yield from _sorted_block(t.slice(0, cut), schema)
+                    yield from _sorted_block(t.slice(0, cut), schema, span)
                 held = t.slice(cut).combine_chunks().to_batches()
                 size = sum(x.column("ctx").nbytes for x in held) if cut else 0
         if held:
-            yield from _sorted_block(pa.Table.from_batches(held).combine_chunks(), schema)
+            yield from _sorted_block(pa.Table.from_batches(held).combine_chunks(), schema, span)
 
     return (members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, FOUND))
 
 
 # ------------------------------------------------------------------- removal
 
-def repeated_spans(src: DataFrame, hot_limit: int | None = None) -> DataFrame:
+def repeated_spans(src: DataFrame, hot_limit: int | None = None, span: int = SPAN) -> DataFrame:
     """``doc_id, rk, lo, hi``: runs of starts of repeated windows by row."""
     size = int(src.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = max(16, size // BUCKET_TEXT)
-    hot_limit = hot_limit or max(MIN_HOT, size // (SPAN // 2) // HOT_KEYS)
-    answers = repeated_anchors(src, buckets, hot_limit)
+    hot_limit = hot_limit or max(MIN_HOT, size // (span // 2) // HOT_KEYS)
+    answers = repeated_anchors(src, buckets, hot_limit, span)
     # At most HOT_KEYS anchors are above the limit.
     hot = {r["doc_id"] & 0xFFFFFFFFFFFFFFFF: r["rk"] for r in answers.filter("kind = 1").collect()}
     rows = answers.filter("kind = 0").select(
         F.col("doc_id").alias("a_id"), F.col("rk").alias("a_rk"), "keys")
     joined = (src.join(rows, (F.col("rk") == F.col("a_rk")) & F.col("doc_id").eqNullSafe(F.col("a_id")))
               .select("doc_id", "rk", "text", "keys"))
-    found = staged(repeated_runs(surroundings(joined, buckets, hot, hot_limit)), "runs")
+    found = staged(repeated_runs(surroundings(joined, buckets, hot, hot_limit, span), span), "runs")
     runs = found.filter("kind = 1").select("doc_id", "rk", "lo", "hi")
     if not hot:
         return runs
@@ -569,14 +569,14 @@ def repeated_spans(src: DataFrame, hot_limit: int | None = None) -> DataFrame:
     return runs.union(more)
 
 
-def _cover(runs, n: int) -> list[tuple[int, int]]:
+def _cover(runs, n: int, span: int) -> list[tuple[int, int]]:
     """Bytes under runs of window starts, as maximal spans."""
     out: list[list[int]] = []
     for lo, hi in sorted(runs):
         if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + SPAN)
+            out[-1][1] = max(out[-1][1], hi + span)
         else:
-            out.append([lo, hi + SPAN])
+            out.append([lo, hi + span])
     return [(a, min(b, n)) for a, b in out]
 
 
@@ -592,17 +592,17 @@ def _collected(spans: DataFrame) -> DataFrame:
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 hot_limit: int | None = None) -> DataFrame:
+                 hot_limit: int | None = None, span: int = SPAN) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row.
 
-    A byte is removed if a ``SPAN``-byte string that covers it also starts at
+    A byte is removed if a ``span``-byte string that covers it also starts at
     another place, in the same row or another; strings are judged on the
     input and matches never cross rows.  Null and empty texts have 0 bytes.
     Rows that repeat (same id, same text) are separate texts and repeat each
     other.  Other columns are not read.
     """
     src = _prepared(docs, id_col, text_col)
-    spans = _collected(repeated_spans(src, hot_limit))
+    spans = _collected(repeated_spans(src, hot_limit, span))
     joined = (src.join(spans, (F.col("rk") == F.col("s_rk")) & F.col("doc_id").eqNullSafe(F.col("s_id")),
                        "left").select("doc_id", "text", "runs"))
     schema = arrow_schema(RESULT)
@@ -612,7 +612,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = []
             for i, runs in enumerate(rows.column(2).to_pylist()):
                 text = data[offs[i]:offs[i + 1]]
-                cut = _cover([(r["lo"], r["hi"]) for r in runs or ()], len(text))
+                cut = _cover([(r["lo"], r["hi"]) for r in runs or ()], len(text), span)
                 out.append((len(text), sum(b - a for a, b in cut), len(cut),
                             hashlib.sha256(_kept(text, cut)).hexdigest(),
                             [{"lo": a, "hi": b} for a, b in cut]))
@@ -632,14 +632,15 @@ def _kept(text: np.ndarray, cut: list) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   length_col: str | None = "n_chars") -> DataFrame:
+                   length_col: str | None = "n_chars", span: int = SPAN) -> DataFrame:
     """All rows of ``docs`` with the repeated bytes taken out of their text.
 
-    A span is narrowed to whole characters, so texts stay valid UTF-8;
+    ``span`` is the least length in bytes of a repeated string (33 to 1,023).  A
+    removed span is narrowed to whole characters, so texts stay valid UTF-8;
     ``length_col`` is set to the new number of characters where text went.
     Null texts stay null; other columns are unchanged.
     """
-    spans = _collected(repeated_spans(_prepared(docs, id_col, text_col)))
+    spans = _collected(repeated_spans(_prepared(docs, id_col, text_col), span=span))
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
                        F.col(text_col).alias("text"), key.alias("rk"))
@@ -659,7 +660,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if not r:
                         continue
                     data = np.frombuffer(text[i].encode(), np.uint8)
-                    cut = _whole_characters(data, _cover([(x["lo"], x["hi"]) for x in r], len(data)))
+                    cut = _whole_characters(data, _cover([(x["lo"], x["hi"]) for x in r], len(data), span))
                     text[i] = _kept(data, cut).decode()
                     if size is not None:
                         size[i] = len(text[i])
