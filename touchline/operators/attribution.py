@@ -223,6 +223,53 @@ def last_touch(events: DataFrame, days: int = 90, keys: Sequence[str] = KEYS_WIT
             .select(*[F.col(f"_w.{src}").alias(dst) for src, dst in _LAST_TOUCH_OUT]))
 
 
+_STATE_KEY = ("ip", "timestamp", "shopifyShopURL")
+
+
+def last_touch_state(events: DataFrame) -> DataFrame:
+    """What later logs need to know of this one to keep ``last_touch`` (keys
+    ``KEYS_WITH_SHOP``) current: per key its best touch, per order and key its
+    first order event.  States of parts of a log are merged by ``min``, in any
+    order and any number of times (``merged_state``)."""
+    key = [F.col(c).alias(f"k{i}") for i, c in enumerate(_STATE_KEY)]
+    whole = F.lit(True)
+    for c in _STATE_KEY:
+        whole = whole & F.col(c).isNotNull()
+    touch = F.struct((-F.col("timestamp")).alias("_late"), *_touch_values())
+    by_name = {v: F.col(k) for k, v in _ORDER_SIDE.items()}
+    names = [*_ORDER_RANK, *[c for c in by_name if c not in _ORDER_RANK]]
+    order = F.struct(*[by_name[c].alias(c) for c in names])
+    stream = events.filter(whole).select(
+        *key, touch.alias("touch"), F.when(F.col("shopifyOrderId").isNotNull(), order).alias("order"))
+    # An event is a touch and, with an order id, a row of its order as well.
+    rows = stream.select("k0", "k1", "k2", F.inline(F.filter(F.array(
+        F.struct(F.lit(None).cast("string").alias("order_id"), F.col("touch"), F.lit(None).alias("order")),
+        F.struct(F.col("order.order_id").alias("order_id"), F.lit(None).alias("touch"), F.col("order"))),
+        lambda x: x["touch"].isNotNull() | x["order"].isNotNull())))
+    return merged_state(rows)
+
+
+def merged_state(parts: DataFrame) -> DataFrame:
+    """One state of the union of several (partial aggregates: a heavy key is
+    reduced before the shuffle)."""
+    return parts.groupBy("order_id", "k0", "k1", "k2").agg(F.min("touch").alias("touch"), F.min("order").alias("order"))
+
+
+def last_touch_of_state(state: DataFrame) -> DataFrame:
+    """``last_touch`` of the log behind a merged state.  The touch has the
+    order event's own time, so no window cuts it."""
+    t = state.filter(F.col("order_id").isNull()).select("k0", "k1", "k2", "touch")
+    o = state.filter(F.col("order_id").isNotNull()).select(
+        F.col("k0").alias("o0"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), "order")
+    met = o.join(t, [o[f"o{i}"] == t[f"k{i}"] for i in range(3)])
+    flat = met.select("order.*", F.col("k1").alias("t_ts"), "touch.*").drop("_late")
+    flat = flat.withColumn("match_type", match_type("o_user", "t_user", "o_ip", "t_ip", "o_ts", "t_ts"))
+    keep = [src for src, _ in _LAST_TOUCH_OUT]
+    win = F.min_by(F.struct(*keep), _touch_rank(*_ORDER_RANK)).alias("_w")
+    return (flat.groupBy("order_id").agg(win)
+            .select(*[F.col(f"_w.{src}").alias(dst) for src, dst in _LAST_TOUCH_OUT]))
+
+
 def attribution_report(last: DataFrame, ordered: bool = True) -> DataFrame:
     """Orders and revenue by store, month, source, referrer, medium, campaign.
 

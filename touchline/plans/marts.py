@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from typing import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators import attribution as att
+from touchline.sources.published import expire, publish, published_version, read_published
 from touchline.sources.tables import cached, write_result
 
 
@@ -68,3 +69,42 @@ def write_marts(marts: dict[str, DataFrame], base: str) -> dict[str, str]:
     if isinstance(marts, Marts):
         marts.release()
     return paths
+
+
+class MaintainedModel:
+    """The attribution model kept current from new parts of the log.
+
+    ``base/state`` holds last-touch states, a published part for each log part;
+    ``base/model`` is the mart.  ``add`` reads only the new log, ``refresh``
+    merges the states and publishes the mart, ``compact`` makes one state of
+    all.  Adding a part twice changes nothing, so a job that failed after its
+    publish can simply be run again.
+    """
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+        self.state, self.model = f"{self.base}/state", f"{self.base}/model"
+
+    def add(self, events: DataFrame) -> int:
+        return publish(att.last_touch_state(events), self.state, append=True)
+
+    def last_touch(self) -> DataFrame:
+        return att.last_touch_of_state(att.merged_state(read_published(self.spark, self.state)))
+
+    def refresh(self) -> DataFrame:
+        """Publish the mart of all parts added so far and read it back."""
+        report = att.attribution_report(self.last_touch(), ordered=False)
+        report = report.repartition("MONTH", F.pmod(F.xxhash64("STORE"), F.lit(FILES_PER_MONTH)))
+        publish(report, self.model, partition_by=["MONTH"])
+        return self.read()
+
+    def read(self) -> DataFrame:
+        report = read_published(self.spark, self.model)
+        first = ["STORE", "MONTH"]
+        return report.select(*first, *[c for c in report.columns if c not in first])
+
+    def compact(self, keep: int = 2) -> None:
+        publish(att.merged_state(read_published(self.spark, self.state)), self.state)
+        expire(self.spark, self.state, keep)
+        if published_version(self.spark, self.model) is not None:
+            expire(self.spark, self.model, keep)

@@ -3,6 +3,7 @@ the whole shared tables.  ``__spark_entry__`` exposes this registry."""
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ from touchline.operators.cleaning import clean
 from touchline.operators.joins import lookback_join, with_brand
 from touchline.operators.sequence import row_number_within
 from touchline.plans import inputs, pages
+from touchline.plans.marts import MaintainedModel, build_marts, write_marts
+from touchline.session import ensure_checkpoint_dir
+from touchline.sources.events import event_table, read_events
 from touchline.sources.tables import read_table
 
 ONE_GROUP = "Brand#11/SMALL"
@@ -184,6 +188,45 @@ def q_attribution_report_ordered(spark, sf_dir):
                      "ATTRIBUTION_SOURCE", F.col("PAGEREFERRER").asc_nulls_first(), "MEDIUM", "CAMPAIGN")
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder on the shared storage."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written_log(spark, sf_dir, keep=None) -> str:
+    """The log as files of JSON lines."""
+    log = inputs.event_log(spark, sf_dir)
+    path = _scratch(spark, "log")
+    (log if keep is None else log.filter(keep)).write.text(path)
+    return path
+
+
+@register("orders_per_month_from_files")
+def q_orders_per_month_from_files(spark, sf_dir):
+    """The log written as JSON lines and read back by the log reader."""
+    return att.orders_per_month_store(event_table(read_events(spark, _written_log(spark, sf_dir))), ordered=False)
+
+
+@register("attribution_model_maintained")
+def q_attribution_model_maintained(spark, sf_dir):
+    """The 90-day mart kept from two parts of the log that share keys and
+    orders: each part read from files, states merged, mart published and read."""
+    mart = MaintainedModel(spark, _scratch(spark, "model"))
+    odd = F.get_json_object("DATA", "$.event_id").cast("bigint") % 2 == 1
+    for part in (odd, ~F.coalesce(odd, F.lit(False))):
+        mart.add(event_table(read_events(spark, _written_log(spark, sf_dir, part))))
+    return mart.refresh()
+
+
+@register("source_share_from_marts")
+def q_source_share_from_marts(spark, sf_dir):
+    """The marts built, written and read again; the page's shares from them."""
+    base = _scratch(spark, "marts")
+    marts = build_marts(inputs.events(spark, sf_dir), (90,), stage_dir=f"{base}/events")
+    paths = write_marts({"attribution_model_90": marts["attribution_model_90"]}, base)
+    return reports.source_share(spark.read.parquet(paths["attribution_model_90"]))
+
+
 # --- outbound sizing page -------------------------------------------------------
 
 def _ob(spark, sf_dir):
