@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,3 +85,30 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the workers, once per application.
+
+    Python functions that run in tasks are looked up by module name there, so a
+    driver that found the package through ``sys.path`` alone has to send it.
+    Nothing is sent where the workers' ``PYTHONPATH`` names the package's folder.
+    """
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    home = os.path.dirname(package)
+    named = [os.path.abspath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if home in named or sc.applicationId in _SHIPPED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="touchline-src-"), "touchline.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, home))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
