@@ -612,3 +612,21 @@ SQL["clean_strict"] = _cleaned(False)
 SQL["orders_per_month_from_files"] = SQL["orders_per_month_store"]
 SQL["attribution_model_maintained"] = SQL["attribution_report"]
 SQL["source_share_from_marts"] = SQL["source_share"]
+
+
+def _page(parts: dict[str, tuple[str, str | None]]) -> str:
+    """Rows and totals of a page's parts, from the SQL of each."""
+    rows = []
+    for name, (query, col) in parts.items():
+        total = f'cast(sum("{col}") AS bigint)' if col else "cast(NULL AS bigint)"
+        rows.append(f"SELECT '{name}' AS MEMBER, count(*) AS ROW_COUNT, {total} AS TOTAL FROM ({SQL[query]})")
+    return "\nUNION ALL\n".join(rows)
+
+
+def _add_pages() -> None:
+    from touchline.plans.registry import PAGE_PARTS
+    for page, parts in PAGE_PARTS.items():
+        SQL[page] = _page(parts)
+
+
+_add_pages()

@@ -7,6 +7,7 @@ from __future__ import annotations
 from typing import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from touchline.operators import profile, projections, reports, sizing
@@ -122,3 +123,16 @@ def sizing_page(outbound: DataFrame, market: DataFrame,
         "icp_share": sizing.icp_share(ob),
         "outbound_limitations": sizing.outbound_limitations(ob),
     }
+
+
+def page_summary(page: dict[str, DataFrame], totals: dict[str, str] | None = None) -> DataFrame:
+    """One row per part of a page: ``MEMBER``, ``ROW_COUNT`` and ``TOTAL``, the
+    sum of the part's column in ``totals`` (NULL without one)."""
+    out = None
+    for name, df in page.items():
+        col = (totals or {}).get(name)
+        total = F.sum(F.col(f"`{col}`")).cast("bigint") if col else F.lit(None).cast("bigint")
+        row = df.agg(F.count(F.lit(1)).alias("ROW_COUNT"), total.alias("TOTAL")).select(
+            F.lit(name).alias("MEMBER"), "ROW_COUNT", "TOTAL")
+        out = row if out is None else out.unionByName(row)
+    return out

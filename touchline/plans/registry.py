@@ -468,3 +468,65 @@ def q_unique_counts_tenants(spark, sf_dir):
 @register("tenant_stores")
 def q_tenant_stores(spark, sf_dir):
     return profile.top_n_distinct(inputs.tenants(spark, sf_dir), "TENANT_ID", "DATASOURCE_ID", 10)
+
+
+# --- whole pages ------------------------------------------------------------------------
+
+# Per page: its parts, each with the query that gives the same rows and an integer column.
+PAGE_PARTS = {
+    "attribution_page": {
+        "orders_by_month_chart": ("orders_by_month_chart", "ORDER_COUNT"),
+        "source_share": ("source_share", "ATTRIBUTED_ORDERS"),
+        "source_edges": ("source_edges", "VALUE"),
+        "monthly_by_source": ("monthly_by_source", "ATTRIBUTED_ORDERS"),
+        "referrer_contribution": ("referrer_top10", "total_orders"),
+        "touch_step_orders": ("touch_step_orders", "ORDER_COUNT"),
+        "touch_funnel": ("touch_funnel", "ORDER_COUNT"),
+    },
+    "sizing_page": {
+        "pareto": ("pareto", sizing.ARR), "pareto_summary": ("pareto_summary", None),
+        "tam_rollup": ("tam_rollup", None), "tam_share": ("tam_share", None),
+        "outbound_funnel": ("outbound_funnel", None), "tam_contribution": ("tam_contribution", None),
+        "icp_rates": ("icp_rates", None), "icp_avg_rates": ("icp_avg_rates", None),
+        "icp_share": ("icp_share", None), "outbound_limitations": ("outbound_limitations", "NUM_LIMITATIONS"),
+    },
+    "market_page": {
+        "table": ("market_table", None), "describe": ("describe", None), "unique_counts": ("unique_counts", None),
+        "gmv_by_category": ("gmv_by_category", "TOTAL_GMV"), "box_stats": ("box_stats", "count"),
+        "domains_scatter": ("domains_scatter", None), "top_platforms": ("top_platforms", "TOTAL_GMV"),
+        "top_countries": ("top_countries", "TOTAL_GMV"),
+    },
+    "tenants_page": {
+        "preview": ("tenants_preview", None), "unique_counts": ("unique_counts_tenants", None),
+        "tenant_stores": ("tenant_stores", "DATASOURCE_ID"),
+    },
+}
+
+
+def _summary(page: str, parts: dict[str, DataFrame]) -> DataFrame:
+    totals = {name: col for name, (_, col) in PAGE_PARTS[page].items() if col}
+    return pages.page_summary(parts, totals)
+
+
+@register("attribution_page")
+def q_attribution_page(spark, sf_dir):
+    """The page over the marts: built from one parse of the log, written, read again."""
+    base = _scratch(spark, "page")
+    paths = write_marts(build_marts(inputs.events(spark, sf_dir), (90,), stage_dir=f"{base}/events"), base)
+    marts = {name: spark.read.parquet(path) for name, path in paths.items()}
+    return _summary("attribution_page", pages.attribution_page(marts))
+
+
+@register("sizing_page")
+def q_sizing_page(spark, sf_dir):
+    return _summary("sizing_page", pages.sizing_page(inputs.outbound(spark, sf_dir), inputs.market(spark, sf_dir)))
+
+
+@register("market_page")
+def q_market_page(spark, sf_dir):
+    return _summary("market_page", pages.market_profile(inputs.market(spark, sf_dir)))
+
+
+@register("tenants_page")
+def q_tenants_page(spark, sf_dir):
+    return _summary("tenants_page", pages.tenants_profile(inputs.tenants(spark, sf_dir)))
