@@ -30,7 +30,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert ids(docs) == sorted({r[2] for r in truth if r[1]} | {r[0] for r in truth if not r[1]})
         elif name == "suffix_dedup":
             size = {r["doc_id"]: len(r["text"].encode()) for r in docs.collect()}
-            for i, n, removed, spans, _ in repeats(before):
+            for i, n, removed, spans, _ in repeats(before, corpus_pipeline.PASSAGE_BYTES):
                 assert 0 <= size[i] - (n - removed) <= 6 * spans     # whole characters only
         elif name == "decontamination":
             assert ids(docs) == sorted(r[0] for r in windows(before, items) if not r[5])
@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(SQL) <= set(QUERIES)
 
 

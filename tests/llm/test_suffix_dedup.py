@@ -7,18 +7,18 @@ from common import docs_frame, rng, table
 from touchline.llm import suffix_dedup as S
 
 
-def brute(rows):
+def brute(rows, span=400):
     seen = collections.Counter()
     raw = [(i, (t or "").encode()) for i, t in rows]
     for _, b in raw:
-        for j in range(len(b) - 399):
-            seen[b[j:j + 400]] += 1
+        for j in range(len(b) - span + 1):
+            seen[b[j:j + span]] += 1
     out = []
     for i, b in raw:
         gone = np.zeros(len(b), bool)
-        for j in range(len(b) - 399):
-            if seen[b[j:j + 400]] > 1:
-                gone[j:j + 400] = True
+        for j in range(len(b) - span + 1):
+            if seen[b[j:j + span]] > 1:
+                gone[j:j + span] = True
         runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if len(b) else 0
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         out.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))

@@ -549,7 +549,8 @@ def repeated_runs(members: DataFrame, span: int) -> DataFrame:
 def repeated_spans(src: DataFrame, hot_limit: int | None = None, span: int = SPAN) -> DataFrame:
     """``doc_id, rk, lo, hi``: runs of starts of repeated windows by row."""
     size = int(src.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    buckets = max(16, size // BUCKET_TEXT)
+    # Anchors a byte of text grow as the windows shorten.
+    buckets = max(16, size * (SPAN - GRAM + 1) // (span - GRAM + 1) // BUCKET_TEXT)
     hot_limit = hot_limit or max(MIN_HOT, size // (span // 2) // HOT_KEYS)
     answers = repeated_anchors(src, buckets, hot_limit, span)
     # At most HOT_KEYS anchors are above the limit.
