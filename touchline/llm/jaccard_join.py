@@ -14,13 +14,14 @@ five-word shingles.  Equal sets are one class from the start.
    joins large groups of near copies with one comparison each.
 3. *Tiles.*  What is left to find are links between different groups.  By the
    prefix principle two linked sets share a shingle among the first ones of
-   both in hash order.  Such shingles that occur in different groups make
-   tiles, cut by bands of set size and into blocks of bounded rows.  In a tile
-   parity bitmaps bound the overlap from above by bit counts; pairs that pass
-   are intersected exactly as sorted arrays.  In some rounds each set tries
-   only its most promising partner in one block of a tile, and linked groups
-   merge; a last pass then tries all pairs between the groups that remain, so
-   no link between groups is lost.
+   both in any order that all sets follow; common shingles come last in it, so
+   that they seldom make tiles.  Prefix shingles that occur in different groups
+   make tiles, cut by bands of set size and into blocks of bounded rows.  In a
+   tile parity bitmaps bound the overlap from above by bit counts; pairs that
+   pass are intersected exactly as sorted arrays.  In some rounds each set tries
+   only its most promising partner in one block of the tiles of its least
+   hashes, and linked groups merge; a last pass then tries all pairs between
+   the groups that remain, so no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -50,7 +51,10 @@ LEADERS = 6
 BITS = 1024                   # bitmap size
 BLOCK = 512                   # rows of a tile's block
 MERGES = 4                    # at most so many rounds of the most promising partners
-FIRST = 4                     # prefix shingles that these rounds look at
+FIRST = 4                     # shingles that these rounds look at
+FEW = 20                      # they end once a round links a 20th of the first one's links
+BINS = 1 << 20                # of each row of the count sketch
+COMMON = 64                   # counts below are one class
 LOW48 = np.uint64((1 << 48) - 1)
 
 PACKED = "dest int, blob binary"
@@ -397,13 +401,49 @@ def star_round(roots: DataFrame, r: int) -> DataFrame:
 
 # --------------------------------------------------------------------- tiles
 
-PREFIX = "cls bigint, n int, v int, prefix array<bigint>, bits binary"
+PREFIX = "cls bigint, n int, v int, prefix array<bigint>, first array<bigint>, bits binary"
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """Prefix shingles and parity bitmap of each set.
+def _bins(tokens: np.ndarray) -> np.ndarray:
+    """Places of the tokens in the two rows of the count sketch."""
+    mask = np.uint64(BINS - 1)
+    return np.stack([T.mix64(tokens ^ np.uint64(0x9E37 * (r + 1))) & mask for r in range(2)]).astype(np.int64)
 
-    In the order *shingles of one class only, then by hash* the first
+
+def frequency_classes(roots: DataFrame) -> np.ndarray:
+    """Binary logarithm of the bins of a count sketch over the shingles of
+    ``roots``; 0 below ``COMMON``.  The sketch has a fixed size: at most
+    ``2 * BINS`` counts reach the driver, one byte each goes to the tasks."""
+    def run(batches):
+        seen = np.zeros((2, BINS), np.int64)
+        for batch in batches:
+            tokens = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), np.uint64)
+            for r, at in enumerate(_bins(tokens)):
+                seen[r] += np.bincount(at, minlength=BINS)
+        seen = seen.ravel()
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["bin", "c"])
+
+    counts = (roots.select("tokens").mapInArrow(run, "bin int, c bigint")
+              .groupBy("bin").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON).toArrow())
+    classes = np.zeros(2 * BINS, np.uint8)
+    c = counts.column("c").to_numpy()
+    classes[counts.column("bin").to_numpy()] = np.log2(np.maximum(c, 1)).astype(np.uint8)
+    return classes.reshape(2, BINS)
+
+
+def _rarest_first(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Sorted tokens in the order *frequency class, hash*: a function of the
+    token alone, so all sets follow the same order."""
+    rows = _bins(tokens)
+    cls = np.minimum(classes[0, rows[0]], classes[1, rows[1]])
+    return tokens[np.argsort(cls, kind="stable")] if cls.any() else tokens
+
+
+def prefixes(sets: DataFrame, classes: np.ndarray) -> DataFrame:
+    """Prefix shingles, least hashes and parity bitmap of each set.
+
+    In the order *shingles of one class only, then rarest first* the first
     ``n - ceil(0.75 n) + 1`` shingles are the prefix; of these the shared ones
     are kept.  The bitmap toggles a bit per shared shingle, so bits that
     differ are at most the shingles that differ.
@@ -413,16 +453,18 @@ def prefixes(sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n = batch.column("n").to_numpy()
-            v, firsts, bits = [], [], []
+            v, prefix, firsts, bits = [], [], [], []
             for size, raw in zip(n.tolist(), batch.column("tokens")):
                 t = np.frombuffer(raw.as_py(), np.uint64)
                 v.append(len(t))
-                firsts.append(t[:len(t) - -(-NUM * size // DEN) + 1].view(np.int64))
+                prefix.append(_rarest_first(t, classes)[:len(t) - -(-NUM * size // DEN) + 1].view(np.int64))
+                firsts.append(t[:FIRST].view(np.int64))
                 odd = np.bincount((T.mix64(t) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("cls"), batch.column("n"), pa.array(v, pa.int32()),
-                 pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())], schema=schema)
+                 pa.array(prefix, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())),
+                 pa.array(bits, pa.binary())], schema=schema)
 
     return sets.select("cls", "n", "tokens").mapInArrow(run, PREFIX)
 
@@ -433,21 +475,17 @@ def _tiles(pre: DataFrame, roots: DataFrame, merge: int | None = None) -> DataFr
     In a merging round (number ``merge``) a tile's blocks, dealt anew each
     round, are on their own; otherwise every two blocks meet.
     """
-    own = (pre.join(roots, "cls", "left")
-           .withColumn("grp", F.coalesce("root", "cls")).drop("root"))
-    firsts = "prefix" if merge is None else F.slice("prefix", 1, FIRST)
-    postings = own.select("cls", "grp", F.explode(firsts).alias("token"))
-    mixed = (postings.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-             .filter("lo < hi").select("token"))
     # Sets visit the next band of sizes too; bands are a factor 4/3 wide.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
-    rows = (postings.join(mixed, "token").join(own.drop("grp", "prefix"), "cls")
-            .withColumn("own", band)
-            .withColumn("band", F.explode(F.array("own", F.col("own") + 1))))
-    sizes = (rows.groupBy("token", "band")
+    own = (pre.join(roots, "cls", "left")
+           .withColumn("grp", F.coalesce("root", "cls")).withColumn("own", band))
+    postings = (own.select("cls", "grp", "own", F.explode("prefix" if merge is None else "first").alias("token"))
+                .withColumn("band", F.explode(F.array("own", F.col("own") + 1))))
+    sizes = (postings.groupBy("token", "band")
              .agg(F.count("*").alias("m"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
              .filter("lo < hi").select("token", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rows = rows.join(sizes, ["token", "band"])
+    rows = (postings.join(sizes, ["token", "band"])
+            .join(pre.select("cls", "n", "v", "bits"), "cls"))
     block = F.pmod(F.xxhash64(F.lit(merge), "cls"), F.col("blocks")).cast("int")
     other = (F.col("block") if merge is not None
              else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -498,7 +536,7 @@ def _tile_pairs(t: dict, lo: int, hi: int, best: bool):
 
 
 def candidate_pairs(tiles: DataFrame, best: bool) -> DataFrame:
-    """Distinct pairs ``x < y`` of all tiles; with ``best``, one for each row."""
+    """Distinct pairs ``x < y`` of all tiles; with ``best``, one for each ``x``."""
     schema = arrow_schema(PAIR)
     keys = ["token", "band", "bi", "bj"]
 
@@ -543,10 +581,8 @@ def candidate_pairs(tiles: DataFrame, best: bool) -> DataFrame:
 
     pairs = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, PAIR)
     if best:
-        pairs = (pairs.groupBy("x").agg(F.max(F.struct("score", "y", "gx", "gy")).alias("p"))
-                 .select("x", "p.y", "p.gx", "p.gy"))
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
-                             F.least("gx", "gy").alias("gx"), F.greatest("gx", "gy").alias("gy"))
+        return (pairs.groupBy("x").agg(F.max(F.struct("score", "y", "gx", "gy")).alias("p"))
+                .select("x", "p.y", "p.gx", "p.gy"))
     return pairs.select("x", "y", "gx", "gy").dropDuplicates(["x", "y"])
 
 
@@ -586,14 +622,18 @@ def similarity_classes(sets: DataFrame) -> DataFrame:
                       .union(edges))
         roots = done.filter("parent is null").drop("parent")
     forest = staged(forest, "forest")
-    pre = staged(prefixes(found), "prefixes")
-    todo = [*range(MERGES), None]
+    pre = staged(prefixes(found, frequency_classes(roots)), "prefixes")
+    rows = pre.count()
+    todo, most = [*range(MERGES), None], 0
     while todo:
         merge = todo.pop(0)
         pairs = candidate_pairs(_tiles(pre, forest, merge), best=merge is not None)
         links = staged(verify(pairs, found), "links")
-        if links.isEmpty():
+        made = links.count()
+        most = max(most, made)
+        if made * FEW <= most:
             todo = todo[-1:]          # merging is done: all pairs next, then the end
+        if not made:
             continue
         joined = components(links.select(F.col("gx").alias("a"), F.col("gy").alias("b")))
         joined = joined.select(F.col("node"), F.col("root").alias("top"))
@@ -601,7 +641,7 @@ def similarity_classes(sets: DataFrame) -> DataFrame:
             forest.join(joined, forest["root"] == joined["node"], "left")
             .select("cls", F.coalesce("top", "root").alias("root"))
             .union(joined.join(forest.select(F.col("cls").alias("node")), "node", "left_anti")
-                   .select(F.col("node").alias("cls"), F.col("top").alias("root"))), "forest")
+                   .select(F.col("node").alias("cls"), F.col("top").alias("root"))), "forest", rows)
     return forest
 
 

@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from touchline.session import ensure_checkpoint_dir
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+ROWS_A_FILE = 200_000         # of narrow tables whose size is known
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it
-    back: the lineage ends there, and a lost executor loses no finished work."""
+    back: the lineage ends there, and a lost executor loses no finished work.
+    With a bound of its ``rows``, a narrow table is written by as few tasks as
+    its size asks for."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -29,9 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
     very many neighbours is aggregated before the shuffle.
     """
     both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-                  .filter("a <> b").distinct(), "cc-edges")
+                  .filter("a <> b").distinct(), "cc-edges", 2 * edges.count())
+    rows = both.count()               # nodes are as many at most
     labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"))
-                    .withColumnRenamed("a", "node"), "cc-labels")
+                    .withColumnRenamed("a", "node"), "cc-labels", rows)
     while True:
         near = (both.join(labels, both["b"] == labels["node"])
                 .groupBy("a").agg(F.min("root").alias("near")))
@@ -39,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
                 .select("node", "root", F.least("root", "near").alias("new")))
         target = labels.select(F.col("node").alias("t"), F.col("root").alias("t_root"))
         moved = staged(step.join(target, step["new"] == target["t"])
-                       .select("node", "root", F.least("new", "t_root").alias("new")), "cc-labels")
+                       .select("node", "root", F.least("new", "t_root").alias("new")), "cc-labels", rows)
         changed = moved.filter("new <> root").limit(1).count()
         labels = moved.select("node", F.col("new").alias("root"))
         if not changed:
