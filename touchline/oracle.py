@@ -610,6 +610,7 @@ SQL["clean_strict"] = _cleaned(False)
 
 # Round trips through files give the same rows as the plain queries.
 SQL["orders_per_month_from_files"] = SQL["orders_per_month_store"]
+SQL["orders_per_month_from_arrays"] = SQL["orders_per_month_store"]
 SQL["attribution_model_maintained"] = SQL["attribution_report"]
 SQL["source_share_from_marts"] = SQL["source_share"]
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.text import to_number
@@ -207,6 +207,25 @@ def q_orders_per_month_from_files(spark, sf_dir):
     return att.orders_per_month_store(event_table(read_events(spark, _written_log(spark, sf_dir))), ordered=False)
 
 
+def _written_arrays(spark, sf_dir) -> str:
+    """The log as files of JSON arrays: one array per partition of the log."""
+    place = Window.partitionBy("part").orderBy("DATA")
+    log = inputs.event_log(spark, sf_dir).withColumn("part", F.spark_partition_id()) \
+        .withColumn("n", F.row_number().over(place)).withColumn("last", F.count("*").over(Window.partitionBy("part")))
+    text = F.concat(F.when(F.col("n") == 1, "[").otherwise(","), "DATA",
+                    F.when(F.col("n") == F.col("last"), "]").otherwise(""))
+    path = _scratch(spark, "arrays")
+    log.repartition("part").sortWithinPartitions("part", "n").select(text).write.text(path)
+    return path
+
+
+@register("orders_per_month_from_arrays")
+def q_orders_per_month_from_arrays(spark, sf_dir):
+    """The log written as JSON arrays and read back, each file by byte ranges."""
+    log = read_events(spark, _written_arrays(spark, sf_dir), fmt="array")
+    return att.orders_per_month_store(event_table(log), ordered=False)
+
+
 @register("attribution_model_maintained")
 def q_attribution_model_maintained(spark, sf_dir):
     """The 90-day mart kept from two parts of the log that share keys and

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.json_paths import extract_fields, field, parse_json_column
+from touchline.sources.json_arrays import read_documents
 
 # Fields of one event and their SQL types (fixed values: the field names
 # the log carries).
@@ -37,6 +38,8 @@ def read_events(spark: SparkSession, path: str, fmt: str = "text",
     ``fmt='json'``: JSON files read by Spark's JSON source (``multi_line``
     for files holding one array of documents; give ``schema`` to skip the
     inference pass), each document turned into a VARIANT object.
+    ``fmt='array'``: files that hold one JSON array of documents each, any
+    size: many tasks read a file (``json_arrays``).
     ``fmt='parquet'``: a dataset whose ``json_col`` holds JSON text or
     VARIANT.  Malformed documents become NULL.
     """
@@ -50,6 +53,8 @@ def read_events(spark: SparkSession, path: str, fmt: str = "text",
         fields = [c for c in raw.columns if c != "_corrupt_record"]
         return raw.select(F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in fields]))
                           .alias(json_col))
+    elif fmt == "array":
+        df = read_documents(spark, path, json_col)
     elif fmt == "parquet":
         df = spark.read.parquet(path).select(json_col)
     else:
