@@ -41,3 +41,43 @@ def test_clean_maps_nan_to_null(spark):
     assert out.filter("v IS NULL").count() == 1
     assert dict(sum_by(out, "PLATFORM", "v").collect()) == {"a": 2.0, "b": 1.0}
     assert [r[0] for r in top_n_by_sum(out, "PLATFORM", "v", 2).collect()] == ["a", "b"]
+
+
+def test_clean_of_a_staged_table(spark):
+    import tempfile
+
+    from conftest import SF001, rows
+    from touchline.plans import inputs
+    from touchline.sources.profiled import clean_staged, stage_profiled, staged_profile
+    from pyspark.sql import functions as F
+
+    source = inputs.outbound_text(spark, SF001)
+    runs = spark.sparkContext.accumulator(0)
+    path = tempfile.mkdtemp(prefix="tl-profiled-", dir="/tmp") + "/t"
+
+    @F.udf("string")
+    def counted(v):                # how often the input is computed
+        runs.add(1)
+        return v
+
+    n = source.count()
+    stage_profiled(source.withColumn("CAMPAIGN_GROUP", counted.asNondeterministic()("CAMPAIGN_GROUP")), path)
+    got = clean_staged(spark, path, strict=False)
+    assert rows(got) == rows(clean(source, strict=False))
+    assert runs.value == n
+    profile = {r.column_name: r for r in staged_profile(spark, path).collect()}
+    assert [c for c, r in profile.items() if r.date_like] == ["CAMPAIGN_START_DATE"]
+    assert profile["TOTAL_NB_CLICKS"].filled == source.filter("TOTAL_NB_CLICKS is not null").count()
+
+
+def test_clean_of_a_staged_table_without_rows(spark):
+    import tempfile
+
+    from touchline.sources.profiled import clean_staged, stage_profiled, staged_profile
+    path = tempfile.mkdtemp(prefix="tl-profiled-", dir="/tmp") + "/t"
+    stage_profiled(spark.createDataFrame([], "`a.b` string, N long"), path)
+    out = clean_staged(spark, path)
+    assert out.count() == 0 and dict(out.dtypes) == {"a.b": "bigint", "N": "bigint"}
+    assert staged_profile(spark, path).first().filled == 0
+    stage_profiled(spark.createDataFrame([], "N long"), path + "2")
+    assert clean_staged(spark, path + "2").count() == 0

@@ -605,6 +605,7 @@ FROM x""")
 
 
 SQL["clean_lenient"] = _cleaned(True)
+SQL["clean_from_staged"] = SQL["clean_lenient"]
 SQL["clean_strict"] = _cleaned(False)
 
 

@@ -19,6 +19,7 @@ from touchline.plans import inputs, pages
 from touchline.plans.marts import MaintainedModel, build_marts, write_marts
 from touchline.session import ensure_checkpoint_dir
 from touchline.sources.events import event_table, read_events
+from touchline.sources.profiled import clean_staged, stage_profiled
 from touchline.sources.tables import read_table
 
 ONE_GROUP = "Brand#11/SMALL"
@@ -381,6 +382,14 @@ def q_clean_lenient(spark, sf_dir):
     return clean(inputs.outbound_text(spark, sf_dir, dirty=True), strict=False)
 
 
+@register("clean_from_staged")
+def q_clean_from_staged(spark, sf_dir):
+    """The text export staged with its profile in one pass, then cleaned by the profile."""
+    path = _scratch(spark, "profiled")
+    stage_profiled(inputs.outbound_text(spark, sf_dir, dirty=True), path)
+    return clean_staged(spark, path, strict=False)
+
+
 @register("clean_strict")
 def q_clean_strict(spark, sf_dir):
     return clean(inputs.outbound_text(spark, sf_dir, dirty=False), strict=True,
