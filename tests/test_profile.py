@@ -183,3 +183,10 @@ def test_box_with_points_at_the_fences(spark):
     assert x.lower_whisker == min(v for v in vals if v >= lo) and x.upper_whisker == max(v for v in vals if v <= hi)
     assert x.outliers == sum(v < lo or v > hi for v in vals) and x["count"] == len(vals)
     assert got[None]["count"] == 1 and got[None].lower_whisker == got[None].upper_whisker == 1.0
+
+
+def test_empty_table_has_no_statistics(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    for _ in range(3):       # depended on the order in which empty stages ended
+        assert profile.describe(df).count() == 0
+    assert profile.box_stats(df, "g", "v").count() == 0

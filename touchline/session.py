@@ -18,6 +18,11 @@ SCALE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.adaptive.enabled": "true",
+    # A stage without rows makes this rule replace what stands above it; where
+    # such stages feed several subqueries (exact quantiles of an empty table)
+    # the new plan can come to hold itself, depending on which stage ends first.
+    "spark.sql.adaptive.optimizer.excludedRules":
+        "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
