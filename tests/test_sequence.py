@@ -105,3 +105,77 @@ def test_running_by_pieces_matches_window(spark):
     b = running_by_pieces(df, ["g"], ["o", "id"], piece, "cs", value="v")
     assert rows(a.select("g", "id", "rn", "n")) == rows(plain.select("g", "id", "rn", "n"))
     assert rows(b.select("g", "id", "cs")) == rows(plain.select("g", "id", "cs"))
+
+
+def _many_ties(spark):
+    """A third of all rows share the leading value; nulls on both columns."""
+    rnd = random.Random(5)
+    data = [(i, 7 if i % 3 == 0 else None if i % 50 == 1 else rnd.randint(-40, 40),
+             None if i % 61 == 0 else f"n{rnd.randint(0, 10**6):06d}", rnd.randint(-5, 50)) for i in range(4000)]
+    return spark.createDataFrame(data, "id long, m long, name string, v long")
+
+
+def test_running_in_order_matches_window(spark):
+    from touchline.operators.sequence import running_in_order
+    df = _many_ties(spark)
+    w = Window.orderBy(F.col("m").desc_nulls_last(), F.col("name").asc_nulls_last(), "id")
+    plain = df.select("*", F.row_number().over(w).alias("rn"), F.sum("v").over(
+        w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs"), F.sum("v").over(Window.partitionBy()).alias("tot"))
+    order = [("m", "desc"), ("name", "asc_nulls_last"), "id"]
+    for pieces in (None, 1, 40):
+        a = running_in_order(df, order, "rn", pieces=pieces)
+        b = running_in_order(df, order, "cs", value="v", total_out="tot", pieces=pieces)
+        assert a.columns == [*df.columns, "rn"]
+        assert rows(a.select("id", "rn")) == rows(plain.select("id", "rn"))
+        assert rows(b.select("id", "cs", "tot")) == rows(plain.select("id", "cs", "tot"))
+
+
+def test_descending_numbers_of_each_type(spark):
+    from touchline.operators.sequence import running_in_order
+    values = ["-9223372036854775808", "9223372036854775807", "0", "-1", "5", None]
+    for kind in ("long", "decimal(38,10)", "double"):
+        more = ["nan", "-0.0", "inf", "-inf"] if kind == "double" else []
+        df = spark.createDataFrame([(i, x) for i, x in enumerate([*values, *more])], "id long, t string") \
+            .withColumn("x", F.expr(f"try_cast(t as {kind})"))
+        want = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("x").desc_nulls_last(), "id")))
+        assert rows(running_in_order(df, [("x", "desc"), "id"], "rn").select("id", "rn")) == rows(want.select("id", "rn"))
+
+
+def test_running_in_order_cuts_shared_values(spark):
+    """No piece holds much more than its share, though a third of the rows share a value."""
+    from touchline.operators import sequence as S
+    df = _many_ties(spark).withColumnRenamed("id", "a.b")
+    sizes = []
+    inner = S.running_by_pieces
+
+    def spy(placed, *args, **kw):
+        sizes.extend(r["count"] for r in placed.groupBy("_at").count().collect())
+        return inner(placed, *args, **kw)
+
+    S.running_by_pieces = spy
+    try:
+        got = S.running_in_order(df, [("m", "desc"), "name", "a.b"], "rn", pieces=20)
+    finally:
+        S.running_by_pieces = inner
+    assert got.count() == 4000 and got.columns[0] == "a.b"
+    assert len(sizes) >= 15 and max(sizes) < 3 * 4000 / 20
+
+
+def test_numbering_runs_nothing_while_planned_and_shares_one_exchange(spark, tmp_path):
+    from touchline.operators.sequence import running_in_order
+    _many_ties(spark).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    sc = spark.sparkContext
+    sc.setJobGroup("planning", "")
+    try:
+        out = running_in_order(df, [("m", "desc"), "name", "id"], "cs", value="v", total_out="tot")
+        pareto(df.selectExpr("name CAMPAIGN_GROUP", f"m {ARR}"))
+        assert list(sc.statusTracker().getJobIdsForGroup("planning")) == []
+    finally:
+        sc._jsc.clearJobGroup()
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # count, sample and rows all come from the one exchange of the rows
+    assert plan.count("ReusedExchange [_k__deal") >= 2 and "Checkpoint" not in plan
+    empty = running_in_order(df.limit(0), ["id"], "rn")
+    assert empty.count() == 0

@@ -31,6 +31,7 @@ from typing import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType
 
 from touchline.session import reliable_checkpoint
 
@@ -165,3 +166,68 @@ def running_by_pieces(df: DataFrame, partition_cols: Sequence[str], order_cols:
     extra = [F.col("_total").alias(total_out)] if total_out else []
     return rows.join(offsets, cond).select(
         *[F.col(f"`{c}`") for c in df.columns], (F.col("_here") + F.col(_OFF)).alias(out), *extra)
+
+
+SAMPLED = 16          # sampled sort keys per piece
+
+
+def rising_key(df: DataFrame, order: Sequence) -> Column:
+    """A struct that compares, ascending, as the rows of ``df`` stand in ``order``.
+
+    Entries are column names (ascending, nulls first) or pairs (name, way) with
+    way ``asc``, ``asc_nulls_last`` or ``desc`` (nulls last; numbers only)."""
+    fields = []
+    for entry in order:
+        name, way = (entry, "asc") if isinstance(entry, str) else entry
+        c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        if way == "asc":
+            fields.append(c)
+        elif way == "asc_nulls_last":
+            fields += [c.isNull(), c]
+        elif way != "desc":
+            raise ValueError(f"unknown way {way!r}")
+        elif isinstance(kind, IntegralType):
+            fields += [c.isNull(), F.bitwise_not(c)]
+        elif isinstance(kind, DecimalType):
+            fields += [c.isNull(), -c]
+        elif isinstance(kind, FractionalType):
+            fields += [c.isNull(), ~F.isnan(c), -c]
+        else:
+            raise ValueError(f"descending order needs a number, {name!r} is {kind.simpleString()}")
+    return F.struct(*[f.alias(f"k{i}") for i, f in enumerate(fields)])
+
+
+def running_in_order(df: DataFrame, order: Sequence, out: str, value: str | None = None,
+                     total_out: str | None = None, pieces: int | None = None) -> DataFrame:
+    """Number or running total over the whole relation, as ``running`` without
+    partition columns, but with no job while the plan is built and no
+    checkpoint: the cut points are an aggregate of the plan itself.
+
+    Rows are dealt by the hash of their sort key (``rising_key``); the number
+    of rows, a sample of sort keys by hash (about ``SAMPLED`` a piece) and
+    the rows themselves are read from that one exchange.  Every ``SAMPLED``-th
+    sampled key cuts, whole keys and not leading columns, so a value that many
+    rows share is cut as well.  A row finds its piece by binary search.  Everything
+    follows from the data, so a lost task computes the same pieces again.
+
+    ``pieces`` defaults to ``spark.sql.shuffle.partitions``.  Rows with equal
+    sort keys stand in one piece, in any order: add a unique tie-breaker.
+    """
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_order", rising_key(df, order)).withColumn("_deal", F.xxhash64("_order"))
+    dealt = dealt_once(keyed, ["_deal"])
+    count = dealt.agg(F.sum(inside(lambda r: F.lit(1).cast("bigint"))).alias("n")).scalar()
+    share = F.lit(float(n * SAMPLED)) / F.greatest(F.coalesce(count, F.lit(1)), F.lit(1)).cast("double")
+    key = inside(lambda r: r["_order"])
+    place = F.pmod(inside(lambda r: r["_deal"]), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+    sample = dealt.agg(F.sort_array(F.collect_set(F.when(place < share, key))).alias("keys"))
+    cuts = sample.select(F.filter("keys", lambda k, i: i % SAMPLED == SAMPLED - 1)).scalar()
+    # Cuts at or before the key; beyond 2^bits cuts the last piece takes the rest.
+    bits = (2 * n).bit_length()
+    piece = F.aggregate(
+        F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), F.lit(0),
+        lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col("_order"), at + step).otherwise(at))
+    # A function over an array takes no subquery; the cuts are a column first.
+    placed = unpacked(dealt).drop("_k__deal").withColumn("_cuts", cuts).withColumn("_at", piece).drop("_cuts")
+    done = running_by_pieces(placed, [], ["_order"], F.col("_at"), out, value, total_out)
+    return done.select(*[F.col(f"`{c}`") for c in df.columns], out, *([total_out] if total_out else []))

@@ -2,9 +2,8 @@
 ICP rates and the rule-based limitations summary.
 
 Global totals are scalar subqueries (computed once, inlined as a value),
-except the Pareto total, which comes out of the same range-bucketed
-``running_sum`` pass that computes the running total; no single task sees
-the whole table.
+except the Pareto total, which comes out of the same pass by pieces
+that computes the running total; no single task sees the whole table.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from touchline.functions.semantics import pandas_div, percent_of
 from touchline.functions.text import fixed_text, money_text
 from touchline.operators.filters import tam_scope
-from touchline.operators.sequence import running_sum
+from touchline.operators.sequence import running_in_order
 
 ARR = "NEW_ARR_FROM_OB_ALL_TIME"
 MARKET_ARR = "POLAR ARR ($)"
@@ -37,12 +36,11 @@ def pareto(df: DataFrame, metric: str = ARR, label_key: str = "CAMPAIGN_GROUP",
     running total (ROWS frame: ties do not merge) and 'Top 80%' while the
     running total is within ``threshold`` of the grand total.  A NULL metric
     sorts last and gets no running total ('Other')."""
-    order = [_q(metric).desc_nulls_last(), _q(label_key).asc_nulls_last()]
-    # The grand total comes out of the same bucketed pass (sum of the
-    # per-bucket sums), so the input is not computed a second time.
-    with_cum = running_sum(df.withColumn("_m", F.coalesce(_q(metric), F.lit(0))), [], order,
-                           value="_m", out="CUMULATIVE_NEW_ARR", n_buckets=n_buckets,
-                           total_out="_total")
+    # The grand total comes out of the same pass (sum of the pieces' sums),
+    # so the input is not computed a second time.
+    with_cum = running_in_order(df.withColumn("_m", F.coalesce(_q(metric), F.lit(0))),
+                                [(metric, "desc"), (label_key, "asc_nulls_last")], out="CUMULATIVE_NEW_ARR",
+                                value="_m", total_out="_total", pieces=n_buckets)
     cum = F.when(_q(metric).isNotNull(), F.col("CUMULATIVE_NEW_ARR"))
     # The total keeps the metric's type, fractions included.
     return (with_cum.withColumn("CUMULATIVE_NEW_ARR", cum)

@@ -14,7 +14,7 @@ from touchline.operators import attribution as att
 from touchline.operators import profile, projections, reports, sizing
 from touchline.operators.cleaning import clean
 from touchline.operators.joins import lookback_join, with_brand
-from touchline.operators.sequence import row_number_within
+from touchline.operators.sequence import running_in_order
 from touchline.plans import inputs, pages
 from touchline.plans.marts import MaintainedModel, build_marts, write_marts
 from touchline.session import ensure_checkpoint_dir
@@ -173,7 +173,7 @@ def q_orders_by_month_chart(spark, sf_dir):
 
 def _numbered(df: DataFrame, *order) -> DataFrame:
     """Rows with their place in the stated order."""
-    return row_number_within(df, [], list(order), out="POSITION") \
+    return running_in_order(df, order, out="POSITION") \
         .withColumn("POSITION", F.col("POSITION").cast("bigint"))
 
 
@@ -185,8 +185,8 @@ def q_orders_per_month_ordered(spark, sf_dir):
 
 @register("attribution_report_ordered")
 def q_attribution_report_ordered(spark, sf_dir):
-    return _numbered(_model_90(spark, sf_dir), "STORE", "MONTH", F.col("ATTRIBUTED_ORDERS").desc(),
-                     "ATTRIBUTION_SOURCE", F.col("PAGEREFERRER").asc_nulls_first(), "MEDIUM", "CAMPAIGN")
+    return _numbered(_model_90(spark, sf_dir), "STORE", "MONTH", ("ATTRIBUTED_ORDERS", "desc"),
+                     "ATTRIBUTION_SOURCE", "PAGEREFERRER", "MEDIUM", "CAMPAIGN")
 
 
 def _scratch(spark, name: str) -> str:
@@ -363,7 +363,7 @@ def q_metric_by_campaign_dotted(spark, sf_dir):
 @register("metric_by_campaign_ordered")
 def q_metric_by_campaign_ordered(spark, sf_dir):
     df = profile.sum_by(_ob_frame(spark, sf_dir), "CAMPAIGN_GROUP", pages.OUTBOUND_METRIC)
-    return _numbered(df, F.col(pages.OUTBOUND_METRIC).desc(), "CAMPAIGN_GROUP")
+    return _numbered(df, (pages.OUTBOUND_METRIC, "desc"), "CAMPAIGN_GROUP")
 
 
 @register("describe_outbound_full")
