@@ -44,6 +44,22 @@ def test_unique_counts_matches_pandas(spark):
     assert got == {k: str(v) for k, v in want.items()}
 
 
+def test_unique_counts_of_wide_tables(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0.0, None, True, "a"), (-0.0, None, False, ""), (nan, None, None, None),
+                                (nan, None, True, "a")], "d double, z string, `b.c` boolean, t string")
+    df = df.selectExpr("*", "cast(d as float) f", "cast(length(t) as decimal(9,2)) dec", "length(t) i",
+                       "date '2024-01-01' day", "timestamp_ntz '2024-01-01 00:00:00' ntz", "now() ts")
+    want = rows(profile.unique_counts(df))
+    assert ("d", "2") in want and ("z", "0") in want and ("b.c", "2") in want
+    assert rows(profile.unique_counts(df, wide=0)) == want
+    assert "Expand" not in profile.unique_counts(df, wide=0)._jdf.queryExecution().executedPlan().toString()
+    assert {r[1] for r in profile.unique_counts(df.limit(0), wide=0).collect()} == {"0"}
+    assert profile.unique_counts(df.selectExpr("array(t) a"), wide=0).first()[1] == "3"    # no cell form
+    market = pages.market_frame(inputs.market(spark, SF01))
+    assert rows(profile.unique_counts(market, wide=0)) == rows(profile.unique_counts(market))
+
+
 def test_box_stats_matches_numpy(spark):
     df = pages.market_frame(inputs.market(spark, SF01))
     pdf = df.toPandas()

@@ -6,7 +6,9 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import (
+    BooleanType, DateType, DecimalType, FractionalType, IntegralType, NumericType, StringType, TimestampNTZType, TimestampType,
+)
 
 from touchline.functions.semantics import sum_or_zero
 from touchline.functions.text import log1p_positive
@@ -15,6 +17,7 @@ from touchline.operators.quantiles import (
 )
 from touchline.session import reliable_checkpoint
 
+WIDE = 16             # columns; beyond, cells beat a copy of the row per column
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
@@ -69,14 +72,52 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
-                  approx: bool = False) -> DataFrame:
+                  approx: bool = False, wide: int = WIDE) -> DataFrame:
     """Distinct non-null values per column as (COLUMN_NAME, UNIQUE_VALUES
-    text).  Exact counts expand the input once per column inside Spark;
-    ``approx=True`` uses HyperLogLog sketches (no expansion)."""
+    text).  Exact counts of more than ``wide`` columns turn a row into narrow
+    cells (column number, value), distinct in each task before the shuffle,
+    which so grows with the distinct values.  Several distinct aggregates, the
+    form of fewer columns, copy the whole row per column: the square of the
+    width.  ``approx=True`` uses HyperLogLog sketches.  NaN counts as one
+    value, -0.0 as 0.0.  Types without a cell form (``_cell``) take the second form."""
     cols = list(cols) if cols is not None else df.columns
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    agg = df.agg(*[fn(_q(c)).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
-    return _unpivot(agg, cols, "UNIQUE_VALUES")
+    cells = [_cell(_q(c), df.select(_q(c)).schema[0].dataType) for c in cols]
+    if approx or len(cols) <= wide or any(c is None for c in cells):
+        fn = F.approx_count_distinct if approx else F.count_distinct
+        agg = df.agg(*[fn(_q(c)).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+        return _unpivot(agg, cols, "UNIQUE_VALUES")
+    rows = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("at"), whole.alias("n"), text.alias("s"))
+        for i, (whole, text) in enumerate(cells)])))
+    # A cell without a value for each column: columns without values count 0.
+    none = df.sparkSession.range(len(cols)).select(
+        F.col("id").alias("at"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("s"))
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (i, c)])
+    return (rows.unionByName(none).distinct().groupBy("at")
+            .agg(F.count_if(F.col("n").isNotNull() | F.col("s").isNotNull()).cast("string").alias("UNIQUE_VALUES"))
+            .select(names[F.col("at").cast("int")].alias("COLUMN_NAME"), "UNIQUE_VALUES"))
+
+
+def _cell(c: Column, kind) -> tuple[Column, Column] | None:
+    """A value as (BIGINT, text), one of them NULL; different values of the
+    type give different cells.  None for types that have no such form."""
+    whole = text = None
+    if isinstance(kind, (IntegralType, BooleanType)):
+        whole = c.cast("bigint")
+    elif isinstance(kind, DateType):
+        whole = F.unix_date(c).cast("bigint")
+    elif isinstance(kind, TimestampType):
+        whole = F.unix_micros(c)
+    elif isinstance(kind, FractionalType):
+        text = (c if isinstance(kind, DecimalType) else c + F.lit(0.0)).cast("string")
+    elif isinstance(kind, TimestampNTZType):
+        text = c.cast("string")
+    elif type(kind) is StringType and kind.collation == StringType().collation:
+        text = c
+    else:
+        return None
+    null = F.lit(None)
+    return (null.cast("bigint") if whole is None else whole), (null.cast("string") if text is None else text)
 
 
 def distinct_values(df: DataFrame, col: str, ordered: bool = True) -> DataFrame:
