@@ -39,3 +39,25 @@ def test_no_static_broadcast_hint(spark):
     # joins start as shuffle joins; only AQE may turn one into a broadcast at run time
     p = _plan(QUERIES["attribution_report"](spark, SF001))
     assert "BroadcastHashJoin" not in p
+
+
+@pytest.fixture
+def planner_default(spark):
+    # the planner's own threshold: a session that the package did not configure
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10m")
+    yield
+    spark.conf.set(key, old)
+
+
+def _merged(spark, name):
+    df = QUERIES[name](spark, SF001)
+    p = _plan(df)
+    assert "Broadcast" not in p and "SortMergeJoin" in p, name
+    df.collect()
+    assert "Broadcast" not in _plan(df), name
+
+
+def test_identity_last_touch_gathers_no_side_on_the_driver(spark, planner_default):
+    _merged(spark, "attribution_lookback_user_3d")

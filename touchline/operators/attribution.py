@@ -17,6 +17,7 @@ from touchline.functions.attribution import (
     UNITS_PER_SECOND, classify_source, match_type, within_lookback,
 )
 from touchline.functions.text import month_start_date, month_start_text
+from touchline.operators.joins import merge_join
 from touchline.operators.sequence import (
     dealt_once, inside, row_number_within, running_by_pieces, unpacked,
 )
@@ -157,7 +158,7 @@ def as_of_touches(events: DataFrame, keys: Sequence[str], epoch_unit: str = "s",
     scan = unpacked(dealt).withColumn("_seen", F.min("touch").over(so_far)).filter(F.col("order").isNotNull())
     cond = [scan[k] == carry[f"_c{k}"] for k in dkeys] + [scan["_k_piece"] == carry["_c_piece"]]
     # A touch of the order's own piece is later than any carried into it.
-    found = scan.join(carry, cond).select("order.*", F.coalesce("_seen", "_carried").alias("_t"))
+    found = merge_join(scan, carry, cond).select("order.*", F.coalesce("_seen", "_carried").alias("_t"))
     return (found.filter(F.col("_t").isNotNull())
             .select("*", (-F.col("_t._late")).alias("t_ts"), "_t.*").drop("_t", "_late"))
 
