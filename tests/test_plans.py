@@ -61,3 +61,7 @@ def _merged(spark, name):
 
 def test_identity_last_touch_gathers_no_side_on_the_driver(spark, planner_default):
     _merged(spark, "attribution_lookback_user_3d")
+
+
+def test_journey_pairs_gather_no_side_on_the_driver(spark, planner_default):
+    _merged(spark, "journey_lookback")

@@ -97,7 +97,7 @@ def journey(events: DataFrame, keys: Sequence[str] = KEYS_WITH_SHOP,
     """
     o = order_events(events)
     t = touchpoints(events)
-    pairs = o.join(t, _key_condition(o, t, keys)).filter(F.col("t_ts") <= F.col("o_ts"))
+    pairs = merge_join(o, t, _key_condition(o, t, keys)).filter(F.col("t_ts") <= F.col("o_ts"))
     return pairs.select(
         "*",
         match_type("o_user", "t_user", "o_ip", "t_ip", "o_ts", "t_ts").alias("match_type"),
