@@ -65,3 +65,7 @@ def test_identity_last_touch_gathers_no_side_on_the_driver(spark, planner_defaul
 
 def test_journey_pairs_gather_no_side_on_the_driver(spark, planner_default):
     _merged(spark, "journey_lookback")
+
+
+def test_touch_journey_gathers_no_side_on_the_driver(spark, planner_default):
+    _merged(spark, "touch_journey")

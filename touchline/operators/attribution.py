@@ -335,7 +335,7 @@ class _Ranks:
                                F.coalesce(F.sum("n").over(before), F.lit(0)).alias("t_before"))
         local = Window.partitionBy(*kat).orderBy(*[F.col(f"touch.{c}") for c in _TOUCH_RANK])
         rows = unpacked(dealt).withColumn("_here", F.row_number().over(local))
-        rows = rows.join(places, [rows[c] == places[f"p{c}"] for c in kat])
+        rows = merge_join(rows, places, [rows[c] == places[f"p{c}"] for c in kat])
         t = rows.select("ip", "ts", "touch.*", (F.col("_here") + F.col("t_before")).alias("place"))
         # Both kinds of pairs read one exchange of the touches, and one of the orders.
         self.touches = unpacked(dealt_once(t, ["ip", "ts"])).drop("ip", "ts").withColumnsRenamed(
@@ -357,13 +357,13 @@ class _Ranks:
             (F.min("o_ip").over(moment) != F.max("o_ip").over(moment)).alias("many"),
             F.count(F.lit(1)).over(here).alias("k"),
             F.row_number().over(here.orderBy(*_ORDER_RANK)).alias("o_place"))
-        o = o.join(per_day, [o[c] == per_day[f"d{c}"] for c in xday]).select(
+        o = merge_join(o, per_day, [o[c] == per_day[f"d{c}"] for c in xday]).select(
             *_ORDER_SIDE.values(), "k", "many", "o_place", (F.col("in_day") + F.col("d_before")).alias("offset"))
         self.orders = unpacked(dealt_once(o, ["o_ip", "o_ts"])).drop("_k_o_ip", "_k_o_ts")
 
     def _pairs(self, which: Column) -> DataFrame:
         o, t = self.orders.filter(which), self.touches
-        return o.join(t, [o["o_ip"] == t["t_ip_"], o["o_ts"] == t["t_ts"]])
+        return merge_join(o, t, [o["o_ip"] == t["t_ip_"], o["o_ts"] == t["t_ts"]])
 
     def interleaved(self) -> DataFrame:
         """Steps of the pairs at times where an order has several ips."""
