@@ -69,3 +69,7 @@ def test_journey_pairs_gather_no_side_on_the_driver(spark, planner_default):
 
 def test_touch_journey_gathers_no_side_on_the_driver(spark, planner_default):
     _merged(spark, "touch_journey")
+
+
+def test_touch_funnel_gathers_no_side_on_the_driver(spark, planner_default):
+    _merged(spark, "touch_funnel")

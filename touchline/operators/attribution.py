@@ -413,7 +413,7 @@ def step_counts(events: DataFrame, below: int | None = None, epoch_unit: str = "
     if below is not None:
         g, t = g.filter(F.col("offset") < below - 1), t.filter(F.col("place") < below)
     alike = g.groupBy("o_ip", "o_ts", "offset", "k").agg(F.count(F.lit(1)).alias("orders"))
-    met = alike.join(t, [alike["o_ip"] == t["t_ip_"], alike["o_ts"] == t["t_ts"]])
+    met = merge_join(alike, t, [alike["o_ip"] == t["t_ip_"], alike["o_ts"] == t["t_ts"]])
     steps = met.groupBy("offset", "place", "k", "attribution_source").agg(F.sum("orders").alias("orders")).select(
         "attribution_source", "orders", F.explode(F.sequence(
             F.col("offset") + (F.col("place") - 1) * F.col("k") + 1,
