@@ -73,3 +73,7 @@ def test_touch_journey_gathers_no_side_on_the_driver(spark, planner_default):
 
 def test_touch_funnel_gathers_no_side_on_the_driver(spark, planner_default):
     _merged(spark, "touch_funnel")
+
+
+def test_touch_step_orders_gathers_no_side_on_the_driver(spark, planner_default):
+    _merged(spark, "touch_step_orders")
