@@ -240,3 +240,52 @@ def test_as_of_scan_with_pieces_nulls_and_ties(spark):
             fast = att.last_touch(ev, 2, att.KEYS_IDENTITY, strict=strict, touches=only).select(
                 "shopifyOrderId", "attribution_source", "touchpoint_timestamp", "shopifyShopURL")
             assert rows(fast) == rows(plain)
+
+
+def _alike_orders(spark, n):
+    """``n`` orders that stand alike at two ips of one time, 50 touches each,
+    with two order events at one of them, and an order of many ips."""
+    base = [(i, 3600, f"ip{i % 2}", None, "x" if i % 3 else "y") for i in range(100)]
+    at = 100
+    for o in range(n):
+        base += [(at, 3600, "ip0", f"a{o}", "x"), (at + 1, 3600, "ip1", f"a{o}", "y"), (at + 2, 3600, "ip1", f"a{o}", "y")]
+        at += 3
+    base += [(at + i, 3600, f"many{i}", "wide", "x" if i % 2 else "y") for i in range(att.ALIKE_IPS + 2)]
+    flat = spark.createDataFrame(base, "event_id bigint, timestamp bigint, ip string, shopifyOrderId string, utmSource string")
+    none = F.lit(None).cast("string")
+    return flat.select("*", *[none.alias(c) for c in (
+        "userId", "sessionId", "shopifyShopURL", "shopifyOrderProcessedAt", "pageReferrer", "utmMedium", "utmCampaign")],
+        F.lit(1).cast("decimal(38,10)").alias("shopifyOrderTotalPrice"), F.lit("product").alias("shopifyPageType"))
+
+
+def _joined_rows(spark, df):
+    """The most rows that a join of the finished plan put out."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if name.endswith("JoinExec"):
+            most = max(most, node.longMetric("numOutputRows").value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return most
+
+
+def test_orders_alike_at_several_ips_are_counted_once(spark):
+    ev = _alike_orders(spark, 40).cache()
+    steps = _plain_steps(ev).groupBy("step", "attribution_source").agg(F.count_distinct("order_id"))
+    assert rows(att.step_counts(ev)) == rows(steps)
+    assert rows(att.step_counts(ev, below=20)) == rows(steps.filter("step < 20"))
+    # 286 events; the pairs of orders and touches are 40 x (90 + 2 x 130) and more
+    assert _joined_rows(spark, att.step_counts(ev)) < 2 * ev.count()
+
+
+def test_step_counts_exchange_only_what_they_count(spark):
+    plan = att.step_counts(inputs.events(spark, SF001))._jdf.queryExecution().executedPlan().toString()
+    for name in ("t_referrer", "t_campaign", "t_shop", "o_price", "o_shop"):
+        assert name not in plan

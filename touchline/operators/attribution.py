@@ -296,8 +296,10 @@ def attribution_report(last: DataFrame, ordered: bool = True) -> DataFrame:
 
 
 _STEP_ORDER = ("t_ts", *_TOUCH_RANK, *_ORDER_RANK)
+_COUNT_RANK = _TOUCH_RANK[:2]     # what ranks touches where steps are counted by source
 PIECE_IDS = 65_536
 PIECE_DAYS = 86_400
+ALIKE_IPS = 64        # ips of an order at one time, up to which it is compared with others
 
 
 class _Ranks:
@@ -316,14 +318,22 @@ class _Ranks:
     heavy (ip, time) is cut; order events go by (order, day), so a heavy order
     is cut too.  Per-piece and per-day counts give the offsets.  Nothing is
     persisted or checkpointed.  Copies of one touch follow each other.
+
+    ``counting`` keeps only what counts by step and source tell apart: touches
+    of one id and source take the same steps in whatever order they stand, and
+    so do the order events of one order, ip and time.
     """
 
-    def __init__(self, events: DataFrame, epoch_unit: str = "s"):
-        order = F.struct(*[F.col(k).alias(v) for k, v in _ORDER_SIDE.items()])
+    def __init__(self, events: DataFrame, epoch_unit: str = "s", counting: bool = False):
+        values, rank, side, order_rank = _touch_values(), _TOUCH_RANK, _ORDER_SIDE, _ORDER_RANK
+        if counting:
+            values, rank, order_rank = values[:len(_COUNT_RANK)], _COUNT_RANK, ("o_ip",)
+            side = {k: v for k, v in side.items() if v in ("order_id", "o_ts", "o_ip")}
+        order = F.struct(*[F.col(k).alias(v) for k, v in side.items()])
         piece = F.coalesce(F.floor(F.col("event_id") / F.lit(PIECE_IDS)), F.lit(-(1 << 62)))
         stream = events.filter(F.col("ip").isNotNull() & F.col("timestamp").isNotNull()).select(
             F.col("ip").alias("ip"), F.col("timestamp").alias("ts"), piece.cast("bigint").alias("piece"),
-            F.struct(*_touch_values()).alias("touch"),
+            F.struct(*values).alias("touch"),
             F.when(F.col("shopifyOrderId").isNotNull(), order).alias("order"))
         at = ["ip", "ts", "piece"]
         dealt = dealt_once(stream, at)
@@ -333,7 +343,7 @@ class _Ranks:
         before = key.orderBy("_k_piece").rowsBetween(Window.unboundedPreceding, -1)
         places = counts.select(*[F.col(c).alias(f"p{c}") for c in kat], F.sum("n").over(key).alias("m"),
                                F.coalesce(F.sum("n").over(before), F.lit(0)).alias("t_before"))
-        local = Window.partitionBy(*kat).orderBy(*[F.col(f"touch.{c}") for c in _TOUCH_RANK])
+        local = Window.partitionBy(*kat).orderBy(*[F.col(f"touch.{c}") for c in rank])
         rows = unpacked(dealt).withColumn("_here", F.row_number().over(local))
         rows = merge_join(rows, places, [rows[c] == places[f"p{c}"] for c in kat])
         t = rows.select("ip", "ts", "touch.*", (F.col("_here") + F.col("t_before")).alias("place"))
@@ -356,9 +366,9 @@ class _Ranks:
                             F.lit(0)).alias("in_day"),
             (F.min("o_ip").over(moment) != F.max("o_ip").over(moment)).alias("many"),
             F.count(F.lit(1)).over(here).alias("k"),
-            F.row_number().over(here.orderBy(*_ORDER_RANK)).alias("o_place"))
+            F.row_number().over(here.orderBy(*order_rank)).alias("o_place"))
         o = merge_join(o, per_day, [o[c] == per_day[f"d{c}"] for c in xday]).select(
-            *_ORDER_SIDE.values(), "k", "many", "o_place", (F.col("in_day") + F.col("d_before")).alias("offset"))
+            *side.values(), "k", "many", "o_place", (F.col("in_day") + F.col("d_before")).alias("offset"))
         self.orders = unpacked(dealt_once(o, ["o_ip", "o_ts"])).drop("_k_o_ip", "_k_o_ts")
 
     def _pairs(self, which: Column) -> DataFrame:
@@ -371,6 +381,23 @@ class _Ranks:
         return self._pairs(F.col("many")).withColumn(
             "TOUCHPOINT_STEP", F.col("offset") + F.row_number().over(moment))
 
+    def interleaved_alike(self) -> DataFrame:
+        """The places (order, time) of ``interleaved``, one row per ip with its
+        number of order events; those that stand alike -- same time, offset and
+        events at the same ips -- are one place with a count.  A place of more
+        than ``ALIKE_IPS`` ips stays by itself, so no list of ips grows large."""
+        o = self.orders.filter(F.col("many") & (F.col("o_place") == 1)).select(
+            "order_id", "o_ts", "offset", "o_ip", "k",
+            F.count(F.lit(1)).over(Window.partitionBy("order_id", "o_ts")).alias("ips"))
+        few = o.filter(F.col("ips") <= ALIKE_IPS).groupBy("order_id", "o_ts", "offset").agg(
+            F.sort_array(F.collect_list(F.struct("o_ip", "k"))).alias("stand"))
+        few = few.groupBy("o_ts", "offset", "stand").agg(
+            F.min("order_id").alias("order_id"), F.count(F.lit(1)).alias("orders"))
+        names = ["order_id", "o_ts", "offset", "orders", "o_ip", "k"]
+        return (few.select("order_id", "o_ts", "offset", "orders", F.inline("stand")).select(*names)
+                .unionByName(o.filter(F.col("ips") > ALIKE_IPS)
+                             .withColumn("orders", F.lit(1).cast("bigint")).select(*names)))
+
     def composed(self) -> DataFrame:
         return self._pairs(~F.col("many")).withColumn(
             "TOUCHPOINT_STEP", F.col("offset") + (F.col("place") - 1) * F.col("k") + F.col("o_place"))
@@ -404,22 +431,30 @@ def step_counts(events: DataFrame, below: int | None = None, epoch_unit: str = "
     A step number occurs once per order, so orders are counted, not told apart:
     those that stand alike at an (ip, time) -- same offset, same number of
     events there -- are one row with a count, and each touch is multiplied by
-    it.  ``below`` keeps steps under it and drops what starts later early.
+    it.  Times at which an order has several ips are counted in the same way
+    (``interleaved_alike``): a touch's steps end with the sum of the order events
+    that the touches up to it meet.  ``below`` keeps steps under it and drops
+    what starts later early.
     """
-    ranks = _Ranks(events, epoch_unit)
+    ranks = _Ranks(events, epoch_unit, counting=True)
     # One row per order and (ip, time).
     g = ranks.orders.filter(~F.col("many") & (F.col("o_place") == 1))
-    t = ranks.touches
+    t, tangled = ranks.touches, ranks.interleaved_alike()
     if below is not None:
         g, t = g.filter(F.col("offset") < below - 1), t.filter(F.col("place") < below)
+        tangled = tangled.filter(F.col("offset") < below - 1)
     alike = g.groupBy("o_ip", "o_ts", "offset", "k").agg(F.count(F.lit(1)).alias("orders"))
     met = merge_join(alike, t, [alike["o_ip"] == t["t_ip_"], alike["o_ts"] == t["t_ts"]])
     steps = met.groupBy("offset", "place", "k", "attribution_source").agg(F.sum("orders").alias("orders")).select(
         "attribution_source", "orders", F.explode(F.sequence(
             F.col("offset") + (F.col("place") - 1) * F.col("k") + 1,
             F.col("offset") + F.col("place") * F.col("k"))).alias("step"))
-    apart = ranks.interleaved().select("attribution_source", F.lit(1).cast("bigint").alias("orders"),
-                                       F.col("TOUCHPOINT_STEP").alias("step"))
+    up_to = (Window.partitionBy("order_id", "o_ts").orderBy(*_COUNT_RANK, "t_ip_", "place")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    apart = merge_join(tangled, t, [tangled["o_ip"] == t["t_ip_"], tangled["o_ts"] == t["t_ts"]]).select(
+        "attribution_source", "orders", "k", (F.col("offset") + F.sum("k").over(up_to)).alias("last"))
+    apart = apart.select("attribution_source", "orders", F.explode(F.sequence(
+        F.col("last") - F.col("k") + 1, F.col("last"))).alias("step"))
     both = steps.unionByName(apart)
     if below is not None:
         both = both.filter(F.col("step") < below)
