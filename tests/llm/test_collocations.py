@@ -100,3 +100,48 @@ def test_exact_beyond_64_bits(spark):
                                    "lang string, phrase string, n bigint")
     got = C.scores(counts, 3).first()
     assert got["score"] == 1_000_000 * big * big // ((big + 7) * (big + 9))
+
+
+def test_texts_are_read_once_a_level(spark):
+    docs = random_docs(7)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frame_ = frame(spark, docs)
+    got = table(C.collocations(frame_.mapInArrow(count, frame_.schema), 2, 3, 2000, trie_bytes=200, wave_bytes=8000))
+    assert got == brute(docs, 2, 3, 2000)
+    assert seen.value <= 4 * len(docs)          # three levels and the size, however many tries
+
+
+def test_many_parts(spark):
+    docs = random_docs(5)
+    for top in (3, 2000):
+        got = table(C.collocations(frame(spark, docs), 2, 3, top, trie_bytes=500, wave_bytes=8000, part_bytes=4000))
+        assert got == brute(docs, 2, 3, top)
+
+
+def test_phrases_of_one_hash(spark):
+    def blob(rows):
+        texts = [t.encode() for _, _, t in rows]
+        return C.pack(np.array([g for g, _, _ in rows], np.uint64), np.array([n for _, n, _ in rows]),
+                      np.array([len(t) for t in texts], np.int32), np.frombuffer(b"".join(texts), np.uint8))
+
+    blobs = [blob([(5, 9, "en\na b"), (5, 7, "en\na c"), (5, 1, "x\ny\na b"), (8, 9, "en\nd")]),
+             blob([(5, 3, "en\na b"), (5, 3, "en\na c"), (5, 1, "en\na"), (9, 10, "en\nd e")])]
+    for trie_bytes in (1, 1000):
+        out = C.part_counts(blobs, 10, trie_bytes, C.arrow_schema(C.COUNTED))
+        got = sorted(tuple(x.values()) for b in out for x in b.to_pylist())
+        assert got == [("en", "a b", 5, 12), ("en", "a c", 5, 10), ("en", "d e", 9, 10)]
+
+
+def test_merge_keeps_pairs_apart():
+    g, other = np.array([3, 3, 1, 3, 1], np.uint64), np.array([0, 1, 0, 0, 0], np.uint64)
+    keep, n = C._merge(g, other, np.array([1, 2, 4, 8, 16]))
+    sums = {}
+    for i, x in zip(keep.tolist(), n.tolist()):
+        sums[int(g[i]), int(other[i])] = sums.get((int(g[i]), int(other[i])), 0) + x
+    assert sums == {(1, 0): 20, (3, 0): 9, (3, 1): 2}

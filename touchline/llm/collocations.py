@@ -1,21 +1,25 @@
 """Phrase collocations counted by tries of Apriori-safe candidates.
 
-1. Words are counted per language; those that occur ``min_count`` times are
-   phrases of length one.
-2. Level by level, positions whose two phrases one word shorter may be frequent
-   propose a phrase.  What may be frequent is a bitmap of fixed size over phrase
-   hashes, so it never misses one.  Proposals are summed by their word hashes;
-   a hash met by two phrases only adds, so those under ``min_count`` are safely
-   dropped.  The rest are the candidates.
-3. Candidates, sorted by language and phrase, are cut into double-array tries
-   over bytes of bounded size, built in tasks.  Tries are broadcast in waves of
-   bounded size; every task starts a state at each word of its texts, numpy
-   advances all states a byte at a time through check and base, accepting states
-   at word ends are bincounted, and Spark sums the tasks' counts.
-4. Scores are exact: products are DECIMAL(38,0), their quotient is integral.
-
-Work beyond the counts of words and proposals is (texts) x (waves): a wave holds
-``WAVE_BYTES`` of tries, and candidates occur ``min_count`` times each.
+Level by level, a pass over the texts each:
+
+1. A phrase is proposed at each word (level one), or where its two phrases one
+   word shorter may be frequent.  What may be frequent is a bitmap of bounded
+   size over phrase hashes, so it never misses one.
+2. A task merges equal proposals, a wave of bounded size at a time, and deals
+   them by ranges of their hash to parts; their number follows the text bytes.
+   A phrase costs a part one row a wave at most, so a common one fills no task.
+3. In a part proposals are summed by hash; a hash met by two phrases only adds,
+   so those under ``min_count`` are safely dropped.  The rest are the candidates.
+4. A part's candidates are cut into double-array tries over bytes of bounded
+   size.  A trie meets only the proposals of its own hashes: a state each, all
+   advanced a byte at a time through check and base, the accepting ones
+   bincounted with their proposals' counts.  What is frequent feeds the next
+   level's bitmap.
+5. Scores are exact: products are DECIMAL(38,0), their quotient is integral.
+
+Texts are read ``max_words`` times and once for their size, however many
+candidates there are.  Merging tells words apart by a 64-bit hash with their
+language, phrases by two hashes of these; tries compare bytes.
 
 Nulls: a text counts as empty, a language as ``und``.  Repeated rows all count.
 An empty table gives no rows; other columns are not read.
@@ -24,6 +28,7 @@ An empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from typing import Iterable, Iterator
 
 import numpy as np
@@ -36,9 +41,14 @@ from touchline.llm.tables import staged
 from touchline.llm.textops import byte_table, class_of, mix64, slices, span_hashes, word_spans
 
 U64 = np.uint64
-MAP_BITS = 25                  # bitmap of phrases that may be frequent: 4 MB
+MAP_BITS = 25, 27              # bitmap of phrases that may be frequent: 4 MB to 16 MB
+PART_BYTES = 12 << 20          # text bytes whose proposals one part takes
 TRIE_BYTES = 2 << 20           # candidate bytes of one trie
-WAVE_BYTES = 24 << 20          # tries that tasks hold at once
+WAVE_BYTES = 24 << 20          # proposals that a task holds at once
+SPAN_ROWS = 65536              # texts gathered at once
+
+DEALT = "part int, lang string, n bigint, blob binary"
+COUNTED = "lang string, phrase string, h bigint, n bigint"
 
 WORD = class_of([(0x09, 0x0D), (0x20, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F)])
 BREAK = ~class_of([(0x0A, 0x0D), (0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F)])
@@ -47,6 +57,7 @@ FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[0x41:0x5B] += 32
 SPACE, STOP = 0x20, 0x0A
 _STEP = U64(0xD6E8FEB86659FD93)
+_OTHER = U64(0x9E3779B97F4A7C15)
 
 
 # --- words of a slice --------------------------------------------------------
@@ -68,22 +79,15 @@ class Words:
         self.joined = np.zeros(len(row), bool)
         self.joined[:-1] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
 
-    def texts(self, which: np.ndarray) -> pa.Array:
-        lens = self.ends[which] - self.starts[which]
-        offs = np.concatenate([[0], np.cumsum(lens)])
-        at = np.arange(offs[-1]) + np.repeat(self.starts[which] - offs[:-1], lens)
-        return pa.LargeStringArray.from_buffers(
-            len(which), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(self.data[at])).cast(pa.string())
-
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
         """Words with one separator after each (a space if the next word is
-        joined, else a stop), and where each begins."""
+        joined, else a stop), and where each begins, the end of all included."""
         lens = self.ends - self.starts + 1
         offs = np.concatenate([[0], np.cumsum(lens)])
         at = np.arange(offs[-1]) + np.repeat(self.starts - offs[:-1], lens)
         out = self.data[np.minimum(at, len(self.data) - 1)]
         out[offs[1:] - 1] = np.where(self.joined, SPACE, STOP)
-        return out, offs[:-1]
+        return out, offs
 
 
 def _docs(docs: DataFrame) -> DataFrame:
@@ -91,50 +95,41 @@ def _docs(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
+def _spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Bytes of the spans, one after the other."""
+    out = []
+    for lo in range(0, len(starts), SPAN_ROWS):
+        n = lens[lo:lo + SPAN_ROWS].astype(np.int64)
+        ends = np.cumsum(n)
+        out.append(data[np.arange(ends[-1]) + np.repeat(starts[lo:lo + SPAN_ROWS] - (ends - n), n)])
+    return np.concatenate(out) if out else np.zeros(0, np.uint8)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``lang, word, h, n`` of every word."""
-    ddl = "lang string, word string, h bigint, n bigint"
-    schema = arrow_schema(ddl)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in slices(batches, "text"):
-            w = Words(rows, data, offs)
-            h, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-            if len(h):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.langs).take(pa.array(w.lang[first])), w.texts(first), _signed(h),
-                     pa.array(n)], schema=schema)
-
-    return (_docs(docs).mapInArrow(run, ddl).groupBy("lang", "word")
-            .agg(F.min("h").alias("h"), F.sum("n").alias("n")))
-
-
-# --- candidates --------------------------------------------------------------
+# --- proposals ---------------------------------------------------------------
 
 def bitmap(hashes: DataFrame, col: str) -> np.ndarray:
-    """Bits of the hashes' leading ``MAP_BITS``: a fixed number of words,
-    whatever the table's size."""
-    at = hashes.select(F.shiftrightunsigned(F.col(col), 64 - MAP_BITS).alias("x"))
+    """Bits of the hashes' leading bits: 16 a hash, within ``MAP_BITS``."""
+    least, most = MAP_BITS
+    bits = min(most, max(least, (16 * hashes.count()).bit_length()))
+    at = hashes.select(F.shiftrightunsigned(F.col(col), 64 - bits).alias("x"))
     got = (at.groupBy(F.shiftright("x", 6).alias("w"))
            .agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toArrow())
-    out = np.zeros(1 << (MAP_BITS - 6), U64)
+    out = np.zeros(1 << (bits - 6), U64)
     out[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(U64)
     return out
 
 
 def _may(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> U64(64 - MAP_BITS)
+    at = h >> U64(64 - (64 * len(bits) - 1).bit_length())
     return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
 
 
 def phrase_starts(w: Words, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the phrase of len(maps) + 1 words at each word, and where both
     of its phrases one word shorter may be frequent."""
-    key, alive = w.hash, _may(maps[0], w.hash) if len(w.hash) else np.zeros(0, bool)
+    if not maps or not len(w.hash):
+        return w.hash, np.ones(len(w.hash), bool)
+    key, alive = w.hash, _may(maps[0], w.hash)
     for k in range(1, len(maps) + 1):
         nxt = np.zeros(len(key), bool)
         nxt[:-1] = alive[:-1] & alive[1:]
@@ -147,46 +142,92 @@ def phrase_starts(w: Words, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return key, alive
 
 
-def proposals(docs: DataFrame, maps: list[np.ndarray], min_count: int) -> DataFrame:
-    """Phrases of len(maps) + 1 words (``h1, h2, ..., g``) whose summed
-    proposals reach ``min_count``."""
+def _merge(g: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each pair of hashes in the order of ``g``, and its count; a
+    pair may come twice where phrases share ``g``."""
+    order = np.argsort(g)
+    fresh = np.ones(len(g), bool)
+    fresh[1:] = (g[order[1:]] != g[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+    first = np.flatnonzero(fresh)
+    return order[first], np.add.reduceat(n[order], first)
+
+
+class Wave:
+    """Proposals of a task until they are dealt."""
+
+    def __init__(self):
+        self.rows, self.data, self.held, self.size, self.words = [], [], 0, 0, {}
+
+    def add(self, w: Words, key: np.ndarray, alive: np.ndarray, k: int) -> None:
+        if k == 1:
+            for x, n in zip(w.langs, np.bincount(w.lang, minlength=len(w.langs)).tolist()):
+                self.words[x] = self.words.get(x, 0) + n
+                self.held += len(x) + 16
+        at = np.flatnonzero(alive)
+        if not len(at):
+            return
+        other = np.zeros(len(at), U64)
+        for i in range(k):
+            other = other * _OTHER + w.hash[at + i]
+        keep, n = _merge(key[at], other, np.ones(len(at), np.int64))
+        at, other = at[keep], other[keep]
+        stream, offs = w.stream()
+        head = [f"{x}\n".encode() for x in w.langs]
+        head_n = np.array([len(x) for x in head])
+        head_at = self.size + len(stream) + np.cumsum(head_n) - head_n
+        lang = w.lang[at]
+        rows = (key[at], other, n, self.size + offs[at], offs[at + k] - 1 - offs[at], head_at[lang], head_n[lang])
+        self.rows.append(rows)
+        self.data += [stream, np.frombuffer(b"".join(head), np.uint8)]
+        self.size += len(stream) + int(head_n.sum())
+        self.held += sum(x.nbytes for x in rows) + len(stream)
+
+    def dealt(self, parts: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """The proposals by part, their texts led by language and line break;
+        words of each language in parts below zero."""
+        if self.rows:
+            g, other, n, *text = (np.concatenate(x) for x in zip(*self.rows))
+            keep, n = _merge(g, other, n)
+            g = g[keep]
+            start, size, head_at, head_n = (x[keep] for x in text)
+            data = np.concatenate(self.data)
+            self.rows, self.data = [], []
+            edges = np.searchsorted(((g >> U64(32)) * U64(parts)) >> U64(32), np.arange(parts + 1, dtype=U64))
+            found = np.flatnonzero(edges[1:] > edges[:-1])
+            blobs = []
+            for lo, hi in zip(edges[found].tolist(), edges[found + 1].tolist()):
+                both = np.stack([head_at[lo:hi], start[lo:hi]], 1).reshape(-1)
+                lens = np.stack([head_n[lo:hi], size[lo:hi]], 1).reshape(-1)
+                blobs.append(pack(g[lo:hi], n[lo:hi], (head_n[lo:hi] + size[lo:hi]).astype(np.int32),
+                                  _spans(data, both, lens)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int32()), pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.int64()),
+                 pa.array(blobs, schema.field("blob").type)], schema=schema)
+        if self.words:
+            langs = list(self.words)
+            part = [-1 - int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % parts
+                    for x in langs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), pa.array(langs, pa.string()), pa.array(list(self.words.values()), pa.int64()),
+                 pa.nulls(len(langs), schema.field("blob").type)], schema=schema)
+        self.__init__()
+
+
+def proposals(docs: DataFrame, maps: list[np.ndarray], parts: int, wave_bytes: int) -> DataFrame:
+    """Phrases of len(maps) + 1 words that may be frequent (``DEALT``)."""
     k = len(maps) + 1
-    names = [f"h{i + 1}" for i in range(k)]
-    ddl = ", ".join(f"{n} bigint" for n in [*names, "g", "n"])
-    schema = arrow_schema(ddl)
+    schema = arrow_schema(DEALT)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wave = Wave()
         for rows, data, offs in slices(batches, "text"):
             w = Words(rows, data, offs)
-            key, alive = phrase_starts(w, maps)
-            at = np.flatnonzero(alive)
-            g, first, n = np.unique(key[at], return_index=True, return_counts=True)
-            first = at[first]
-            if len(g):
-                yield pa.RecordBatch.from_arrays([*[_signed(w.hash[first + i]) for i in range(k)],
-                                                  _signed(g), pa.array(n)], schema=schema)
-
-    return (_docs(docs).mapInArrow(run, ddl).groupBy(*names, "g").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= min_count).drop("n"))
-
-
-def candidates(docs: DataFrame, words: DataFrame, min_count: int, max_words: int) -> DataFrame:
-    """``lang, phrase`` of one to ``max_words`` words."""
-    frequent = words.filter(F.col("n") >= min_count)
-    out = frequent.select("lang", F.col("word").alias("phrase"))
-    maps = [bitmap(frequent, "h")]
-    spelled = frequent.select("h", "word", "lang")
-    for k in range(2, max_words + 1):
-        found = staged(proposals(docs, maps, min_count), f"phrases-{k}")
-        named = found
-        for i in range(k):
-            side = spelled.select(F.col("h").alias("_h"), F.col("word").alias(f"w{i}"),
-                                  *([F.col("lang")] if i == 0 else []))
-            named = named.join(side, named[f"h{i + 1}"] == side["_h"]).drop("_h")
-        out = out.union(named.select("lang", F.concat_ws(" ", *[f"w{i}" for i in range(k)])))
-        if k < max_words:
-            maps.append(bitmap(found, "g"))
-    return out
+            wave.add(w, *phrase_starts(w, maps), k)
+            if wave.held > wave_bytes:
+                yield from wave.dealt(parts, schema)
+        yield from wave.dealt(parts, schema)
+
+    return _docs(docs).mapInArrow(run, DEALT)
 
 
 # --- double-array tries ------------------------------------------------------
@@ -282,117 +323,80 @@ def _place(parent: np.ndarray, symbol: np.ndarray, n_nodes: int, final: np.ndarr
     return base, check, accept
 
 
-def build_tries(found: DataFrame, trie_bytes: int) -> DataFrame:
-    """Tries (``trie, size, arrays, lang, phrase``) of sorted runs of candidates
-    of ``trie_bytes`` at most (one longer phrase is a run of its own)."""
-    n_bytes = found.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 1)).first()[0] or 0
-    ddl = "trie string, size bigint, arrays binary, lang array<string>, phrase array<string>"
-    schema = arrow_schema(ddl)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, phrases, keys, held = [], [], [], 0
-
-        def made() -> pa.RecordBatch:
-            arrays = pack(*double_array(keys))
-            name = hashlib.sha256(keys[0]).hexdigest()
-            return pa.RecordBatch.from_pylist([{
-                "trie": name, "size": len(arrays), "arrays": arrays, "lang": langs, "phrase": phrases}], schema=schema)
-
-        for b in batches:
-            for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key = f"{lang}\n{phrase}".encode()
-                if keys and held + len(key) > trie_bytes:
-                    yield made()
-                    langs, phrases, keys, held = [], [], [], 0
-                langs.append(lang), phrases.append(phrase), keys.append(key)
-                held += len(key)
-        if keys:
-            yield made()
-
-    # Sorted as the keys are: bytes of language, line break, phrase.
-    key = F.encode(F.concat("lang", F.lit("\n"), F.col("phrase")), "UTF-8")
-    return (found.withColumn("_k", key).repartitionByRange(int(n_bytes // trie_bytes) + 1, "_k")
-            .sortWithinPartitions("_k").select("lang", "phrase").mapInArrow(run, ddl))
-
-
 class Trie:
-    def __init__(self, arrays: bytes):
-        self.base, self.check, self.accept = unpack(arrays, np.int32, np.int32, np.int32)
-        self.n = int(self.accept.max(initial=-1)) + 1
-
-    def after(self, prefix: bytes) -> int:
-        s = 0
-        for c in prefix:
-            t = int(self.base[s]) + c
-            if self.check[t] != s:
-                return -1
-            s = t
-        return s
-
-    def accepted(self, stream: np.ndarray, at: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """Keys that end at a word's end, from all places at once."""
-        live = state >= 0
-        at, state = at[live], state[live]
-        hits = []
-        while len(at):
-            to = self.base[state] + stream[at]
+    def __init__(self, keys: list[bytes]):
+        self.base, self.check, self.accept = double_array(keys)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Place of the key that each span is, or -1, for all spans at once."""
+        place = np.full(len(starts), -1, np.int32)
+        rows, state, depth = np.arange(len(starts)), np.zeros(len(starts), np.int32), 0
+        while len(rows):
+            to = self.base[state] + data[starts[rows] + depth]
             live = self.check[to] == state
-            at, state = at[live] + 1, to[live]
-            key = self.accept[state]
-            c = stream[at]
-            hits.append(key[(key >= 0) & ((c == SPACE) | (c == STOP))])
-            open_ = c != STOP
-            at, state = at[open_], state[open_]
-        return np.concatenate(hits) if hits else np.zeros(0, np.int32)
-
-
-def trie_counts(docs: DataFrame, tries: DataFrame, wave_bytes: int) -> DataFrame:
-    """``lang, phrase, n`` of every candidate, a wave of tries at a time."""
-    spark = docs.sparkSession
-    ddl = "trie string, place int, n bigint"
-    schema = arrow_schema(ddl)
-
-    def counted(wave) -> DataFrame:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(name, Trie(arrays)) for name, arrays in wave.value]
-            sums = [np.zeros(t.n, np.int64) for _, t in held]
-            for rows, data, offs in slices(batches, "text"):
-                w = Words(rows, data, offs)
-                if not len(w.starts):
-                    continue
-                stream, at = w.stream()
-                for (_, t), total in zip(held, sums):
-                    roots = np.array([t.after(f"{x}\n".encode()) for x in w.langs], np.int32)
-                    total += np.bincount(t.accepted(stream, at, roots[w.lang]), minlength=t.n)
-            for (name, t), total in zip(held, sums):
-                seen = np.flatnonzero(total)
-                for lo in range(0, len(seen), 65536):
-                    part = seen[lo:lo + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part, pa.int32()),
-                                                      pa.array(total[part])], schema=schema)
-
-        return _docs(docs).mapInArrow(run, ddl).groupBy("trie", "place").agg(F.sum("n").alias("n"))
-
-    sizes = sorted((r["trie"], r["size"]) for r in tries.select("trie", "size").collect())
-    waves, held = [], wave_bytes + 1
-    for name, size in sizes:
-        if held + size > wave_bytes:
-            waves.append([])
-            held = 0
-        waves[-1].append(name)
-        held += size
-    out = None
-    for names in waves:
-        # One at a time, so that the driver's JVM holds one trie beside the wave.
-        wave = spark.sparkContext.broadcast([
-            (x, bytes(tries.filter(F.col("trie") == x).select("arrays").first()[0])) for x in names])
-        part = staged(counted(wave), "phrase-counts")
-        wave.destroy()
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "lang string, phrase string, n bigint")
-    named = tries.select("trie", F.posexplode(F.arrays_zip("lang", "phrase")).alias("place", "x"))
-    return named.join(out, ["trie", "place"]).select("x.lang", "x.phrase", "n")
+            depth += 1
+            done = live & (lens[rows] == depth)
+            place[rows[done]] = self.accept[to[done]]
+            live &= ~done
+            rows, state = rows[live], to[live]
+        return place
+
+
+def part_counts(blobs: Iterable[bytes], min_count: int, trie_bytes: int,
+                schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``COUNTED`` of one part's candidates that occur ``min_count`` times, a
+    trie at a time."""
+    g, n, lens, data = (np.concatenate(x) for x in zip(*(unpack(x, U64, np.int64, np.int32, np.uint8) for x in blobs)))
+    order = np.argsort(g)
+    first = np.flatnonzero(np.concatenate([[True], g[order[1:]] != g[order[:-1]]]))
+    n_rows = np.diff(np.append(first, len(g)))
+    safe = np.add.reduceat(n[order], first) >= min_count
+    order, n_rows = order[np.repeat(safe, n_rows)], n_rows[safe]
+    if not len(order):
+        return
+    offs = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+    g, n, starts, lens = g[order], n[order], offs[order], lens[order]
+    edges = np.concatenate([[0], np.cumsum(n_rows)])             # rows of each candidate
+    size = np.concatenate([[0], np.cumsum(lens[edges[:-1]], dtype=np.int64)])
+    lo = 0
+    while lo < len(n_rows):
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + trie_bytes, side="right")) - 1)
+        a, b = edges[lo], edges[hi]
+
+        def texts(rows: np.ndarray) -> set[bytes]:
+            return {data[i:i + m].tobytes() for i, m in zip(starts[rows].tolist(), lens[rows].tolist())}
+
+        keys = sorted(texts(edges[lo:hi]))
+        place = Trie(keys).find(data, starts[a:b], lens[a:b])
+        lost = a + np.flatnonzero(place < 0)
+        if len(lost):                                            # phrases that share a hash
+            keys = sorted(set(keys) | texts(lost))
+            place = Trie(keys).find(data, starts[a:b], lens[a:b])
+        total = np.bincount(place, weights=n[a:b], minlength=len(keys)).astype(np.int64)
+        h = np.zeros(len(keys), U64)
+        h[place] = g[a:b]
+        seen = np.flatnonzero(total >= min_count)
+        lang, phrase = zip(*(keys[i].decode().rsplit("\n", 1) for i in seen.tolist())) if len(seen) else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()),
+                                          pa.array(h[seen].view(np.int64)), pa.array(total[seen])], schema=schema)
+        lo = hi
+
+
+def trie_counts(dealt: DataFrame, parts: int, min_count: int, trie_bytes: int) -> DataFrame:
+    """``lang, phrase, h, n`` of every phrase that occurs ``min_count`` times;
+    a row without phrase has the words of its language."""
+    schema = arrow_schema(COUNTED)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            sums = table.group_by("lang").aggregate([("n", "sum")])
+            return pa.Table.from_arrays(
+                [sums.column("lang"), pa.nulls(len(sums), pa.string()), pa.nulls(len(sums), pa.int64()),
+                 sums.column("n_sum")], schema=schema)
+        blobs = (x.as_py() for x in table.column("blob"))
+        return pa.Table.from_batches(list(part_counts(blobs, min_count, trie_bytes, schema)), schema=schema)
+
+    return dealt.repartition(parts, "part").groupBy("part").applyInArrow(run, COUNTED)
 
 
 # --- scores ------------------------------------------------------------------
@@ -432,15 +436,26 @@ def scores(counts: DataFrame, max_words: int) -> DataFrame:
 
 
 def collocations(docs: DataFrame, min_count: int = 10, max_words: int = 3, top: int = 2000,
-                 trie_bytes: int = TRIE_BYTES, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+                 trie_bytes: int = TRIE_BYTES, wave_bytes: int = WAVE_BYTES,
+                 part_bytes: int = PART_BYTES) -> DataFrame:
     """Each language's ``top`` phrases: ``lang, rank, phrase, a, l, r, n, score``."""
-    words = staged(word_counts(docs), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = staged(candidates(docs, words, min_count, max_words), "candidates")
-    tries = staged(build_tries(found, trie_bytes), "tries")
-    counts = staged(trie_counts(docs, tries, wave_bytes).filter(F.col("n") >= min_count), "counts")
+    n_bytes = _docs(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(n_bytes // part_bytes) + 1
+    maps, counts, totals = [], None, None
+    for k in range(1, max_words + 1):
+        dealt = proposals(docs, maps, parts, wave_bytes)
+        found = staged(trie_counts(dealt, parts, min_count, trie_bytes), f"phrases-{k}")
+        if k == 1:
+            totals = found.filter("phrase is null").select("lang", "n")
+            found = found.filter("phrase is not null")
+        if k < max_words:
+            maps.append(bitmap(found, "h"))
+        counts = found if counts is None else counts.union(found)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    ranked = (scores(counts, max_words)
-              .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint"))
-              .filter(F.col("rank") <= top))
+    # The first of a language are among the first of its shares, so no task sorts a whole language.
+    share = F.pmod(F.xxhash64("phrase"), F.lit(math.isqrt(parts)))
+    ranked = scores(counts, max_words)
+    for group in (["lang", share], ["lang"]):
+        ranked = (ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
+                  .filter(F.col("rank") <= top))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
