@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.packing import arrow_schema, pack, unpack
 from touchline.llm.tables import staged
-from touchline.llm.textops import byte_table, class_of, mix64, slices, span_hashes, word_spans
+from touchline.llm.textops import byte_table, class_of, mix64, release, slices, span_hashes, word_spans
 
 U64 = np.uint64
 MAP_BITS = 25, 27              # bitmap of phrases that may be frequent: 4 MB to 16 MB
@@ -387,16 +387,23 @@ def trie_counts(dealt: DataFrame, parts: int, min_count: int, trie_bytes: int) -
     a row without phrase has the words of its language."""
     schema = arrow_schema(COUNTED)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            sums = table.group_by("lang").aggregate([("n", "sum")])
-            return pa.Table.from_arrays(
-                [sums.column("lang"), pa.nulls(len(sums), pa.string()), pa.nulls(len(sums), pa.int64()),
-                 sums.column("n_sum")], schema=schema)
-        blobs = (x.as_py() for x in table.column("blob"))
-        return pa.Table.from_batches(list(part_counts(blobs, min_count, trie_bytes, schema)), schema=schema)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held = {}, {}
+        for b in batches:
+            for part, lang, n, blob in zip(*(c.to_pylist() for c in b.columns)):
+                if part < 0:
+                    words[lang] = words.get(lang, 0) + n
+                else:
+                    held.setdefault(part, []).append(blob)
+        if words:
+            empty = pa.nulls(len(words), pa.string()), pa.nulls(len(words), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(words), pa.string()), *empty, pa.array(list(words.values()), pa.int64())], schema=schema)
+        for part in sorted(held):
+            yield from part_counts(held.pop(part), min_count, trie_bytes, schema)
+        release()
 
-    return dealt.repartition(parts, "part").groupBy("part").applyInArrow(run, COUNTED)
+    return dealt.repartitionById(parts, "part").mapInArrow(run, COUNTED)
 
 
 # --- scores ------------------------------------------------------------------
